@@ -375,13 +375,13 @@ select method, alpha, round, comm_mb,
 from v_round_metrics""",
     "score_argmax_loss": """
 select example_id, label, cast(list_position(logits, list_max(logits)) - 1 as integer) as pred,
-       round(list_max(logits) + ln(list_sum(list_transform(logits, x -> exp(x - list_max(logits)))))
+       round(list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))))
              - logits[label + 1], 6) as loss
 from v_predictions""",
     "classification_metrics": """
 with s as (
   select label, cast(list_position(logits, list_max(logits)) - 1 as integer) as pred,
-         list_max(logits) + ln(list_sum(list_transform(logits, x -> exp(x - list_max(logits))))) - logits[label + 1] as loss
+         list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))) - logits[label + 1] as loss
   from v_predictions),
 cls as (select label as c from s union select pred from s),
 f as (

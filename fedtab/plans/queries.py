@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fedtab.functions.hashing import bernoulli
 from fedtab.functions.params import METHODS, component, element_bytes, layer_key, transmits
 from fedtab.operators import cost, evaluate, linalg, report, split, state
 from fedtab.plans import fixtures as fx

@@ -1,0 +1,87 @@
+"""The federated round job (#47): cohort -> dropout -> local fit -> average -> bias
+-> cost -> evaluate -> save, once per round.
+
+The round loop runs on the driver, as any iterative Spark job does; each round is
+a chain of Spark jobs. Every round's client cells, global state and metrics are
+written to the shared checkpoint folder and read back, so lineage never grows
+across rounds and a lost executor costs at most the current round's stages.
+Only the global model (bounded by its architecture) is fetched, to broadcast it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fedtab.functions.params import MB
+from fedtab.operators import cost, evaluate, fit, linalg, split, state
+from fedtab.session import shared_dir
+
+# Fixed values of the experiment (reference configuration).
+CLIENTS_PER_ROUND = 3
+CLIENT_DROPOUT_RATE = 0.2
+MAX_TRAIN_SAMPLES_PER_CLIENT = 300
+MU = 0.01
+CLIENT_RANKS = {0: 4, 1: 4, 2: 8, 3: 8, 4: 8}
+NUM_CLASSES = 4
+DIM = 64
+
+
+def round_participants(clients: DataFrame, rnd: int, k: int, p_drop: float, seed: int) -> DataFrame:
+    """Cohort of ``k`` (#13), then dropout (#12, independent seed), for one round."""
+    cand = clients.select("client_id").distinct().withColumn("round", F.lit(rnd))
+    cohort = split.cohort_sample(cand, "round", "client_id", k, seed)
+    return split.hash_bernoulli_drop(cohort, ["round", "client_id"], p_drop, seed + 1).select("client_id")
+
+
+def run_rounds(spark: SparkSession, sf: str, method: str = "standard_lora", rounds: int = 2,
+               seed: int = 42) -> DataFrame:
+    from fedtab.plans import fixtures as fx
+    base = shared_dir(spark, f"rounds-{method}")
+    feats = fx.v_features(spark, sf)
+    rows = fit.client_rows(feats, MAX_TRAIN_SAMPLES_PER_CLIENT, seed)
+    global_cells = fit.init_global_state(spark, max(CLIENT_RANKS.values()), DIM, NUM_CLASSES, seed)
+    global_cells.write.mode("overwrite").parquet(f"{base}/global/round=0")
+    global_cells = spark.read.parquet(f"{base}/global/round=0")
+    model = fit.model_from_cells(global_cells)
+    for r in range(1, rounds + 1):
+        parts = round_participants(feats, r, CLIENTS_PER_ROUND, CLIENT_DROPOUT_RATE, seed)
+        # the cohort has at most CLIENTS_PER_ROUND rows
+        mine = rows.join(F.broadcast(parts), "client_id", "left_semi")
+        cells = fit.local_fit(mine, model, method, r, NUM_CLASSES, DIM, CLIENT_RANKS, MU)
+        cells.write.mode("overwrite").parquet(f"{base}/clients/round={r}")
+        cells = spark.read.parquet(f"{base}/clients/round={r}")
+        meta = cells.groupBy("client_id").agg(F.first("n_rows").alias("n_samples"))
+        if meta.limit(1).count() == 0:
+            continue  # no successful client: no aggregation, no row
+        weights = state.group_weight(meta)
+        cell_cols = ["client_id", "param", "i", "j", "v"]
+        avg = state.weighted_padded_average(cells.select(*cell_cols), weights)
+        new_global = state.upsert_state(global_cells.select("param", "i", "j", "v"), avg)
+        new_global.write.mode("overwrite").parquet(f"{base}/global/round={r}")
+        global_cells = spark.read.parquet(f"{base}/global/round={r}")
+        model = fit.model_from_cells(global_cells)
+
+        bias = linalg.aggregation_bias(cells.select(*cell_cols).withColumn("round", F.lit(r)),
+                                       weights.withColumn("round", F.lit(r)),
+                                       meta.select(F.lit(r).alias("round")).distinct(), ["round"])
+        up = cells.agg((F.count(F.lit(1)) * 4 / F.lit(float(MB))).alias("upload_mb"))
+        down = avg.agg((F.count(F.lit(1)) * 4 / F.lit(float(MB))).alias("download_mb"))
+        n_cli = meta.agg(F.count(F.lit(1)).alias("n_clients"), F.avg("n_samples").alias("mean_rows"))
+        loss = cells.groupBy("client_id").agg(F.first("loss").alias("l")).agg(F.avg("l").alias("train_loss"))
+        scored = evaluate.score_argmax_loss(fit.score_rows(feats, model))
+        metrics = evaluate.classification_metrics(scored)
+        row = (metrics.withColumn("round", F.lit(r))
+               .join(bias, "round")
+               .join(n_cli.withColumn("round", F.lit(r)), "round")
+               .join(up.withColumn("round", F.lit(r)), "round")
+               .join(down.withColumn("round", F.lit(r)), "round")
+               .join(loss.withColumn("round", F.lit(r)), "round")
+               .select(F.lit(method).alias("method"), "round", "n_clients",
+                       F.col("accuracy").alias("acc"), F.col("macro_f1").alias("f1"),
+                       F.col("mean_loss").alias("loss"), "train_loss",
+                       (F.col("upload_mb") + F.col("download_mb") * F.col("n_clients")).alias("round_mb"),
+                       "bias", "n_layers_measured"))
+        row.write.mode("append").parquet(f"{base}/metrics")
+    out = spark.read.parquet(f"{base}/metrics")
+    return cost.cumulative_communication(out, ["method"], "round_mb")
