@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from fedtab.functions.params import METHODS, component, element_bytes, layer_key, transmits
 from fedtab.operators import cost, evaluate, linalg, report, split, state
 from fedtab.plans import fixtures as fx
-from fedtab.session import shared_dir, table
+from fedtab.session import materialize, shared_dir, table
 from fedtab.sources import results_io, runlog, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,17 +193,22 @@ def q_key_presence_filter(spark, sf):
 
 # ---------------------------------------------------------------- products and bias
 
+def _cells(spark, sf):
+    """The cell table, derived once per query (read several times by the plan)."""
+    return materialize(fx.v_cells(spark, sf), "cells")
+
+
 def q_matrix_product(spark, sf):
-    return linalg.matrix_product(fx.v_cells(spark, sf), ["client_id"]).select(
+    return linalg.matrix_product(_cells(spark, sf), ["client_id"]).select(
         "client_id", "layer", "i", "j", _r("w"))
 
 
 def q_mean_product(spark, sf):
-    return linalg.mean_product(fx.v_cells(spark, sf), _weights(spark, sf)).select("layer", "i", "j", _r("w"))
+    return linalg.mean_product(_cells(spark, sf), _weights(spark, sf)).select("layer", "i", "j", _r("w"))
 
 
 def q_aggregation_bias(spark, sf, weighted: bool = False):
-    b = linalg.aggregation_bias_layers(fx.v_cells(spark, sf), _weights(spark, sf), weighted=weighted)
+    b = linalg.aggregation_bias_layers(_cells(spark, sf), _weights(spark, sf), weighted=weighted)
     return b.select("layer", _r("bias"))
 
 
@@ -213,7 +218,7 @@ def q_aggregation_bias_weighted(spark, sf):
 
 def q_round_bias(spark, sf):
     """Flagship: per (method, round), transmitted cells -> weighted average -> bias."""
-    cells = fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round"))
+    cells = materialize(fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round")), "round_cells")
     meta = fx.v_client_meta(spark, sf)
     rounds = cells.select("method", "round").distinct()
     weights = state.group_weight(

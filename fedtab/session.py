@@ -78,3 +78,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df, name: str):
+    """Write ``df`` once to the shared folder and read it back.
+
+    Used where a plan reads the same derived table many times (a bias plan reads
+    its cells about eight times): the derivation runs once, later reads are
+    column-pruned parquet scans, and lineage is cut (a lost executor does not
+    replay the derivation).
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
