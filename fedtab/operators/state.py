@@ -73,3 +73,18 @@ def upsert_state(previous: DataFrame, update: DataFrame, group_cols: Sequence[st
     sent = update.select(*g, "param").distinct()
     kept = previous.join(sent, on=[*g, "param"], how="left_anti")
     return kept.unionByName(update.select(*kept.columns))
+
+
+def carry_frozen_state(cells: DataFrame, run_cols: Sequence[str], last_round: int,
+                       client_col: str = "client_id") -> DataFrame:
+    """Each client's state as of every round: per cell, the value from the latest
+    round <= r in which the client sent it (option ``carry_frozen`` of #27, trap T2).
+
+    A cell sent in round s is offered to rounds s..last_round (a generator over the
+    bounded round count), then ``max_by(v, round)`` keeps the latest.
+    """
+    g = list(run_cols)
+    offered = cells.withColumn("_as_of", F.explode(F.sequence(F.col("round"), F.lit(last_round))))
+    latest = (offered.groupBy(*g, "_as_of", client_col, *CELL_KEYS)
+              .agg(F.max_by("v", "round").alias("v")))
+    return latest.withColumnRenamed("_as_of", "round")

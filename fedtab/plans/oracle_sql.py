@@ -167,10 +167,10 @@ select layer, round(sqrt(sum((ideal - fed) * (ideal - fed))) / (sqrt(sum(ideal *
 from d group by layer"""
 
 
-ROUND_BIAS_SQL = f"""
+ROUND_BIAS_BODY = f"""
 with cr as (
   select method, round, client_id, {LAYER} as layer, {COMP} as comp, i, j, v
-  from v_cells_rounds where {TRANSMIT}),
+  from SOURCE),
 ml as (
   select method, round, layer from cr where comp in ('lora_A', 'lora_B')
   group by method, round, layer having count(distinct comp) = 2),
@@ -204,6 +204,11 @@ pl as (
 g as (select distinct method, round from cr)
 select g.method, g.round, round(coalesce(avg(pl.bias), 0.0), 6) as bias, cast(count(pl.layer) as bigint) as n_layers_measured
 from g left join pl using (method, round) group by g.method, g.round"""
+ROUND_BIAS_SQL = ROUND_BIAS_BODY.replace("SOURCE", f"v_cells_rounds where {TRANSMIT}")
+CARRIED_SQL = ROUND_BIAS_BODY.replace("SOURCE", f"""(
+    select method, as_of as round, client_id, param, i, j, arg_max(v, round) as v
+    from (select *, unnest(range(round, 6)) as as_of from v_cells_rounds where {TRANSMIT})
+    group by method, as_of, client_id, param, i, j)""")
 
 
 def _parse_log_sql() -> str:
@@ -266,6 +271,9 @@ select example_id, label,
 from v_examples""",
     "csv_roundtrip": "select * from v_label_dist",
     "parse_run_log": _parse_log_sql(),
+    "run_log_unmatched": """
+select run_id, count(*) as n_unmatched from v_run_log
+where starts_with(line, 'Round ') and not regexp_matches(line, '{pat}') group by run_id""".replace("{pat}", ROUND_PAT),
     "state_roundtrip": """
 select client_id, param, i, j, round(v, 6) as v from v_cells_rounds where method = 'rolora' and round = 3""",
     "tokenize_pad": TOKENIZE_SQL,
@@ -303,6 +311,28 @@ select client_id, example_id from (
          row_number() over (partition by client_id order by {md5_key('example_id')}, example_id) as rk
   from v_assignment) where rk <= 100""",
     "label_distribution": "select * from v_label_dist",
+    "label_distribution_quality": """
+select s.client_id, cast(coalesce(c.c0, 0) as bigint) as low, cast(coalesce(c.c1, 0) as bigint) as high
+from (select distinct client_id from v_proportions) s
+left join (select a.client_id, sum(case when l.quality = 0 then 1 else 0 end) as c0,
+                  sum(case when l.quality = 1 then 1 else 0 end) as c1
+           from v_assignment a join labels l on l.doc_id = a.example_id group by a.client_id) c
+  on s.client_id = c.client_id""",
+    "quality_metrics": """
+with q as (select a.client_id, l.quality as label, 1 - l.toxic as pred
+           from v_assignment a join labels l on l.doc_id = a.example_id),
+cls as (select client_id, label as c from q union select client_id, pred from q),
+f as (select cls.client_id, cls.c,
+             (select count(*) from q where q.client_id = cls.client_id and label = cls.c and pred = cls.c) as tp,
+             (select count(*) from q where q.client_id = cls.client_id and label = cls.c) as nt,
+             (select count(*) from q where q.client_id = cls.client_id and pred = cls.c) as np
+      from cls),
+t as (select client_id, count(*) as n, avg(case when label = pred then 1.0 else 0.0 end)::double as acc
+      from q group by client_id)
+select t.client_id, t.n, round(t.acc, 6) as accuracy,
+       round(avg(case when nt + np > 0 then 2.0 * tp / (nt + np) else 0.0 end)::double, 6) as macro_f1,
+       count(*) as n_classes
+from t join f on f.client_id = t.client_id group by t.client_id, t.n, t.acc""",
     "group_weight": "select client_id, n_samples, round(weight, 6) as weight from v_weights",
     "weighted_padded_average": """
 select param, i, j, round(sum(w.weight * c.v), 6) as v from v_cells c join v_weights w using (client_id)
@@ -331,6 +361,7 @@ where b.comp = 'lora_B' and a.comp = 'lora_A' group by b.layer, b.i, a.j""",
     "aggregation_bias": _bias_sql("inv_k"),
     "aggregation_bias_weighted": _bias_sql("weight"),
     "round_bias": ROUND_BIAS_SQL,
+    "round_bias_carry_frozen": CARRIED_SQL,
     "even_layer_sample": """
 select layer, pos from (
   select layer, row_number() over (order by layer) - 1 as pos, count(*) over () as n from v_layers)

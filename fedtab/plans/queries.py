@@ -63,6 +63,11 @@ def q_parse_run_log(spark, sf):
     return runlog.parse_run_log(fx.v_run_log(spark, sf))
 
 
+def q_run_log_unmatched(spark, sf):
+    """Trap T16: round lines the record pattern rejects (nan values), per log."""
+    return runlog.unmatched_round_lines(fx.v_run_log(spark, sf))
+
+
 def q_state_roundtrip(spark, sf):
     path = shared_dir(spark, "round_state")
     results_io.write_round_state(fx.v_cells_rounds(spark, sf), path)
@@ -153,6 +158,26 @@ def q_label_distribution(spark, sf):
     return _label_dist(spark, sf)
 
 
+def _quality(spark, sf):
+    """Documents with a ``labels`` row: quality is the second (two-class) label."""
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("example_id"), "quality", "toxic")
+    return fx.v_assignment(spark, sf).join(lab, "example_id")
+
+
+def q_label_distribution_quality(spark, sf):
+    """#22 on the two-class label: clients x quality, zero-filled, every client present."""
+    q = _quality(spark, sf).select("client_id", F.col("quality").alias("label"))
+    return split.label_distribution(q, fx.v_proportions(spark), labels=[0, 1], names=["low", "high"])
+
+
+def q_quality_metrics(spark, sf):
+    """#33 on the two-class label per client: truth = quality, prediction = not toxic."""
+    q = _quality(spark, sf).select("client_id", F.col("quality").alias("label"),
+                                   (F.lit(1) - F.col("toxic")).alias("pred"))
+    m = evaluate.classification_metrics(q, ["client_id"], loss_col=None)
+    return m.select("client_id", "n", _r("accuracy"), _r("macro_f1"), "n_classes")
+
+
 # ---------------------------------------------------------------- state and averaging
 
 def _weights(spark, sf):
@@ -229,6 +254,20 @@ def q_round_bias(spark, sf):
     return out.select("method", "round", _r("bias"), "n_layers_measured")
 
 
+def q_round_bias_carry_frozen(spark, sf):
+    """#27 with carry_frozen: frozen factors come from the client's latest state that had them."""
+    sent = fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round"))
+    cells = materialize(state.carry_frozen_state(sent, ["method"], fx.ROUNDS), "carried_cells")
+    meta = fx.v_client_meta(spark, sf)
+    rounds = cells.select("method", "round").distinct()
+    weights = state.group_weight(
+        meta.withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
+            .withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(fx.ROUNDS)))),
+        partition_cols=["method", "round"])
+    out = linalg.aggregation_bias(cells, weights, rounds, ["method", "round"])
+    return out.select("method", "round", _r("bias"), "n_layers_measured")
+
+
 def q_even_layer_sample(spark, sf):
     return linalg.even_layer_sample(fx.v_layers(spark, sf), 4)
 
@@ -364,6 +403,7 @@ QUERIES: dict[str, Query] = {
     "scan_examples": q_scan_examples,
     "csv_roundtrip": q_csv_roundtrip,
     "parse_run_log": q_parse_run_log,
+    "run_log_unmatched": q_run_log_unmatched,
     "state_roundtrip": q_state_roundtrip,
     "tokenize_pad": q_tokenize_pad,
     "param_component": q_param_component,
@@ -378,6 +418,8 @@ QUERIES: dict[str, Query] = {
     "shuffle_within_group": q_shuffle_within_group,
     "cap_per_group": q_cap_per_group,
     "label_distribution": q_label_distribution,
+    "label_distribution_quality": q_label_distribution_quality,
+    "quality_metrics": q_quality_metrics,
     "group_weight": q_group_weight,
     "weighted_padded_average": q_weighted_padded_average,
     "param_max_shape": q_param_max_shape,
@@ -388,6 +430,7 @@ QUERIES: dict[str, Query] = {
     "aggregation_bias": q_aggregation_bias,
     "aggregation_bias_weighted": q_aggregation_bias_weighted,
     "round_bias": q_round_bias,
+    "round_bias_carry_frozen": q_round_bias_carry_frozen,
     "even_layer_sample": q_even_layer_sample,
     "communication_cost": q_communication_cost,
     "round_communication": q_round_communication,
