@@ -1,0 +1,20 @@
+"""Join helpers: broadcast a side only behind a check of its size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A per-client table (weights, coefficients) is broadcast up to this many rows.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged
+    (the planner then shuffles both sides and AQE splits skewed partitions).
+
+    The check counts at most ``max_rows + 1`` rows of an already small, aggregated
+    table (one row per client and round), so it never scans more than the bound.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

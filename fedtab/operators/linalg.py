@@ -13,16 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedtab.functions.params import component, layer_key
+from fedtab.functions.params import LORA_A, LORA_B, component, layer_key
+from fedtab.operators.joins import broadcast_if_small
 from fedtab.operators.state import weighted_padded_average
 
 EPS = 1e-8  # fixed value: ratio epsilon of the bias metric
 
 
 def _factors(cells: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    c = cells.select(*keys, layer_key("param").alias("layer"), component("param").alias("comp"), "i", "j", "v")
-    a = c.filter(F.col("comp") == "lora_A").select(*keys, "layer", F.col("i").alias("k"), "j", F.col("v").alias("a"))
-    b = c.filter(F.col("comp") == "lora_B").select(*keys, "layer", "i", F.col("j").alias("k"), F.col("v").alias("b"))
+    # plain substring predicates (same rule as ``component``) reach the scan as PushedFilters
+    p = F.col("param")
+    is_a, is_b = p.contains(LORA_A), p.contains(LORA_B) & ~p.contains(LORA_A)
+    a = cells.filter(is_a).select(*keys, layer_key("param").alias("layer"), F.col("i").alias("k"), "j",
+                                  F.col("v").alias("a"))
+    b = cells.filter(is_b).select(*keys, layer_key("param").alias("layer"), "i", F.col("j").alias("k"),
+                                  F.col("v").alias("b"))
     return a, b
 
 
@@ -40,7 +45,7 @@ def matrix_product(cells: DataFrame, group_cols: Sequence[str] = ("client_id",),
     prod = b.join(a, on=[*keys, "layer", "k"], how="inner")
     term = F.col("b") * F.col("a")
     if coef is not None:
-        prod = prod.join(coef.select(*keys, "c"), on=keys, how="inner")
+        prod = prod.join(broadcast_if_small(coef.select(*keys, "c")), on=keys, how="inner")
         term = term * F.col("c")
     return prod.groupBy(*g, "layer", "i", "j").agg(F.sum(term).alias("w"))
 
@@ -88,9 +93,10 @@ def even_layer_sample(layers: DataFrame, m: int = 4, group_cols: Sequence[str] =
 def measured_layers(cells: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Layers that have both factors in the state: distinct names first, then a tiny group-by."""
     g = list(group_cols)
-    names = cells.select(*g, "param").distinct()
+    p = F.col("param")
+    names = cells.filter(p.contains(LORA_A) | p.contains(LORA_B)).select(*g, "param").distinct()
     comp = component("param")
-    return (names.filter(comp.isin("lora_A", "lora_B"))
+    return (names
             .groupBy(*g, layer_key("param").alias("layer"))
             .agg(F.countDistinct(comp).alias("_nf"))
             .filter(F.col("_nf") == 2).drop("_nf"))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fedtab.operators.joins import broadcast_if_small
+
 CELL_KEYS = ("param", "i", "j")
 
 
@@ -35,7 +37,10 @@ def weighted_padded_average(cells: DataFrame, weights: DataFrame, group_cols: Se
     shuffles once on (group, param, i, j) after a map-side partial sum.
     """
     g = list(group_cols)
-    joined = cells.join(weights.select(*g, client_col, "weight"), on=[*g, client_col], how="inner")
+    # one weight row per (round, client): broadcast when the size check allows, so
+    # a client holding a third of all cells is never a single shuffle partition
+    w = broadcast_if_small(weights.select(*g, client_col, "weight"))
+    joined = cells.join(w, on=[*g, client_col], how="inner")
     return (joined.groupBy(*g, *CELL_KEYS)
             .agg(F.sum(F.col("weight") * F.col("v")).alias("v")))
 
