@@ -28,26 +28,24 @@ def classification_metrics(scored: DataFrame, group_cols: Sequence[str] = (), la
     """#33: accuracy; macro-F1 over labels seen in truth or prediction (F1 = 0 on an
     empty denominator); mean loss. One confusion aggregation, then tiny tables."""
     g = list(group_cols)
+    has_loss = loss_col is not None
     conf = scored.groupBy(*g, F.col(label_col).alias("t"), F.col(pred_col).alias("p")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *([F.sum(loss_col).alias("loss_sum")] if loss_col else []))
-    truth = conf.groupBy(*g, F.col("t").alias("cls")).agg(F.sum("n").alias("n_true"))
+        F.count(F.lit(1)).alias("n"), *([F.sum(loss_col).alias("loss_sum")] if has_loss else []))
+    # per class (<= C rows per group): support in truth, in prediction, true positives
+    truth = conf.groupBy(*g, F.col("t").alias("cls")).agg(
+        F.sum("n").alias("n_true"),
+        F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(F.lit(0))).alias("tp"),
+        *([F.sum("loss_sum").alias("loss_sum")] if has_loss else []))
     predicted = conf.groupBy(*g, F.col("p").alias("cls")).agg(F.sum("n").alias("n_pred"))
-    tp = conf.filter(F.col("t") == F.col("p")).select(*g, F.col("t").alias("cls"), F.col("n").alias("tp"))
-    classes = truth.join(predicted, on=[*g, "cls"], how="full_outer").join(tp, on=[*g, "cls"], how="left")
-    denom = F.coalesce(F.col("n_true"), F.lit(0)) + F.coalesce(F.col("n_pred"), F.lit(0))
-    f1 = F.when(denom > 0, 2.0 * F.coalesce(F.col("tp"), F.lit(0)) / denom).otherwise(F.lit(0.0))
-    per_class = classes.groupBy(*g).agg(F.avg(f1).alias("macro_f1"), F.count(F.lit(1)).alias("n_classes"))
-    totals = conf.groupBy(*g).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(F.lit(0))).alias("n_correct"),
-        *([F.sum("loss_sum").alias("loss_sum")] if loss_col else []))
-    if g:
-        out = totals.join(per_class, on=g, how="inner")
-    else:
-        # both sides are one-row aggregates: join them on a constant key
-        out = totals.withColumn("_k", F.lit(0)).join(per_class.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    classes = truth.join(predicted, on=[*g, "cls"], how="full_outer")
+    n_true = F.coalesce(F.col("n_true"), F.lit(0))
+    tp = F.coalesce(F.col("tp"), F.lit(0))
+    denom = n_true + F.coalesce(F.col("n_pred"), F.lit(0))
+    f1 = F.when(denom > 0, 2.0 * tp / denom).otherwise(F.lit(0.0))
+    out = classes.groupBy(*g).agg(
+        F.sum(n_true).alias("n"), F.sum(tp).alias("n_correct"), F.avg(f1).alias("macro_f1"),
+        F.count(F.lit(1)).alias("n_classes"), *([F.sum("loss_sum").alias("loss_sum")] if has_loss else []))
     cols = [*g, "n", (F.col("n_correct") / F.col("n")).alias("accuracy"), "macro_f1", "n_classes"]
-    if loss_col:
+    if has_loss:
         cols.append((F.col("loss_sum") / F.col("n")).alias("mean_loss"))
     return out.select(*cols)
