@@ -33,13 +33,33 @@ def duckdb_connection(sf_dir: str):
     return con
 
 
-def compare(spark_df, con, sql: str) -> tuple[bool, str]:
+SPARK_TO_DUCK = {
+    "IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+    "BooleanType": "BOOLEAN", "TimestampType": "TIMESTAMP WITH TIME ZONE", "TimestampNTZType": "TIMESTAMP",
+    "FloatType": "FLOAT", "ShortType": "SMALLINT", "ByteType": "TINYINT", "DateType": "DATE",
+}
+
+
+def spark_type_name(dt) -> str:
+    name = type(dt).__name__
+    if name == "ArrayType":
+        return spark_type_name(dt.elementType) + "[]"
+    return SPARK_TO_DUCK.get(name, name)
+
+
+def compare(spark_df, con, sql: str, check_types: bool = True) -> tuple[bool, str]:
     scols = spark_df.columns
+    stypes = {f.name: spark_type_name(f.dataType) for f in spark_df.schema.fields}
     srows = [tuple(r) for r in spark_df.collect()]
     rel = con.sql(sql)
     dcols, drows = rel.columns, rel.fetchall()
+    dtypes = dict(zip(dcols, [str(t) for t in rel.types]))
     if sorted(scols) != sorted(dcols):
         return False, f"columns {sorted(scols)} vs {sorted(dcols)}"
+    if check_types:
+        bad = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes[c]}
+        if bad:
+            return False, f"types differ {bad}"
     a, b = canonical(scols, srows), canonical(dcols, drows)
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]

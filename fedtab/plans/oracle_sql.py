@@ -206,7 +206,7 @@ select g.method, g.round, round(coalesce(avg(pl.bias), 0.0), 6) as bias, cast(co
 from g left join pl using (method, round) group by g.method, g.round"""
 ROUND_BIAS_SQL = ROUND_BIAS_BODY.replace("SOURCE", f"v_cells_rounds where {TRANSMIT}")
 CARRIED_SQL = ROUND_BIAS_BODY.replace("SOURCE", f"""(
-    select method, as_of as round, client_id, param, i, j, arg_max(v, round) as v
+    select method, cast(as_of as integer) as round, client_id, param, i, j, arg_max(v, round) as v
     from (select *, unnest(range(round, 6)) as as_of from v_cells_rounds where {TRANSMIT})
     group by method, as_of, client_id, param, i, j)""")
 
