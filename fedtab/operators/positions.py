@@ -4,7 +4,9 @@ Both helpers split each group into *buckets*, ranges of the ordering key that
 are bounded in size, and run the window per (group, bucket). A small table of
 per-bucket counts (or last values) gives every bucket what comes before it.
 The helpers are used wherever a group may be huge: one class holding a third
-of all rows (#15), one client (#16, fixtures), one log file (#3).
+of all rows (#15), one client (#16, fixtures), one log file (#3). Offsets are
+joined on (group, bucket), the key the window already partitioned the rows by,
+so the only extra data moved is the small offsets table.
 """
 
 from __future__ import annotations
@@ -30,13 +32,16 @@ def hex_bucket(col: str | Column, digits: int = 3) -> Column:
 
 
 def group_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                    bucket: Column, pos_col: str = "pos", broadcast_offsets: bool = True) -> DataFrame:
+                    bucket: Column, pos_col: str = "pos", broadcast_offsets: bool = False) -> DataFrame:
     """Add ``pos`` = 0-based rank of each row within its group by ``order_cols``.
 
     ``order_cols`` must be unique within a group and ``bucket`` must be monotone
     in them. The window runs per (group, bucket); the offsets table has one row
-    per (group, bucket), so it is broadcast only when the caller knows the
-    groups are few (classes, clients); otherwise it is joined by shuffle.
+    per (group, bucket). With many small groups that table is nearly as large as
+    the data, so by default it is joined on (group, bucket): the rows are already
+    hash-partitioned on that key by the window, so only the offsets move.
+    ``broadcast_offsets`` is for callers whose groups are a bounded domain
+    (classes, a label set): then the table is groups x buckets rows.
     """
     group_cols = list(group_cols)
     b = df.withColumn("_bkt", bucket)
@@ -87,8 +92,10 @@ def carry_forward(df: DataFrame, partition_cols: Sequence[str], order_col: str,
         *[F.last(f"_s_{n}", ignorenulls=True).over(w_prev).alias(f"_in_{n}") for n in values],
         *[F.coalesce(F.sum(f"_sc_{n}").over(w_prev), F.lit(0)).alias(f"_inc_{n}") for n in counters],
     )
-    # one summary row per (partition, bucket): bounded by rows / width
-    out = b.join(F.broadcast(carry), on=[*partition_cols, "_bkt"], how="inner")
+    # one summary row per (partition, bucket). Many small logs make this table large,
+    # so it is joined on (partition, bucket), the key the local window already
+    # partitioned the rows by; AQE turns it into a broadcast when it is small.
+    out = b.join(carry, on=[*partition_cols, "_bkt"], how="inner")
     for n in values:
         out = out.withColumn(n, F.coalesce(F.col(f"_l_{n}"), F.col(f"_in_{n}")))
     for n in counters:

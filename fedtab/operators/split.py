@@ -82,7 +82,9 @@ def proportional_split(examples: DataFrame, proportions: DataFrame, weight_col:
     table, so it is broadcast; the rows are never shuffled for the range join.
     """
     ex = examples.select(F.col(id_col).alias("example_id"), F.col(label_col).alias("label"))
-    pos = group_positions(ex, ["label"], ["example_id"], bucket=int_bucket("example_id"), pos_col="rn")
+    # groups = classes, a bounded label domain: offsets are classes x buckets rows
+    pos = group_positions(ex, ["label"], ["example_id"], bucket=int_bucket("example_id"), pos_col="rn",
+                          broadcast_offsets=True)
     n_per_class = ex.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     bnd = cumulative_boundaries(proportions, weight_col).join(n_per_class, "label")
     integral = isinstance(proportions.schema[weight_col].dataType,

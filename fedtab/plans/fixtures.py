@@ -65,7 +65,9 @@ def v_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 def v_vec(spark: SparkSession, sf: str) -> DataFrame:
     emb = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    ranked = group_positions(emb, ["label"], ["vec_id"], bucket=int_bucket("vec_id"), pos_col="rn")
+    # groups = the label set (clients): a bounded domain, so the offsets are broadcast
+    ranked = group_positions(emb, ["label"], ["vec_id"], bucket=int_bucket("vec_id"), pos_col="rn",
+                             broadcast_offsets=True)
     return ranked.select(
         F.col("label").alias("client_id"), client_rank("label").alias("rank"), "rn",
         F.posexplode("embedding").alias("pos", "x"),

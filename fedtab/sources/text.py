@@ -53,19 +53,21 @@ def tokenize_pad(examples: DataFrame, vocab: DataFrame, max_len: int = MAX_SEQ_L
     ``attention_mask``, ``labels``; ``text`` is dropped. Out-of-vocabulary -> UNK_ID.
 
     The vocabulary has at most ``vocab_size`` rows (a parameter), so it is broadcast.
-    Positions past ``max_len`` are cut before the join.
+    Positions past ``max_len`` are cut before the join; one regex pass per document,
+    one shuffle (by document, at most ``max_len`` small rows each).
     """
     base = examples.select(F.col(id_col).alias("example_id"), F.col(label_col).alias("labels"),
                            words(text_col).alias("_toks"))
-    base = base.withColumn("n_words", F.size("_toks").cast("long"))
-    exploded = (base.select("example_id", F.posexplode(F.slice("_toks", 1, max_len)).alias("pos", "tok"))
-                .withColumn("tok", F.lower("tok")))
-    ided = exploded.join(F.broadcast(vocab), "tok", "left").select(
-        "example_id", "pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id"))
-    seqs = ided.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
-    seqs = seqs.select("example_id", F.transform("_s", lambda s: s["id"]).alias("_ids"))
-    out = base.drop("_toks").join(seqs, "example_id", "left")
-    ids = F.coalesce(F.col("_ids"), F.array().cast("array<int>"))
+    # one row per kept token; posexplode_outer keeps token-less documents as one null row
+    exploded = base.select("example_id", "labels", F.size("_toks").cast("long").alias("n_words"),
+                           F.posexplode_outer(F.slice("_toks", 1, max_len)).alias("pos", "tok"))
+    exploded = exploded.withColumn("tok", F.lower("tok"))
+    ided = exploded.join(F.broadcast(vocab), "tok", "left").withColumn(
+        "id", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID))))
+    seqs = ided.groupBy("example_id", "labels", "n_words").agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("_s"))
+    out = seqs.select("example_id", "labels", "n_words", F.transform("_s", lambda s: s["id"]).alias("_ids"))
+    ids = F.col("_ids")
     n = F.size(ids)
     pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - n)
     return out.select(
