@@ -242,7 +242,7 @@ def client_rows(features: DataFrame, cap: int, seed: int = 42) -> DataFrame:
 
 
 def local_fit_summary(spark: SparkSession, sf: str, method: str = "standard_lora", round_: int = 1,
-                      cap: int = 100, mu: float = 0.01) -> DataFrame:
+                      cap: int = 300, mu: float = 0.01) -> DataFrame:
     """Query form of #46: every client of ``v_features`` trains once from the round-0 state."""
     from fedtab.plans import fixtures as fx
     feats = fx.v_features(spark, sf)
