@@ -103,18 +103,25 @@ def measured_layers(cells: DataFrame, group_cols: Sequence[str] = ()) -> DataFra
 
 
 def aggregation_bias_layers(cells: DataFrame, weights: DataFrame, group_cols: Sequence[str] = (),
-                            max_layers: int = 4, weighted: bool = False,
+                            max_layers: int | None = 4, weighted: bool = False,
                             client_col: str = "client_id") -> DataFrame:
     """#27 per layer: ||ideal - B_avg @ A_avg||_F / (||ideal||_F + 1e-8).
 
     ideal = mean_k B_k @ A_k (``weighted``: sum_k w_k B_k @ A_k, the paper's form).
-    Only the sampled layers are joined (semi-join before any product).
+    Only the sampled layers are joined (semi-join before any product);
+    ``max_layers=None`` measures every layer that has both factors.
     """
     g = list(group_cols)
-    sampled = even_layer_sample(measured_layers(cells, g), max_layers, g)
-    # at most max_layers rows per group: broadcast
+    if max_layers is None:
+        # every measured layer (the reference's non-sampled mode): semi-join by shuffle
+        chosen = measured_layers(cells, g)
+        keep = chosen.select(*g, "layer")
+    else:
+        # at most max_layers rows per group: broadcast
+        chosen = even_layer_sample(measured_layers(cells, g), max_layers, g)
+        keep = F.broadcast(chosen.select(*g, "layer"))
     cs = (cells.withColumn("layer", layer_key("param"))
-          .join(F.broadcast(sampled.select(*g, "layer")), on=[*g, "layer"], how="left_semi")
+          .join(keep, on=[*g, "layer"], how="left_semi")
           .drop("layer"))
     ideal = mean_product(cs, weights, g, weighted, client_col).withColumnRenamed("w", "ideal")
     avg = weighted_padded_average(cs, weights, g, client_col)
@@ -128,7 +135,7 @@ def aggregation_bias_layers(cells: DataFrame, weights: DataFrame, group_cols: Se
 
 
 def aggregation_bias(cells: DataFrame, weights: DataFrame, groups: DataFrame, group_cols: Sequence[str],
-                     max_layers: int = 4, weighted: bool = False, client_col: str = "client_id") -> DataFrame:
+                     max_layers: int | None = 4, weighted: bool = False, client_col: str = "client_id") -> DataFrame:
     """#27 per group: mean bias over measured layers; 0.0 when no layer has both
     factors (trap T2), with ``n_layers_measured`` saying so. ``groups`` is the spine."""
     g = list(group_cols)

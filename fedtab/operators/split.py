@@ -78,8 +78,13 @@ def proportional_split(examples: DataFrame, proportions: DataFrame, weight_col:
     Client c of class y gets positions [floor(lo*n/total), floor(hi*n/total));
     the last client's hi equals total, so every row is assigned exactly once.
     Positions are exact and distributed (``group_positions``): no class is sorted
-    in a single task. The boundary table is classes x clients, a parameter-sized
-    table, so it is broadcast; the rows are never shuffled for the range join.
+    in a single task.
+
+    The range join is bucketed: positions of class y fall in buckets of width
+    ceil(n_y / K) and each client block is listed once per bucket it overlaps
+    (about 2K rows per class), so a row checks about two candidate blocks instead
+    of all K. That table is classes x clients sized (parameters, not data) and
+    is broadcast; the rows are never shuffled for the join.
     """
     ex = examples.select(F.col(id_col).alias("example_id"), F.col(label_col).alias("label"))
     # groups = classes, a bounded label domain: offsets are classes x buckets rows
@@ -95,11 +100,19 @@ def proportional_split(examples: DataFrame, proportions: DataFrame, weight_col:
     else:
         lo = F.floor(F.col("lo") * F.col("n") / F.col("total"))
         hi = F.floor(F.col("hi") * F.col("n") / F.col("total"))
-    last = F.col("client_id") == F.max("client_id").over(Window.partitionBy("label"))
+    per_class = Window.partitionBy("label")
+    last = F.col("client_id") == F.max("client_id").over(per_class)
+    width = F.greatest(F.lit(1), F.ceil(F.col("n") / F.count(F.lit(1)).over(per_class))).cast("long")
     bnd = bnd.select("label", "client_id", lo.cast("long").alias("lo_pos"),
-                     F.when(last, F.col("n")).otherwise(hi).cast("long").alias("hi_pos"))
-    j = pos.join(F.broadcast(bnd), (pos.label == bnd.label) & (pos.rn >= bnd.lo_pos) & (pos.rn < bnd.hi_pos))
-    return j.select(pos.example_id, pos.label, bnd.client_id)
+                     F.when(last, F.col("n")).otherwise(hi).cast("long").alias("hi_pos"), width.alias("width"))
+    # empty blocks own no rows; every other block is listed under each bucket it spans
+    spans = (bnd.filter(F.col("hi_pos") > F.col("lo_pos"))
+             .withColumn("bkt", F.explode(F.sequence(F.expr("lo_pos div width"), F.expr("(hi_pos - 1) div width")))))
+    widths = bnd.select("label", "width").distinct()
+    rows = pos.join(F.broadcast(widths), "label").withColumn("bkt", F.expr("rn div width"))
+    j = rows.join(F.broadcast(spans.select("label", "bkt", "client_id", "lo_pos", "hi_pos")),
+                  on=["label", "bkt"], how="inner").filter((F.col("rn") >= F.col("lo_pos")) & (F.col("rn") < F.col("hi_pos")))
+    return j.select("example_id", "label", "client_id")
 
 
 def shuffle_within_group(df: DataFrame, group_col: str, id_col: str, seed: int = 42) -> DataFrame:

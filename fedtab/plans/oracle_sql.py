@@ -133,6 +133,9 @@ select layer from (
 where n <= 4 or pos = 0 or pos = floor(1 * (n - 1) / 3) or pos = floor(2 * (n - 1) / 3) or pos = n - 1""",
     "v_cs": """
 select * from v_cells_c where layer in (select layer from v_sampled_layers)""",
+    "v_cs_all": """
+select * from v_cells_c where layer in (
+  select layer from v_cells_c where comp in ('lora_A', 'lora_B') group by layer having count(distinct comp) = 2)""",
     "v_rolora_r1": f"""
 select client_id, param, i, j, v from v_cells_rounds where method = 'rolora' and round = 1 and {TRANSMIT}""",
     "v_standard_r1": f"""
@@ -146,15 +149,15 @@ where pick <= 3 and not (substr({md5_key('round', 'client_id', seed=43)}, 1, 8)
 }
 
 
-def _bias_sql(coef: str) -> str:
+def _bias_sql(coef: str, cells: str = "v_cs") -> str:
     return f"""
 with ideal as (
   select b.layer, b.i, a.j, sum(b.v * a.v * w.{coef}) as ideal
-  from v_cs b join v_cs a on b.client_id = a.client_id and b.layer = a.layer and b.j = a.i
+  from {cells} b join {cells} a on b.client_id = a.client_id and b.layer = a.layer and b.j = a.i
   join v_weights w on w.client_id = b.client_id
   where b.comp = 'lora_B' and a.comp = 'lora_A' group by b.layer, b.i, a.j),
 avgc as (
-  select layer, comp, i, j, sum(w.weight * v) as v from v_cs join v_weights w using (client_id)
+  select layer, comp, i, j, sum(w.weight * v) as v from {cells} join v_weights w using (client_id)
   group by layer, comp, i, j),
 fed as (
   select b.layer, b.i, a.j, sum(b.v * a.v) as fed
@@ -360,6 +363,7 @@ join v_weights w on w.client_id = b.client_id
 where b.comp = 'lora_B' and a.comp = 'lora_A' group by b.layer, b.i, a.j""",
     "aggregation_bias": _bias_sql("inv_k"),
     "aggregation_bias_weighted": _bias_sql("weight"),
+    "aggregation_bias_all_layers": _bias_sql("inv_k", "v_cs_all"),
     "round_bias": ROUND_BIAS_SQL,
     "round_bias_carry_frozen": CARRIED_SQL,
     "even_layer_sample": """

@@ -232,11 +232,16 @@ def q_mean_product(spark, sf):
     return linalg.mean_product(_cells(spark, sf), _weights(spark, sf)).select("layer", "i", "j", _r("w"))
 
 
-def q_aggregation_bias(spark, sf, weighted: bool = False):
-    b = linalg.aggregation_bias_layers(_cells(spark, sf), _weights(spark, sf), weighted=weighted)
+def q_aggregation_bias(spark, sf, weighted: bool = False, max_layers: int | None = 4):
+    b = linalg.aggregation_bias_layers(_cells(spark, sf), _weights(spark, sf), weighted=weighted,
+                                       max_layers=max_layers)
     return b.select("layer", _r("bias"))
 
 
+def q_aggregation_bias_all_layers(spark, sf):
+    return q_aggregation_bias(spark, sf, max_layers=None)
+
+
 def q_aggregation_bias_weighted(spark, sf):
     return q_aggregation_bias(spark, sf, weighted=True)
 
@@ -429,6 +434,7 @@ QUERIES: dict[str, Query] = {
     "mean_product": q_mean_product,
     "aggregation_bias": q_aggregation_bias,
     "aggregation_bias_weighted": q_aggregation_bias_weighted,
+    "aggregation_bias_all_layers": q_aggregation_bias_all_layers,
     "round_bias": q_round_bias,
     "round_bias_carry_frozen": q_round_bias_carry_frozen,
     "even_layer_sample": q_even_layer_sample,

@@ -99,8 +99,8 @@ def test_param_rules(spark):
     df = spark.createDataFrame([(n,) for n in names], "param string")
     comps = [r[0] for r in df.select(component("param")).collect()]
     assert comps == ["lora_A", "lora_B", "head", "lora_A", "head", "other"]
-    grid = df.crossJoin(spark.createDataFrame([("standard_lora",), ("ffa_lora",), ("rolora",)], "method string")) \
-        .crossJoin(spark.createDataFrame([(1,), (2,)], "round int"))
+    grid = (df.withColumn("method", F.explode(F.array(*[F.lit(m) for m in ("standard_lora", "ffa_lora", "rolora")])))
+            .withColumn("round", F.explode(F.array(F.lit(1), F.lit(2)))))
     sent = {(r["param"], r["method"], r["round"]) for r in
             grid.filter(transmits("param", "method", "round")).collect()}
     assert (A, "rolora", 2) in sent and (A, "rolora", 1) not in sent
@@ -227,3 +227,27 @@ def test_local_fit_single_row_client(spark):
     assert {r["n_steps"] for r in out} == {1}
     dropped = fit.local_fit(rows, model, "standard_lora", 1, 4, 8, {3: 4}, 0.01, drop_tail=True).collect()
     assert {r["n_steps"] for r in dropped} == {0}
+
+
+def test_split_many_clients_matches_brute_force(spark):
+    """Bucketed range join with K = 200 skewed blocks (many empty) vs a direct computation."""
+    import numpy as np
+    ex = spark.range(0, 20000).select((F.col("id") * 7919 % 100003).alias("example_id"),
+                                      (F.col("id") % 3).cast("int").alias("label"))
+    props = split.dirichlet_proportions(ex, "label", 200, alpha=0.1, seed=3)
+    got = {r["example_id"]: r["client_id"] for r in split.proportional_split(ex, props).collect()}
+    pdf, pp = ex.toPandas(), props.toPandas()
+    want = {}
+    for lab, grp in pdf.groupby("label"):
+        ids = np.sort(grp["example_id"].to_numpy())
+        p = pp[pp["label"] == lab].sort_values("client_id")
+        cum = np.cumsum(p["p"].to_numpy())
+        total = cum[-1]
+        cut = np.floor(cum * len(ids) / total).astype(int)
+        cut[-1] = len(ids)
+        start = 0
+        for c, end in zip(p["client_id"].to_numpy(), cut):
+            for e in ids[start:end]:
+                want[int(e)] = int(c)
+            start = max(start, end)
+    assert got == want
