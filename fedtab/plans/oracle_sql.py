@@ -487,6 +487,7 @@ select rc.client_id, cast(rc.class as integer) as class, cast(rc.j as integer) a
 from rc join n on n.client_id = rc.client_id
 group by rc.client_id, rc.class, rc.j""",
     "stream_log_rounds": _stream_log_sql(),
+    "stream_log_with_context": _parse_log_sql(),
     "stream_round_average": """
 select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d %H:%M:%S') as round_start, count(*) as n,
        cast(sum(w) as bigint) as sum_w, round(sum(w * v), 6) as sum_wv, round(sum(w * v) / sum(w), 6) as avg_v

@@ -398,6 +398,11 @@ def q_stream_log_rounds(spark, sf):
     return out.select("run_id", "line_no", "round", "acc", "f1", "loss", "comm_mb", "bias")
 
 
+def q_stream_log_with_context(spark, sf):
+    from fedtab.streaming.log_context_stream import stream_log_with_context
+    return stream_log_with_context(spark, fx.v_run_log(spark, sf))
+
+
 def q_stream_round_average(spark, sf):
     from fedtab.streaming.round_stream import stream_round_average
     out = stream_round_average(spark, fx.v_uploads(spark, sf))
@@ -457,5 +462,6 @@ QUERIES: dict[str, Query] = {
     "local_fit": q_local_fit,
     "federated_round": q_federated_round,
     "stream_log_rounds": q_stream_log_rounds,
+    "stream_log_with_context": q_stream_log_with_context,
     "stream_round_average": q_stream_round_average,
 }
