@@ -67,7 +67,9 @@ def state_overlay(local: DataFrame, global_: DataFrame, group_cols: Sequence[str
 
 def key_presence_filter(cells: DataFrame, other: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """#20: keep parameters whose name exists on the other side (left-semi join)."""
-    keys = other.select(*group_cols, "param").distinct()
+    # distinct parameter names (model-sized): broadcast after the size check, so a
+    # parameter holding a third of all cells is never one shuffle partition
+    keys = broadcast_if_small(other.select(*group_cols, "param").distinct())
     return cells.join(keys, on=[*group_cols, "param"], how="left_semi")
 
 

@@ -82,6 +82,7 @@ def run_rounds(spark: SparkSession, sf: str, method: str = "standard_lora", roun
                        F.col("mean_loss").alias("loss"), "train_loss",
                        (F.col("upload_mb") + F.col("download_mb") * F.col("n_clients")).alias("round_mb"),
                        "bias", "n_layers_measured"))
-        row.write.mode("append").parquet(f"{base}/metrics")
+        # one folder per round, overwritten: re-running a round after a failure is idempotent
+        row.drop("round").write.mode("overwrite").parquet(f"{base}/metrics/round={r}")
     out = spark.read.parquet(f"{base}/metrics")
     return cost.cumulative_communication(out, ["method"], "round_mb")
