@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A per-client table (weights, coefficients) is broadcast up to this many rows.
+from fedtab.session import materialize
+
+# A per-client or per-parameter table is broadcast up to this many rows.
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged
-    (the planner then shuffles both sides and AQE splits skewed partitions).
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, name: str = "join_side") -> DataFrame:
+    """``broadcast`` of ``df`` when it has at most ``max_rows`` rows, else the table
+    as it is (the planner then shuffles both sides and AQE splits skewed partitions).
 
-    The check counts at most ``max_rows + 1`` rows of an already small, aggregated
-    table (one row per client and round), so it never scans more than the bound.
+    ``df`` is derived (weights, key sets, cohorts), so it is written once to the
+    shared folder first: the check counts the written copy (parquet metadata), the
+    join reads the same copy, and the derivation never runs twice.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    side = materialize(df, name)
+    n = side.count()
+    return F.broadcast(side) if n <= max_rows else side
