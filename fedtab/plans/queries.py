@@ -260,16 +260,21 @@ def q_round_bias(spark, sf):
 
 
 def q_round_bias_carry_frozen(spark, sf):
-    """#27 with carry_frozen: frozen factors come from the client's latest state that had them."""
-    sent = fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round"))
-    cells = materialize(state.carry_frozen_state(sent, ["method"], fx.ROUNDS), "carried_cells")
+    """#27 with carry_frozen: frozen factors come from the client's latest state that had them.
+    Layers are chosen from parameter names first; only their cells are carried."""
+    sent = materialize(fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round")), "sent_cells")
+    g = ["method", "round"]
+    names = state.carry_frozen_names(sent.select("method", "round", "client_id", "param").distinct(),
+                                     ["method"], fx.ROUNDS)
+    sampled = linalg.even_layer_sample(linalg.measured_layers(names, g), 4, g)
+    cells = materialize(state.carry_frozen_state(sent, ["method"], fx.ROUNDS, targets=sampled), "carried_cells")
     meta = fx.v_client_meta(spark, sf)
-    rounds = cells.select("method", "round").distinct()
+    rounds = names.select(*g).distinct()
     weights = state.group_weight(
         meta.withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
             .withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(fx.ROUNDS)))),
-        partition_cols=["method", "round"])
-    out = linalg.aggregation_bias(cells, weights, rounds, ["method", "round"])
+        partition_cols=g)
+    out = linalg.aggregation_bias(cells, weights, rounds, g)
     return out.select("method", "round", _r("bias"), "n_layers_measured")
 
 
