@@ -1,0 +1,90 @@
+"""The reference's experiment program as Spark jobs: for each alpha, a Dirichlet
+label-skewed split of the training rows over clients (#14, #15) and its profile
+(#22, written as CSV, #4); for each method, the federated round job (#47)
+evaluated on the held-out rows; then the run summary (#31, CSV) and a run log in
+the reference's line format, which ``parse_run_log`` (#3) reads back.
+
+Loops run over the configuration (alphas x methods x rounds), never over data.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fedtab.functions.params import METHODS
+from fedtab.operators import report, split
+from fedtab.plans.fixtures import LABEL_NAMES
+from fedtab.plans.round_job import run_rounds_on
+from fedtab.session import materialize, shared_dir, table
+from fedtab.sources import results_io
+from fedtab.sources.text import scan_examples
+
+# Fixed values of the reference configuration.
+ALPHA_VALUES = (10.0, 0.5, 0.1)
+NUM_CLIENTS = 5
+GLOBAL_ROUNDS = 5
+SEED = 42
+
+
+def experiment_examples(spark: SparkSession, sf: str, seed: int = SEED) -> DataFrame:
+    """Labelled feature rows from ``embeddings`` with a hash train/test split."""
+    emb = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("example_id"), (F.col("label") % 4).cast("int").alias("label"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    return scan_examples(emb, test_fraction=0.2, seed=seed)
+
+
+def log_lines(metrics: DataFrame, alphas, methods) -> DataFrame:
+    """(run_id, line_no, line) in the reference's printed format, ordered alpha > method > round."""
+    a_idx = F.array_position(F.array(*[F.lit(float(a)) for a in alphas]), F.col("alpha"))
+    m_idx = F.array_position(F.array(*[F.lit(m) for m in methods]), F.col("method"))
+    rnd = metrics.select(
+        a_idx.alias("ai"), m_idx.alias("mi"), F.col("round").alias("ri"),
+        F.format_string("Round %d - Acc: %.4f, F1: %.4f, Loss: %.4f, Comm: %.2fMB, Bias: %.6f",
+                        "round", "acc", "f1", "loss", "round_mb", "bias").alias("line"))
+    runs = metrics.select("alpha", "method").distinct()
+    meth = runs.select(a_idx.alias("ai"), m_idx.alias("mi"), F.lit(0).alias("ri"),
+                       F.concat(F.lit("--- Method: "), F.col("method"), F.lit(" ---")).alias("line"))
+    alph = runs.select("alpha").distinct().select(
+        a_idx.alias("ai"), F.lit(0).alias("mi"), F.lit(0).alias("ri"),
+        F.concat(F.lit("Starting Alpha: "), F.col("alpha").cast("string")).alias("line"))
+    lines = alph.unionByName(meth).unionByName(rnd)
+    no = (F.col("ai") * 1_000_000 + F.col("mi") * 1_000 + F.col("ri")).cast("long")
+    return lines.select(F.lit(0).alias("run_id"), no.alias("line_no"), "line")
+
+
+def run_experiment(spark: SparkSession, sf: str, alphas=ALPHA_VALUES, methods=METHODS,
+                   rounds: int = GLOBAL_ROUNDS, num_clients: int = NUM_CLIENTS, seed: int = SEED,
+                   out: str | None = None) -> dict[str, DataFrame]:
+    base = out or shared_dir(spark, "experiment")
+    ex = materialize(experiment_examples(spark, sf, seed), "experiment_examples")
+    train = ex.filter(F.col("split") == "train")
+    test = ex.filter(F.col("split") == "test").select("example_id", F.col("label").alias("y"), "x")
+    runs = []
+    for alpha in alphas:
+        props = split.dirichlet_proportions(train, "label", num_clients, alpha, seed)
+        assignment = materialize(split.proportional_split(train.select("example_id", "label"), props),
+                                 f"assignment-{alpha}")
+        dist = split.label_distribution(assignment, props.select("client_id"), [0, 1, 2, 3], LABEL_NAMES)
+        results_io.write_results_csv(dist.select(F.col("client_id").alias("_idx"), *LABEL_NAMES),
+                                     f"{base}/label_dist/alpha={alpha}")
+        feats = materialize(train.join(assignment.select("example_id", "client_id"), "example_id")
+                            .select("client_id", "example_id", F.col("label").alias("y"), "x"), f"features-{alpha}")
+        for method in methods:
+            m = run_rounds_on(spark, feats, method, rounds, seed, f"{base}/runs/{alpha}/{method}", eval_rows=test)
+            runs.append(m.withColumn("alpha", F.lit(float(alpha))))
+    metrics = reduce(DataFrame.unionByName, runs)
+    metrics.write.mode("overwrite").parquet(f"{base}/round_metrics")
+    metrics = spark.read.parquet(f"{base}/round_metrics")
+    final = report.run_summary(metrics.withColumnRenamed("round_mb", "comm_mb"))
+    results_io.write_results_csv(final, f"{base}/final_results")
+    lines = log_lines(metrics, alphas, methods)
+    lines.write.mode("overwrite").parquet(f"{base}/log_lines")
+    # the human-readable log: bounded by alphas x methods x rounds lines
+    lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(f"{base}/log")
+    return {"round_metrics": metrics, "final_results": spark.read.option("header", True)
+            .option("inferSchema", True).csv(f"{base}/final_results"),
+            "log_lines": spark.read.parquet(f"{base}/log_lines"), "base": base}

@@ -36,9 +36,19 @@ def round_participants(clients: DataFrame, rnd: int, k: int, p_drop: float, seed
 
 def run_rounds(spark: SparkSession, sf: str, method: str = "standard_lora", rounds: int = 2,
                seed: int = 42) -> DataFrame:
+    """Query form: the clients of ``v_features``, evaluated on all of its rows."""
     from fedtab.plans import fixtures as fx
-    base = shared_dir(spark, f"rounds-{method}")
     feats = fx.v_features(spark, sf)
+    return run_rounds_on(spark, feats, method, rounds, seed, shared_dir(spark, f"rounds-{method}"))
+
+
+def run_rounds_on(spark: SparkSession, feats: DataFrame, method: str, rounds: int, seed: int, base: str,
+                  eval_rows: DataFrame | None = None) -> DataFrame:
+    """Rounds of one (split, method) run. ``feats`` = (client_id, example_id, y, x);
+    ``eval_rows`` = (example_id, y, x), the held-out set (default: ``feats``).
+    Returns (method, round, n_clients, acc, f1, loss, train_loss, round_mb, bias,
+    n_layers_measured, cumulative_mb), read back from the shared folder."""
+    eval_rows = feats if eval_rows is None else eval_rows
     rows = fit.client_rows(feats, MAX_TRAIN_SAMPLES_PER_CLIENT, seed)
     global_cells = fit.init_global_state(spark, max(CLIENT_RANKS.values()), DIM, NUM_CLASSES, seed)
     global_cells.write.mode("overwrite").parquet(f"{base}/global/round=0")
@@ -69,7 +79,7 @@ def run_rounds(spark: SparkSession, sf: str, method: str = "standard_lora", roun
         down = avg.agg((F.count(F.lit(1)) * 4 / F.lit(float(MB))).alias("download_mb"))
         n_cli = meta.agg(F.count(F.lit(1)).alias("n_clients"), F.avg("n_samples").alias("mean_rows"))
         loss = cells.groupBy("client_id").agg(F.first("loss").alias("l")).agg(F.avg("l").alias("train_loss"))
-        scored = evaluate.score_argmax_loss(fit.score_rows(feats, model))
+        scored = evaluate.score_argmax_loss(fit.score_rows(eval_rows, model))
         metrics = evaluate.classification_metrics(scored)
         row = (metrics.withColumn("round", F.lit(r))
                .join(bias, "round")
