@@ -30,21 +30,25 @@ def windowed_uploads(uploads: DataFrame) -> DataFrame:
                  F.sum(F.col("w") * F.col("v")).alias("sum_wv")))
 
 
-def land_in_arrival_order(uploads: DataFrame, path: str, slice_seconds: int = 5 * 86400) -> None:
-    """Test harness: land the uploads as files in arrival order, one commit per
-    arrival slice, as a live source would. Only the slice ids reach the driver."""
+def arrival_slices(uploads: DataFrame, slice_seconds: int = 5 * 86400) -> tuple[DataFrame, list[int]]:
+    """Uploads keyed by arrival slice, and the sorted slice ids (only ids reach the driver)."""
     sl = F.floor(F.unix_timestamp("arrival_ts") / F.lit(slice_seconds)).cast("long")
     keyed = uploads.withColumn("_slice", sl)
-    ids = sorted(r[0] for r in keyed.select("_slice").distinct().collect())
-    for k in ids:
+    return keyed, sorted(r[0] for r in keyed.select("_slice").distinct().collect())
+
+
+def land_in_arrival_order(uploads: DataFrame, path: str, slice_ids: list[int] | None = None) -> None:
+    """Test harness: land the uploads as files in arrival order, one commit per
+    arrival slice, as a live source would."""
+    keyed, ids = arrival_slices(uploads)
+    for k in (ids if slice_ids is None else slice_ids):
         keyed.filter(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(path)
 
 
-def stream_round_average(spark: SparkSession, uploads: DataFrame, files_per_trigger: int = 1) -> DataFrame:
-    base = shared_dir(spark, "round_stream")
-    src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    land_in_arrival_order(uploads, src)
-    schema = spark.read.parquet(src).schema
+def run_round_average(spark: SparkSession, src: str, sink: str, ckpt: str, schema, files_per_trigger: int = 1) -> None:
+    """Process every file now in ``src`` (``availableNow``), resuming from ``ckpt``.
+    Each micro-batch's updated windows go to ``sink/batch_id=N`` (overwrite: a
+    replayed batch after a failure rewrites the same folder)."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
@@ -54,8 +58,20 @@ def stream_round_average(spark: SparkSession, uploads: DataFrame, files_per_trig
     q = (windowed_uploads(stream).writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def read_round_average(spark: SparkSession, sink: str) -> DataFrame:
+    """Latest row per window across all micro-batches."""
     out = spark.read.parquet(sink)
     latest = Window.partitionBy("win_start").orderBy(F.col("batch_id").desc())
     final = out.withColumn("_k", F.row_number().over(latest)).filter(F.col("_k") == 1)
     return final.select(F.date_format("win_start", "yyyy-MM-dd HH:mm:ss").alias("round_start"), "n", "sum_w",
                         "sum_wv", (F.col("sum_wv") / F.col("sum_w")).alias("avg_v"))
+
+
+def stream_round_average(spark: SparkSession, uploads: DataFrame, files_per_trigger: int = 1) -> DataFrame:
+    base = shared_dir(spark, "round_stream")
+    src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
+    land_in_arrival_order(uploads, src)
+    run_round_average(spark, src, sink, ckpt, spark.read.parquet(src).schema, files_per_trigger)
+    return read_round_average(spark, sink)
