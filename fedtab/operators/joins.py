@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fedtab.session import materialize
-
 # A per-client or per-parameter table is broadcast up to this many rows.
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, name: str = "join_side") -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast`` of ``df`` when it has at most ``max_rows`` rows, else the table
     as it is (the planner then shuffles both sides and AQE splits skewed partitions).
 
-    ``df`` is derived (weights, key sets, cohorts), so it is written once to the
-    shared folder first: the check counts the written copy (parquet metadata), the
-    join reads the same copy, and the derivation never runs twice.
+    ``df`` is derived (weights, key sets, cohorts), so it is persisted before the
+    count: the check and the broadcast read the same rows and the derivation runs
+    once. A lost block is recomputed from lineage (every derivation here is
+    deterministic). When the table is too large to broadcast it is released again.
     """
-    side = materialize(df, name)
+    side = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = side.count()
-    return F.broadcast(side) if n <= max_rows else side
+    if n <= max_rows:
+        return F.broadcast(side)
+    side.unpersist()
+    return df
