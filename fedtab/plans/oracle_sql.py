@@ -214,16 +214,31 @@ CARRIED_SQL = ROUND_BIAS_BODY.replace("SOURCE", f"""(
     group by method, as_of, client_id, param, i, j)""")
 
 
-def _parse_log_sql() -> str:
+def _parse_log_sql(last_block_only: bool = False) -> str:
     pat = ROUND_PAT
     fields = ", ".join(
         [f"cast(regexp_extract(line, '{pat}', 1) as integer) as round"]
         + [f"cast(regexp_extract(line, '{pat}', {k}) as double) as {n}"
            for k, n in enumerate(["acc", "f1", "loss", "comm_mb", "bias"], start=2)])
+    blocks = ""
+    keep = ""
+    if last_block_only:
+        blocks = """,
+la as (select run_id, alpha_txt, max(alpha_block) as last_alpha from ctx
+       where contains(line, 'Starting Alpha: ') group by run_id, alpha_txt),
+lm as (select run_id, alpha_block, method_ctx, max(method_block) as last_method from ctx
+       where contains(line, '--- Method: ') and not contains(line, 'Starting Alpha: ')
+       group by run_id, alpha_block, method_ctx)"""
+        keep = """
+  and alpha_block = (select last_alpha from la where la.run_id = ctx.run_id and la.alpha_txt = ctx.alpha_txt)
+  and method_block = (select last_method from lm where lm.run_id = ctx.run_id and lm.alpha_block = ctx.alpha_block
+                      and lm.method_ctx = ctx.method_ctx)"""
     return f"""
 with ctx as (
   select run_id, line_no, line,
     sum(case when contains(line, 'Starting Alpha: ') then 1 else 0 end) over w as alpha_block,
+    sum(case when contains(line, '--- Method: ') and not contains(line, 'Starting Alpha: ') then 1 else 0 end)
+      over w as method_block,
     last_value(case when contains(line, 'Starting Alpha: ')
                     then trim(regexp_extract(line, 'Starting Alpha: (.*)', 1)) end ignore nulls) over w as alpha_txt,
     last_value(case when contains(line, 'Starting Alpha: ') then ''
@@ -231,12 +246,12 @@ with ctx as (
                     then trim(regexp_replace(trim(regexp_extract(line, '--- Method: (.*)', 1)), '---$', '')) end
                ignore nulls) over w as method_ctx
   from v_run_log
-  window w as (partition by run_id order by line_no rows between unbounded preceding and current row))
+  window w as (partition by run_id order by line_no rows between unbounded preceding and current row)){blocks}
 select run_id, cast(alpha_block as bigint) as alpha_block, cast(alpha_txt as double) as alpha,
        method_ctx as method, line_no, {fields}
 from ctx
 where starts_with(line, 'Round ') and regexp_matches(line, '{pat}') and alpha_block > 0
-  and method_ctx is not null and method_ctx <> ''"""
+  and method_ctx is not null and method_ctx <> ''{keep}"""
 
 
 def _stream_log_sql() -> str:
@@ -274,6 +289,7 @@ select example_id, label,
 from v_examples""",
     "csv_roundtrip": "select * from v_label_dist",
     "parse_run_log": _parse_log_sql(),
+    "parse_run_log_last_block": _parse_log_sql(last_block_only=True),
     "run_log_unmatched": """
 select run_id, count(*) as n_unmatched from v_run_log
 where starts_with(line, 'Round ') and not regexp_matches(line, '{pat}') group by run_id""".replace("{pat}", ROUND_PAT),

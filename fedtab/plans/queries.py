@@ -63,6 +63,11 @@ def q_parse_run_log(spark, sf):
     return runlog.parse_run_log(fx.v_run_log(spark, sf))
 
 
+def q_parse_run_log_last_block(spark, sf):
+    """#3 with the reference's overwrite semantics (trap T20, ``last_block_only``)."""
+    return runlog.parse_run_log(fx.v_run_log(spark, sf), last_block_only=True)
+
+
 def q_run_log_unmatched(spark, sf):
     """Trap T16: round lines the record pattern rejects (nan values), per log."""
     return runlog.unmatched_round_lines(fx.v_run_log(spark, sf))
@@ -418,6 +423,7 @@ QUERIES: dict[str, Query] = {
     "scan_examples": q_scan_examples,
     "csv_roundtrip": q_csv_roundtrip,
     "parse_run_log": q_parse_run_log,
+    "parse_run_log_last_block": q_parse_run_log_last_block,
     "run_log_unmatched": q_run_log_unmatched,
     "state_roundtrip": q_state_roundtrip,
     "tokenize_pad": q_tokenize_pad,

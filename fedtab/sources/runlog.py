@@ -36,23 +36,41 @@ def is_round_line(line: F.Column) -> F.Column:
     return line.startswith(ROUND_PREFIX) & line.rlike(ROUND_PATTERN)
 
 
-def parse_run_log(lines: DataFrame, strip_method_tail: bool = True, width: int = 1 << 20) -> DataFrame:
-    """``lines`` = (run_id, line_no, line) -> (run_id, alpha_block, alpha, method, line_no, round, ...)."""
+def parse_run_log(lines: DataFrame, strip_method_tail: bool = True, width: int = 1 << 20,
+                  last_block_only: bool = False) -> DataFrame:
+    """``lines`` = (run_id, line_no, line) -> (run_id, alpha_block, alpha, method, line_no, round, ...).
+
+    Every block is kept, numbered by ``alpha_block`` (trap T20). ``last_block_only``
+    gives the reference's overwrite semantics instead: per log and alpha value only
+    the last alpha block counts (a later block with the same alpha drops the earlier
+    block's methods entirely), and within it only the last block of each method.
+    """
     line = F.col("line")
-    alpha_txt = F.when(line.contains(ALPHA_MARK), F.trim(F.regexp_extract(line, "Starting Alpha: (.*)", 1)))
+    is_alpha = line.contains(ALPHA_MARK)
+    is_method = line.contains(METHOD_MARK) & ~is_alpha
+    alpha_txt = F.when(is_alpha, F.trim(F.regexp_extract(line, "Starting Alpha: (.*)", 1)))
     method_raw = F.trim(F.regexp_extract(line, "--- Method: (.*)", 1))
     if strip_method_tail:
         method_raw = F.trim(F.regexp_replace(method_raw, "---$", ""))
-    method_evt = (F.when(line.contains(ALPHA_MARK), F.lit(""))
-                  .when(line.contains(METHOD_MARK), method_raw))
+    method_evt = F.when(is_alpha, F.lit("")).when(is_method, method_raw)
     ctx = carry_forward(
         lines, ["run_id"], "line_no",
         values={"alpha_txt": alpha_txt, "method_ctx": method_evt},
-        counters={"alpha_block": line.contains(ALPHA_MARK)},
+        counters={"alpha_block": is_alpha, "method_block": is_method},
         width=width,
     )
     rounds = ctx.filter(is_round_line(line) & (F.col("alpha_block") > 0)
                         & F.col("method_ctx").isNotNull() & (F.col("method_ctx") != ""))
+    if last_block_only:
+        # block tables: one row per (log, alpha value) and per (log, alpha block, method)
+        last_alpha = (ctx.filter(is_alpha).groupBy("run_id", "alpha_txt")
+                      .agg(F.max("alpha_block").alias("_last_alpha")))
+        last_method = (ctx.filter(is_method).groupBy("run_id", "alpha_block", "method_ctx")
+                       .agg(F.max("method_block").alias("_last_method")))
+        rounds = (rounds.join(last_alpha, ["run_id", "alpha_txt"])
+                  .filter(F.col("alpha_block") == F.col("_last_alpha"))
+                  .join(last_method, ["run_id", "alpha_block", "method_ctx"])
+                  .filter(F.col("method_block") == F.col("_last_method")))
     return rounds.select("run_id", "alpha_block", F.col("alpha_txt").cast("double").alias("alpha"),
                          F.col("method_ctx").alias("method"), "line_no", *round_fields(line))
 

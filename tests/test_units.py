@@ -323,3 +323,19 @@ def test_experiment_end_to_end(spark):
     assert all(abs(got[k] - want[k]) <= 1.01e-4 for k in want)  # printed with 4 decimals
     dist = spark.read.option("header", True).csv(out["base"] + "/label_dist")
     assert dist.select("alpha").distinct().count() == 2
+
+
+def test_log_parse_last_block_only(spark):
+    """T20 reference semantics: a later block of the same alpha replaces the earlier one
+    entirely (its other methods vanish); within a block, a repeated method keeps its last block."""
+    r = "Round {} - Acc: {}, F1: 0.1, Loss: 0.1, Comm: 1.0MB, Bias: 0.1"
+    lines = ["Starting Alpha: 10.0", "--- Method: standard_lora ---", r.format(1, 0.1),
+             "--- Method: ffa_lora ---", r.format(1, 0.2),
+             "Starting Alpha: 0.5", "--- Method: ffa_lora ---", r.format(1, 0.3),
+             "--- Method: ffa_lora ---", r.format(1, 0.4),
+             "Starting Alpha: 10.0", "--- Method: ffa_lora ---", r.format(1, 0.5)]
+    df = spark.createDataFrame([(0, k, s) for k, s in enumerate(lines)], "run_id int, line_no long, line string")
+    every = parse_run_log(df, width=3).collect()
+    last = parse_run_log(df, width=3, last_block_only=True).collect()
+    assert sorted(x["acc"] for x in every) == [0.1, 0.2, 0.3, 0.4, 0.5]
+    assert sorted((x["alpha"], x["method"], x["acc"]) for x in last) == [(0.5, "ffa_lora", 0.4), (10.0, "ffa_lora", 0.5)]
