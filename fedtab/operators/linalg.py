@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fedtab.functions.params import LORA_A, LORA_B, component, layer_key
 from fedtab.operators.joins import broadcast_if_small
+from fedtab.operators.state import CELL_KEYS as CELL_KEYS_
 from fedtab.operators.state import weighted_padded_average
 
 EPS = 1e-8  # fixed value: ratio epsilon of the bias metric
@@ -144,3 +145,67 @@ def aggregation_bias(cells: DataFrame, weights: DataFrame, groups: DataFrame, gr
     out = groups.select(*g).distinct().join(agg, on=g, how="left")
     return out.select(*g, F.coalesce(F.col("bias"), F.lit(0.0)).alias("bias"),
                       F.coalesce(F.col("n_layers_measured"), F.lit(0)).cast("long").alias("n_layers_measured"))
+
+
+def frozen_factor_bias_layers(sent: DataFrame, frozen: DataFrame, weights: DataFrame, group_cols: Sequence[str],
+                              max_layers: int | None = 4, weighted: bool = False,
+                              client_col: str = "client_id") -> DataFrame:
+    """#27 with ``carry_frozen`` (trap T2): a factor not sent this round is the shared
+    global one, taken un-averaged; each client uses it cropped to its rank.
+
+    ``sent`` = this round's client cells; ``frozen`` = (group..., param, i, j, v), the
+    global state's factors that were not sent. For a layer with both factors sent,
+    ideal = sum_k c_k B_k A_k. With one factor frozen (say G_A), cropping comes from the
+    inner-index join, so ideal = (sum_k c_k B_k) G_A and fed = B_avg G_A: two products
+    of averaged factors, never a per-client copy of G. c_k = w_k makes them equal,
+    so the weighted bias of a shared factor is 0 (SURVEY §5).
+    """
+    g = list(group_cols)
+    p = F.col("param")
+    sent_names = sent.select(*g, "param").distinct()
+    # frozen factors only where nobody sent that parameter this round
+    frozen = frozen.join(sent_names, on=[*g, "param"], how="left_anti")
+    names = sent_names.withColumn("_sent", F.lit(1)).unionByName(
+        frozen.select(*g, "param").distinct().withColumn("_sent", F.lit(0)))
+    names = names.filter(p.contains(LORA_A) | p.contains(LORA_B))
+    by_layer = names.groupBy(*g, layer_key("param").alias("layer")).agg(
+        F.countDistinct(component("param")).alias("_nf"), F.sum("_sent").alias("_n_sent_factors"))
+    measured = by_layer.filter((F.col("_nf") == 2) & (F.col("_n_sent_factors") >= 1))
+    if max_layers is None:
+        chosen = measured.select(*g, "layer", "_n_sent_factors")
+    else:
+        chosen = even_layer_sample(measured.select(*g, "layer"), max_layers, g).join(
+            measured.select(*g, "layer", "_n_sent_factors"), on=[*g, "layer"])
+    # chosen: at most max_layers rows per group
+    both = F.broadcast(chosen.filter(F.col("_n_sent_factors") == 2).select(*g, "layer"))
+    half = F.broadcast(chosen.filter(F.col("_n_sent_factors") == 1).select(*g, "layer"))
+
+    def restrict(df: DataFrame, layers: DataFrame) -> DataFrame:
+        return (df.withColumn("layer", layer_key("param")).join(layers, on=[*g, "layer"], how="left_semi")
+                .drop("layer"))
+
+    coef = client_coefficients(weights, g, weighted, client_col).withColumnRenamed("c", "weight")
+    sent_both, sent_half = restrict(sent, both), restrict(sent, half)
+    frozen_half = restrict(frozen, half).select(*g, *CELL_KEYS_, "v")
+    ideal_both = mean_product(sent_both, weights, g, weighted, client_col)
+    ideal_half = matrix_product(
+        weighted_padded_average(sent_half, coef, g, client_col).unionByName(frozen_half), g)
+    fed = matrix_product(
+        weighted_padded_average(restrict(sent, F.broadcast(chosen.select(*g, "layer"))), weights, g, client_col)
+        .unionByName(frozen_half), g)
+    ideal = ideal_both.unionByName(ideal_half).withColumnRenamed("w", "ideal")
+    d = ideal.join(fed.withColumnRenamed("w", "fed"), on=[*g, "layer", "i", "j"], how="full_outer")
+    ide = F.coalesce(F.col("ideal"), F.lit(0.0))
+    diff = ide - F.coalesce(F.col("fed"), F.lit(0.0))
+    return (d.groupBy(*g, "layer")
+            .agg(F.sqrt(F.sum(diff * diff)).alias("num"), F.sqrt(F.sum(ide * ide)).alias("den"))
+            .select(*g, "layer", (F.col("num") / (F.col("den") + F.lit(EPS))).alias("bias")))
+
+
+def summarise_bias(per_layer: DataFrame, groups: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Mean over measured layers per group; 0.0 and ``n_layers_measured`` 0 when none."""
+    g = list(group_cols)
+    agg = per_layer.groupBy(*g).agg(F.avg("bias").alias("bias"), F.count(F.lit(1)).alias("n_layers_measured"))
+    out = groups.select(*g).distinct().join(agg, on=g, how="left")
+    return out.select(*g, F.coalesce(F.col("bias"), F.lit(0.0)).alias("bias"),
+                      F.coalesce(F.col("n_layers_measured"), F.lit(0)).cast("long").alias("n_layers_measured"))

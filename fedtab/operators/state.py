@@ -83,33 +83,15 @@ def upsert_state(previous: DataFrame, update: DataFrame, group_cols: Sequence[st
     return kept.unionByName(update.select(*kept.columns))
 
 
-def carry_frozen_state(cells: DataFrame, run_cols: Sequence[str], last_round: int,
-                       client_col: str = "client_id", targets: DataFrame | None = None) -> DataFrame:
-    """Each client's state as of every round: per cell, the value from the latest
-    round <= r in which the client sent it (option ``carry_frozen`` of #27, trap T2).
-
-    Without ``targets`` a cell sent in round s is offered to rounds s..last_round (a
-    generator over the bounded round count). With ``targets`` = (run..., round, layer),
-    the few layers a later step reads (e.g. the sampled bias layers), a cell is offered
-    only to the target rounds >= s of its own layer: a broadcast join on the small
-    target table replaces the expansion of every layer. ``max_by(v, round)`` keeps the latest.
-    """
-    g = list(run_cols)
-    if targets is None:
-        offered = cells.withColumn("_as_of", F.explode(F.sequence(F.col("round"), F.lit(last_round))))
-    else:
-        # targets: groups x sampled layers rows (bounded by parameters)
-        t = F.broadcast(targets.select(*g, F.col("round").alias("_as_of"), "layer"))
-        offered = (cells.withColumn("layer", layer_key("param")).join(t, on=[*g, "layer"], how="inner")
-                   .filter(F.col("_as_of") >= F.col("round")).drop("layer"))
-    latest = (offered.groupBy(*g, "_as_of", client_col, *CELL_KEYS)
-              .agg(F.max_by("v", "round").alias("v")))
-    return latest.withColumnRenamed("_as_of", "round")
-
-
-def carry_frozen_names(names: DataFrame, run_cols: Sequence[str], last_round: int,
-                       client_col: str = "client_id") -> DataFrame:
-    """Parameter names each client holds as of every round (names only: cheap)."""
+def global_as_of(sent: DataFrame, weights: DataFrame, run_cols: Sequence[str], last_round: int,
+                 client_col: str = "client_id") -> DataFrame:
+    """The global state as of every round (trap T3, state as an upsert): per (run, round r,
+    param) the weighted average from the latest round s <= r in which the param was sent.
+    A parameter is replaced whole, so a later, smaller shape never keeps stale cells."""
     g = list(run_cols)
-    offered = names.withColumn("_as_of", F.explode(F.sequence(F.col("round"), F.lit(last_round))))
-    return (offered.select(*g, F.col("_as_of").alias("round"), client_col, "param").distinct())
+    avg = weighted_padded_average(sent, weights, [*g, "round"], client_col)
+    offered = avg.withColumn("_as_of", F.explode(F.sequence(F.col("round"), F.lit(last_round))))
+    # one row per (run, as-of round, param): bounded by rounds x parameters
+    latest = offered.groupBy(*g, "_as_of", "param").agg(F.max("round").alias("round"))
+    return (offered.join(latest, on=[*g, "_as_of", "param", "round"], how="left_semi")
+            .select(*g, F.col("_as_of").alias("round"), *CELL_KEYS, "v"))

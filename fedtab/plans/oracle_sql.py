@@ -208,10 +208,76 @@ g as (select distinct method, round from cr)
 select g.method, g.round, round(coalesce(avg(pl.bias), 0.0), 6) as bias, cast(count(pl.layer) as bigint) as n_layers_measured
 from g left join pl using (method, round) group by g.method, g.round"""
 ROUND_BIAS_SQL = ROUND_BIAS_BODY.replace("SOURCE", f"v_cells_rounds where {TRANSMIT}")
-CARRIED_SQL = ROUND_BIAS_BODY.replace("SOURCE", f"""(
-    select method, cast(as_of as integer) as round, client_id, param, i, j, arg_max(v, round) as v
-    from (select *, unnest(range(round, 6)) as as_of from v_cells_rounds where {TRANSMIT})
-    group by method, as_of, client_id, param, i, j)""")
+CARRIED_SQL = f"""
+with sent as (
+  select method, round, client_id, param, {LAYER} as layer, {COMP} as comp, i, j, v
+  from v_cells_rounds where {TRANSMIT}),
+avg as (
+  select method, round, param, i, j, sum(w.weight * v) as v from sent join v_weights w using (client_id)
+  group by method, round, param, i, j),
+pr as (select distinct method, round, param from avg),
+src as (
+  select method, as_of, param, max(round) as src_round
+  from (select method, param, round, unnest(range(round, 6)) as as_of from pr)
+  group by method, as_of, param),
+gstate as (
+  select s.method, cast(s.as_of as integer) as round, a.param, a.i, a.j, a.v
+  from src s join avg a on a.method = s.method and a.round = s.src_round and a.param = s.param),
+sent_names as (select distinct method, round, param from sent),
+frozen as (
+  select f.method, f.round, f.param, {LAYER.replace('param', 'f.param')} as layer,
+         {COMP.replace('param', 'f.param')} as comp, f.i, f.j, f.v
+  from gstate f
+  where not exists (select 1 from sent_names n where n.method = f.method and n.round = f.round and n.param = f.param)),
+names as (
+  select method, round, param, 1 as is_sent from sent_names
+  union all select distinct method, round, param, 0 as is_sent from frozen),
+bl as (
+  select method, round, {LAYER} as layer, count(distinct {COMP}) as nf, sum(is_sent) as ns
+  from names where contains(param, 'lora_A') or contains(param, 'lora_B') group by method, round, {LAYER}),
+measured as (select * from bl where nf = 2 and ns >= 1),
+chosen as (
+  select method, round, layer, ns from (
+    select *, row_number() over (partition by method, round order by layer) - 1 as pos,
+           count(*) over (partition by method, round) as n from measured)
+  where n <= 4 or pos = 0 or pos = floor(1 * (n - 1) / 3) or pos = floor(2 * (n - 1) / 3) or pos = n - 1),
+s2 as (select s.*, c.ns from sent s join chosen c using (method, round, layer)),
+f2 as (select f.method, f.round, f.layer, f.comp, f.i, f.j, f.v from frozen f
+       join chosen c on c.method = f.method and c.round = f.round and c.layer = f.layer and c.ns = 1),
+ideal_both as (
+  select b.method, b.round, b.layer, b.i, a.j, sum(b.v * a.v * w.inv_k) as ideal
+  from s2 b join s2 a on b.method = a.method and b.round = a.round and b.client_id = a.client_id
+    and b.layer = a.layer and b.j = a.i
+  join v_weights w on w.client_id = b.client_id
+  where b.ns = 2 and b.comp = 'lora_B' and a.comp = 'lora_A' group by b.method, b.round, b.layer, b.i, a.j),
+tc as (
+  select method, round, layer, comp, i, j, sum(w.inv_k * v) as v from s2 join v_weights w using (client_id)
+  where ns = 1 group by method, round, layer, comp, i, j
+  union all select method, round, layer, comp, i, j, v from f2),
+ideal_half as (
+  select b.method, b.round, b.layer, b.i, a.j, sum(b.v * a.v) as ideal
+  from tc b join tc a on b.method = a.method and b.round = a.round and b.layer = a.layer and b.j = a.i
+  where b.comp = 'lora_B' and a.comp = 'lora_A' group by b.method, b.round, b.layer, b.i, a.j),
+tw as (
+  select method, round, layer, comp, i, j, sum(w.weight * v) as v from s2 join v_weights w using (client_id)
+  group by method, round, layer, comp, i, j
+  union all select method, round, layer, comp, i, j, v from f2),
+fed as (
+  select b.method, b.round, b.layer, b.i, a.j, sum(b.v * a.v) as fed
+  from tw b join tw a on b.method = a.method and b.round = a.round and b.layer = a.layer and b.j = a.i
+  where b.comp = 'lora_B' and a.comp = 'lora_A' group by b.method, b.round, b.layer, b.i, a.j),
+ideal as (select * from ideal_both union all select * from ideal_half),
+d as (
+  select coalesce(x.method, y.method) as method, coalesce(x.round, y.round) as round,
+         coalesce(x.layer, y.layer) as layer, coalesce(x.ideal, 0) as ideal, coalesce(y.fed, 0) as fed
+  from ideal x full outer join fed y
+    on x.method = y.method and x.round = y.round and x.layer = y.layer and x.i = y.i and x.j = y.j),
+pl as (
+  select method, round, layer, sqrt(sum((ideal - fed) * (ideal - fed))) / (sqrt(sum(ideal * ideal)) + 1e-8) as bias
+  from d group by method, round, layer),
+g as (select distinct method, round from sent)
+select g.method, g.round, round(coalesce(avg(pl.bias), 0.0), 6) as bias, cast(count(pl.layer) as bigint) as n_layers_measured
+from g left join pl using (method, round) group by g.method, g.round"""
 
 
 def _parse_log_sql(last_block_only: bool = False) -> str:

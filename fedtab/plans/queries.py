@@ -264,22 +264,24 @@ def q_round_bias(spark, sf):
     return out.select("method", "round", _r("bias"), "n_layers_measured")
 
 
-def q_round_bias_carry_frozen(spark, sf):
-    """#27 with carry_frozen: frozen factors come from the client's latest state that had them.
-    Layers are chosen from parameter names first; only their cells are carried."""
-    sent = materialize(fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round")), "sent_cells")
-    g = ["method", "round"]
-    names = state.carry_frozen_names(sent.select("method", "round", "client_id", "param").distinct(),
-                                     ["method"], fx.ROUNDS)
-    sampled = linalg.even_layer_sample(linalg.measured_layers(names, g), 4, g)
-    cells = materialize(state.carry_frozen_state(sent, ["method"], fx.ROUNDS, targets=sampled), "carried_cells")
+def _round_weights(spark, sf):
+    """Per (method, round): every client, weighted by its sample count."""
     meta = fx.v_client_meta(spark, sf)
-    rounds = names.select(*g).distinct()
-    weights = state.group_weight(
+    return state.group_weight(
         meta.withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
             .withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(fx.ROUNDS)))),
-        partition_cols=g)
-    out = linalg.aggregation_bias(cells, weights, rounds, g)
+        partition_cols=["method", "round"])
+
+
+def q_round_bias_carry_frozen(spark, sf):
+    """#27 with carry_frozen: a factor not sent in a round is the shared global one from
+    the latest round that sent it (un-averaged, cropped per client); then measured."""
+    g = ["method", "round"]
+    sent = materialize(fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round")), "sent_cells")
+    weights = _round_weights(spark, sf)
+    frozen = materialize(state.global_as_of(sent, weights, ["method"], fx.ROUNDS), "global_as_of")
+    per_layer = linalg.frozen_factor_bias_layers(sent, frozen, weights, g)
+    out = linalg.summarise_bias(per_layer, sent.select(*g).distinct(), g)
     return out.select("method", "round", _r("bias"), "n_layers_measured")
 
 

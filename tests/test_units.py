@@ -339,3 +339,20 @@ def test_log_parse_last_block_only(spark):
     last = parse_run_log(df, width=3, last_block_only=True).collect()
     assert sorted(x["acc"] for x in every) == [0.1, 0.2, 0.3, 0.4, 0.5]
     assert sorted((x["alpha"], x["method"], x["acc"]) for x in last) == [(0.5, "ffa_lora", 0.4), (10.0, "ffa_lora", 0.5)]
+
+
+def test_weighted_bias_zero_with_shared_factor_mixed_ranks(spark):
+    """SURVEY §5: one factor shared (frozen A, the global one, un-averaged) and B averaged
+    -> weighted bias 0, also with mixed ranks (a rank-2 client uses A's first 2 rows)."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    a_full = rng.normal(size=(4, 5))
+    sent = _cells(spark, [(c, B, rng.normal(size=(3, r)).tolist()) for c, r in ((0, 4), (1, 2), (2, 4))])
+    frozen = _cells(spark, [(0, A, a_full.tolist())]).drop("client_id")
+    w = state.group_weight(spark.createDataFrame([(0, 2), (1, 5), (2, 3)], "client_id int, n_samples long"))
+    g = F.lit(1).alias("g")
+    sent, frozen, w = (d.select(g, "*") for d in (sent, frozen, w))
+    weighted = linalg.frozen_factor_bias_layers(sent, frozen, w, ["g"], weighted=True).collect()
+    assert weighted[0]["bias"] == pytest.approx(0.0, abs=1e-9)
+    unweighted = linalg.frozen_factor_bias_layers(sent, frozen, w, ["g"], weighted=False).collect()
+    assert unweighted[0]["bias"] > 1e-3  # the code's unweighted ideal differs when sizes differ (T4)
