@@ -27,6 +27,10 @@ ALPHA_VALUES = (10.0, 0.5, 0.1)
 NUM_CLIENTS = 5
 GLOBAL_ROUNDS = 5
 SEED = 42
+MAX_TRAIN_SAMPLES_PER_CLIENT = 300
+# Quick (smoke) mode: one alpha, one round, 10 training rows per client; evaluation stops
+# after 9 batches of 4, i.e. 36 rows (the reference's off-by-one, trap T9).
+QUICK = {"alphas": (0.5,), "rounds": 1, "cap": 10, "eval_limit": 36}
 
 
 def experiment_examples(spark: SparkSession, sf: str, seed: int = SEED) -> DataFrame:
@@ -58,11 +62,18 @@ def log_lines(metrics: DataFrame, alphas, methods) -> DataFrame:
 
 def run_experiment(spark: SparkSession, sf: str, alphas=ALPHA_VALUES, methods=METHODS,
                    rounds: int = GLOBAL_ROUNDS, num_clients: int = NUM_CLIENTS, seed: int = SEED,
-                   out: str | None = None) -> dict[str, DataFrame]:
+                   out: str | None = None, mode: str = "full", cap: int = MAX_TRAIN_SAMPLES_PER_CLIENT,
+                   eval_limit: int | None = None) -> dict[str, DataFrame]:
+    """``mode="quick"`` applies the quick preset (overriding alphas, rounds, cap, eval_limit)."""
+    if mode == "quick":
+        alphas, rounds, cap, eval_limit = QUICK["alphas"], QUICK["rounds"], QUICK["cap"], QUICK["eval_limit"]
     base = out or shared_dir(spark, "experiment")
     ex = materialize(experiment_examples(spark, sf, seed), "experiment_examples")
     train = ex.filter(F.col("split") == "train")
     test = ex.filter(F.col("split") == "test").select("example_id", F.col("label").alias("y"), "x")
+    if eval_limit is not None:
+        # the smoke run's early stop: the first rows of the test set, in order (a top-k)
+        test = materialize(test.orderBy("example_id").limit(eval_limit), "eval_rows")
     runs = []
     for alpha in alphas:
         props = split.dirichlet_proportions(train, "label", num_clients, alpha, seed)
@@ -74,7 +85,8 @@ def run_experiment(spark: SparkSession, sf: str, alphas=ALPHA_VALUES, methods=ME
         feats = materialize(train.join(assignment.select("example_id", "client_id"), "example_id")
                             .select("client_id", "example_id", F.col("label").alias("y"), "x"), f"features-{alpha}")
         for method in methods:
-            m = run_rounds_on(spark, feats, method, rounds, seed, f"{base}/runs/{alpha}/{method}", eval_rows=test)
+            m = run_rounds_on(spark, feats, method, rounds, seed, f"{base}/runs/{alpha}/{method}",
+                              eval_rows=test, cap=cap)
             runs.append(m.withColumn("alpha", F.lit(float(alpha))))
     metrics = reduce(DataFrame.unionByName, runs)
     metrics.write.mode("overwrite").parquet(f"{base}/round_metrics")

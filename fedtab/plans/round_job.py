@@ -43,13 +43,13 @@ def run_rounds(spark: SparkSession, sf: str, method: str = "standard_lora", roun
 
 
 def run_rounds_on(spark: SparkSession, feats: DataFrame, method: str, rounds: int, seed: int, base: str,
-                  eval_rows: DataFrame | None = None) -> DataFrame:
+                  eval_rows: DataFrame | None = None, cap: int = MAX_TRAIN_SAMPLES_PER_CLIENT) -> DataFrame:
     """Rounds of one (split, method) run. ``feats`` = (client_id, example_id, y, x);
     ``eval_rows`` = (example_id, y, x), the held-out set (default: ``feats``).
     Returns (method, round, n_clients, acc, f1, loss, train_loss, round_mb, bias,
     n_layers_measured, cumulative_mb), read back from the shared folder."""
     eval_rows = feats if eval_rows is None else eval_rows
-    rows = fit.client_rows(feats, MAX_TRAIN_SAMPLES_PER_CLIENT, seed)
+    rows = fit.client_rows(feats, cap, seed)
     global_cells = fit.init_global_state(spark, max(CLIENT_RANKS.values()), DIM, NUM_CLASSES, seed)
     global_cells.write.mode("overwrite").parquet(f"{base}/global/round=0")
     global_cells = spark.read.parquet(f"{base}/global/round=0")

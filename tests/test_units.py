@@ -356,3 +356,15 @@ def test_weighted_bias_zero_with_shared_factor_mixed_ranks(spark):
     assert weighted[0]["bias"] == pytest.approx(0.0, abs=1e-9)
     unweighted = linalg.frozen_factor_bias_layers(sent, frozen, w, ["g"], weighted=False).collect()
     assert unweighted[0]["bias"] > 1e-3  # the code's unweighted ideal differs when sizes differ (T4)
+
+
+def test_experiment_quick_mode(spark):
+    """Quick preset: alpha 0.5 only, one round, 10 rows per client, 36 evaluation rows."""
+    from fedtab.plans.experiment import run_experiment
+    out = run_experiment(spark, "/root/testdata/sf0.001", methods=("ffa_lora",), mode="quick")
+    m = out["round_metrics"].collect()
+    assert [(r["alpha"], r["round"]) for r in m] == [(0.5, 1)]
+    acc = m[0]["acc"]
+    assert abs(acc * 36 - round(acc * 36)) < 1e-9  # accuracy over exactly 36 rows
+    train_rows = out["round_metrics"].sparkSession.read.parquet(out["base"] + "/runs/0.5/ffa_lora/clients/round=1")
+    assert train_rows.groupBy("client_id").agg({"n_rows": "max"}).collect()[0][1] <= 10
