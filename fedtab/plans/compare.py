@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 
 
-def _norm(v, places: int = 5):
+def _norm(v, places: int | None = 5):
+    """``places=None`` compares doubles exactly (only -0.0 and 0.0 are equal)."""
     if v is None:
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, places) + 0.0
+        if math.isnan(v):
+            return "nan"
+        return (v if places is None else round(v, places)) + 0.0
     if hasattr(v, "isoformat"):
         return str(v)
     if isinstance(v, (list, tuple)):
@@ -17,7 +20,7 @@ def _norm(v, places: int = 5):
     return v
 
 
-def canonical(cols, records, places: int = 5):
+def canonical(cols, records, places: int | None = 5):
     order = sorted(range(len(cols)), key=lambda k: cols[k])
     out = [tuple(_norm(r[k], places) for k in order) for r in records]
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
@@ -47,7 +50,7 @@ def spark_type_name(dt) -> str:
     return SPARK_TO_DUCK.get(name, name)
 
 
-def compare(spark_df, con, sql: str, check_types: bool = True) -> tuple[bool, str]:
+def compare(spark_df, con, sql: str, check_types: bool = True, places: int | None = 5) -> tuple[bool, str]:
     scols = spark_df.columns
     stypes = {f.name: spark_type_name(f.dataType) for f in spark_df.schema.fields}
     srows = [tuple(r) for r in spark_df.collect()]
@@ -60,7 +63,7 @@ def compare(spark_df, con, sql: str, check_types: bool = True) -> tuple[bool, st
         bad = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes[c]}
         if bad:
             return False, f"types differ {bad}"
-    a, b = canonical(scols, srows), canonical(dcols, drows)
+    a, b = canonical(scols, srows, places), canonical(dcols, drows, places)
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
         return False, f"rows {len(a)} vs {len(b)}; first diffs {diff}"
