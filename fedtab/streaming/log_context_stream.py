@@ -79,12 +79,12 @@ def land_in_line_order(lines: DataFrame, path: str, n_slices: int = 6) -> None:
         keyed.filter(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(path)
 
 
-def stream_log_with_context(spark: SparkSession, lines: DataFrame) -> DataFrame:
+def stream_log_with_context(spark: SparkSession, lines: DataFrame, files_per_trigger: int = 2) -> DataFrame:
     base = shared_dir(spark, "log_context_stream")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
     land_in_line_order(lines, src)
     schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     q = (parse_log_stream(stream).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start(sink))
     q.awaitTermination()

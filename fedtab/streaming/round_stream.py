@@ -69,7 +69,7 @@ def read_round_average(spark: SparkSession, sink: str) -> DataFrame:
                         "sum_wv", (F.col("sum_wv") / F.col("sum_w")).alias("avg_v"))
 
 
-def stream_round_average(spark: SparkSession, uploads: DataFrame, files_per_trigger: int = 1) -> DataFrame:
+def stream_round_average(spark: SparkSession, uploads: DataFrame, files_per_trigger: int = 2) -> DataFrame:
     base = shared_dir(spark, "round_stream")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
     land_in_arrival_order(uploads, src)
