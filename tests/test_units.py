@@ -368,3 +368,24 @@ def test_experiment_quick_mode(spark):
     assert abs(acc * 36 - round(acc * 36)) < 1e-9  # accuracy over exactly 36 rows
     train_rows = out["round_metrics"].sparkSession.read.parquet(out["base"] + "/runs/0.5/ffa_lora/clients/round=1")
     assert train_rows.groupBy("client_id").agg({"n_rows": "max"}).collect()[0][1] <= 10
+
+
+def test_checkpoint_root_never_local_on_a_cluster():
+    """On a non-local master without spark.checkpoint.dir the library refuses to write
+    intermediates to a machine-local folder; with the setting it uses the shared folder."""
+    from types import SimpleNamespace
+
+    from fedtab.session import checkpoint_root
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return dict.get(self, k, d)
+
+    def fake(master, conf):
+        sc = SimpleNamespace(master=master, getConf=lambda: Conf(conf), getCheckpointDir=lambda: None,
+                             setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=sc, conf=Conf(conf))
+
+    with pytest.raises(RuntimeError):
+        checkpoint_root(fake("yarn", {}))
+    assert checkpoint_root(fake("yarn", {"spark.checkpoint.dir": "hdfs://nn/shared/ckpt/"})) == "hdfs://nn/shared/ckpt"
