@@ -27,6 +27,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fedtab.llm.jaccard import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
     from fedtab.llm.token_counts import count_tokens
