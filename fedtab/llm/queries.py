@@ -27,6 +27,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fedtab.llm.rp_forest import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fedtab.llm.jaccard import jaccard_components
     return jaccard_components(table(spark, sf_dir, "documents"))
