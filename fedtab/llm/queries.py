@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from fedtab.session import ship_package, table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fedtab.llm.quality_rules import quality_rules
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
     from fedtab.llm.bpe import decode, encode
