@@ -32,6 +32,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fedtab.llm.pii import find_pii, fit
+    docs = table(spark, sf_dir, "documents")
+    out = find_pii(docs, fit(docs))
+    return out.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fedtab.llm.rp_forest import near_vectors
     return near_vectors(table(spark, sf_dir, "embeddings"))
