@@ -25,6 +25,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fedtab.llm.language_crf import fit, identify
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = fit(docs.where(third != 1))
+    found = identify(docs, model)
+    return found.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "lang_pred", "score",
+                        "n_letter_words", F.size("runs").alias("n_runs"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fedtab.llm.mixing import mix_sources
     mix = mix_sources(table(spark, sf_dir, "documents"))
