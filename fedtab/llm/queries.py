@@ -15,6 +15,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_license_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fedtab.llm.license_align import scan_licenses
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(
+        m["coverage"].alias("coverage"), (m["end"] - m["start"]).alias("chars"), m["license"].alias("license"))))
+    return found.select("doc_id", best["license"].alias("license"),
+                        F.coalesce(best["coverage"], F.lit(0.0)).alias("coverage"), F.size("matches").alias("n_matches"),
+                        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"])),
+                                     ",").alias("spans"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
     from fedtab.llm.bpe import decode, encode
@@ -42,6 +53,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fedtab.llm.weak_quality import judge
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fedtab.llm.pii import find_pii, fit
     docs = table(spark, sf_dir, "documents")
