@@ -90,8 +90,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, key: str
     rows = rows.withColumn("digest", F.sha2("text", 256))
     keys = materialize(rows.select("key", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache, version)
-    misses = (keys.join(known, "digest", "left_anti")
-              .groupBy("digest").agg(F.min("key").alias("_key")))
+    misses = (keys.groupBy("digest").agg(F.min("key").alias("_key"))  # combined before the join: a hot text is one row a task
+              .join(known, "digest", "left_anti"))
     texts = rows.alias("r").join(
         misses.alias("m"), (F.col("r.digest") == F.col("m.digest")) & F.col("r.key").eqNullSafe(F.col("m._key")))
     fresh = (encode_counts(texts.select("r.digest", "r.text"), path, version)
