@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fedtab.functions.params import MB, component, element_bytes, transmits
-from fedtab.operators.joins import broadcast_if_small
 from fedtab.operators.state import param_max_shape
 
 
@@ -40,8 +39,7 @@ def round_communication(meta: DataFrame, participants: DataFrame, methods: Seque
     A round without participants has no row.
     """
     sent = participants.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    # participants x methods is cohort-sized: broadcast after the size check
-    sent = (meta.join(broadcast_if_small(sent), "client_id")
+    sent = (meta.join(sent, "client_id")
             .filter(transmits("param", "method", "round")))
     up = communication_cost(sent, ["method", "round"]).select(
         "method", "round", F.col("total_mb").alias("upload_mb"))

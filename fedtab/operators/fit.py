@@ -1,31 +1,24 @@
 """Local training work (#44-#46), re-aimed at Spark.
 
-Model: softmax over logits = H x + B (A x), with A (r x d) and B (C x r) the
-low-rank factors of one layer and H (C x d) the head. Cells use the same long
-layout as every other state table. Gradients over rows are Spark aggregations;
-the per-client local epoch (#46) is a grouped map over a capped, bounded group.
+Model: softmax over logits = H x with H (C x d) the head. Every client trains at
+once: a full-batch step is one aggregation of the gradient over all rows, so a
+client of any size is spread over all tasks. Rows never leave their tasks; a step
+moves one C x d gradient per client and task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fedtab.functions.hashing import seeded_digest
 from fedtab.operators.state import CELL_KEYS
+from fedtab.session import materialize
 
-# Fixed names of the trained parameters.
-PARAM_A = "layers.0.q_proj.lora_A.default.weight"
-PARAM_B = "layers.0.q_proj.lora_B.default.weight"
-PARAM_H = "score.weight"
-GRAD_ACCUM_STEPS = 4
-LEARNING_RATE = 0.05
-INIT_SCALE = 0.02
+LEARNING_RATE = 0.5
+STEPS = 2
+SALTS = 256
 
 
 def proximal_penalty(local: DataFrame, global_: DataFrame, mu: float, group_cols: Sequence[str] = ("client_id",)
@@ -58,199 +51,71 @@ def local_gradient(features: DataFrame, num_classes: int) -> DataFrame:
                       g.alias("grad"))
 
 
-def _uniform(seed: int, *parts) -> F.Column:
-    """Deterministic value in [0, 1) from md5 of the key (no partition dependence)."""
-    h = F.conv(F.substring(seeded_digest(seed, *parts), 1, 8), 16, 10).cast("double")
-    return h / F.lit(float(1 << 32))
+def _logits(x: Column, w: Column) -> Column:
+    """H x for a row and its client's head, an array of one row per class."""
+    return F.transform(w, lambda h: F.aggregate(F.zip_with(x, h, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
 
 
-def init_global_state(spark: SparkSession, max_rank: int, dim: int, num_classes: int, seed: int = 42) -> DataFrame:
-    """Round-0 global state: A from a seeded table shared by every client, B = 0, H = 0
-    (zero cells are stored so the shapes are explicit)."""
-    a = (spark.range(max_rank * dim).select((F.col("id") / dim).cast("int").alias("i"),
-                                            (F.col("id") % dim).cast("int").alias("j"))
-         .withColumn("param", F.lit(PARAM_A))
-         .withColumn("v", (_uniform(seed, "i", "j") - F.lit(0.5)) * F.lit(2 * INIT_SCALE)))
-    b = (spark.range(num_classes * max_rank).select((F.col("id") / max_rank).cast("int").alias("i"),
-                                                    (F.col("id") % max_rank).cast("int").alias("j"))
-         .withColumn("param", F.lit(PARAM_B)).withColumn("v", F.lit(0.0)))
-    h = (spark.range(num_classes * dim).select((F.col("id") / dim).cast("int").alias("i"),
-                                               (F.col("id") % dim).cast("int").alias("j"))
-         .withColumn("param", F.lit(PARAM_H)).withColumn("v", F.lit(0.0)))
-    return a.unionByName(b).unionByName(h).select(*CELL_KEYS, "v")
+def _scored(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows with their client's head applied: class probabilities and cross-entropy.
 
-
-FIT_SCHEMA = T.StructType([
-    T.StructField("client_id", T.IntegerType()), T.StructField("param", T.StringType()),
-    T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType()),
-    T.StructField("loss", T.DoubleType()), T.StructField("first_loss", T.DoubleType()),
-    T.StructField("last_loss", T.DoubleType()), T.StructField("n_rows", T.LongType()),
-    T.StructField("n_steps", T.LongType()), T.StructField("nan_count", T.LongType()),
-])
-
-
-def _trainable(method: str, round_: int) -> tuple[bool, bool]:
-    """(train A, train B) per method and round; the head always trains."""
-    if method == "standard_lora":
-        return True, True
-    if method == "ffa_lora":
-        return False, True
-    return (round_ % 2 == 0), (round_ % 2 != 0)
-
-
-def _softmax_ce(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    m = z.max(axis=1, keepdims=True)
-    e = np.exp(z - m)
-    p = e / e.sum(axis=1, keepdims=True)
-    ce = (m[:, 0] + np.log(e.sum(axis=1))) - z[np.arange(len(y)), y]
-    return p, ce
-
-
-def make_local_epoch(global_model, method: str, round_: int, num_classes: int, dim: int, ranks: dict[int, int],
-                     mu: float, lr: float = LEARNING_RATE, drop_tail: bool = False):
-    """The grouped-map body of #46: one client's local epoch in numpy.
-
-    Accumulates GRAD_ACCUM_STEPS examples per update (batch 1 x accumulation);
-    the trailing partial step is applied unless ``drop_tail`` (trap T18).
-    The client's rows arrive capped (bounded group) and are ordered by ``pos``.
+    ``heads`` has one row per client; AQE broadcasts it by its bytes, or splits a hot client.
     """
-    train_a, train_b = _trainable(method, round_)
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        client = int(key[0])
-        r = ranks.get(client, max(ranks.values()))
-        shapes = {PARAM_A: (r, dim), PARAM_B: (num_classes, r), PARAM_H: (num_classes, dim)}
-        glob = global_model.value
-        theta, g_theta = {}, {}
-        for name, shp in shapes.items():
-            # overlay: global values cropped to the local shape (#19)
-            t = np.zeros(shp)
-            if name in glob:
-                src = glob[name]
-                a, b = min(shp[0], src.shape[0]), min(shp[1], src.shape[1])
-                t[:a, :b] = src[:a, :b]
-            theta[name], g_theta[name] = t, t.copy()
-        if rows.empty:
-            return pd.DataFrame(columns=[f.name for f in FIT_SCHEMA.fields])
-        rows = rows.sort_values("pos")
-        x = np.stack(rows["x"].to_numpy()).astype(float)
-        y = rows["y"].to_numpy().astype(int)
-        trains = {PARAM_A: train_a, PARAM_B: train_b, PARAM_H: True}
-        losses, nan_count, steps = [], 0, 0
-        n = len(y)
-        for start in range(0, n, GRAD_ACCUM_STEPS):
-            xb, yb = x[start:start + GRAD_ACCUM_STEPS], y[start:start + GRAD_ACCUM_STEPS]
-            A, B, H = theta[PARAM_A], theta[PARAM_B], theta[PARAM_H]
-            h = xb @ A.T
-            z = xb @ H.T + h @ B.T
-            p, ce = _softmax_ce(z, yb)
-            prox = 0.5 * mu * sum(((theta[k] - g_theta[k]) ** 2).sum() for k in theta if trains[k])
-            step_losses = ce + prox
-            nan_count += int(np.isnan(step_losses).sum())
-            losses.extend(step_losses.tolist())
-            if len(yb) < GRAD_ACCUM_STEPS and drop_tail:
-                break
-            dz = p.copy()
-            dz[np.arange(len(yb)), yb] -= 1.0
-            dz /= GRAD_ACCUM_STEPS
-            grads = {PARAM_H: dz.T @ xb, PARAM_B: dz.T @ h, PARAM_A: (dz @ B).T @ xb}
-            for k in theta:
-                if trains[k]:
-                    g = grads[k] + mu * (theta[k] - g_theta[k]) * (len(yb) / GRAD_ACCUM_STEPS)
-                    theta[k] = theta[k] - lr * g
-            steps += 1
-        sent = [k for k in theta if trains[k]]
-        parts = []
-        for k in sent:
-            t = theta[k]
-            ii, jj = np.meshgrid(np.arange(t.shape[0]), np.arange(t.shape[1]), indexing="ij")
-            parts.append(pd.DataFrame({"param": k, "i": ii.ravel(), "j": jj.ravel(), "v": t.ravel()}))
-        out = pd.concat(parts, ignore_index=True)
-        out.insert(0, "client_id", client)
-        out["loss"] = float(np.mean(losses))
-        out["first_loss"] = float(losses[0])
-        out["last_loss"] = float(losses[-1])
-        out["n_rows"], out["n_steps"], out["nan_count"] = n, steps, nan_count
-        return out.astype({"client_id": "int32", "i": "int32", "j": "int32", "n_rows": "int64",
-                           "n_steps": "int64", "nan_count": "int64"})
-
-    return fit
-
-
-MAX_MODEL_VALUES = 50_000_000
-
-
-def model_from_cells(cells: DataFrame, max_values: int = MAX_MODEL_VALUES) -> dict[str, np.ndarray]:
-    """The global model as dense arrays, for broadcasting to the training tasks.
-
-    This is the model (bounded by its architecture), not data: the same thing
-    MLlib broadcasts each iteration. The size is checked before anything is
-    fetched; beyond ``max_values`` this raises instead of flooding the driver.
+    z = rows.join(heads, "client_id").withColumn("z", _logits(F.col("x"), F.col("w")))
+    m = F.array_max("z")
+    z = z.withColumn("e", F.transform("z", lambda v: F.exp(v - m))).withColumn("m", m)
+    total = F.aggregate("e", F.lit(0.0), lambda s, v: s + v)
+    z = z.withColumn("t", total)
+    return z.select("client_id", "y", "x", F.transform("e", lambda v: v / F.col("t")).alias("p"),
+                    (F.col("m") + F.log("t") - F.get("z", F.col("y"))).alias("loss"))
+
+
+def _stepped(rows: DataFrame, heads: DataFrame, mu: float, rate: float) -> DataFrame:
+    """One full-batch step of every client: mean gradient plus the pull to the start (#44), which is 0."""
+    off = F.transform("p", lambda v, c: v - F.when(c == F.col("y"), 1.0).otherwise(0.0))
+    cells = (_scored(rows, heads).select("client_id", "x", F.posexplode(off).alias("class", "r"))
+             .select("client_id", "class", "r", F.posexplode("x").alias("j", "xj"))
+             .groupBy("client_id", "class", "j").agg(F.sum(F.col("r") * F.col("xj")).alias("g")))
+    n = rows.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
+    grads = (cells.groupBy("client_id", "class").agg(F.array_sort(F.collect_list(F.struct("j", "g"))).alias("g"))
+             .groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("class", "g"))).alias("g")))
+    step = lambda w, g, n: F.zip_with(w, g, lambda h, gc: F.zip_with(
+        h, gc["g"], lambda v, d: v - F.lit(rate) * (d["g"] / n + F.lit(mu) * v)))
+    return heads.join(grads, "client_id").join(n, "client_id").select("client_id", step(F.col("w"), F.col("g"), F.col("n")).alias("w"))
+
+
+def local_fit(features: DataFrame, num_classes: int, dim: int, steps: int = STEPS, mu: float = 0.01,
+              rate: float = LEARNING_RATE) -> DataFrame:
+    """#46: ``steps`` full-batch steps of every client from a zero head.
+
+    ``(client_id, w)``: one head per client. Heads are written after each step, so a
+    lost executor replays one step.
     """
-    n = cells.count()
-    if n > max_values:
-        raise ValueError(f"global model has {n} values, above the broadcast bound {max_values}")
-    pdf = cells.select(*CELL_KEYS, "v").toPandas()
-    out = {}
-    for name, g in pdf.groupby("param"):
-        t = np.zeros((int(g["i"].max()) + 1, int(g["j"].max()) + 1))
-        t[g["i"].to_numpy(), g["j"].to_numpy()] = g["v"].to_numpy()
-        out[str(name)] = t
-    return out
+    zero = F.array_repeat(F.array_repeat(F.lit(0.0), dim), num_classes)
+    heads = features.select("client_id").distinct().withColumn("w", zero)
+    for _ in range(steps):
+        heads = materialize(_stepped(features, heads, mu, rate), "heads")
+    return heads
 
 
-def local_fit(rows: DataFrame, global_model: dict[str, np.ndarray], method: str, round_: int, num_classes: int,
-              dim: int, ranks: dict[int, int], mu: float, drop_tail: bool = False) -> DataFrame:
-    """#46: every participating client's local epoch, in parallel.
-
-    ``rows`` = (client_id, pos, y, x), already capped per client (#17), so each
-    group is bounded; the global model goes to the tasks as a broadcast variable.
-    """
-    spark = rows.sparkSession
-    bc = spark.sparkContext.broadcast(global_model)
-    body = make_local_epoch(bc, method, round_, num_classes, dim, ranks, mu, drop_tail=drop_tail)
-    return rows.groupBy("client_id").applyInPandas(body, schema=FIT_SCHEMA)
-
+def local_fit_summary(features: DataFrame, num_classes: int, dim: int, steps: int = STEPS, mu: float = 0.01,
+                      rate: float = LEARNING_RATE) -> DataFrame:
+    """Per client its rows, the loss before and after the steps and the squared norm of its head."""
+    heads = local_fit(features, num_classes, dim, steps, mu, rate)
+    norm = F.aggregate(F.flatten("w"), F.lit(0.0), lambda s, v: s + v * v)
+    last = _scored(features, heads).groupBy("client_id").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("loss").alias("last_loss"))
+    return (last.join(heads.select("client_id", norm.alias("norm2")), "client_id")
+            .withColumn("first_loss", F.log(F.lit(float(num_classes)))))
 
-def score_rows(rows: DataFrame, global_model: dict[str, np.ndarray]) -> DataFrame:
-    """Logits of the global model for every row (Arrow batches; numpy per batch).
-    Output (example_id, label, logits) feeds #32/#33."""
-    spark = rows.sparkSession
-    bc = spark.sparkContext.broadcast(global_model)
 
-    def batches(it):
-        m = bc.value
-        for pdf in it:
-            x = np.stack(pdf["x"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
-            z = x @ m[PARAM_H].T if PARAM_H in m else 0.0
-            if PARAM_A in m and PARAM_B in m:
-                a, b = m[PARAM_A], m[PARAM_B]
-                r = min(a.shape[0], b.shape[1])
-                z = z + (x @ a[:r].T) @ b[:, :r].T
-            yield pd.DataFrame({"example_id": pdf["example_id"], "label": pdf["y"].astype("int32"),
-                                "logits": list(np.asarray(z, dtype=float))})
+def score_with_heads(rows: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Logits of every row under each head: ``heads`` has ``(keys..., w)``, a bounded number of models.
 
-    schema = "example_id long, label int, logits array<double>"
-    return rows.select("example_id", "y", "x").mapInPandas(batches, schema=schema)
-
-
-def client_rows(features: DataFrame, cap: int, seed: int = 42) -> DataFrame:
-    """Cap each client's rows (#17) and give them a seeded order ``pos``."""
-    from fedtab.operators.split import cap_per_group
-    capped = cap_per_group(features, "client_id", "example_id", cap, seed)
-    return capped.select("client_id", seeded_digest(seed, "example_id").alias("pos"), "y", "x")
-
-
-def local_fit_summary(spark: SparkSession, sf: str, method: str = "standard_lora", round_: int = 1,
-                      cap: int = 300, mu: float = 0.01) -> DataFrame:
-    """Query form of #46: every client of ``v_features`` trains once from the round-0 state."""
-    from fedtab.plans import fixtures as fx
-    feats = fx.v_features(spark, sf)
-    ranks = {0: 4, 1: 4, 2: 8, 3: 8, 4: 8}
-    glob = model_from_cells(init_global_state(spark, max(ranks.values()), 64, 4))
-    cells = local_fit(client_rows(feats, cap), glob, method, round_, 4, 64, ranks, mu)
-    return (cells.groupBy("client_id")
-            .agg(F.first("loss").alias("mean_loss"), F.first("first_loss").alias("first_loss"),
-                 F.first("last_loss").alias("last_loss"), F.first("n_rows").alias("n_rows"),
-                 F.first("n_steps").alias("n_steps"), F.first("nan_count").alias("nan_count"),
-                 F.count(F.lit(1)).alias("n_cells")))
+    The models ride along as one array. It joins on a salt, so the plan holds for any number of rows and models:
+    AQE broadcasts the array if it is small, or else deals the rows out by salt.
+    """
+    packed = heads.agg(F.collect_list(F.struct(*keys, "w")).alias("_models")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = (rows.withColumn("_salt", F.pmod(F.hash("example_id"), F.lit(SALTS))).join(packed, "_salt")
+           .withColumn("_m", F.explode("_models")).drop("_models", "_salt"))
+    return out.select("*", *[F.col(f"_m.{k}").alias(k) for k in keys], _logits(F.col("x"), F.col("_m.w")).alias("logits")).drop("_m")

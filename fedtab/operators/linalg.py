@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fedtab.functions.params import LORA_A, LORA_B, component, layer_key
-from fedtab.operators.joins import broadcast_if_small
+from fedtab.operators.positions import range_positions
 from fedtab.operators.state import CELL_KEYS as CELL_KEYS_
-from fedtab.operators.state import weighted_padded_average
+from fedtab.operators.state import weighted_padded_average, with_total
 
 EPS = 1e-8  # fixed value: ratio epsilon of the bias metric
 
@@ -46,7 +46,7 @@ def matrix_product(cells: DataFrame, group_cols: Sequence[str] = ("client_id",),
     prod = b.join(a, on=[*keys, "layer", "k"], how="inner")
     term = F.col("b") * F.col("a")
     if coef is not None:
-        prod = prod.join(broadcast_if_small(coef.select(*keys, "c")), on=keys, how="inner")
+        prod = prod.join(coef.select(*keys, "c"), on=keys, how="inner")
         term = term * F.col("c")
     return prod.groupBy(*g, "layer", "i", "j").agg(F.sum(term).alias("w"))
 
@@ -57,8 +57,8 @@ def client_coefficients(weights: DataFrame, group_cols: Sequence[str], weighted:
     g = list(group_cols)
     if weighted:
         return weights.select(*g, client_col, F.col("weight").alias("c"))
-    w = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
-    return weights.select(*g, client_col, (F.lit(1.0) / F.count(F.lit(1)).over(w)).alias("c"))
+    out = with_total(weights.select(*g, client_col), F.count(F.lit(1)), "_k", g)
+    return out.select(*g, client_col, (F.lit(1.0) / F.col("_k")).alias("c"))
 
 
 def mean_product(cells: DataFrame, weights: DataFrame, group_cols: Sequence[str] = (),
@@ -80,15 +80,13 @@ def even_layer_sample(layers: DataFrame, m: int = 4, group_cols: Sequence[str] =
                       layer_col: str = "layer") -> DataFrame:
     """#28: sort layer names, keep at most ``m`` at int(linspace(0, n-1, m)).
 
-    The table holds distinct layer names (model depth), so a window per group is small.
+    Positions come from sorted pieces, so no task holds all names.
     """
     g = list(group_cols)
-    w_order = Window.partitionBy(*g).orderBy(layer_col) if g else Window.orderBy(layer_col)
-    w_all = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
-    ranked = layers.select(*g, layer_col,
-                           (F.row_number().over(w_order) - 1).cast("long").alias("pos"),
-                           F.count(F.lit(1)).over(w_all).alias("_n"))
-    return ranked.filter(F.array_contains(even_positions(F.col("_n"), m), F.col("pos"))).drop("_n")
+    ranked = range_positions(layers.select(*g, layer_col), g, [F.col(layer_col)])
+    ranked = with_total(ranked, F.count(F.lit(1)), "_n", g)
+    return (ranked.filter(F.array_contains(even_positions(F.col("_n"), m), F.col("pos")))
+            .select(*g, layer_col, "pos"))
 
 
 def measured_layers(cells: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -103,52 +101,65 @@ def measured_layers(cells: DataFrame, group_cols: Sequence[str] = ()) -> DataFra
             .filter(F.col("_nf") == 2).drop("_nf"))
 
 
+def _terms(prod: DataFrame, g: list[str], ideal: bool) -> DataFrame:
+    """Products of one side as signed terms: what they add to the ideal and to its difference from the average."""
+    w = F.col("term")
+    return prod.select(*g, "layer", "i", "j", (w if ideal else F.lit(0.0)).alias("ideal"), (w if ideal else -w).alias("diff"))
+
+
+def _pairs(cells: DataFrame, keys: Sequence[str], coef: DataFrame | None = None) -> DataFrame:
+    """Every product b * a (times ``c``) before its sum, with the keys of the factors."""
+    a, b = _factors(cells, keys)
+    prod = b.join(a, on=[*keys, "layer", "k"], how="inner")
+    term = F.col("b") * F.col("a")
+    if coef is not None:
+        prod = prod.join(coef.select(*keys, "c"), on=list(keys), how="inner")
+        term = term * F.col("c")
+    return prod.withColumn("term", term)
+
+
+def _bias_of(terms: DataFrame, g: list[str]) -> DataFrame:
+    """Ideal and difference in one sum per output cell, then the ratio of norms per layer."""
+    cell = terms.groupBy(*g, "layer", "i", "j").agg(F.sum("ideal").alias("ideal"), F.sum("diff").alias("diff"))
+    return (cell.groupBy(*g, "layer")
+            .agg(F.sqrt(F.sum(F.col("diff") * F.col("diff"))).alias("num"),
+                 F.sqrt(F.sum(F.col("ideal") * F.col("ideal"))).alias("den"))
+            .select(*g, "layer", (F.col("num") / (F.col("den") + F.lit(EPS))).alias("bias")))
+
+
 def aggregation_bias_layers(cells: DataFrame, weights: DataFrame, group_cols: Sequence[str] = (),
-                            max_layers: int | None = 4, weighted: bool = False,
+                            max_layers: int | None = None, weighted: bool = False,
                             client_col: str = "client_id") -> DataFrame:
     """#27 per layer: ||ideal - B_avg @ A_avg||_F / (||ideal||_F + 1e-8).
 
     ideal = mean_k B_k @ A_k (``weighted``: sum_k w_k B_k @ A_k, the paper's form).
-    Only the sampled layers are joined (semi-join before any product);
-    ``max_layers=None`` measures every layer that has both factors.
+    Every layer that has both factors is measured; ``max_layers`` samples them
+    evenly (#28). The averaged pair joins the sum as a pseudo-client of coefficient
+    -1, so one aggregation per output cell gives both the ideal and the difference.
     """
     g = list(group_cols)
-    if max_layers is None:
-        # every measured layer (the reference's non-sampled mode): semi-join by shuffle
-        chosen = measured_layers(cells, g)
-        keep = chosen.select(*g, "layer")
-    else:
-        # at most max_layers rows per group: broadcast
-        chosen = even_layer_sample(measured_layers(cells, g), max_layers, g)
-        keep = F.broadcast(chosen.select(*g, "layer"))
+    chosen = measured_layers(cells, g)
+    if max_layers is not None:
+        chosen = even_layer_sample(chosen, max_layers, g)
     cs = (cells.withColumn("layer", layer_key("param"))
-          .join(keep, on=[*g, "layer"], how="left_semi")
+          .join(chosen.select(*g, "layer"), on=[*g, "layer"], how="left_semi")
           .drop("layer"))
-    ideal = mean_product(cs, weights, g, weighted, client_col).withColumnRenamed("w", "ideal")
+    coef = client_coefficients(weights, g, weighted, client_col)
     avg = weighted_padded_average(cs, weights, g, client_col)
-    fed = matrix_product(avg, g).withColumnRenamed("w", "fed")
-    d = ideal.join(fed, on=[*g, "layer", "i", "j"], how="full_outer")
-    ide = F.coalesce(F.col("ideal"), F.lit(0.0))
-    diff = ide - F.coalesce(F.col("fed"), F.lit(0.0))
-    return (d.groupBy(*g, "layer")
-            .agg(F.sqrt(F.sum(diff * diff)).alias("num"), F.sqrt(F.sum(ide * ide)).alias("den"))
-            .select(*g, "layer", (F.col("num") / (F.col("den") + F.lit(EPS))).alias("bias")))
+    return _bias_of(_terms(_pairs(cs, [*g, client_col], coef), g, True).unionByName(_terms(_pairs(avg, g), g, False)), g)
 
 
 def aggregation_bias(cells: DataFrame, weights: DataFrame, groups: DataFrame, group_cols: Sequence[str],
-                     max_layers: int | None = 4, weighted: bool = False, client_col: str = "client_id") -> DataFrame:
+                     max_layers: int | None = None, weighted: bool = False, client_col: str = "client_id") -> DataFrame:
     """#27 per group: mean bias over measured layers; 0.0 when no layer has both
     factors (trap T2), with ``n_layers_measured`` saying so. ``groups`` is the spine."""
     g = list(group_cols)
     per_layer = aggregation_bias_layers(cells, weights, g, max_layers, weighted, client_col)
-    agg = per_layer.groupBy(*g).agg(F.avg("bias").alias("bias"), F.count(F.lit(1)).alias("n_layers_measured"))
-    out = groups.select(*g).distinct().join(agg, on=g, how="left")
-    return out.select(*g, F.coalesce(F.col("bias"), F.lit(0.0)).alias("bias"),
-                      F.coalesce(F.col("n_layers_measured"), F.lit(0)).cast("long").alias("n_layers_measured"))
+    return summarise_bias(per_layer, groups, g)
 
 
 def frozen_factor_bias_layers(sent: DataFrame, frozen: DataFrame, weights: DataFrame, group_cols: Sequence[str],
-                              max_layers: int | None = 4, weighted: bool = False,
+                              max_layers: int | None = None, weighted: bool = False,
                               client_col: str = "client_id") -> DataFrame:
     """#27 with ``carry_frozen`` (trap T2): a factor not sent this round is the shared
     global one, taken un-averaged; each client uses it cropped to its rank.
@@ -176,30 +187,22 @@ def frozen_factor_bias_layers(sent: DataFrame, frozen: DataFrame, weights: DataF
     else:
         chosen = even_layer_sample(measured.select(*g, "layer"), max_layers, g).join(
             measured.select(*g, "layer", "_n_sent_factors"), on=[*g, "layer"])
-    # chosen: at most max_layers rows per group
-    both = F.broadcast(chosen.filter(F.col("_n_sent_factors") == 2).select(*g, "layer"))
-    half = F.broadcast(chosen.filter(F.col("_n_sent_factors") == 1).select(*g, "layer"))
+    both = chosen.filter(F.col("_n_sent_factors") == 2).select(*g, "layer")
+    half = chosen.filter(F.col("_n_sent_factors") == 1).select(*g, "layer")
 
     def restrict(df: DataFrame, layers: DataFrame) -> DataFrame:
         return (df.withColumn("layer", layer_key("param")).join(layers, on=[*g, "layer"], how="left_semi")
                 .drop("layer"))
 
-    coef = client_coefficients(weights, g, weighted, client_col).withColumnRenamed("c", "weight")
+    coef = client_coefficients(weights, g, weighted, client_col)
     sent_both, sent_half = restrict(sent, both), restrict(sent, half)
     frozen_half = restrict(frozen, half).select(*g, *CELL_KEYS_, "v")
-    ideal_both = mean_product(sent_both, weights, g, weighted, client_col)
-    ideal_half = matrix_product(
-        weighted_padded_average(sent_half, coef, g, client_col).unionByName(frozen_half), g)
-    fed = matrix_product(
-        weighted_padded_average(restrict(sent, F.broadcast(chosen.select(*g, "layer"))), weights, g, client_col)
-        .unionByName(frozen_half), g)
-    ideal = ideal_both.unionByName(ideal_half).withColumnRenamed("w", "ideal")
-    d = ideal.join(fed.withColumnRenamed("w", "fed"), on=[*g, "layer", "i", "j"], how="full_outer")
-    ide = F.coalesce(F.col("ideal"), F.lit(0.0))
-    diff = ide - F.coalesce(F.col("fed"), F.lit(0.0))
-    return (d.groupBy(*g, "layer")
-            .agg(F.sqrt(F.sum(diff * diff)).alias("num"), F.sqrt(F.sum(ide * ide)).alias("den"))
-            .select(*g, "layer", (F.col("num") / (F.col("den") + F.lit(EPS))).alias("bias")))
+    shared = weighted_padded_average(sent_half, coef.withColumnRenamed("c", "weight"), g, client_col).unionByName(frozen_half)
+    sent_avg = weighted_padded_average(restrict(sent, chosen.select(*g, "layer")), weights, g, client_col)
+    terms = (_terms(_pairs(sent_both, [*g, client_col], coef), g, True)
+             .unionByName(_terms(_pairs(shared, g), g, True))
+             .unionByName(_terms(_pairs(sent_avg.unionByName(frozen_half), g), g, False)))
+    return _bias_of(terms, g)
 
 
 def summarise_bias(per_layer: DataFrame, groups: DataFrame, group_cols: Sequence[str]) -> DataFrame:

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fedtab.session import materialize
+
 DEFAULT_BUCKET_WIDTH = 1 << 20
 
 
@@ -25,23 +27,35 @@ def int_bucket(col: str | Column, width: int = DEFAULT_BUCKET_WIDTH) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 
 
-def hex_bucket(col: str | Column, digits: int = 3) -> Column:
-    """Bucket for a hex-digest ordering key: its first ``digits`` characters."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.substring(c, 1, digits)
+def range_positions(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], pos_col: str = "pos") -> DataFrame:
+    """Add ``pos`` = 0-based rank of each row within its group by ``order``, for any ordering key.
+
+    The table is dealt out by ranges of (group, order), so the number of pieces
+    follows the number of shuffle partitions; each piece is numbered by itself and
+    a table of one row per (group, piece) says what comes before. The dealt table is
+    written once: a retried task cannot draw other ranges. ``order`` must be unique
+    within a group.
+    """
+    g = list(group_cols)
+    dealt = materialize(df.repartitionByRange(*g, *order).withColumn("_piece", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy(*g, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*g).orderBy("_piece") if g else Window.orderBy("_piece")
+    offsets = counts.select(*g, "_piece", F.coalesce(
+        F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    local = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy(*g, "_piece").orderBy(*order)) - 1)
+    out = local.join(offsets, on=[*g, "_piece"], how="inner")
+    return out.withColumn(pos_col, (F.col("_off") + F.col("_rn")).cast("long")).drop("_piece", "_rn", "_off")
 
 
 def group_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                    bucket: Column, pos_col: str = "pos", broadcast_offsets: bool = False) -> DataFrame:
+                    bucket: Column, pos_col: str = "pos") -> DataFrame:
     """Add ``pos`` = 0-based rank of each row within its group by ``order_cols``.
 
     ``order_cols`` must be unique within a group and ``bucket`` must be monotone
     in them. The window runs per (group, bucket); the offsets table has one row
-    per (group, bucket). With many small groups that table is nearly as large as
-    the data, so by default it is joined on (group, bucket): the rows are already
-    hash-partitioned on that key by the window, so only the offsets move.
-    ``broadcast_offsets`` is for callers whose groups are a bounded domain
-    (classes, a label set): then the table is groups x buckets rows.
+    per (group, bucket). It joins on (group, bucket), the key the window already
+    partitioned the rows by, so only the offsets move; AQE broadcasts them if
+    they are small.
     """
     group_cols = list(group_cols)
     b = df.withColumn("_bkt", bucket)
@@ -51,8 +65,7 @@ def group_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
                             F.coalesce(F.sum("_n").over(w_before), F.lit(0)).alias("_off"))
     w_in = Window.partitionBy(*group_cols, "_bkt").orderBy(*order_cols)
     local = b.withColumn("_rn", F.row_number().over(w_in))
-    right = F.broadcast(offsets) if broadcast_offsets else offsets
-    out = local.join(right, on=[*group_cols, "_bkt"], how="inner")
+    out = local.join(offsets, on=[*group_cols, "_bkt"], how="inner")
     return out.withColumn(pos_col, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_bkt", "_rn", "_off")
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fedtab.functions.hashing import bernoulli, seeded_digest
-from fedtab.operators.positions import group_positions, hex_bucket, int_bucket
+from fedtab.operators.positions import group_positions, int_bucket, range_positions
 
 
 def hash_bernoulli_drop(df: DataFrame, key_cols: Sequence[str], p: float, seed: int = 42) -> DataFrame:
@@ -36,29 +36,67 @@ def cohort_sample(df: DataFrame, round_col: str, id_col: str, k: int, seed: int
             .filter(F.col("pick") <= k))
 
 
+def _uniform(seed: int, *parts: str | Column) -> Column:
+    """A draw in (0, 1) from the first 13 hex digits of md5(seed:part...)."""
+    h = F.conv(F.substring(seeded_digest(seed, *parts), 1, 13), 16, 10).cast("long")
+    return (h + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+#: Attempts of the gamma draw; all are refused about once in 10^10 draws, and then it is its mode.
+ATTEMPTS = 8
+
+
+def gamma_draw(alpha: float, seed: int, *key: str) -> Column:
+    """A gamma(alpha) draw that depends on the key alone, as one column expression.
+
+    Marsaglia and Tsang's method with a fixed number of attempts, each with its own
+    md5-seeded normal (Box-Muller) and uniform; below alpha 1 the draw for
+    alpha + 1 is scaled by u ** (1 / alpha).
+    """
+    d = (alpha if alpha >= 1 else alpha + 1) - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    found = []
+    for k in range(ATTEMPTS):
+        u1, u2, u3 = (_uniform(seed, F.lit(f"{k}{x}"), *key) for x in "abc")
+        x = F.sqrt(-2.0 * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
+        t = 1.0 + F.lit(c) * x
+        v = t * t * t
+        ok = (v > 0) & (F.log(u3) < 0.5 * x * x + F.lit(d) - F.lit(d) * v + F.lit(d) * F.log(F.when(v > 0, v)))
+        found.append(F.when(ok, F.lit(d) * v))
+    g = F.coalesce(*found, F.lit(d))
+    return g if alpha >= 1 else g * F.pow(_uniform(seed, F.lit("boost"), *key), F.lit(1 / alpha))
+
+
 def dirichlet_proportions(classes: DataFrame, label_col: str, num_clients: int, alpha: float,
                           seed: int = 42) -> DataFrame:
     """#14: per class, a symmetric Dirichlet(alpha) draw over clients.
 
     Classes come from the data; the (class, client) table is classes x clients
-    numbers. Each gamma draw is seeded by (seed, class, client), so the result
-    does not depend on how Spark splits the table; normalisation is a window per class.
+    numbers. Each gamma draw depends on (seed, class, client), so the result does
+    not depend on how Spark splits the table; normalisation is a window per class.
     """
-    cells = (classes.select(F.col(label_col).cast("long").alias("label")).distinct()
-             .withColumn("client_id", F.explode(F.sequence(F.lit(0), F.lit(num_clients - 1)))))
-
-    @F.pandas_udf(T.DoubleType())
-    def gamma_draw(label: pd.Series, client: pd.Series) -> pd.Series:
-        out = np.empty(len(label))
-        for n, (lab, cli) in enumerate(zip(label.to_numpy(), client.to_numpy())):
-            rng = np.random.default_rng([seed, int(lab) & 0x7FFFFFFF, int(cli)])
-            out[n] = rng.gamma(alpha)
-        return pd.Series(out)
-
-    g = cells.withColumn("g", gamma_draw("label", "client_id"))
+    g = (classes.select(F.col(label_col).cast("int").alias("label")).distinct()
+         .withColumn("client_id", F.explode(F.sequence(F.lit(0), F.lit(num_clients - 1))))
+         .withColumn("g", gamma_draw(alpha, seed, "label", "client_id")))
     w = Window.partitionBy("label")
-    return g.select(F.col("label").cast("int").alias("label"), F.col("client_id").cast("int").alias("client_id"),
-                    (F.col("g") / F.sum("g").over(w)).alias("p"))
+    return g.select("label", F.col("client_id").cast("int").alias("client_id"), (F.col("g") / F.sum("g").over(w)).alias("p"))
+
+
+def hash_split(examples: DataFrame, proportions: DataFrame, weight_col: str = "p", seed: int = 42,
+               id_col: str = "example_id", label_col: str = "label") -> DataFrame:
+    """#15, hash mode: each row goes to the client in whose cumulative share its hash falls.
+
+    No positions and no shuffle of the rows: a class's boundaries are one small
+    array that joins on the class. Block sizes are as near to the shares as draws are.
+    """
+    bnd = cumulative_boundaries(proportions, weight_col)
+    steps = bnd.groupBy("label").agg(F.array_sort(F.collect_list(
+        F.struct((F.col("hi") / F.col("total")).alias("hi"), "client_id"))).alias("steps"), F.max("client_id").alias("last"))
+    ex = examples.select(F.col(id_col).alias("example_id"), F.col(label_col).alias("label"),
+                         _uniform(seed, F.lit("split"), id_col).alias("u"))
+    hit = F.filter("steps", lambda s: F.col("u") < s["hi"])
+    return ex.join(steps, "label").select("example_id", "label",
+                                          F.coalesce(F.get(hit, F.lit(0))["client_id"], F.col("last")).alias("client_id"))
 
 
 def cumulative_boundaries(proportions: DataFrame, weight_col: str = "p") -> DataFrame:
@@ -83,13 +121,10 @@ def proportional_split(examples: DataFrame, proportions: DataFrame, weight_col:
     The range join is bucketed: positions of class y fall in buckets of width
     ceil(n_y / K) and each client block is listed once per bucket it overlaps
     (about 2K rows per class), so a row checks about two candidate blocks instead
-    of all K. That table is classes x clients sized (parameters, not data) and
-    is broadcast; the rows are never shuffled for the join.
+    of all K. AQE broadcasts that table by its bytes, or splits a hot class.
     """
     ex = examples.select(F.col(id_col).alias("example_id"), F.col(label_col).alias("label"))
-    # groups = classes, a bounded label domain: offsets are classes x buckets rows
-    pos = group_positions(ex, ["label"], ["example_id"], bucket=int_bucket("example_id"), pos_col="rn",
-                          broadcast_offsets=True)
+    pos = group_positions(ex, ["label"], ["example_id"], bucket=int_bucket("example_id"), pos_col="rn")
     n_per_class = ex.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     bnd = cumulative_boundaries(proportions, weight_col).join(n_per_class, "label")
     integral = isinstance(proportions.schema[weight_col].dataType,
@@ -109,8 +144,8 @@ def proportional_split(examples: DataFrame, proportions: DataFrame, weight_col:
     spans = (bnd.filter(F.col("hi_pos") > F.col("lo_pos"))
              .withColumn("bkt", F.explode(F.sequence(F.expr("lo_pos div width"), F.expr("(hi_pos - 1) div width")))))
     widths = bnd.select("label", "width").distinct()
-    rows = pos.join(F.broadcast(widths), "label").withColumn("bkt", F.expr("rn div width"))
-    j = rows.join(F.broadcast(spans.select("label", "bkt", "client_id", "lo_pos", "hi_pos")),
+    rows = pos.join(widths, "label").withColumn("bkt", F.expr("rn div width"))
+    j = rows.join(spans.select("label", "bkt", "client_id", "lo_pos", "hi_pos"),
                   on=["label", "bkt"], how="inner").filter((F.col("rn") >= F.col("lo_pos")) & (F.col("rn") < F.col("hi_pos")))
     return j.select("example_id", "label", "client_id")
 
@@ -118,8 +153,7 @@ def proportional_split(examples: DataFrame, proportions: DataFrame, weight_col:
 def shuffle_within_group(df: DataFrame, group_col: str, id_col: str, seed: int = 42) -> DataFrame:
     """#16: seeded permutation of each group's rows, as 0-based ``pos``."""
     d = df.withColumn("_key", seeded_digest(seed, id_col))
-    out = group_positions(d, [group_col], ["_key", id_col], bucket=hex_bucket("_key"), pos_col="pos")
-    return out.drop("_key")
+    return range_positions(d, [group_col], [F.col("_key"), F.col(id_col)]).drop("_key")
 
 
 def cap_per_group(df: DataFrame, group_col: str, id_col: str, cap: int, seed: int = 42) -> DataFrame:

@@ -9,23 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedtab.functions.params import layer_key
-from fedtab.operators.joins import broadcast_if_small
-
 CELL_KEYS = ("param", "i", "j")
 
 
 def group_weight(meta: DataFrame, n_col: str = "n_samples", partition_cols: Sequence[str] = ()) -> DataFrame:
     """#23: w_k = n_k / sum(n) over the participating clients of the same round.
 
-    One row per (round, client): the window per round holds the round's
-    participants only (the cohort size), never the cells.
+    The total is an aggregate that joins back, so no task holds all clients.
+    """
+    out = with_total(meta, F.sum(n_col), "_total", partition_cols)
+    return out.withColumn("weight", F.col(n_col).cast("double") / F.col("_total")).drop("_total")
+
+
+def with_total(df: DataFrame, total: Column, name: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Add an aggregate over each group (over all rows without groups) to every row.
+
+    Without groups the aggregate is a scalar subquery: no join and no broadcast.
     """
-    w = Window.partitionBy(*partition_cols) if partition_cols else Window.partitionBy(F.lit(0))
-    return meta.withColumn("weight", F.col(n_col).cast("double") / F.sum(n_col).over(w))
+    g = list(group_cols)
+    if g:
+        return df.join(df.groupBy(*g).agg(total.alias(name)), on=g, how="inner")
+    return df.withColumn(name, df.agg(total.alias(name)).scalar())
 
 
 def weighted_padded_average(cells: DataFrame, weights: DataFrame, group_cols: Sequence[str] = (),
@@ -38,9 +45,8 @@ def weighted_padded_average(cells: DataFrame, weights: DataFrame, group_cols: Se
     shuffles once on (group, param, i, j) after a map-side partial sum.
     """
     g = list(group_cols)
-    # one weight row per (round, client): broadcast when the size check allows, so
-    # a client holding a third of all cells is never a single shuffle partition
-    w = broadcast_if_small(weights.select(*g, client_col, "weight"))
+    # one weight row per (round, client): AQE broadcasts it by its bytes, or splits a hot client
+    w = weights.select(*g, client_col, "weight")
     joined = cells.join(w, on=[*g, client_col], how="inner")
     return (joined.groupBy(*g, *CELL_KEYS)
             .agg(F.sum(F.col("weight") * F.col("v")).alias("v")))
@@ -68,9 +74,8 @@ def state_overlay(local: DataFrame, global_: DataFrame, group_cols: Sequence[str
 
 def key_presence_filter(cells: DataFrame, other: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """#20: keep parameters whose name exists on the other side (left-semi join)."""
-    # distinct parameter names (model-sized): broadcast after the size check, so a
-    # parameter holding a third of all cells is never one shuffle partition
-    keys = broadcast_if_small(other.select(*group_cols, "param").distinct())
+    # distinct parameter names: AQE broadcasts them by their bytes, or splits a hot parameter
+    keys = other.select(*group_cols, "param").distinct()
     return cells.join(keys, on=[*group_cols, "param"], how="left_semi")
 
 
@@ -90,8 +95,9 @@ def global_as_of(sent: DataFrame, weights: DataFrame, run_cols: Sequence[str], l
     A parameter is replaced whole, so a later, smaller shape never keeps stale cells."""
     g = list(run_cols)
     avg = weighted_padded_average(sent, weights, [*g, "round"], client_col)
-    offered = avg.withColumn("_as_of", F.explode(F.sequence(F.col("round"), F.lit(last_round))))
-    # one row per (run, as-of round, param): bounded by rounds x parameters
+    # the latest round is found on names, one row per (run, round, param); only then do cells join
+    names = sent.select(*g, "round", "param").distinct()
+    offered = names.withColumn("_as_of", F.explode(F.sequence(F.col("round"), F.lit(last_round))))
     latest = offered.groupBy(*g, "_as_of", "param").agg(F.max("round").alias("round"))
-    return (offered.join(latest, on=[*g, "_as_of", "param", "round"], how="left_semi")
+    return (avg.join(latest, on=[*g, "round", "param"])
             .select(*g, F.col("_as_of").alias("round"), *CELL_KEYS, "v"))

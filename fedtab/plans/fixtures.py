@@ -65,9 +65,7 @@ def v_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 def v_vec(spark: SparkSession, sf: str) -> DataFrame:
     emb = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    # groups = the label set (clients): a bounded domain, so the offsets are broadcast
-    ranked = group_positions(emb, ["label"], ["vec_id"], bucket=int_bucket("vec_id"), pos_col="rn",
-                             broadcast_offsets=True)
+    ranked = group_positions(emb, ["label"], ["vec_id"], bucket=int_bucket("vec_id"), pos_col="rn")
     return ranked.select(
         F.col("label").alias("client_id"), client_rank("label").alias("rank"), "rn",
         F.posexplode("embedding").alias("pos", "x"),
@@ -131,10 +129,13 @@ def v_layers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    e = F.col("embedding")
+    """Four logits from the whole vector: logit k sums the values at positions k, k + 4, k + 8, ..."""
+    def logit(k: int) -> F.Column:
+        own = F.filter("embedding", lambda x, i: i % 4 == k)
+        return F.aggregate(own, F.lit(0.0), lambda a, x: a + x.cast("double"))
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("example_id"), (F.col("label") % 4).cast("int").alias("label"),
-        F.array(*[e[k].cast("double") for k in range(4)]).alias("logits"))
+        F.array(*[logit(k) for k in range(4)]).alias("logits"))
 
 
 def v_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,6 +145,25 @@ def v_features(spark: SparkSession, sf: str) -> DataFrame:
         F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
+def v_held_out(spark: SparkSession, sf: str) -> DataFrame:
+    """The test split of the vectors (#1's hash split), for evaluation only."""
+    from fedtab.functions.hashing import bernoulli
+    return table(spark, sf, "embeddings").filter(bernoulli(SEED, 0.2, "vec_id")).select(
+        F.col("vec_id").alias("example_id"), (F.col("label") % 4).cast("int").alias("label"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+
+
+def v_checkpoint(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The parts of a full round state of the runs at alpha 10."""
+    rounds = v_round_metrics(spark, sf).filter(F.col("alpha") == 10.0)
+    g = ["method", "alpha", "round"]
+    cells = v_cells_rounds(spark, sf).withColumn("alpha", F.lit(10.0))
+    return {"cells": cells, "metrics": rounds.select(*g, "acc", "f1", "loss"), "communication": rounds.select(*g, "comm_mb"),
+            "bias": rounds.select(*g, "bias"),
+            "config": rounds.select(*g, F.concat(F.lit("clients="), F.lit(NUM_CLIENTS), F.lit(";method="), "method").alias("config"),
+                                    F.lit(SEED).alias("seed"))}
+
+
 def _method_of(user: F.Column) -> F.Column:
     return (F.when(user % 3 == 0, F.lit("standard_lora")).when(user % 3 == 1, F.lit("ffa_lora"))
             .otherwise(F.lit("rolora")))

@@ -6,6 +6,7 @@ views it needs as ``with`` CTEs (``compose`` adds them in dependency order).
 
 from __future__ import annotations
 
+import math
 import re
 
 HEAD = ("((contains(param, 'score') or contains(param, 'classifier') or contains(param, 'classification_head'))"
@@ -72,8 +73,7 @@ from v_cells group by client_id, param""",
     "v_layers": "select distinct source as layer from documents",
     "v_predictions": """
 select vec_id as example_id, cast(label % 4 as integer) as label,
-       [cast(embedding[1] as double), cast(embedding[2] as double), cast(embedding[3] as double),
-        cast(embedding[4] as double)] as logits
+       [list_sum([cast(embedding[p + 4 * q] as double) for q in range(len(embedding) // 4)]) for p in [1, 2, 3, 4]] as logits
 from embeddings""",
     "v_features": """
 select cast(label % 5 as integer) as client_id, vec_id as example_id, cast(label % 4 as integer) as y, embedding as x
@@ -104,6 +104,8 @@ select cast(user_id % 9 as integer) as run_id, event_id as line_no,
                 ', Comm: 46.', lpad(cast(event_id % 100 as varchar), 2, '0'), 'MB, Bias: 0.', lpad(cast(event_id % 1000000 as varchar), 6, '0'))
   end as line
 from events""",
+    "v_log_text": """
+select run_id, row_number() over (partition by run_id order by line_no) as line_no, line from v_run_log""",
     "v_uploads": """
 select event_id, ts, ts + to_seconds(cast(event_id * 7919 % 90000 as bigint)) as arrival_ts,
        user_id as client_id, cast(user_id % 3 + 1 as integer) as w, value as v
@@ -177,12 +179,7 @@ with cr as (
 ml as (
   select method, round, layer from cr where comp in ('lora_A', 'lora_B')
   group by method, round, layer having count(distinct comp) = 2),
-sl as (
-  select method, round, layer from (
-    select method, round, layer, row_number() over (partition by method, round order by layer) - 1 as pos,
-           count(*) over (partition by method, round) as n from ml)
-  where n <= 4 or pos = 0 or pos = floor(1 * (n - 1) / 3) or pos = floor(2 * (n - 1) / 3) or pos = n - 1),
-cs as (select cr.* from cr join sl using (method, round, layer)),
+cs as (select cr.* from cr join ml using (method, round, layer)),
 ideal as (
   select b.method, b.round, b.layer, b.i, a.j, sum(b.v * a.v * w.inv_k) as ideal
   from cs b join cs a on b.method = a.method and b.round = a.round and b.client_id = a.client_id
@@ -236,11 +233,7 @@ bl as (
   select method, round, {LAYER} as layer, count(distinct {COMP}) as nf, sum(is_sent) as ns
   from names where contains(param, 'lora_A') or contains(param, 'lora_B') group by method, round, {LAYER}),
 measured as (select * from bl where nf = 2 and ns >= 1),
-chosen as (
-  select method, round, layer, ns from (
-    select *, row_number() over (partition by method, round order by layer) - 1 as pos,
-           count(*) over (partition by method, round) as n from measured)
-  where n <= 4 or pos = 0 or pos = floor(1 * (n - 1) / 3) or pos = floor(2 * (n - 1) / 3) or pos = n - 1),
+chosen as (select method, round, layer, ns from measured),
 s2 as (select s.*, c.ns from sent s join chosen c using (method, round, layer)),
 f2 as (select f.method, f.round, f.layer, f.comp, f.i, f.j, f.v from frozen f
        join chosen c on c.method = f.method and c.round = f.round and c.layer = f.layer and c.ns = 1),
@@ -280,11 +273,17 @@ select g.method, g.round, round(coalesce(avg(pl.bias), 0.0), 6) as bias, cast(co
 from g left join pl using (method, round) group by g.method, g.round"""
 
 
-def _parse_log_sql(last_block_only: bool = False) -> str:
+IS_ROUND = " and ".join(
+    [f"starts_with(line, 'Round ') and regexp_matches(line, '{ROUND_PAT}')"]
+    + [f"try_cast(regexp_extract(line, '{ROUND_PAT}', {k}) as {'integer' if k == 1 else 'double'}) is not null"
+       for k in range(1, 7)])
+
+
+def _parse_log_sql(last_block_only: bool = False, source: str = "v_run_log") -> str:
     pat = ROUND_PAT
     fields = ", ".join(
-        [f"cast(regexp_extract(line, '{pat}', 1) as integer) as round"]
-        + [f"cast(regexp_extract(line, '{pat}', {k}) as double) as {n}"
+        [f"try_cast(regexp_extract(line, '{pat}', 1) as integer) as round"]
+        + [f"try_cast(regexp_extract(line, '{pat}', {k}) as double) as {n}"
            for k, n in enumerate(["acc", "f1", "loss", "comm_mb", "bias"], start=2)])
     blocks = ""
     keep = ""
@@ -311,40 +310,146 @@ with ctx as (
                     when contains(line, '--- Method: ')
                     then trim(regexp_replace(trim(regexp_extract(line, '--- Method: (.*)', 1)), '---$', '')) end
                ignore nulls) over w as method_ctx
-  from v_run_log
+  from {source}
   window w as (partition by run_id order by line_no rows between unbounded preceding and current row)){blocks}
-select run_id, cast(alpha_block as bigint) as alpha_block, cast(alpha_txt as double) as alpha,
+select run_id, cast(alpha_block as bigint) as alpha_block, alpha_txt, try_cast(alpha_txt as double) as alpha,
        method_ctx as method, line_no, {fields}
 from ctx
-where starts_with(line, 'Round ') and regexp_matches(line, '{pat}') and alpha_block > 0
+where {IS_ROUND} and alpha_block > 0
   and method_ctx is not null and method_ctx <> ''{keep}"""
 
 
 def _stream_log_sql() -> str:
     pat = ROUND_PAT
     fields = ", ".join(
-        [f"cast(regexp_extract(line, '{pat}', 1) as integer) as round"]
-        + [f"cast(regexp_extract(line, '{pat}', {k}) as double) as {n}"
+        [f"try_cast(regexp_extract(line, '{pat}', 1) as integer) as round"]
+        + [f"try_cast(regexp_extract(line, '{pat}', {k}) as double) as {n}"
            for k, n in enumerate(["acc", "f1", "loss", "comm_mb", "bias"], start=2)])
     return f"""
 select run_id, line_no, {fields} from v_run_log
-where starts_with(line, 'Round ') and regexp_matches(line, '{pat}')"""
+where {IS_ROUND}"""
 
 
 TOKENIZE_SQL = """
-with toks as (select example_id, label, regexp_extract_all(text, '[A-Za-z]+') as t from v_examples),
+with toks as (select example_id, label, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') as t from v_examples),
 vocab as (
-  select tok, cast(row_number() over (order by cnt desc, tok) + 1 as integer) as id
-  from (select tok, count(*) as cnt from (select lower(unnest(t)) as tok from toks) group by tok
-        order by cnt desc, tok limit 5000)),
-firsts as (select example_id, unnest(t[1:128]) as tok, unnest(range(len(t[1:128]))) as pos from toks),
-ids as (select f.example_id, f.pos, coalesce(v.id, 1) as id from firsts f left join vocab v on lower(f.tok) = v.tok),
-agg as (select example_id, count(*) as n, sum(id) as s, arg_min(id, pos) as first_id, arg_max(id, pos) as last_id
-        from ids group by example_id)
-select t.example_id, t.label as labels, cast(len(t.t) as bigint) as n_words,
+  select tok, row_number() over (order by cnt desc, tok) + 1 as id
+  from (select tok, count(*) as cnt from (select unnest(t) as tok from toks) group by tok)),
+places as (select example_id, unnest(t) as tok, unnest(range(len(t))) as pos from toks),
+ids as (select p.example_id, p.pos, v.id from places p join vocab v on p.tok = v.tok),
+chunks as (select example_id, label, cast(len(t) as bigint) as n_words,
+                  unnest(range(greatest(1, (len(t) + 127) // 128))) as chunk_no from toks),
+agg as (select example_id, pos // 128 as chunk_no, count(*) as n, sum(id) as s, arg_min(id, pos) as first_id,
+               arg_max(id, pos) as last_id from ids group by example_id, pos // 128)
+select c.example_id, c.label as labels, c.n_words, c.chunk_no,
        cast(coalesce(a.n, 0) as bigint) as n_tokens, cast(128 - coalesce(a.n, 0) as bigint) as n_pad,
        cast(coalesce(a.s, 0) as bigint) as sum_ids, a.first_id, a.last_id
-from toks t left join agg a using (example_id)"""
+from chunks c left join agg a using (example_id, chunk_no)"""
+
+
+def _uniform_sql(*parts: str, seed: int = 42) -> str:
+    inner = ", ':', ".join(p if p.startswith("'") else f"cast({p} as varchar)" for p in parts)
+    h = f"substr(md5(concat('{seed}', ':', {inner})), 1, 13)"
+    return f"((cast(concat('0x', {h}) as bigint) + 0.5::double) / 4503599627370496.0::double)"
+
+
+def _gamma_sql(alpha: float, *key: str) -> str:
+    """The first accepted of eight attempts, as in the operator."""
+    d = (alpha if alpha >= 1 else alpha + 1) - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    tries = []
+    for k in range(8):
+        u1, u2, u3 = (_uniform_sql(f"'{k}{x}'", *key) for x in "abc")
+        x = f"(sqrt(-2.0::double * ln({u1})) * cos({2 * math.pi!r}::double * {u2}))"
+        v = f"pow(1.0::double + {c!r}::double * {x}, 3)"
+        tries.append(f"case when {v} > 0 and ln({u3}) < 0.5::double * {x} * {x} + {d!r}::double - {d!r}::double * {v} "
+                     f"+ {d!r}::double * ln(case when {v} > 0 then {v} end) then {d!r}::double * {v} end")
+    g = f"coalesce({', '.join(tries)}, {d!r}::double)"
+    return g if alpha >= 1 else f"({g} * pow({_uniform_sql(chr(39) + 'boost' + chr(39), *key)}, {1 / alpha!r}::double))"
+
+
+DIRICHLET_SQL = f"""
+with cells as (select label, cast(client_id as integer) as client_id from (
+  select label, unnest(range(5)) as client_id from (select distinct label from v_examples))),
+g as (select label, client_id, {_gamma_sql(0.5, 'label', 'client_id')} as g from cells)
+select label, client_id, round(g / sum(g) over (partition by label), 6) as p from g"""
+
+HASH_SPLIT_SQL = f"""
+with b as (select label, client_id, sum(p1000) over (partition by label order by client_id) as hi,
+                  sum(p1000) over (partition by label) as total from v_proportions),
+e as (select example_id, label, {_uniform_sql("'split'", 'example_id')} as u from v_examples)
+select e.example_id, e.label, (select min(b.client_id) from b where b.label = e.label
+                               and e.u < cast(b.hi as double) / b.total) as client_id
+from e"""
+
+
+def _fit_sql(steps: int = 2, mu: float = 0.01, rate: float = 0.5) -> str:
+    """Full-batch steps unrolled as CTEs: logits, softmax, gradient, new head."""
+    sql = """
+with r as (select client_id, example_id, y, unnest(range(len(x))) as j, cast(unnest(x) as double) as xj from v_features),
+n as (select client_id, count(*) as n from v_features group by client_id),
+w0 as (select client_id, class, j, 0.0::double as v from n, (select unnest(range(4)) as class), (select unnest(range(64)) as j))"""
+    for t in range(steps + 1):
+        sql += f""",
+z{t} as (select r.client_id, r.example_id, r.y, w.class, sum(r.xj * w.v) as z from r
+        join w{t} w on w.client_id = r.client_id and w.j = r.j group by r.client_id, r.example_id, r.y, w.class),
+m{t} as (select client_id, example_id, max(z) as m from z{t} group by client_id, example_id),
+s{t} as (select z.client_id, z.example_id, any_value(m.m) + ln(sum(exp(z.z - m.m))) as lse from z{t} z
+        join m{t} m using (client_id, example_id) group by z.client_id, z.example_id)"""
+        if t < steps:
+            sql += f""",
+p{t} as (select z.client_id, z.example_id, z.class, exp(z.z - s.lse) - case when z.class = z.y then 1 else 0 end as r
+        from z{t} z join s{t} s using (client_id, example_id)),
+g{t} as (select p.client_id, p.class, r.j, sum(p.r * r.xj) as g from p{t} p
+        join r on r.client_id = p.client_id and r.example_id = p.example_id group by p.client_id, p.class, r.j),
+w{t + 1} as (select w.client_id, w.class, w.j, w.v - {rate} * (g.g / n.n + {mu} * w.v) as v from w{t} w
+        join g{t} g using (client_id, class, j) join n using (client_id))"""
+    return sql + f"""
+select n.client_id, n.n as n_rows, round(ln(4.0), 6) as first_loss,
+       round((select avg(s.lse - z.z) from s{steps} s join z{steps} z on z.client_id = s.client_id
+              and z.example_id = s.example_id and z.class = z.y where s.client_id = n.client_id), 6) as last_loss,
+       round((select sum(v * v) from w{steps} w where w.client_id = n.client_id), 6) as norm2
+from n"""
+
+
+ROUND_REPORT_SQL = f"""
+with sent as (select * from v_cells_rounds where {TRANSMIT}),
+up as (select method, round, count(distinct client_id) as n_clients, count(*) as n_sent from sent group by method, round),
+wt as (select method, round, client_id, cast(n_samples as double) / sum(n_samples) over (partition by method, round) as weight
+       from (select distinct method, round, client_id from sent) join v_client_meta using (client_id)),
+av as (select method, round, param, i, j, sum(weight * v) as v from sent join wt using (method, round, client_id)
+       group by method, round, param, i, j),
+down as (select method, round, count(*) as n_avg from av group by method, round),
+ho as (select vec_id, cast(label % 4 as integer) as label, unnest(range(len(embedding))) as j, cast(unnest(embedding) as double) as xj
+       from embeddings where substr({md5_key('vec_id')}, 1, 8) < '33333333'),
+z as (select av.method, av.round, ho.vec_id, ho.label, av.i, sum(av.v * ho.xj) as z from ho
+      join av on av.j = ho.j and av.param = 'layers.0.score.weight' group by av.method, av.round, ho.vec_id, ho.label, av.i),
+sc as (select method, round, vec_id, label, arg_max(i, z) as pred, max(z) as m from z group by method, round, vec_id, label),
+ls as (select z.method, z.round, z.vec_id, sc.label, sc.pred, any_value(sc.m) + ln(sum(exp(z.z - sc.m)))
+              - sum(case when z.i = z.label then z.z else 0 end) as loss
+       from z join sc using (method, round, vec_id) group by z.method, z.round, z.vec_id, sc.label, sc.pred),
+cf as (select method, round, label, pred, count(*) as n from ls group by method, round, label, pred),
+cl as (select method, round, label as c from cf union select method, round, pred from cf),
+f1 as (select cl.method, cl.round, cl.c,
+              coalesce(sum(cf.n) filter (where cf.label = cl.c and cf.pred = cl.c), 0) as tp,
+              coalesce(sum(cf.n) filter (where cf.label = cl.c), 0) as nt, coalesce(sum(cf.n) filter (where cf.pred = cl.c), 0) as np
+       from cl join cf using (method, round) group by cl.method, cl.round, cl.c),
+ev as (select method, round, avg(case when nt + np > 0 then 2.0::double * tp / (nt + np) else 0 end) as macro_f1 from f1 group by method, round),
+ac as (select method, round, count(*) as n, avg(case when label = pred then 1.0::double else 0.0 end) as accuracy, avg(loss) as mean_loss
+       from ls group by method, round),
+rb as (select * from (BIAS) as b)
+select up.method, up.round, up.n_clients, round(up.n_sent * 4 / 1048576.0, 6) as upload_mb,
+       round(down.n_avg * 4 / 1048576.0, 6) as download_mb, round((up.n_sent + down.n_avg * up.n_clients) * 4 / 1048576.0, 6) as round_mb,
+       rb.bias, rb.n_layers_measured, ac.n as n_held_out, round(ac.accuracy, 6) as accuracy, round(ev.macro_f1, 6) as macro_f1,
+       round(ac.mean_loss, 6) as mean_loss
+from up join down using (method, round) join rb using (method, round) left join ac using (method, round) left join ev using (method, round)
+""".replace("BIAS", ROUND_BIAS_SQL.strip())
+
+CHECKPOINT_SQL = """
+with c as (select method, 10.0::double as alpha, round, count(*) as n_cells, sum(v) as sum_v from v_cells_rounds group by method, round)
+select m.method, m.alpha, m.round, c.n_cells, round(c.sum_v, 6) as sum_v, m.acc, m.f1, m.loss, m.comm_mb, m.bias,
+       concat('clients=5;method=', m.method) as config, cast(42 as integer) as seed
+from v_round_metrics m join c using (method, alpha, round)"""
 
 
 QUERIES: dict[str, str] = {
@@ -358,7 +463,13 @@ from v_examples""",
     "parse_run_log_last_block": _parse_log_sql(last_block_only=True),
     "run_log_unmatched": """
 select run_id, count(*) as n_unmatched from v_run_log
-where starts_with(line, 'Round ') and not regexp_matches(line, '{pat}') group by run_id""".replace("{pat}", ROUND_PAT),
+where starts_with(line, 'Round ') and not ({is_round}) group by run_id""".replace("{is_round}", IS_ROUND),
+    "parse_run_log_text": _parse_log_sql(source="v_log_text"),
+    "checkpoint_roundtrip": CHECKPOINT_SQL,
+    "dirichlet_proportions": DIRICHLET_SQL,
+    "hash_split": HASH_SPLIT_SQL,
+    "local_fit": _fit_sql(),
+    "round_report": ROUND_REPORT_SQL,
     "state_roundtrip": """
 select client_id, param, i, j, round(v, 6) as v from v_cells_rounds where method = 'rolora' and round = 3""",
     "tokenize_pad": TOKENIZE_SQL,
@@ -394,14 +505,16 @@ from v_assignment""",
 select client_id, example_id from (
   select client_id, example_id,
          row_number() over (partition by client_id order by {md5_key('example_id')}, example_id) as rk
-  from v_assignment) where rk <= 100""",
+  from v_assignment) where rk <= 300""",
     "label_distribution": "select * from v_label_dist",
     "label_distribution_quality": """
-select s.client_id, cast(coalesce(c.c0, 0) as bigint) as low, cast(coalesce(c.c1, 0) as bigint) as high
+select s.client_id, cast(coalesce(c.c0, 0) as bigint) as low, cast(coalesce(c.c1, 0) as bigint) as high,
+       cast(coalesce(c.c2, 0) as bigint) as unlabelled
 from (select distinct client_id from v_proportions) s
 left join (select a.client_id, sum(case when l.quality = 0 then 1 else 0 end) as c0,
-                  sum(case when l.quality = 1 then 1 else 0 end) as c1
-           from v_assignment a join labels l on l.doc_id = a.example_id group by a.client_id) c
+                  sum(case when l.quality = 1 then 1 else 0 end) as c1,
+                  sum(case when l.quality is null then 1 else 0 end) as c2
+           from v_assignment a left join labels l on l.doc_id = a.example_id group by a.client_id) c
   on s.client_id = c.client_id""",
     "quality_metrics": """
 with q as (select a.client_id, l.quality as label, 1 - l.toxic as pred
@@ -443,9 +556,9 @@ select b.layer, b.i, a.j, round(sum(b.v * a.v * w.inv_k), 6) as w
 from v_cells_c b join v_cells_c a on b.client_id = a.client_id and b.layer = a.layer and b.j = a.i
 join v_weights w on w.client_id = b.client_id
 where b.comp = 'lora_B' and a.comp = 'lora_A' group by b.layer, b.i, a.j""",
-    "aggregation_bias": _bias_sql("inv_k"),
-    "aggregation_bias_weighted": _bias_sql("weight"),
-    "aggregation_bias_all_layers": _bias_sql("inv_k", "v_cs_all"),
+    "aggregation_bias": _bias_sql("inv_k", "v_cs_all"),
+    "aggregation_bias_weighted": _bias_sql("weight", "v_cs_all"),
+    "aggregation_bias_sampled": _bias_sql("inv_k"),
     "round_bias": ROUND_BIAS_SQL,
     "round_bias_carry_frozen": CARRIED_SQL,
     "even_layer_sample": """

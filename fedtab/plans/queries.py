@@ -24,8 +24,7 @@ R6 = 6
 SEED = fx.SEED
 DROP_P = 0.2
 COHORT_K = 3
-CAP_N = 100
-VOCAB_SIZE = 5000
+CAP_N = 300
 MU = 0.01
 REF_ALPHA = 10.0
 LOW_ALPHA = 0.1
@@ -73,6 +72,28 @@ def q_run_log_unmatched(spark, sf):
     return runlog.unmatched_round_lines(fx.v_run_log(spark, sf))
 
 
+def q_parse_run_log_text(spark, sf):
+    """#3 from text files: the logs written as text, read with their line order and parsed."""
+    path = shared_dir(spark, "log_text")
+    runlog.write_log_text(fx.v_run_log(spark, sf), path)
+    return runlog.parse_run_log(runlog.read_log_text(spark, path))
+
+
+def q_checkpoint_roundtrip(spark, sf):
+    """#5/#6: the whole round state written, one run's round rewritten, all of it read back and summarised."""
+    path = shared_dir(spark, "checkpoint")
+    parts = fx.v_checkpoint(spark, sf)
+    results_io.write_checkpoint(parts, path)
+    again = {k: v.filter((F.col("method") == "rolora") & (F.col("round") == 3)) for k, v in parts.items()}
+    results_io.write_checkpoint(again, path)
+    back = results_io.read_checkpoint(spark, path)
+    g = ["method", "alpha", "round"]
+    cells = back["cells"].groupBy(*g).agg(F.count(F.lit(1)).alias("n_cells"), F.sum("v").alias("sum_v"))
+    return (cells.join(back["metrics"], g).join(back["communication"], g).join(back["bias"], g).join(back["config"], g)
+            .select("method", F.col("alpha").cast("double").alias("alpha"), F.col("round").cast("int").alias("round"), "n_cells",
+                    _r("sum_v"), "acc", "f1", "loss", "comm_mb", "bias", "config", "seed"))
+
+
 def q_state_roundtrip(spark, sf):
     path = shared_dir(spark, "round_state")
     results_io.write_round_state(fx.v_cells_rounds(spark, sf), path)
@@ -82,12 +103,12 @@ def q_state_roundtrip(spark, sf):
 
 def q_tokenize_pad(spark, sf):
     ex = fx.v_examples(spark, sf)
-    vocab = text.build_vocabulary(ex, VOCAB_SIZE)
+    vocab = text.build_vocabulary(ex)
     tok = text.tokenize_pad(ex, vocab)
     n = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
     ids = F.col("input_ids")
     return tok.select(
-        "example_id", "labels", "n_words", n.alias("n_tokens"),
+        "example_id", "labels", "n_words", "chunk_no", n.alias("n_tokens"),
         (F.lit(text.MAX_SEQ_LENGTH).cast("long") - n).alias("n_pad"),
         F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"),
         F.when(n > 0, ids[0]).alias("first_id"),
@@ -134,7 +155,13 @@ def q_cohort_sample(spark, sf):
 
 
 def q_dirichlet_proportions(spark, sf):
-    return split.dirichlet_proportions(fx.v_examples(spark, sf), "label", fx.NUM_CLIENTS, alpha=0.5, seed=SEED)
+    p = split.dirichlet_proportions(fx.v_examples(spark, sf), "label", fx.NUM_CLIENTS, alpha=0.5, seed=SEED)
+    return p.select("label", "client_id", _r("p"))
+
+
+def q_hash_split(spark, sf):
+    """#15 in hash mode: no positions, the row's hash against its class's cumulative shares."""
+    return split.hash_split(fx.v_examples(spark, sf), fx.v_proportions(spark), "p1000", SEED)
 
 
 def q_proportional_split(spark, sf):
@@ -143,7 +170,7 @@ def q_proportional_split(spark, sf):
 
 def q_cumulative_boundaries(spark, sf):
     n = fx.v_examples(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    b = split.cumulative_boundaries(fx.v_proportions(spark), "p1000").join(F.broadcast(n), "label")
+    b = split.cumulative_boundaries(fx.v_proportions(spark), "p1000").join(n, "label")
     return b.select("label", "client_id", "n",
                     F.expr("(lo * n) div total").cast("long").alias("lo_pos"),
                     F.expr("(hi * n) div total").cast("long").alias("hi_pos"))
@@ -171,8 +198,10 @@ def _quality(spark, sf):
 
 def q_label_distribution_quality(spark, sf):
     """#22 on the two-class label: clients x quality, zero-filled, every client present."""
-    q = _quality(spark, sf).select("client_id", F.col("quality").alias("label"))
-    return split.label_distribution(q, fx.v_proportions(spark), labels=[0, 1], names=["low", "high"])
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("example_id"), "quality")
+    q = (fx.v_assignment(spark, sf).join(lab, "example_id", "left")
+         .select("client_id", F.coalesce("quality", F.lit(-1)).alias("label")))
+    return split.label_distribution(q, fx.v_proportions(spark), labels=[0, 1, -1], names=["low", "high", "unlabelled"])
 
 
 def q_quality_metrics(spark, sf):
@@ -237,14 +266,15 @@ def q_mean_product(spark, sf):
     return linalg.mean_product(_cells(spark, sf), _weights(spark, sf)).select("layer", "i", "j", _r("w"))
 
 
-def q_aggregation_bias(spark, sf, weighted: bool = False, max_layers: int | None = 4):
+def q_aggregation_bias(spark, sf, weighted: bool = False, max_layers: int | None = None):
     b = linalg.aggregation_bias_layers(_cells(spark, sf), _weights(spark, sf), weighted=weighted,
                                        max_layers=max_layers)
     return b.select("layer", _r("bias"))
 
 
-def q_aggregation_bias_all_layers(spark, sf):
-    return q_aggregation_bias(spark, sf, max_layers=None)
+def q_aggregation_bias_sampled(spark, sf):
+    """#27 on an even sample of four layers (#28), asked for explicitly."""
+    return q_aggregation_bias(spark, sf, max_layers=4)
 
 
 def q_aggregation_bias_weighted(spark, sf):
@@ -394,12 +424,17 @@ def q_local_gradient(spark, sf):
 
 def q_local_fit(spark, sf):
     from fedtab.operators.fit import local_fit_summary
-    return local_fit_summary(spark, sf)
+    s = local_fit_summary(fx.v_features(spark, sf), num_classes=4, dim=64)
+    return s.select("client_id", "n_rows", _r("first_loss"), _r("last_loss"), _r("norm2"))
 
 
-def q_federated_round(spark, sf):
-    from fedtab.plans.round_job import run_rounds
-    return run_rounds(spark, sf, method="standard_lora", rounds=2)
+def q_round_report(spark, sf):
+    """#47: what the clients sent, averaged, measured and evaluated on the held-out vectors."""
+    from fedtab.plans.round_report import round_report
+    sent = fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round"))
+    report_ = round_report(sent, fx.v_client_meta(spark, sf), fx.v_held_out(spark, sf))
+    return report_.select("method", "round", "n_clients", _r("upload_mb"), _r("download_mb"), _r("round_mb"), _r("bias"),
+                          "n_layers_measured", "n_held_out", _r("accuracy"), _r("macro_f1"), _r("mean_loss"))
 
 
 # ---------------------------------------------------------------- streaming
@@ -412,7 +447,8 @@ def q_stream_log_rounds(spark, sf):
 
 def q_stream_log_with_context(spark, sf):
     from fedtab.streaming.log_context_stream import stream_log_with_context
-    return stream_log_with_context(spark, fx.v_run_log(spark, sf))
+    out = stream_log_with_context(spark, fx.v_run_log(spark, sf), rows_per_slice=2000)
+    return out.select("run_id", "alpha_block", "alpha_txt", "alpha", "method", "line_no", *runlog.ROUND_FIELDS)
 
 
 def q_stream_round_average(spark, sf):
@@ -427,6 +463,8 @@ QUERIES: dict[str, Query] = {
     "parse_run_log": q_parse_run_log,
     "parse_run_log_last_block": q_parse_run_log_last_block,
     "run_log_unmatched": q_run_log_unmatched,
+    "parse_run_log_text": q_parse_run_log_text,
+    "checkpoint_roundtrip": q_checkpoint_roundtrip,
     "state_roundtrip": q_state_roundtrip,
     "tokenize_pad": q_tokenize_pad,
     "param_component": q_param_component,
@@ -437,6 +475,7 @@ QUERIES: dict[str, Query] = {
     "cohort_sample": q_cohort_sample,
     "dirichlet_proportions": q_dirichlet_proportions,
     "proportional_split": q_proportional_split,
+    "hash_split": q_hash_split,
     "cumulative_boundaries": q_cumulative_boundaries,
     "shuffle_within_group": q_shuffle_within_group,
     "cap_per_group": q_cap_per_group,
@@ -452,7 +491,7 @@ QUERIES: dict[str, Query] = {
     "mean_product": q_mean_product,
     "aggregation_bias": q_aggregation_bias,
     "aggregation_bias_weighted": q_aggregation_bias_weighted,
-    "aggregation_bias_all_layers": q_aggregation_bias_all_layers,
+    "aggregation_bias_sampled": q_aggregation_bias_sampled,
     "round_bias": q_round_bias,
     "round_bias_carry_frozen": q_round_bias_carry_frozen,
     "even_layer_sample": q_even_layer_sample,
@@ -473,7 +512,7 @@ QUERIES: dict[str, Query] = {
     "proximal_penalty": q_proximal_penalty,
     "local_gradient": q_local_gradient,
     "local_fit": q_local_fit,
-    "federated_round": q_federated_round,
+    "round_report": q_round_report,
     "stream_log_rounds": q_stream_log_rounds,
     "stream_log_with_context": q_stream_log_with_context,
     "stream_round_average": q_stream_round_average,

@@ -36,3 +36,21 @@ def read_round_state(spark: SparkSession, path: str, **partition_values) -> Data
     for k, v in partition_values.items():
         df = df.filter(df[k] == v)
     return df
+
+
+STATE_PARTS = ("cells", "metrics", "communication", "bias", "config")
+
+
+def write_checkpoint(parts: dict[str, DataFrame], path: str, partition_by: tuple[str, ...] = ("method", "alpha", "round")) -> None:
+    """#5: a full round state. ``parts`` maps each of ``STATE_PARTS`` to a table that has the partition columns:
+    parameter cells, metric, communication and bias histories, and the run's configuration with its seed.
+
+    Rewriting a round replaces that round's folders and leaves all others alone.
+    """
+    for name in STATE_PARTS:
+        write_round_state(parts[name], f"{path}/{name}", partition_by)
+
+
+def read_checkpoint(spark: SparkSession, path: str, **partition_values) -> dict[str, DataFrame]:
+    """#6: the parts of a checkpoint; equality filters on partition columns are pruned in each."""
+    return {name: read_round_state(spark, f"{path}/{name}", **partition_values) for name in STATE_PARTS}

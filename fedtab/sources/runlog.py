@@ -9,10 +9,10 @@ file with a bucketed scan, so a single huge log is not one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fedtab.operators.positions import carry_forward
+from fedtab.operators.positions import carry_forward, range_positions
 
 # The log's line formats.
 ALPHA_MARK = "Starting Alpha: "
@@ -24,16 +24,57 @@ ROUND_FIELDS = ("round", "acc", "f1", "loss", "comm_mb", "bias")
 
 
 def round_fields(line: F.Column) -> list[F.Column]:
-    """The six typed captures of a round line (stateless; also used by the stream)."""
+    """The six typed captures of a round line (stateless; shared by batch and stream).
+
+    A capture that is no number (``1.2.3``) is null, never an error."""
     cols = []
     for k, name in enumerate(ROUND_FIELDS, start=1):
         raw = F.regexp_extract(line, ROUND_PATTERN, k)
-        cols.append(raw.cast("int" if name == "round" else "double").alias(name))
+        cols.append(raw.try_cast("int" if name == "round" else "double").alias(name))
     return cols
 
 
 def is_round_line(line: F.Column) -> F.Column:
-    return line.startswith(ROUND_PREFIX) & line.rlike(ROUND_PATTERN)
+    """A round line all of whose captures are numbers."""
+    ok = line.startswith(ROUND_PREFIX) & line.rlike(ROUND_PATTERN)
+    for c in round_fields(line):
+        ok = ok & c.isNotNull()
+    return ok
+
+
+def marked(lines: DataFrame, strip_method_tail: bool = True) -> DataFrame:
+    """``lines`` (run_id, line_no, line) with what each line says by itself; the one parser of batch and stream."""
+    line = F.col("line")
+    is_alpha = line.contains(ALPHA_MARK)
+    is_method = line.contains(METHOD_MARK) & ~is_alpha
+    method = F.trim(F.regexp_extract(line, "--- Method: (.*)", 1))
+    if strip_method_tail:
+        method = F.trim(F.regexp_replace(method, "---$", ""))
+    return lines.select(
+        "run_id", "line_no", is_alpha.alias("is_alpha"), is_method.alias("is_method"),
+        F.when(is_alpha, F.trim(F.regexp_extract(line, "Starting Alpha: (.*)", 1))).alias("alpha_evt"),
+        F.when(is_alpha, F.lit("")).when(is_method, method).alias("method_evt"),
+        is_round_line(line).alias("is_round"), *round_fields(line))
+
+
+def read_log_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(run_id, line_no, line)`` of text logs under ``path/run_id=.../``, lines numbered from 1.
+
+    A log is one file, or several in order of their names; large files are split and
+    read in parallel. The order of lines is (file, start of the split, row in the split);
+    positions in sorted pieces turn it into line numbers without one task per log.
+    """
+    raw = spark.read.text(path).select(
+        "run_id", F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    numbered = range_positions(raw, ["run_id"], [F.col("_file"), F.col("_start"), F.col("_row")])
+    return numbered.select("run_id", (F.col("pos") + 1).alias("line_no"), "line")
+
+
+def write_log_text(lines: DataFrame, path: str) -> None:
+    """Write ``(run_id, line_no, line)`` as text logs, one folder per run, files in line order."""
+    (lines.repartitionByRange("run_id", "line_no").sortWithinPartitions("run_id", "line_no")
+     .select("run_id", F.col("line").alias("value")).write.partitionBy("run_id").text(path))
 
 
 def parse_run_log(lines: DataFrame, strip_method_tail: bool = True, width: int = 1 << 20,
@@ -45,21 +86,15 @@ def parse_run_log(lines: DataFrame, strip_method_tail: bool = True, width: int =
     the last alpha block counts (a later block with the same alpha drops the earlier
     block's methods entirely), and within it only the last block of each method.
     """
-    line = F.col("line")
-    is_alpha = line.contains(ALPHA_MARK)
-    is_method = line.contains(METHOD_MARK) & ~is_alpha
-    alpha_txt = F.when(is_alpha, F.trim(F.regexp_extract(line, "Starting Alpha: (.*)", 1)))
-    method_raw = F.trim(F.regexp_extract(line, "--- Method: (.*)", 1))
-    if strip_method_tail:
-        method_raw = F.trim(F.regexp_replace(method_raw, "---$", ""))
-    method_evt = F.when(is_alpha, F.lit("")).when(is_method, method_raw)
+    lines = marked(lines, strip_method_tail)
+    is_alpha, is_method = F.col("is_alpha"), F.col("is_method")
     ctx = carry_forward(
         lines, ["run_id"], "line_no",
-        values={"alpha_txt": alpha_txt, "method_ctx": method_evt},
+        values={"alpha_txt": F.col("alpha_evt"), "method_ctx": F.col("method_evt")},
         counters={"alpha_block": is_alpha, "method_block": is_method},
         width=width,
     )
-    rounds = ctx.filter(is_round_line(line) & (F.col("alpha_block") > 0)
+    rounds = ctx.filter(F.col("is_round") & (F.col("alpha_block") > 0)
                         & F.col("method_ctx").isNotNull() & (F.col("method_ctx") != ""))
     if last_block_only:
         # block tables: one row per (log, alpha value) and per (log, alpha block, method)
@@ -71,12 +106,12 @@ def parse_run_log(lines: DataFrame, strip_method_tail: bool = True, width: int =
                   .filter(F.col("alpha_block") == F.col("_last_alpha"))
                   .join(last_method, ["run_id", "alpha_block", "method_ctx"])
                   .filter(F.col("method_block") == F.col("_last_method")))
-    return rounds.select("run_id", "alpha_block", F.col("alpha_txt").cast("double").alias("alpha"),
-                         F.col("method_ctx").alias("method"), "line_no", *round_fields(line))
+    return rounds.select("run_id", "alpha_block", "alpha_txt", F.col("alpha_txt").try_cast("double").alias("alpha"),
+                         F.col("method_ctx").alias("method"), "line_no", *ROUND_FIELDS)
 
 
 def unmatched_round_lines(lines: DataFrame) -> DataFrame:
-    """Count of ``Round `` lines the record pattern rejects, per log (T16)."""
+    """Count of ``Round `` lines that give no record, per log (T16): the pattern or a number fails."""
     line = F.col("line")
-    return (lines.filter(line.startswith(ROUND_PREFIX) & ~line.rlike(ROUND_PATTERN))
+    return (lines.filter(line.startswith(ROUND_PREFIX) & ~is_round_line(line))
             .groupBy("run_id").agg(F.count(F.lit(1)).alias("n_unmatched")))

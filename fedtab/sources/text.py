@@ -1,25 +1,25 @@
 """Labelled examples (#1) and tokenise-and-pad (#7).
 
-The reference tokenises with a pretrained subword model; here the same job is
-a Spark job over the corpus: word tokens, a vocabulary of the ``vocab_size``
-most frequent tokens (ids by frequency, then token), truncation to ``max_len``
-and right padding. The vocabulary is counted over whole texts; only the ids
-past ``max_len`` are never looked up.
+The reference tokenises with a pretrained subword model and cuts texts; here the same
+job is a Spark job over the whole corpus: words of any script, a vocabulary of all
+words (ids by frequency, then word) and fixed-length chunks that together hold
+every word of a text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fedtab.functions.hashing import bernoulli
+from fedtab.operators.positions import range_positions
 
 # Fixed values of the tokenised format.
 MAX_SEQ_LENGTH = 128
 PAD_ID = 0
 UNK_ID = 1
 FIRST_WORD_ID = 2
-WORD_PATTERN = "[A-Za-z]+"
+WORD_PATTERN = r"\p{L}+"
 
 
 def scan_examples(examples: DataFrame, test_fraction: float = 0.2, seed: int = 42,
@@ -31,47 +31,45 @@ def scan_examples(examples: DataFrame, test_fraction: float = 0.2, seed: int = 4
 
 
 def words(text_col: str = "text") -> F.Column:
-    return F.regexp_extract_all(F.col(text_col), F.lit(WORD_PATTERN), F.lit(0))
+    """Lower-case words of a text; a null text has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
 
 
-def build_vocabulary(examples: DataFrame, vocab_size: int, text_col: str = "text") -> DataFrame:
-    """(token, id) for the ``vocab_size`` most frequent lower-cased word tokens.
+def build_vocabulary(examples: DataFrame, text_col: str = "text") -> DataFrame:
+    """(tok, id) of every lower-case word, numbered by falling count, then word.
 
-    Counting is a partial+final aggregation; the top-k is TakeOrderedAndProject
-    (k rows per task merged), and ids are numbered on those k rows only.
+    Counting is a partial+final aggregation; ids are positions in sorted pieces, so
+    no task holds the vocabulary.
     """
-    toks = examples.select(F.explode(words(text_col)).alias("tok")).select(F.lower("tok").alias("tok"))
-    counts = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("cnt"))
-    top = counts.orderBy(F.col("cnt").desc(), F.col("tok")).limit(vocab_size)
-    w = Window.orderBy(F.col("cnt").desc(), F.col("tok"))
-    return top.select("tok", (F.row_number().over(w) - 1 + FIRST_WORD_ID).cast("int").alias("id"))
+    counts = (examples.select(F.explode(words(text_col)).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("cnt")))
+    ranked = range_positions(counts, [], [F.col("cnt").desc(), F.col("tok")])
+    return ranked.select("tok", (F.col("pos") + FIRST_WORD_ID).alias("id"))
 
 
 def tokenize_pad(examples: DataFrame, vocab: DataFrame, max_len: int = MAX_SEQ_LENGTH,
                  id_col: str = "example_id", text_col: str = "text", label_col: str = "label") -> DataFrame:
-    """#7: ``input_ids`` (truncated to ``max_len``, right-padded with PAD_ID),
-    ``attention_mask``, ``labels``; ``text`` is dropped. Out-of-vocabulary -> UNK_ID.
+    """#7: ``(example_id, labels, n_words, chunk_no, input_ids, attention_mask)``.
 
-    The vocabulary has at most ``vocab_size`` rows (a parameter), so it is broadcast.
-    Positions past ``max_len`` are cut before the join; one regex pass per document,
-    one shuffle (by document, at most ``max_len`` small rows each).
+    Every text becomes consecutive chunks of ``max_len`` ids, the last one padded
+    right with PAD_ID; a text without words is one chunk of padding. Words that the
+    vocabulary lacks get UNK_ID. The vocabulary joins by shuffle or broadcast as AQE
+    finds by its bytes, and a frequent word is split like any hot join key; then one
+    shuffle gathers the ids of each chunk.
     """
     base = examples.select(F.col(id_col).alias("example_id"), F.col(label_col).alias("labels"),
                            words(text_col).alias("_toks"))
-    # one row per kept token; posexplode_outer keeps token-less documents as one null row
+    # one row per word; posexplode_outer keeps texts without words as one null row
     exploded = base.select("example_id", "labels", F.size("_toks").cast("long").alias("n_words"),
-                           F.posexplode_outer(F.slice("_toks", 1, max_len)).alias("pos", "tok"))
-    exploded = exploded.withColumn("tok", F.lower("tok"))
-    ided = exploded.join(F.broadcast(vocab), "tok", "left").withColumn(
-        "id", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID))))
-    seqs = ided.groupBy("example_id", "labels", "n_words").agg(
+                           F.posexplode_outer("_toks").alias("pos", "tok"))
+    ided = exploded.join(vocab, "tok", "left").withColumn(
+        "id", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID).cast("long"))))
+    chunk = F.coalesce(F.expr(f"pos div {max_len}"), F.lit(0)).cast("long")
+    seqs = ided.groupBy("example_id", "labels", "n_words", chunk.alias("chunk_no")).agg(
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("_s"))
-    out = seqs.select("example_id", "labels", "n_words", F.transform("_s", lambda s: s["id"]).alias("_ids"))
+    out = seqs.withColumn("_ids", F.transform("_s", lambda s: s["id"]))
     ids = F.col("_ids")
     n = F.size(ids)
-    pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - n)
     return out.select(
-        "example_id", "labels", "n_words",
-        F.concat(ids, pad).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n)).alias("attention_mask"),
-    )
+        "example_id", "labels", "n_words", "chunk_no",
+        F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("long"), F.lit(max_len) - n)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n)).alias("attention_mask"))

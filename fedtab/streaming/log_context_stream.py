@@ -1,17 +1,14 @@
 """Run-log parsing with context, as a stateful Structured Streaming query (#3 on a stream).
 
-Lines of each run arrive in order over many micro-batches. The alpha and method
-context of a run lives in the state store (``applyInPandasWithState`` keyed by
-run): per micro-batch, a run's new lines are sorted, the context is carried
-forward from the stored state with vectorised pandas (no per-row loop), round
-records are emitted, and the state keeps only (alpha block, alpha, method).
-A group holds one run's lines of one micro-batch, so its size is bounded by the
-trigger size, not by the log. The output equals the batch parser's.
+Lines are parsed by the batch parser's own column expressions before they reach
+the state; the state store keeps per run only what earlier lines have set
+(alpha block, alpha, method). Lines of a run arrive in order over many
+micro-batches, so a group holds one run's lines of one micro-batch. The output equals
+the batch parser's.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,72 +17,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fedtab.session import shared_dir
-from fedtab.sources.runlog import ALPHA_MARK, METHOD_MARK, ROUND_FIELDS, ROUND_PREFIX
+from fedtab.sources.runlog import ROUND_FIELDS, marked
 
-# the record pattern of the batch parser, with ASCII digits (Java's \d)
-ROUND_RE = re.compile(r"Round ([0-9]+) - Acc: ([0-9.]+), F1: ([0-9.]+), Loss: ([0-9.]+), "
-                      r"Comm: ([0-9.]+)MB, Bias: ([0-9.]+)")
-
-OUT_SCHEMA = ("run_id int, alpha_block long, alpha double, method string, line_no long, round int, "
-              "acc double, f1 double, loss double, comm_mb double, bias double")
+CONTEXT_SCHEMA = "run_id int, alpha_block long, alpha_txt string, method string, line_no long, " + ", ".join(
+    f"{c} {'int' if c == 'round' else 'double'}" for c in ROUND_FIELDS)
 STATE_SCHEMA = "alpha_block long, alpha_txt string, method_ctx string"
 
 
-def _parse_run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Carry the context over one run's new lines and keep those that are records."""
     pdf = pd.concat(list(batches), ignore_index=True).sort_values("line_no", kind="stable")
-    block0, alpha0, method0 = state.get if state.exists else (0, None, None)
-    line = pdf["line"]
-    is_alpha = line.str.contains(ALPHA_MARK, regex=False)
-    is_method = line.str.contains(METHOD_MARK, regex=False)
-    alpha_txt = line.str.extract(r"Starting Alpha: (.*)", flags=re.ASCII)[0].str.strip().where(is_alpha)
-    method_txt = (line.str.extract(r"--- Method: (.*)", flags=re.ASCII)[0].str.strip()
-                  .str.replace(r"---$", "", regex=True).str.strip())
-    method_evt = pd.Series(None, index=pdf.index, dtype=object)
-    method_evt[is_method] = method_txt[is_method]
-    method_evt[is_alpha] = ""
-    alpha_block = block0 + is_alpha.astype("int64").cumsum()
-    alpha_ctx = alpha_txt.ffill()
-    alpha_ctx = alpha_ctx.where(alpha_ctx.notna(), alpha0)
-    method_ctx = method_evt.ffill()
-    method_ctx = method_ctx.where(method_ctx.notna(), method0)
-    fields = line.str.extract(ROUND_RE)
-    keep = (line.str.startswith(ROUND_PREFIX) & fields[0].notna() & (alpha_block > 0)
-            & method_ctx.notna() & (method_ctx != ""))
-    state.update((int(alpha_block.iloc[-1]) if len(pdf) else block0,
-                  alpha_ctx.iloc[-1] if len(pdf) else alpha0,
-                  method_ctx.iloc[-1] if len(pdf) else method0))
-    out = pd.DataFrame({
-        "run_id": pdf["run_id"], "alpha_block": alpha_block, "alpha": pd.to_numeric(alpha_ctx, errors="coerce"),
-        "method": method_ctx, "line_no": pdf["line_no"],
-    })
-    for k, name in enumerate(ROUND_FIELDS):
-        out[name] = pd.to_numeric(fields[k], errors="coerce")
-    out = out[keep]
-    yield out.astype({"run_id": "int32", "alpha_block": "int64", "line_no": "int64", "round": "int32"})
+    block, alpha, method = state.get if state.exists else (0, None, None)
+    pdf["alpha_block"] = block + pdf["is_alpha"].astype("int64").cumsum()
+    pdf["alpha_txt"] = pdf["alpha_evt"].ffill()
+    pdf["alpha_txt"] = pdf["alpha_txt"].where(pdf["alpha_txt"].notna(), alpha)
+    pdf["method"] = pdf["method_evt"].ffill()
+    pdf["method"] = pdf["method"].where(pdf["method"].notna(), method)
+    if len(pdf):
+        state.update((int(pdf["alpha_block"].iloc[-1]), pdf["alpha_txt"].iloc[-1], pdf["method"].iloc[-1]))
+    keep = pdf["is_round"] & (pdf["alpha_block"] > 0) & pdf["method"].notna() & (pdf["method"] != "")
+    out = pdf.loc[keep, ["run_id", "alpha_block", "alpha_txt", "method", "line_no", *ROUND_FIELDS]]
+    yield out.astype({"run_id": "int32", "round": "int32"})
 
 
 def parse_log_stream(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("run_id").applyInPandasWithState(
-        _parse_run, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    rounds = marked(lines).groupBy("run_id").applyInPandasWithState(
+        _carry, CONTEXT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return rounds.withColumn("alpha", F.col("alpha_txt").try_cast("double"))
+
 
+def land_in_line_order(lines: DataFrame, path: str, rows_per_slice: int = 1 << 20) -> None:
+    """Test harness: land the log lines in line order, one commit per slice, as growing logs would.
 
-def land_in_line_order(lines: DataFrame, path: str, n_slices: int = 6) -> None:
-    """Test harness: land the log lines in line order, one commit per slice (a file
-    per commit), as a growing log would. Only the max line number reaches the driver."""
-    top = lines.agg(F.max("line_no")).collect()[0][0] or 0
-    width = top // n_slices + 1
-    keyed = lines.withColumn("_slice", (F.col("line_no") / F.lit(width)).cast("long"))
-    for k in range(n_slices):
-        keyed.filter(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    One partitioned write sorts the lines into slices of line numbers; each slice is then
+    appended with its natural partitioning, a run's lines of it in one file. Only the
+    largest line number reaches the driver.
+    """
+    stage = f"{path}-staged"
+    (lines.withColumn("_slice", F.expr(f"line_no div {rows_per_slice}")).repartition("_slice", "run_id")
+     .write.partitionBy("_slice").parquet(stage))
+    spark = lines.sparkSession
+    staged = spark.read.parquet(stage)
+    for r in staged.select("_slice").distinct().orderBy("_slice").toLocalIterator():
+        staged.filter(F.col("_slice") == r["_slice"]).drop("_slice").repartition("run_id").write.mode("append").parquet(path)
 
 
-def stream_log_with_context(spark: SparkSession, lines: DataFrame, files_per_trigger: int = 2) -> DataFrame:
+def stream_log_with_context(spark: SparkSession, lines: DataFrame, files_per_trigger: int = 16,
+                            rows_per_slice: int = 1 << 20) -> DataFrame:
     base = shared_dir(spark, "log_context_stream")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    land_in_line_order(lines, src)
+    land_in_line_order(lines, src, rows_per_slice)
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
-    q = (parse_log_stream(stream).writeStream.format("parquet").outputMode("append")
+    parsed = parse_log_stream(stream)
+    q = (parsed.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start(sink))
     q.awaitTermination()
-    return spark.read.schema(OUT_SCHEMA).parquet(sink)
+    return spark.read.schema(parsed.schema).parquet(sink)

@@ -30,19 +30,22 @@ def windowed_uploads(uploads: DataFrame) -> DataFrame:
                  F.sum(F.col("w") * F.col("v")).alias("sum_wv")))
 
 
-def arrival_slices(uploads: DataFrame, slice_seconds: int = 5 * 86400) -> tuple[DataFrame, list[int]]:
-    """Uploads keyed by arrival slice, and the sorted slice ids (only ids reach the driver)."""
+def stage_by_arrival(uploads: DataFrame, path: str, slice_seconds: int = 5 * 86400) -> list[int]:
+    """Write the uploads once, one folder per arrival slice, and return the slices in order (only ids reach the driver)."""
     sl = F.floor(F.unix_timestamp("arrival_ts") / F.lit(slice_seconds)).cast("long")
-    keyed = uploads.withColumn("_slice", sl)
-    return keyed, sorted(r[0] for r in keyed.select("_slice").distinct().collect())
+    uploads.withColumn("_slice", sl).write.mode("overwrite").partitionBy("_slice").parquet(path)
+    ids = uploads.sparkSession.read.parquet(path).select("_slice").distinct().orderBy("_slice")
+    return [r["_slice"] for r in ids.toLocalIterator()]
 
 
-def land_in_arrival_order(uploads: DataFrame, path: str, slice_ids: list[int] | None = None) -> None:
-    """Test harness: land the uploads as files in arrival order, one commit per
-    arrival slice, as a live source would."""
-    keyed, ids = arrival_slices(uploads)
-    for k in (ids if slice_ids is None else slice_ids):
-        keyed.filter(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+def land_in_arrival_order(spark: SparkSession, staged: str, path: str, slice_ids: list[int]) -> None:
+    """Test harness: append staged slices to the source in arrival order, one commit per slice, as a live source would.
+
+    A slice is read by its folder alone and keeps its natural partitioning.
+    """
+    rows = spark.read.parquet(staged)
+    for k in slice_ids:
+        rows.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(path)
 
 
 def run_round_average(spark: SparkSession, src: str, sink: str, ckpt: str, schema, files_per_trigger: int = 1) -> None:
@@ -69,9 +72,10 @@ def read_round_average(spark: SparkSession, sink: str) -> DataFrame:
                         "sum_wv", (F.col("sum_wv") / F.col("sum_w")).alias("avg_v"))
 
 
-def stream_round_average(spark: SparkSession, uploads: DataFrame, files_per_trigger: int = 2) -> DataFrame:
+def stream_round_average(spark: SparkSession, uploads: DataFrame, files_per_trigger: int = 16) -> DataFrame:
     base = shared_dir(spark, "round_stream")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    land_in_arrival_order(uploads, src)
+    ids = stage_by_arrival(uploads, f"{base}/staged")
+    land_in_arrival_order(spark, f"{base}/staged", src, ids)
     run_round_average(spark, src, sink, ckpt, spark.read.parquet(src).schema, files_per_trigger)
     return read_round_average(spark, sink)

@@ -14,12 +14,12 @@ def test_round_average_survives_restart(spark):
     up = fx.v_uploads(spark, SF)
     base = shared_dir(spark, "restart-test")
     src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    _, ids = rs.arrival_slices(up)
+    ids = rs.stage_by_arrival(up, f"{base}/staged")
     half = len(ids) // 2
-    rs.land_in_arrival_order(up, src, ids[:half])
+    rs.land_in_arrival_order(spark, f"{base}/staged", src, ids[:half])
     schema = spark.read.parquet(src).schema
     rs.run_round_average(spark, src, sink, ckpt, schema)      # first run, then "crash"
-    rs.land_in_arrival_order(up, src, ids[half:])              # more uploads arrive
+    rs.land_in_arrival_order(spark, f"{base}/staged", src, ids[half:])              # more uploads arrive
     rs.run_round_average(spark, src, sink, ckpt, schema)      # restart from the checkpoint
     got = sorted((r["round_start"], r["n"], r["sum_w"], round(r["sum_wv"], 6)) for r in
                  rs.read_round_average(spark, sink).collect())

@@ -217,16 +217,12 @@ def test_log_parse_traps(spark):
 
 
 def test_local_fit_single_row_client(spark):
-    """Trap T18: a client with one row still gets its (partial) step by default."""
-    import numpy as np
-
+    """Trap T18: a client with one row trains like any other, and an empty table has no client."""
     from fedtab.operators import fit
-    rows = spark.createDataFrame([(3, "a", 1, [0.5] * 8)], "client_id int, pos string, y int, x array<double>")
-    model = {fit.PARAM_A: np.full((4, 8), 0.01), fit.PARAM_B: np.zeros((4, 4)), fit.PARAM_H: np.zeros((4, 8))}
-    out = fit.local_fit(rows, model, "standard_lora", 1, 4, 8, {3: 4}, 0.01).collect()
-    assert {r["n_steps"] for r in out} == {1}
-    dropped = fit.local_fit(rows, model, "standard_lora", 1, 4, 8, {3: 4}, 0.01, drop_tail=True).collect()
-    assert {r["n_steps"] for r in dropped} == {0}
+    rows = spark.createDataFrame([(3, 1, [0.5] * 8)], "client_id int, y int, x array<double>")
+    out = fit.local_fit_summary(rows, 4, 8).collect()
+    assert len(out) == 1 and out[0]["n_rows"] == 1 and out[0]["last_loss"] < out[0]["first_loss"]
+    assert fit.local_fit_summary(rows.limit(0), 4, 8).collect() == []
 
 
 def test_split_many_clients_matches_brute_force(spark):
@@ -254,44 +250,26 @@ def test_split_many_clients_matches_brute_force(spark):
 
 
 def test_local_fit_matches_numpy_brute_force(spark):
-    """#46 against a direct numpy epoch: mini-batches of 4, proximal term, head + low-rank factors."""
+    """#46 against direct full-batch steps in numpy, several clients at once; the loss falls for each."""
     import numpy as np
 
     from fedtab.operators import fit
     rng = np.random.default_rng(5)
-    n, d, c, r = 10, 6, 3, 2
-    x = rng.normal(size=(n, d))
-    y = rng.integers(0, c, size=n)
-    rows = spark.createDataFrame([(7, f"{k:04d}", int(y[k]), x[k].tolist()) for k in range(n)],
-                                 "client_id int, pos string, y int, x array<double>")
-    g = {fit.PARAM_A: rng.normal(size=(4, d)) * 0.1, fit.PARAM_B: rng.normal(size=(c, 4)) * 0.1,
-         fit.PARAM_H: rng.normal(size=(c, d)) * 0.1}
-    mu, lr = 0.01, fit.LEARNING_RATE
-    out = fit.local_fit(rows, g, "standard_lora", 1, c, d, {7: r}, mu).collect()
-    got = {(q["param"], q["i"], q["j"]): q["v"] for q in out}
-
-    A, B, H = g[fit.PARAM_A][:r].copy(), g[fit.PARAM_B][:, :r].copy(), g[fit.PARAM_H].copy()
-    A0, B0, H0 = A.copy(), B.copy(), H.copy()
-    for s in range(0, n, 4):
-        xb, yb = x[s:s + 4], y[s:s + 4]
-        gA, gB, gH = np.zeros_like(A), np.zeros_like(B), np.zeros_like(H)
-        for xi, yi in zip(xb, yb):
-            h = A @ xi
-            z = H @ xi + B @ h
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[yi] -= 1.0
-            gH += np.outer(p, xi) / 4
-            gB += np.outer(p, h) / 4
-            gA += np.outer(B.T @ p, xi) / 4
-        frac = len(yb) / 4
-        A = A - lr * (gA + mu * (A - A0) * frac)
-        B = B - lr * (gB + mu * (B - B0) * frac)
-        H = H - lr * (gH + mu * (H - H0) * frac)
-    for name, t in ((fit.PARAM_A, A), (fit.PARAM_B, B), (fit.PARAM_H, H)):
-        for i in range(t.shape[0]):
-            for j in range(t.shape[1]):
-                assert got[(name, i, j)] == pytest.approx(t[i, j], abs=1e-12)
+    n, d, c, mu, rate, steps = 60, 6, 3, 0.01, 0.5, 3
+    who, x, y = rng.integers(0, 4, size=n), rng.normal(size=(n, d)), rng.integers(0, c, size=n)
+    rows = spark.createDataFrame([(int(who[k]), int(y[k]), x[k].tolist()) for k in range(n)],
+                                 "client_id int, y int, x array<double>")
+    got = {r["client_id"]: np.array(r["w"]) for r in fit.local_fit(rows, c, d, steps, mu, rate).collect()}
+    for client in set(who.tolist()):
+        xs, ys, w = x[who == client], y[who == client], np.zeros((c, d))
+        for _ in range(steps):
+            z = xs @ w.T
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(ys)), ys] -= 1
+            w = w - rate * (p.T @ xs / len(ys) + mu * w)
+        assert np.allclose(got[client], w, atol=1e-12)
+    assert all(r["last_loss"] < r["first_loss"] for r in fit.local_fit_summary(rows, c, d, steps, mu, rate).collect())
 
 
 def test_round_average_stream_independent_of_batch_size(spark):
@@ -306,23 +284,113 @@ def test_round_average_stream_independent_of_batch_size(spark):
     assert all(abs(x[3] - y[3]) < 1e-9 for x, y in zip(a, b))
 
 
-def test_experiment_end_to_end(spark):
-    """The experiment program on sf0.001: CSVs written, every run summarised, and the
-    run log it prints parses back (#3) to the same per-round figures."""
-    from fedtab.plans.experiment import run_experiment
-    out = run_experiment(spark, "/root/testdata/sf0.001", alphas=(10.0, 0.1), methods=("standard_lora", "rolora"),
-                         rounds=2)
-    final = out["final_results"].collect()
-    assert {(r["method"], r["alpha"]) for r in final} == {
-        ("standard_lora", 10.0), ("rolora", 10.0), ("standard_lora", 0.1), ("rolora", 0.1)}
-    metrics = out["round_metrics"]
-    parsed = parse_run_log(out["log_lines"]).collect()
-    want = {(r["alpha"], r["method"], r["round"]): round(r["acc"], 4) for r in metrics.collect()}
-    got = {(r["alpha"], r["method"], r["round"]): r["acc"] for r in parsed}
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) <= 1.01e-4 for k in want)  # printed with 4 decimals
-    dist = spark.read.option("header", True).csv(out["base"] + "/label_dist")
-    assert dist.select("alpha").distinct().count() == 2
+def test_round_report_on_empty_input(spark):
+    """#47: no cells give an empty table of the same columns, not an error."""
+    from fedtab.plans.round_report import round_report
+    cells = spark.createDataFrame([], "method string, round int, client_id int, param string, i int, j int, v double")
+    meta = spark.createDataFrame([(0, 5)], "client_id int, n_samples long")
+    held = spark.createDataFrame([(1, 0, [1.0])], "example_id long, label int, x array<double>")
+    out = round_report(cells, meta, held)
+    assert out.collect() == [] and "accuracy" in out.columns
+
+
+def test_bad_log_lines_are_counted_not_fatal(spark, tmp_path):
+    """Numbers that are none and a text alpha: no error, counted, and alike in batch, text files and stream."""
+    from fedtab.sources.runlog import read_log_text, unmatched_round_lines, write_log_text
+    from fedtab.streaming.log_context_stream import stream_log_with_context
+    from fedtab.streaming.log_stream import stream_text_rounds
+    r = "Round {} - Acc: {}, F1: 0.1, Loss: {}, Comm: 1.0MB, Bias: 0.1"
+    lines = ["Starting Alpha: ten", "--- Method: rolora ---", r.format(1, 0.1, "1.2.3"), r.format(2, 0.2, "..."),
+             r.format(3, 0.3, "nan"), r.format(99999999999, 0.4, 0.4), r.format(5, 0.5, 0.5),
+             "Starting Alpha: 0.5", "--- Method: ffa_lora ---", r.format(1, 0.6, 0.6)]
+    df = spark.createDataFrame([(run, k, s) for run in (0, 1) for k, s in enumerate(lines)], "run_id int, line_no long, line string")
+    key = lambda out: sorted((x["run_id"], x["alpha_txt"], x["alpha"], x["method"], x["round"], x["acc"]) for x in out.collect())
+    batch = key(parse_run_log(df, width=3))
+    assert batch == [(run, *x) for run in (0, 1) for x in sorted([("ten", None, "rolora", 5, 0.5), ("0.5", 0.5, "ffa_lora", 1, 0.6)])]
+    assert {x["run_id"]: x["n_unmatched"] for x in unmatched_round_lines(df).collect()} == {0: 4, 1: 4}
+    path = str(tmp_path / "logs")
+    write_log_text(df, path)
+    read = read_log_text(spark, path)
+    assert sorted((x["run_id"], x["line_no"], x["line"]) for x in read.collect()) == [
+        (run, k + 1, s) for run in (0, 1) for k, s in enumerate(lines)]
+    assert key(parse_run_log(read, width=3)) == batch
+    for rows in (2, 3, 100):
+        assert key(stream_log_with_context(spark, df, files_per_trigger=4, rows_per_slice=rows)) == batch
+    stream_text_rounds(spark, path, str(tmp_path / "sink"), str(tmp_path / "ckpt"))
+    got = spark.read.parquet(str(tmp_path / "sink")).collect()
+    assert sorted((x["run_id"], x["acc"]) for x in got) == [(0, 0.5), (0, 0.6), (1, 0.5), (1, 0.6)]
+
+
+def test_chunks_hold_every_word(spark):
+    """#7: words of any script, all of them, in consecutive padded chunks."""
+    from fedtab.sources.text import build_vocabulary, tokenize_pad, words
+    texts = ["größe café 東京 naïve", "", None, "a b a " * 100, "1 2 |"]
+    ex = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "example_id long, text string, label int")
+    vocab = build_vocabulary(ex)
+    ids = {r["tok"]: r["id"] for r in vocab.collect()}
+    assert ids["a"] == 2 and ids["b"] == 3 and sorted(ids.values()) == list(range(2, 2 + len(ids))) and "größe" in ids
+    out = tokenize_pad(ex, vocab, max_len=16).orderBy("example_id", "chunk_no").collect()
+    want = {r["example_id"]: r["w"] for r in ex.select("example_id", words().alias("w")).collect()}
+    for k, w in want.items():
+        mine = [r for r in out if r["example_id"] == k]
+        assert [r["chunk_no"] for r in mine] == list(range(max(1, -(-len(w) // 16))))
+        assert all(len(r["input_ids"]) == len(r["attention_mask"]) == 16 for r in mine)
+        got = [i for r in mine for i, a in zip(r["input_ids"], r["attention_mask"]) if a]
+        assert got == [ids[x] for x in w] and all(r["n_words"] == len(w) for r in mine)
+
+
+def test_dirichlet_draws(spark):
+    """#14: shares are positive, sum to 1, do not depend on partitioning and have the right mean and variance."""
+    ex = spark.range(0, 4000).select(F.col("id").cast("int").alias("label"))
+    for alpha in (0.3, 4.0):
+        p = split.dirichlet_proportions(ex, "label", 5, alpha, seed=9)
+        again = split.dirichlet_proportions(ex.repartition(13), "label", 5, alpha, seed=9)
+        assert p.exceptAll(again).count() == 0
+        s = p.groupBy("label").agg(F.sum("p").alias("s"), F.min("p").alias("lo"))
+        assert s.filter((F.abs(F.col("s") - 1) > 1e-9) | (F.col("lo") < 0)).count() == 0
+        mean, var = p.agg(F.avg("p"), F.var_pop("p")).first()
+        want = (1 / 5) * (4 / 5) / (5 * alpha + 1)
+        assert mean == pytest.approx(0.2, abs=1e-9) and var == pytest.approx(want, rel=0.1)
+
+
+def test_hash_split_follows_the_shares(spark):
+    """#15, hash mode: every row once, shares near the proportions, independent of partitioning."""
+    from fedtab.plans import fixtures as fx
+    ex = spark.range(0, 40000).select(F.col("id").alias("example_id"), (F.col("id") % 4).cast("int").alias("label"))
+    out = split.hash_split(ex, fx.v_proportions(spark), "p1000")
+    assert out.count() == 40000 and out.exceptAll(split.hash_split(ex.repartition(9), fx.v_proportions(spark), "p1000")).count() == 0
+    got = {(r["label"], r["client_id"]): r["count"] / 10000 for r in out.groupBy("label", "client_id").count().collect()}
+    totals = {}
+    for lab, _, w in fx.PROPORTIONS_1000:
+        totals[lab] = totals.get(lab, 0) + w
+    assert all(abs(got.get((lab, c), 0) - w / totals[lab]) < 0.02 for lab, c, w in fx.PROPORTIONS_1000)
+
+
+def test_range_positions_equal_row_number(spark):
+    from pyspark.sql import Window
+
+    from fedtab.operators.positions import range_positions
+    df = spark.range(0, 3000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 3001).alias("k"))
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("k"))).cast("long") - 1)
+    assert range_positions(df, ["g"], [F.desc("k")]).exceptAll(want).count() == 0
+    want = df.withColumn("pos", F.row_number().over(Window.orderBy("k", "g")).cast("long") - 1)
+    assert range_positions(df, [], [F.col("k"), F.col("g")]).exceptAll(want).count() == 0
+
+
+def test_rewriting_one_round_leaves_the_others(spark):
+    """#5: the whole state; a rewritten round replaces its own folders only."""
+    from fedtab.session import shared_dir
+    from fedtab.sources import results_io as io
+    base = spark.createDataFrame([(m, 10.0, r, float(r)) for m in ("a", "b") for r in (1, 2)],
+                                 "method string, alpha double, round int, v double")
+    path = shared_dir(spark, "state-test")
+    io.write_checkpoint({k: base for k in io.STATE_PARTS}, path)
+    new = base.filter("method = 'a' and round = 2").withColumn("v", F.lit(9.0))
+    io.write_checkpoint({k: new for k in io.STATE_PARTS}, path)
+    for part in io.read_checkpoint(spark, path).values():
+        assert sorted((r["method"], r["round"], r["v"]) for r in part.collect()) == [
+            ("a", 1, 1.0), ("a", 2, 9.0), ("b", 1, 1.0), ("b", 2, 2.0)]
+    assert io.read_checkpoint(spark, path, method="b", round=1)["config"].count() == 1
 
 
 def test_log_parse_last_block_only(spark):
@@ -358,18 +426,6 @@ def test_weighted_bias_zero_with_shared_factor_mixed_ranks(spark):
     assert unweighted[0]["bias"] > 1e-3  # the code's unweighted ideal differs when sizes differ (T4)
 
 
-def test_experiment_quick_mode(spark):
-    """Quick preset: alpha 0.5 only, one round, 10 rows per client, 36 evaluation rows."""
-    from fedtab.plans.experiment import run_experiment
-    out = run_experiment(spark, "/root/testdata/sf0.001", methods=("ffa_lora",), mode="quick")
-    m = out["round_metrics"].collect()
-    assert [(r["alpha"], r["round"]) for r in m] == [(0.5, 1)]
-    acc = m[0]["acc"]
-    assert abs(acc * 36 - round(acc * 36)) < 1e-9  # accuracy over exactly 36 rows
-    train_rows = out["round_metrics"].sparkSession.read.parquet(out["base"] + "/runs/0.5/ffa_lora/clients/round=1")
-    assert train_rows.groupBy("client_id").agg({"n_rows": "max"}).collect()[0][1] <= 10
-
-
 def test_checkpoint_root_never_local_on_a_cluster():
     """On a non-local master without spark.checkpoint.dir the library refuses to write
     intermediates to a machine-local folder; with the setting it uses the shared folder."""
