@@ -43,3 +43,50 @@ targets as (
   from rated)
 select doc_id, source, size, source_size, target, copies, cast(size * copies as bigint) as taken from taken
 """
+
+_CLOSURE = """
+reach(node, other) as (
+  select node, node from nodes
+  union
+  select r.node, e.b from reach r join edges e on e.a = r.other
+), parts as (select node, min(other) as component_id from reach group by node)
+"""
+
+ORACLE["op8_rp_forest"] = f"""
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as x,
+         embedding is not null and len(embedding) > 0
+           and coalesce(list_bool_and(list_transform(embedding, lambda e: e is not null and isfinite(e))), false)
+           and coalesce(list_bool_or(list_transform(embedding, lambda e: e <> 0)), false) as ok
+  from embeddings
+), u as (select vec_id, x, sqrt(list_inner_product(x, x)) as norm from v where ok and vec_id is not null),
+edges as (
+  select p.vec_id as a, q.vec_id as b from u p join u q on p.vec_id <> q.vec_id and len(p.x) = len(q.x)
+  where list_inner_product(p.x, q.x) / (p.norm * q.norm) >= 0.9
+), nodes as (select vec_id as node from v where vec_id is not null),
+{_CLOSURE.strip()}
+select v.vec_id, cast((select count(*) from edges e where e.a = v.vec_id) as bigint) as n_links,
+       cast(p.component_id as bigint) as component_id, coalesce(v.vec_id = p.component_id, false) as kept
+from v left join parts p on p.node = v.vec_id
+"""
+
+ORACLE["op9_jaccard_join"] = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select distinct doc_id, concat_ws(' ', w[i], w[i + 1], w[i + 2]) as s
+  from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 3)
+  union all
+  select doc_id, array_to_string(w, ' ') from w where len(w) in (1, 2)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+edges as (
+  select p.doc_id as a, q.doc_id as b
+  from s p join s q on p.s = q.s and p.doc_id <> q.doc_id join n x on x.doc_id = p.doc_id join n y on y.doc_id = q.doc_id
+  group by p.doc_id, q.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), nodes as (select doc_id as node from documents),
+{_CLOSURE.strip()}
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, cast(p.component_id as bigint) as component_id
+from documents d left join n using (doc_id) left join parts p on p.node = d.doc_id
+"""
