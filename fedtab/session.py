@@ -87,11 +87,19 @@ def materialize(df, name: str):
     Used where a plan reads the same derived table many times (a bias plan reads
     its cells about eight times): the derivation runs once, later reads are
     column-pruned parquet scans, and lineage is cut (a lost executor does not
-    replay the derivation).
+    replay the derivation). The table is removed when the application ends.
     """
-    path = shared_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _remove_at_exit(spark, path)
+    return spark.read.parquet(path)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables go when the application ends; until then its plans may read them again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 _SHIPPED: set[str] = set()
