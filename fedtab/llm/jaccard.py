@@ -1,24 +1,26 @@
 """Exact n-gram Jaccard join by set-relation skipping.
 
 A document is the set of its distinct word n-grams. Two sets link when
-``100 * intersection >= percent * union``. Three kinds of skipping keep the join
-exact without listing all pairs of a posting list:
-
+``100 * intersection >= percent * union``. What is returned is every document's
+component, so pairs within one component need not be compared; no link between
+different components is lost. Skipping keeps the join exact without listing all
+pairs of a posting list:
+
+* Sets. A set with more than ``(1 - t) n`` n-grams that no other set has cannot
+  link. Counting a slice of the n-grams (those with small hashes) shows that for
+  most sets, and only the others go on. A second slice is counted among those.
 * Prefixes. Under one order of all n-grams, rare ones first, two linked sets
-  share an n-gram in their first ``n - ceil(t n) + 1``. Rarity is read from a
-  count sketch of fixed size over all documents; any order gives the same
-  links, the sketch only keeps common passages out of the lists.
+  share an n-gram in their first ``n - ceil(t n) + 1``. Rarity is read from a count
+  sketch of fixed size; any order gives the same links.
 * Index level. A list is cut into bands of set size (only a band and the next can
   link) and blocks sorted by size; a block whose sizes and positions leave too
   little overlap is skipped whole.
-* Answer level. In each list all sets are first compared with one pivot, which
-  costs as many pairs as the list has sets. A set that links to the pivot takes
-  over its component. Of the others, a pair is compared only if it lies in two
-  components and the overlaps with the pivot do not already rule it out:
-  ``|x & y| <= min(ox, oy) + min(nx - ox, ny - oy)``.
-
-What is returned is every document's component, so pairs within one component
-need not be compared; no link between different components is lost.
+* Answer level. In each list the sets are first compared with a pivot, which
+  costs as many pairs as the list has sets; a set that links to the pivot takes over
+  its component. Some rounds with other pivots follow where a list still holds
+  several components. A pair that is left is compared only if the overlaps with the
+  first pivot do not rule it out, ``|x & y| <= min(ox, oy) + min(nx - ox, ny - oy)``,
+  nor, in a long list, the histograms of the two sets' hashes.
 """
 
 from __future__ import annotations
@@ -28,16 +30,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fedtab.llm.common import connected_components
 from fedtab.session import materialize
 
-#: Buckets of the count sketch, a fixed size whatever the corpus (4 MB), and of one of its blocks.
-SKETCH, BLOCK = 1 << 20, 1 << 12
-#: Rows of a list that one task compares with each other; larger lists are dealt out in pairs of blocks.
+#: Buckets of the count sketch, a fixed size whatever the corpus (16 MB), and of one of its blocks.
+SKETCH, BLOCK = 1 << 22, 1 << 14
+_SHIFT = np.uint64(64 - 22)
+#: Rows of a list that are compared with each other in one piece; larger lists are dealt out in pairs of blocks.
 LIST_ROWS, SKIP_ROWS = 2000, 64
+#: Parts of the histogram of a set's hashes; the sum of two sets' smaller counts bounds their intersection.
+PARTS = 512
+#: Rounds of pivots before the pairs that are left are listed.
+PIVOTS = 2
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -66,48 +73,112 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(x)
 
 
+def _name(s: np.ndarray) -> int:
+    """A set's 64-bit name; with its size it tells sets apart."""
+    from xxhash import xxh3_64_intdigest
+    return xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
 def _describe(rows: DataFrame, n: int) -> DataFrame:
-    """Per document its size and digest; per task the blocks of its n-gram counts (copies in a task count once)."""
+    """``(key, hash, n, name)``: a hash of each document's text, its set's size and name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-        counts, seen = np.zeros(SKETCH, np.uint32), set()
-        kind = None
         for batch in batches:
-            kind = batch.schema.field(0).type
-            sizes, digests, new = [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t, n)
-                d = xxh3_128_digest(s.tobytes())
-                sizes.append(len(s))
-                digests.append(d)
-                if d not in seen:
-                    seen.add(d)
-                    new.append(s >> np.uint64(44))
-            if new:
-                counts += np.bincount(np.concatenate(new).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            sets = [shingle_set(t, n) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())],
-                ["key", "n", "digest", "block", "counts"])
-        if kind is not None:
-            k = SKETCH // BLOCK
+                [batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int32()),
+                 pa.array(list(map(_name, sets)), pa.int64())], ["key", "hash", "n", "name"])
+    return (rows.select("key", F.xxhash64("text").alias("hash"), "text")
+            .mapInArrow(run, "key long, hash long, n int, name long"))
+
+
+def _slice(sets: Iterator[Iterator[np.ndarray]], low: float, high: float) -> Iterator[pa.RecordBatch]:
+    """``(token, name)`` of the n-grams whose hash lies in a slice; a set that comes again in a task is left out."""
+    first, last = np.uint64(int(low * (1 << 64))), np.uint64(min((1 << 64) - 1, int(high * (1 << 64))))
+    seen: set[int] = set()
+    for batch in sets:
+        tokens, names = [], []
+        for s in batch:
+            name = _name(s)
+            if name in seen:
+                continue
+            seen.add(name)
+            part = s[np.searchsorted(s, first):np.searchsorted(s, last)]
+            tokens.append(part.view(np.int64))
+            names.append(np.full(len(part), name, np.int64))
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(names))], ["token", "name"])
+
+
+def _tokens_of_texts(rows: DataFrame, n: int, low: float, high: float) -> DataFrame:
+    return rows.select("text").mapInArrow(
+        lambda batches: _slice(((shingle_set(t, n) for t in b.column(0).to_pylist()) for b in batches), low, high),
+        "token long, name long")
+
+
+def _tokens_of_sets(sets: DataFrame, low: float, high: float) -> DataFrame:
+    return sets.select("set").mapInArrow(
+        lambda batches: _slice(((np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()) for b in batches), low, high),
+        "token long, name long")
+
+
+def _may_link(classes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """``classes`` without the sets that have too many n-grams of their own to link with any other."""
+    alone = (tokens.groupBy("token").agg(F.min("name").alias("name"), F.max("name").alias("other")).where("name = other")
+             .groupBy("name").agg(F.count(F.lit(1)).alias("alone")))
+    return (classes.join(alone, "name", "left")
+            .where(100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("n")).drop("alone"))
+
+
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """``(name, n, set)`` of texts; equal sets of a task come once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            sets = {_name(s): s for s in (shingle_set(t, n) for t in batch.column(0).to_pylist()) if len(s)}
+            new = [k for k in sets if k not in seen]
+            seen.update(new)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
-                 pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, k)], pa.binary())],
-                ["key", "n", "digest", "block", "counts"])
-    key = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {key}, n long, digest binary, block int, counts binary")
+                [pa.array(new, pa.int64()), pa.array([len(sets[k]) for k in new], pa.int32()),
+                 pa.array([sets[k].tobytes() for k in new], pa.binary())], ["name", "n", "set"])
+    return texts.select("text").mapInArrow(run, "name long, n int, set binary")
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """A block's counts, or the places and counts of those that are not 0 if that is shorter."""
+    at = np.flatnonzero(counts)
+    return counts.tobytes() if 3 * len(at) >= BLOCK else at.astype(np.uint16).tobytes() + counts[at].tobytes()
+
 
+def _add(total: np.ndarray, packed: bytes) -> None:
+    if len(packed) == BLOCK:
+        total += np.frombuffer(packed, np.uint8)
+    else:
+        k = len(packed) // 3
+        total[np.frombuffer(packed, np.uint16, k)] += np.frombuffer(packed, np.uint8, k, 2 * k)
+
+
+def _sketch(sets: DataFrame) -> np.ndarray:
+    """Counts of all sets' n-grams in an array of fixed size: summed in each task, then by block."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, any_row = np.zeros(SKETCH, np.uint32), False
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                any_row = True
+                np.add.at(counts, (np.frombuffer(x, np.uint64) >> _SHIFT).astype(np.int64), 1)
+        if any_row:
+            one = np.minimum(counts, 255).astype(np.uint8)  # common is common; the order stays one order
+            blocks = [_packed(x) for x in np.split(one, SKETCH // BLOCK)]
+            kept = [i for i, x in enumerate(blocks) if x]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([blocks[i] for i in kept], pa.binary())],
+                                             ["block", "counts"])
 
-def _sketch(described: DataFrame) -> np.ndarray:
-    """Sum of all tasks' counts, as one array of fixed size."""
     def add(block: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.uint64)
         for x in block["counts"]:
-            total += np.frombuffer(x, np.uint32)
+            _add(total, x)
         total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
         return pd.DataFrame({"block": block["block"][:1], "counts": [total.tobytes()]})
-    summed = (described.where("block is not null").select("block", "counts")
+    summed = (sets.select("set").mapInArrow(count, "block int, counts binary")
               .groupBy("block").applyInPandas(add, "block int, counts binary"))
     out = np.zeros(SKETCH, np.uint32)
     for r in summed.collect():  # SKETCH / BLOCK rows
@@ -115,47 +186,45 @@ def _sketch(described: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(rows: DataFrame, n: int, percent: int, sketch) -> DataFrame:
-    """``(token, key, n, pos)`` of every document's prefix; copies in a task come once."""
+def _histograms(sets: DataFrame) -> DataFrame:
+    """``(name, hist)``: counts of a set's hashes by their low bits; null if a count does not fit a byte."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-        counts, seen = sketch.value, set()
         for batch in batches:
-            at, tokens, size, pos = [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                s = shingle_set(t, n)
-                if not len(s) or (d := xxh3_128_digest(s.tobytes())) in seen:
-                    continue
-                seen.add(d)
-                keep = len(s) - (percent * len(s) + 99) // 100 + 1
-                # equal counts stay in the order of the hashes, so the order is the same everywhere
-                first = s[np.argsort(counts[(s >> np.uint64(44)).astype(np.int64)], kind="stable")[:keep]]
-                at.append(np.full(keep, i))
-                tokens.append(first.view(np.int64))
-                size.append(np.full(keep, len(s)))
-                pos.append(np.arange(keep))
-            if at:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), batch.column(0).take(pa.array(np.concatenate(at))),
-                     pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(pos).astype(np.int32))],
-                    ["token", "key", "n", "pos"])
-    key = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"token long, key {key}, n int, pos int")
+            out = []
+            for x in batch.column(1).to_pylist():
+                h = np.bincount((np.frombuffer(x, np.uint64) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+                out.append(h.astype(np.uint8).tobytes() if h.max() < 256 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["name", "hist"])
+    return sets.select("name", "set").mapInArrow(run, "name long, hist binary").distinct()
 
 
-def _sets(texts: DataFrame, n: int) -> DataFrame:
+def _prefixes(sets: DataFrame, percent: int, sketch) -> DataFrame:
+    """``(token, name, n, pos)`` of every set's prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
         for batch in batches:
-            sets = [shingle_set(t, n).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "set"])
-    key = texts.schema["key"].dataType.simpleString()
-    return texts.select("key", "text").mapInArrow(run, f"key {key}, set binary")
+            tokens, names, size, pos = [], [], [], []
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(x, np.uint64)
+                keep = len(s) - (percent * len(s) + 99) // 100 + 1
+                # equal counts stay in the order of the hashes, so the order is the same everywhere
+                first = s[np.argsort(counts[(s >> _SHIFT).astype(np.int64)], kind="stable")[:keep]]
+                tokens.append(first.view(np.int64))
+                names.append(np.full(keep, name, np.int64))
+                size.append(np.full(keep, len(s), np.int32))
+                pos.append(np.arange(keep, dtype=np.int32))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, names, size, pos)],
+                                                 ["token", "name", "n", "pos"])
+    return sets.select("name", "set").mapInArrow(run, "token long, name long, n int, pos int")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, overlap, na, nb)`` of pairs ``(a, b)``."""
-    both = (pairs.join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
-            .join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a")
+    """``(a, b, overlap, na, nb)`` of pairs ``(a, b)``; only the sets of the pairs are moved."""
+    ends = pairs.select("a").union(pairs.select("b")).distinct()
+    sets = sets.join(ends.hint("merge"), sets["name"] == ends["a"], "left_semi")
+    both = (pairs.join(sets.select(F.col("name").alias("b"), F.col("set").alias("sb")), "b")
+            .join(sets.select(F.col("name").alias("a"), F.col("set").alias("sa")), "a")
             .select("a", "b", "sa", "sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +240,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (common, na, nb))],
                 ["a", "b", "overlap", "na", "nb"])
-    key = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {key}, b {key}, overlap long, na long, nb long")
+    return both.mapInArrow(run, "a long, b long, overlap long, na long, nb long").distinct()
 
 
 def _least_overlap(na, nb, percent: int):
@@ -182,138 +250,227 @@ def _least_overlap(na, nb, percent: int):
 
 
 def _pairs_left(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list that lie in two components and that no bound rules out, without repeats within a task."""
-    key = lists.schema["rep"].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "pos"]).reset_index(drop=True)
-        n, pos, over = (rows[c].to_numpy(np.int64) for c in ("n", "pos", "overlap"))
-        comp, rep = rows["comp"].to_numpy(), rows["rep"].to_numpy()
-        own, side = rows["own"].to_numpy(bool), rows["side"].to_numpy()
+    """Pairs of one list that lie in two components and that no bound rules out.
+
+    Many lists share a task; each comes whole and sorted by size, a list of few
+    rows is compared along its diagonals together with all others, a longer one
+    block by block.
+    """
+    group, columns = ["token", "band", "p", "q"], ["n", "pos", "overlap", "comp", "name", "own", "side", "hist"]
+
+    def close(hist: np.ndarray, known: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs the histograms do not rule out."""
+        good = np.ones(len(i), bool)
+        for at in range(0, len(i), 4096):
+            x, y = i[at:at + 4096], j[at:at + 4096]
+            most = np.minimum(hist[x], hist[y]).sum(1, dtype=np.int64)
+            good[at:at + 4096] = (most >= _least_overlap(n[x], n[y], percent)) | ~known[x] | ~known[y]
+        return good
+
+    def keep(r: dict, i, j) -> np.ndarray:
+        """Which pairs of rows (i, j) are left to compare; row i has no more n-grams than row j."""
+        nx, ny = r["n"][i], r["n"][j]
+        need = _least_overlap(nx, ny, percent)
+        good = (np.minimum(nx - r["pos"][i], ny - r["pos"][j]) >= need) & (100 * nx >= percent * ny)
+        good &= (r["comp"][i] != r["comp"][j]) & (r["own"][i] | r["own"][j])
+        good &= ~r["cross"][i] | (r["side"][i] != r["side"][j])
+        ox, oy = r["overlap"][i], r["overlap"][j]
+        return good & ((ox < 0) | (oy < 0) | (np.minimum(ox, oy) + np.minimum(nx - ox, ny - oy) >= need))
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        r = {c: rows[c].to_numpy() for c in columns}
+        r["n"], r["pos"], r["overlap"] = (r[c].astype(np.int64) for c in ("n", "pos", "overlap"))
+        r["cross"] = rows["p"].to_numpy() != rows["q"].to_numpy()
+        keys = rows[group].to_numpy()
+        edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+        end = np.repeat(np.r_[edge[1:], len(rows)], np.diff(np.r_[edge, len(rows)]))
+        long = end - np.repeat(edge, np.diff(np.r_[edge, len(rows)])) > SKIP_ROWS
         a, b = [], []
-        starts = range(0, len(rows), SKIP_ROWS)
-        left = n - pos
-        for p in starts:
-            ps = slice(p, p + SKIP_ROWS)
-            for q in range(p, len(rows), SKIP_ROWS):
-                qs = slice(q, q + SKIP_ROWS)
-                least = percent * (n[ps][0] + n[qs][0]) / (100 + percent)
-                if 100 * n[ps][-1] < percent * n[qs][0]:
-                    break  # this block and all after it are too large for the first
-                if min(left[ps].max(), left[qs].max()) < least - 1e-9:
-                    continue
-                nx, ny = n[ps][:, None], n[qs][None, :]
-                need = _least_overlap(nx, ny, percent)
-                good = (np.minimum(left[ps][:, None], left[qs][None, :]) >= need) & (100 * nx >= percent * ny)
-                good &= comp[ps][:, None] != comp[qs][None, :]
-                good &= own[ps][:, None] | own[qs][None, :]
-                ox, oy = over[ps][:, None], over[qs][None, :]
-                known = (ox >= 0) & (oy >= 0)
-                good &= ~known | (np.minimum(ox, oy) + np.minimum(nx - ox, ny - oy) >= need)
-                if side[0] != side[-1] or (side != side[0]).any():
-                    good &= side[ps][:, None] != side[qs][None, :]
-                i, j = np.nonzero(good)
-                keep = (q > p) | (i < j)
-                a.append(rep[ps][i[keep]])
-                b.append(rep[qs][j[keep]])
-        a, b = (np.concatenate(v) if v else rep[:0] for v in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-    return (lists.groupBy("token", "band", "p", "q").applyInPandas(run, f"a {key}, b {key}").distinct())
+        short = np.flatnonzero(~long)
+        for d in range(1, SKIP_ROWS):
+            short = short[short + d < end[short]]
+            if not len(short):
+                break
+            good = keep(r, short, short + d)
+            a.append(short[good])
+            b.append(short[good] + d)
+        left = r["n"] - r["pos"]
+        for start in edge[long[edge]]:
+            stop = end[start]
+            given = rows["hist"].iloc[start:stop]
+            known = given.notna().to_numpy()
+            hist = np.zeros((stop - start, PARTS), np.uint8)
+            for k in np.flatnonzero(known):
+                hist[k] = np.frombuffer(given.iloc[k], np.uint8)
+            for p in range(start, stop, SKIP_ROWS):
+                ps = np.arange(p, min(p + SKIP_ROWS, stop))
+                for q in range(p, stop, SKIP_ROWS):
+                    qs = np.arange(q, min(q + SKIP_ROWS, stop))
+                    if 100 * r["n"][ps[-1]] < percent * r["n"][q]:
+                        break  # this block and all after it are too large for the first
+                    if min(left[ps].max(), left[qs].max()) < percent * (r["n"][p] + r["n"][q]) / (100 + percent) - 1e-9:
+                        continue
+                    i, j = np.nonzero(keep(r, ps[:, None], qs[None, :]))
+                    i, j = ps[i], qs[j]
+                    i, j = i[i < j], j[i < j]
+                    good = close(hist, known, r["n"][start:stop], i - start, j - start)
+                    a.append(i[good])
+                    b.append(j[good])
+        x, y = (r["name"][np.concatenate(v)] if v else r["name"][:0] for v in (a, b))
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            last = (rows[group].to_numpy() == rows[group].iloc[-1].to_numpy()).all(1)
+            rest = rows[last]
+            if not last.all():
+                yield pairs(rows[~last].reset_index(drop=True))
+        if rest is not None:
+            yield pairs(rest.reset_index(drop=True))
+    dealt = lists.repartition(*group).sortWithinPartitions(*group, "n", "pos").select(*group, *columns)
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id",
                        text: str = "text") -> DataFrame:
-    """``(key, n_shingles, component_id)`` for every row; the id is the least key reachable by links.
+    """``(key, text_hash, n_shingles, component_id)`` for every row; the id is the least key reachable by links.
 
-    Keys are integers. Rows with equal keys are one node. A text without words,
-    or null, has no shingles and links with nothing (its id is its own key); a
-    null key has a null id and links with nothing. An empty table gives an empty
-    one. Texts of any length are used whole.
+    Keys are integers; rows are told apart by their texts, so equal keys do no
+    harm. A text without words, or null, has no shingles and links with nothing
+    (its id is its own key); a null key has a null id and links with nothing. An
+    empty table gives an empty one. Texts of any length are used whole.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    described = materialize(_describe(rows, n), "shingle-sizes")
-    info = described.where("block is null").select("key", "n", "digest")
-    known = info.where("key is not null and n > 0")
-    sketch = spark.sparkContext.broadcast(_sketch(described))
-
-    # Equal sets are one: its least key stands for all of them.
-    classes = materialize(known.groupBy("digest").agg(F.min("key").alias("rep"), F.max("n").alias("n")), "classes")
-    reps = materialize(known.select("key", "digest").join(classes.select("digest", "rep"), "digest")
-                       .select("key", "rep").distinct(), "reps")
-
-    postings = materialize(_prefixes(rows.where("key is not null"), n, percent, sketch), "postings")
+    info = materialize(_describe(rows, n), "shingle-sizes")
+
+    # Equal sets are one; the row with the least key speaks for all of them.
+    classes = materialize(info.where("key is not null and n > 0").groupBy("name", "n")
+                          .agg(F.min("key").alias("rep")), "classes")
+    keyed = rows.where("key is not null")
+    share = min(1.0, 1.6 * (100 - percent) / 100)  # enough of a slice to tell, with room for chance
+    alive = materialize(_may_link(classes, _tokens_of_texts(keyed, n, 0.0, share), percent), "alive")
+    wanted = alive.select(F.col("rep").alias("key")).distinct()
+    # The texts of the few that are left are moved the same way whatever their number.
+    sets = materialize(_sets(keyed.join(wanted.hint("merge"), "key", "left_semi"), n), "sets")
+    own = sets.select("name", "n").distinct()
+    alive = _may_link(own, _tokens_of_sets(sets, 1.0 - share, 1.0), percent)
+    sets = materialize(sets.join(alive.select("name").hint("merge"), "name", "left_semi"), "sets-alive")
+    sketch = spark.sparkContext.broadcast(_sketch(sets))
+
+    postings = materialize(_prefixes(sets, percent, sketch).distinct(), "postings")
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    lists = (postings.join(shared, "token", "left_semi").join(reps, "key")
-             .groupBy("token", "rep", "n").agg(F.min("pos").alias("pos")))
     # Sizes of linked sets differ by a factor of at most 100 / percent: a band and the next.
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent + 0.01))).cast("int")
-    lists = lists.select("token", "rep", "n", "pos", band.alias("band"))
-    lists = (lists.withColumn("own", F.lit(True))
-             .union(lists.select("token", "rep", "n", "pos", (F.col("band") - 1).alias("band"), F.lit(False))))
+    both = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))
+    lists = (postings.join(shared, "token", "left_semi").withColumn("b", F.explode(both))
+             .select("token", "b.band", "name", "n", "pos", "b.own"))
     lists = materialize(lists, "lists")
-    pivots = (lists.groupBy("token", "band")
-              .agg(F.min(F.when(F.col("own"), F.struct("rep", "n", "pos"))).alias("pivot"),
-                   F.count(F.lit(1)).alias("c"))
-              .where("c > 1 and pivot is not null").select("token", "band", "pivot"))
-    pivots = materialize(pivots, "pivots")
 
     def fits(nx, px, ny, py):
         return ((F.least(nx - px, ny - py) >= _least_overlap(nx, ny, percent))
                 & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)))
 
-    listed = lists.join(pivots, ["token", "band"])
-    star = (listed.where((F.col("rep") != F.col("pivot.rep"))
-                         & fits(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")))
-            .select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct())
-    star = materialize(star, "star")
-
-    wanted = listed.select(F.col("rep").alias("key")).distinct()
-    sets = materialize(_sets(rows.join(wanted, "key", "left_semi"), n), "sets")
-    first = materialize(_compare(star, sets), "compared")
     linked = (100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
-    links = first.where(linked).select("a", "b")
-    parts = materialize(connected_components(links), "parts")
-
-    # Lists that still hold two components.
-    member = (listed.join(parts, listed["rep"] == parts["node"], "left")
-              .select("token", "band", "rep", "n", "pos", "own", F.col("pivot.rep").alias("pivot"),
-                      F.coalesce("component_id", "rep").alias("comp")))
-    member = materialize(member, "members")
-    mixed = (member.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo <> hi").select("token", "band"))
-    with_pivot = first.select("a", "b", "overlap").union(first.select("b", "a", "overlap"))
-    left = (member.join(mixed, ["token", "band"], "left_semi")
-            .join(with_pivot.toDF("pivot", "rep", "o"), ["pivot", "rep"], "left")
-            .withColumn("overlap", F.when(F.col("pivot") == F.col("rep"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))))
-            .join(parts.toDF("pivot", "pivot_comp"), "pivot", "left")
-            .withColumn("near", F.col("comp") == F.coalesce("pivot_comp", "pivot")))
-    left = materialize(left.select("token", "band", "rep", "n", "pos", "own", "comp", "overlap", "near"), "left")
+    done = first = links = parts = None
+    for turn in range(PIVOTS):
+        # Lists that hold two components still, and a pivot for each: in the first round the least name, then by hash.
+        members = lists.withColumn("comp", F.col("name")) if parts is None else (
+            lists.join(parts, lists["name"] == parts["node"], "left")
+            .select(*lists.columns, F.coalesce("component_id", "name").alias("comp")))
+        members = materialize(members, "members")
+        by = F.col("name") if turn == 0 else F.xxhash64("name", F.lit(turn))
+        pivot = F.min(F.when(F.col("own"), F.struct(by.alias("by"), "name", "n", "pos", "comp"))).alias("pivot")
+        pivots = (members.groupBy("token", "band").agg(pivot, F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                  .where("lo <> hi and pivot is not null").select("token", "band", "pivot"))
+        pivots = materialize(pivots, "pivots")
+        if turn == 0:
+            anchors = pivots.select("token", "band", F.col("pivot.name").alias("pivot"))
+        listed = materialize(members.join(pivots, ["token", "band"]), "listed")
+        lists = listed.select(*lists.columns)  # the other lists are done
+        star = (listed.where((F.col("comp") != F.col("pivot.comp"))
+                             & fits(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")))
+                .select(F.least("name", "pivot.name").alias("a"), F.greatest("name", "pivot.name").alias("b")).distinct())
+        star = materialize(star if done is None else star.join(done.select("a", "b"), ["a", "b"], "left_anti"), "star")
+        if star.isEmpty():
+            break
+        found = materialize(_compare(star, sets), "compared")
+        done = found if done is None else done.union(found)
+        first = found if first is None else first
+        links = done.where(linked).select("a", "b")
+        parts = materialize(connected_components(links), "parts")
+
+    if done is not None:
+        members = lists.join(parts, lists["name"] == parts["node"], "left").select(
+            *lists.columns, F.coalesce("component_id", "name").alias("comp"))
+        members = materialize(members, "members")
+        mixed = (members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                 .where("lo <> hi").select("token", "band"))
+        with_pivot = first.select("a", "b", "overlap").union(first.select("b", "a", "overlap"))
+        left = (members.join(mixed, ["token", "band"], "left_semi").join(anchors, ["token", "band"])
+                .join(with_pivot.toDF("pivot", "name", "o"), ["pivot", "name"], "left")
+                .withColumn("overlap", F.when(F.col("pivot") == F.col("name"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))))
+                .join(parts.toDF("pivot", "pivot_comp"), "pivot", "left")
+                .withColumn("near", F.col("comp") == F.coalesce("pivot_comp", "pivot")))
+        left = materialize(left.select(*lists.columns, "comp", "overlap", "near"), "left")
+        links = links.union(_links_left(left, sets, done, percent).where(linked).select("a", "b"))
+    return _components_of(info, classes, links, key)
+
+
+def _links_left(left: DataFrame, sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """Compare what the pivots have left: pairs of one list in two components that no bound rules out."""
     # A set near the pivot can only link with one that has nearly as much in common with the pivot.
     far = (left.where("not near").groupBy("token", "band")
-           .agg(F.max(F.when(F.col("overlap") >= 0, F.col("overlap")).otherwise(F.col("n"))).alias("most"),
-                F.count(F.lit(1)).alias("strangers")))
+           .agg(F.max(F.when(F.col("overlap") >= 0, F.col("overlap")).otherwise(F.col("n"))).alias("most")))
     left = (left.join(far, ["token", "band"])
             .where((~F.col("near")) | (F.col("overlap") < 0)
                    | (100 * F.col("most") >= 100 * F.col("overlap") - (100 - percent) * F.col("n")))
-            .drop("most", "strangers"))
+            .drop("most"))
     left = materialize(left, "left-bounded")
     sizes = left.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     blocks = (F.col("c") / F.lit(LIST_ROWS)).cast("int") + 1
-    mine = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
+    mine = F.pmod(F.xxhash64("name"), F.col("k")).cast("int")
     dealt = (left.join(sizes, ["token", "band"]).withColumn("k", blocks).withColumn("side", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-             .withColumn("p", F.least("side", "other")).withColumn("q", F.greatest("side", "other"))
-             .select("token", "band", "p", "q", "rep", "n", "pos", "own", "comp", "overlap", "side"))
-    more = _pairs_left(dealt, percent).join(star, ["a", "b"], "left_anti")
-    second = materialize(_compare(materialize(more, "more"), sets), "compared")
-    links = links.union(second.where(linked).select("a", "b"))
-
-    parts = connected_components(links)
-    out = (reps.join(parts, reps["rep"] == parts["node"], "left")
-           .select("key", F.coalesce("component_id", "rep").alias("component_id")))
-    # A key whose rows have several texts joins their components.
-    out = out.groupBy("key").agg(F.min("component_id").alias("component_id"))
-    found = info.join(out.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
-    return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
-                        F.coalesce("component_id", "key").alias("component_id"))
+             .withColumn("p", F.least("side", "other")).withColumn("q", F.greatest("side", "other")))
+    dealt = materialize(dealt, "dealt")
+    long = dealt.where(F.col("c") > SKIP_ROWS).select("name").distinct()
+    hists = materialize(_histograms(sets.join(long, "name", "left_semi")), "histograms")
+    dealt = (dealt.withColumn("long_name", F.when(F.col("c") > SKIP_ROWS, F.col("name")))
+             .join(hists.withColumnRenamed("name", "long_name"), "long_name", "left"))
+    more = materialize(_pairs_left(dealt, percent).join(done.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    return materialize(_compare(more, sets), "compared")
+
+
+def _components_of(info: DataFrame, classes: DataFrame, links: DataFrame | None, key: str) -> DataFrame:
+    """Every row with the least key of its set's component."""
+    least = classes.select("name", "n", F.col("rep").alias("component_id"))
+    if links is not None:
+        parts = connected_components(links)
+        named = classes.join(parts, classes["name"] == parts["node"], "left").select(
+            "name", "n", "rep", F.coalesce("component_id", "name").alias("part"))
+        named = materialize(named, "named")
+        least = named.join(named.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("name", "n", "component_id")
+    out = info.join(materialize(least, "components"), ["name", "n"], "left")
+    return out.select(F.col("key").alias(key), F.col("hash").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"),
+                      F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component is kept, with their own columns.
+
+    The one with the least key stays; of equal rows, one. Rows whose key is null
+    link with nothing and all stay.
+    """
+    parts = jaccard_components(docs, n, percent, key, text)
+    kept = (parts.where(F.col(key) == F.col("component_id")).groupBy(key, "text_hash", "component_id").agg(F.count(F.lit(1)).alias("_n"))
+            .select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "_n"))
+    kept = materialize(kept, "kept")
+    rows = docs.withColumn("_text_hash", F.xxhash64(text))
+    found = rows.join(kept, (F.col(key) == F.col("_key")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    # The join leaves equal rows together, so numbering them moves nothing.
+    turn = F.row_number().over(Window.partitionBy(key, "_text_hash").orderBy("_n"))
+    return (found.where(F.col(key).isNull() | F.col("_n").isNotNull()).withColumn("_turn", turn)
+            .where(F.col(key).isNull() | (F.col("_turn") == 1)).drop("_key", "_hash", "_n", "_text_hash", "_turn"))

@@ -72,7 +72,7 @@ def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fedtab.llm.jaccard import jaccard_components
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

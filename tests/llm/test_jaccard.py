@@ -66,8 +66,7 @@ def test_equals_brute_force(spark, seed):
     same(spark, corpus(seed, 250))
 
 
-def test_other_parameters_and_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SKIP_ROWS", 4)
+def test_other_parameters(spark):
     same(spark, corpus(3, 150), n=2, percent=70)
 
 
@@ -108,3 +107,13 @@ def test_components_of_chains_and_hubs(spark):
     edges = spark.createDataFrame([*chain, *hub, (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component_id for r in connected_components(edges).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 5 for i in range(200, 260)} | {5: 5}
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(1, "a b c d", "x"), (2, "a b c d", "y"), (3, "q r s t", "x"), (3, "q r s t", "x"), (3, "a b c d", "z"),
+            (None, "a b c d", "n"), (None, "a b c d", "n"), (5, None, "x"), (6, "", "x"), (5, None, "x")]
+    docs = spark.createDataFrame(rows, COLUMNS + ", n string")
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(1, "a b c d", "x"), (3, "q r s t", "x"), (None, "a b c d", "n"), (None, "a b c d", "n"), (5, None, "x"), (6, "", "x")], key=str)
