@@ -1,12 +1,63 @@
-"""The corpus pipeline: stages over ``documents``, each writing what the next one reads."""
+"""The corpus pipeline: stages over ``documents``, each writing what the next one reads.
+
+Junk goes, one document of each group of near copies stays, personal data is
+replaced, sources are brought to their target weights and what is left is encoded.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fedtab.llm import bpe, jaccard, mixing, pii, weak_quality
 from fedtab.session import materialize, ship_package, table
 
-STAGES: list = []
+#: Near copies: word 5-grams, at least 80 of 100 in common.
+SHINGLE, PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label quality classifier does not reject."""
+    ship_package(spark)
+    return weak_quality.keep_good(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of the n-gram Jaccard join."""
+    ship_package(spark)
+    return jaccard.one_of_each(docs, SHINGLE, PERCENT)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data replaced by its kind; ``n_chars`` follows the new text."""
+    ship_package(spark)
+    out = pii.redact(docs, pii.fit(docs))
+    if "n_chars" in docs.columns:
+        changed = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(changed))
+    return out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated until every source has about its target of words."""
+    ship_package(spark)
+    return mixing.emit_mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document: ``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit)."""
+    ship_package(spark)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("PII", personal_data),
+    ("mixing sources", mix),
+    ("byte-level BPE", tokens),
+]
 
 #: Two stages fit models by expectation-maximisation, which SQL cannot express; tests use brute force.
 ORACLE_SQL = None
