@@ -31,7 +31,7 @@ class Forest:
     the expected vectors on which one node's split points are fitted. A leaf above ``oversize`` times ``leaf``
     rows is split again; after so many ``passes`` it is compared in blocks of ``block`` rows."""
 
-    trees: int = 12
+    trees: int = 16
     leaf: int = 400
     spill: float = 0.04
     sample: int = 16384
