@@ -29,7 +29,7 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def ranked(df: DataFrame, order_col: str, rank_col: str) -> DataFrame:
-    """Add the 0-based rank by ``order_cols`` (unique values, null last) without one sorting task.
+    """Add the 0-based rank by ``order_col`` (unique values, null last) without one sorting task.
 
     Range partitions are sorted each on its own; a table of one row per
     partition says how many rows come before it.
