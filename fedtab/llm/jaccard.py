@@ -73,6 +73,12 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(x)
 
 
+def _rows(column: pa.Array) -> Iterator:
+    """Values of a column, a few rows at a time as Python objects."""
+    for i in range(0, len(column), 128):
+        yield from column.slice(i, 128).to_pylist()
+
+
 def _name(s: np.ndarray) -> int:
     """A set's 64-bit name; with its size it tells sets apart."""
     from xxhash import xxh3_64_intdigest
@@ -83,10 +89,14 @@ def _describe(rows: DataFrame, n: int) -> DataFrame:
     """``(key, hash, n, name)``: a hash of each document's text, its set's size and name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, n) for t in batch.column(2).to_pylist()]
+            sizes, names = [], []
+            for t in _rows(batch.column(2)):
+                s = shingle_set(t, n)
+                sizes.append(len(s))
+                names.append(_name(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int32()),
-                 pa.array(list(map(_name, sets)), pa.int64())], ["key", "hash", "n", "name"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(names, pa.int64())],
+                ["key", "hash", "n", "name"])
     return (rows.select("key", F.xxhash64("text").alias("hash"), "text")
             .mapInArrow(run, "key long, hash long, n int, name long"))
 
@@ -111,13 +121,13 @@ def _slice(sets: Iterator[Iterator[np.ndarray]], low: float, high: float) -> Ite
 
 def _tokens_of_texts(rows: DataFrame, n: int, low: float, high: float) -> DataFrame:
     return rows.select("text").mapInArrow(
-        lambda batches: _slice(((shingle_set(t, n) for t in b.column(0).to_pylist()) for b in batches), low, high),
+        lambda batches: _slice(((shingle_set(t, n) for t in _rows(b.column(0))) for b in batches), low, high),
         "token long, name long")
 
 
 def _tokens_of_sets(sets: DataFrame, low: float, high: float) -> DataFrame:
     return sets.select("set").mapInArrow(
-        lambda batches: _slice(((np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()) for b in batches), low, high),
+        lambda batches: _slice(((np.frombuffer(x, np.uint64) for x in _rows(b.column(0))) for b in batches), low, high),
         "token long, name long")
 
 
@@ -134,7 +144,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sets = {_name(s): s for s in (shingle_set(t, n) for t in batch.column(0).to_pylist()) if len(s)}
+            sets = {_name(s): s for s in (shingle_set(t, n) for t in _rows(batch.column(0))) if len(s)}
             new = [k for k in sets if k not in seen]
             seen.update(new)
             yield pa.RecordBatch.from_arrays(
@@ -162,7 +172,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, any_row = np.zeros(SKETCH, np.uint32), False
         for batch in batches:
-            for x in batch.column(0).to_pylist():
+            for x in _rows(batch.column(0)):
                 any_row = True
                 np.add.at(counts, (np.frombuffer(x, np.uint64) >> _SHIFT).astype(np.int64), 1)
         if any_row:
@@ -191,7 +201,7 @@ def _histograms(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x in batch.column(1).to_pylist():
+            for x in _rows(batch.column(1)):
                 h = np.bincount((np.frombuffer(x, np.uint64) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
                 out.append(h.astype(np.uint8).tobytes() if h.max() < 256 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["name", "hist"])
@@ -204,7 +214,7 @@ def _prefixes(sets: DataFrame, percent: int, sketch) -> DataFrame:
         counts = sketch.value
         for batch in batches:
             tokens, names, size, pos = [], [], [], []
-            for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, x in zip(_rows(batch.column(0)), _rows(batch.column(1)), strict=True):
                 s = np.frombuffer(x, np.uint64)
                 keep = len(s) - (percent * len(s) + 99) // 100 + 1
                 # equal counts stay in the order of the hashes, so the order is the same everywhere
@@ -230,7 +240,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common, na, nb = [], [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(_rows(batch.column(2)), _rows(batch.column(3)), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 joined = np.concatenate((x, y))
                 joined.sort(kind="stable")  # two sorted runs: one merge

@@ -37,12 +37,11 @@ BELIEF = 5.0
 LEAST = 0.5
 #: Words below which the labellers of shares do not vote.
 ENOUGH = 20
-MEMO = 400_000
+MEMO = 100_000
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = ("the of and to in is that for it with as was on be by this are from at or an der die das und den von zu mit "
                   "sich des auf nicht ein eine dem le la les des et en un une du que qui dans pour par de el los y se las")
 LABELLERS = ("symbols", "capitals", "variety", "function_words", "lines", "exclamations", "neighbours")
-_MEMOS: dict = {}
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -217,12 +216,13 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score
     at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _MEMOS.setdefault("buckets", _Buckets())
+        memo = _Buckets()
         for batch in batches:
-            if len(memo) > MEMO:
-                memo.clear()
-            texts = batch.column(at)
-            parts = [shared.value.score(texts[i:i + 512].to_pylist(), memo) for i in range(0, len(texts), 512)]
+            texts, parts = batch.column(at), []
+            for i in range(0, len(texts), 128):
+                if len(memo) > MEMO:
+                    memo.clear()
+                parts.append(shared.value.score(texts[i:i + 128].to_pylist(), memo))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else [], pa.float64())],
                                              [*batch.schema.names, out])
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, DoubleType())]))
