@@ -40,11 +40,11 @@ from fedtab.session import materialize
 SKETCH, BLOCK = 1 << 22, 1 << 14
 _SHIFT = np.uint64(64 - 22)
 #: Rows of a list that are compared with each other in one piece; larger lists are dealt out in pairs of blocks.
-LIST_ROWS, SKIP_ROWS = 2000, 64
+LIST_ROWS, SKIP_ROWS = 2000, 16
 #: Parts of the histogram of a set's hashes; the sum of two sets' smaller counts bounds their intersection.
 PARTS = 512
-#: Rounds of pivots before the pairs that are left are listed.
-PIVOTS = 2
+#: Most rounds of pivots before the pairs that are left are listed; a round without a link is the last.
+PIVOTS = 6
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -229,10 +229,13 @@ def _prefixes(sets: DataFrame, percent: int, sketch) -> DataFrame:
     return sets.select("name", "set").mapInArrow(run, "token long, name long, n int, pos int")
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, overlap, na, nb)`` of pairs ``(a, b)``; only the sets of the pairs are moved."""
+def _compare(pairs: DataFrame, sets: DataFrame, many: bool = False) -> DataFrame:
+    """``(a, b, overlap, na, nb)`` of pairs ``(a, b)``; only the sets of the pairs are moved.
+
+    ``many``: the pairs' sets are dealt out by name even where their list is small.
+    """
     ends = pairs.select("a").union(pairs.select("b")).distinct()
-    sets = sets.join(ends.hint("merge"), sets["name"] == ends["a"], "left_semi")
+    sets = sets.join(ends.hint("merge") if many else ends, sets["name"] == ends["a"], "left_semi")
     both = (pairs.join(sets.select(F.col("name").alias("b"), F.col("set").alias("sb")), "b")
             .join(sets.select(F.col("name").alias("a"), F.col("set").alias("sa")), "a")
             .select("a", "b", "sa", "sb"))
@@ -406,9 +409,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str
         star = materialize(star if done is None else star.join(done.select("a", "b"), ["a", "b"], "left_anti"), "star")
         if star.isEmpty():
             break
-        found = materialize(_compare(star, sets), "compared")
+        found = materialize(_compare(star, sets, many=turn == 0), "compared")
         done = found if done is None else done.union(found)
         first = found if first is None else first
+        if turn and found.where(linked).isEmpty():
+            break
         links = done.where(linked).select("a", "b")
         parts = materialize(connected_components(links), "parts")
 
