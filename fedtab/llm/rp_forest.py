@@ -7,6 +7,12 @@ vectors of one leaf are compared, exactly, and the links of all trees are united
 Trees grow in passes of several levels. A pass fits the split points of a
 node on a bounded sample of its vectors, in one grouped task per node, and then sends *every* vector down; nodes that are still too large
 are split in another pass. Directions come from a seed, so only split points travel.
+
+A group of near vectors that is larger than a leaf would be cut through by every
+split at the median. The fit therefore measures on the node's sample how many links
+of such crowded vectors a split separates: it moves the split to the nearest place
+that keeps them, and a node in which many pairs link and no place does is settled,
+not split any more. Its pairs are all compared, in blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +35,11 @@ SEED = 11
 class Forest:
     """``spill``: share of a node's vectors on each side of a split that go to both sides. ``sample``: bound on
     the expected vectors on which one node's split points are fitted. A leaf above ``oversize`` times ``leaf``
-    rows is split again; after so many ``passes`` it is compared in blocks of ``block`` rows."""
+    rows is split again; after so many ``passes`` it is compared in blocks of ``block`` rows.
+
+    ``probe``: vectors of a node's sample among which links are counted; from ``sure`` on they can settle a node.
+    ``loss``: share of the crowded vectors' links that a split may separate. ``dense``: share of linked pairs from
+    which a node that no split keeps together is settled, so comparing it costs at most 1 / ``dense`` pairs a link."""
 
     trees: int = 16
     leaf: int = 400
@@ -39,6 +49,10 @@ class Forest:
     oversize: int = 4
     passes: int = 5
     block: int = 1600
+    probe: int = 1024
+    sure: int = 32
+    loss: float = 0.02
+    dense: float = 0.125
 
     def depth(self, count: int) -> int:
         """Levels to split a node of so many rows at once."""
@@ -65,36 +79,72 @@ def _route(x: np.ndarray, low: np.ndarray, high: np.ndarray, d: np.ndarray, leve
     return row, at - ((1 << levels) - 1)
 
 
-def _fit(x: np.ndarray, d: np.ndarray, levels: int, spill: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper edge of every split's spill band, in heap order."""
+def _place(x: np.ndarray, p: np.ndarray, scale: float, forest: Forest, least: float) -> float | None:
+    """Quantile of the projections ``p`` at which to split the sample ``x`` of a node; None settles the node.
+
+    It is the median where no vector has more partners than a leaf has room for (``scale`` rows stand behind each
+    sampled one). Else the place nearest to the median that separates few links of such vectors, or the best one.
+    """
+    step = -(-len(x) // forest.probe)
+    x, near, scale = x[::step], p[::step], scale * step
+    linked = x @ x.T >= least
+    np.fill_diagonal(linked, False)
+    crowded = linked.sum(1) * scale > forest.leaf
+    if not crowded.any():
+        return 0.5
+    i, j = np.nonzero(np.triu(linked & (crowded[:, None] | crowded[None, :])))
+    first, last = np.minimum(near[i], near[j]), np.maximum(near[i], near[j])
+    places = np.array(sorted(np.linspace(0.1, 0.9, 33), key=lambda q: abs(q - 0.5)))
+    low, high = (np.quantile(p, np.clip(places + d, 0, 1)) for d in (-forest.spill, forest.spill))
+    lost = np.array([np.count_nonzero((first <= a) & (last > b)) for a, b in zip(low, high, strict=True)])
+    kept = np.flatnonzero(lost <= forest.loss * len(i))
+    if len(kept):
+        return float(places[kept[0]])
+    if len(x) >= forest.sure and linked.mean() >= forest.dense:
+        return None
+    return float(places[lost.argmin()])
+
+
+def _fit(x: np.ndarray, d: np.ndarray, levels: int, scale: float, forest: Forest, least: float):
+    """Lower and upper edge of every split's spill band, in heap order, and the leaves that are settled nodes."""
     n = (1 << levels) - 1
-    low, high = np.full(n, np.inf), np.full(n, np.inf)
+    low, high, settled = np.full(n, np.inf), np.full(n, np.inf), []
     inside = {0: np.arange(len(x))}
     for node in range(n):
         rows = inside.pop(node, np.empty(0, int))
         if len(rows) < 2:
             continue  # all go left
         p = x[rows] @ d[node]
-        low[node], high[node] = np.quantile(p, (0.5 - spill, 0.5 + spill))
+        at = _place(x[rows], p, scale, forest, least)
+        if at is None:
+            while node < n:
+                node = 2 * node + 1  # all go left
+            settled.append(node - n)
+            continue
+        low[node], high[node] = np.quantile(p, np.clip((at - forest.spill, at + forest.spill), 0, 1))
         inside[2 * node + 1], inside[2 * node + 2] = rows[p <= high[node]], rows[p > low[node]]
-    return low, high
+    return low, high, settled
 
 
-def _fits(sample: DataFrame, forest: Forest) -> DataFrame:
-    """``(dim, tree, node, count, low, high)`` from rows ``(dim, tree, node, count, embedding)`` of a sample."""
+def _fits(sample: DataFrame, forest: Forest, least: float) -> DataFrame:
+    """``(dim, tree, node, count, low, high, settled)`` from rows ``(dim, tree, node, count, embedding)`` of a sample."""
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         dim, tree, node, count = (int(rows[c].iloc[0]) for c in ("dim", "tree", "node", "count"))
         levels = forest.depth(count)
         rows = rows.sort_values("id")
-        low, high = _fit(_unit(rows["embedding"]), _directions(tree, node, levels, dim), levels, forest.spill)
+        low, high, settled = _fit(_unit(rows["embedding"]), _directions(tree, node, levels, dim), levels,
+                                  count / len(rows), forest, least)
         return pd.DataFrame({"dim": [dim], "tree": [tree], "node": [node], "count": [count],
-                             "low": [low], "high": [high]})
+                             "low": [low], "high": [high], "settled": [settled]})
     return sample.groupBy("dim", "tree", "node").applyInPandas(
-        fit, "dim int, tree int, node long, count long, low array<double>, high array<double>")
+        fit, "dim int, tree int, node long, count long, low array<double>, high array<double>, settled array<long>")
 
 
 def _down(rows: DataFrame, forest: Forest) -> DataFrame:
-    """Send rows ``(id, dim, tree, node, count, low, high, embedding)`` down: ``(id, dim, tree, node)``."""
+    """Send rows ``(id, dim, tree, node, count, low, high, settled, embedding)`` down: ``(id, dim, tree, node)``.
+
+    Settled nodes have negative numbers.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict = {}
         for batch in batches:
@@ -106,12 +156,13 @@ def _down(rows: DataFrame, forest: Forest) -> DataFrame:
                     kept[tree, node, dim] = _directions(int(tree), int(node), levels, int(dim))
                 low, high = (np.asarray(part[c].iloc[0]) for c in ("low", "high"))
                 row, leaf = _route(_unit(part["embedding"]), low, high, kept[tree, node, dim], levels)
+                sign = np.where(np.isin(leaf, np.asarray(part["settled"].iloc[0], np.int64)), -1, 1)
                 yield pd.DataFrame({"id": part["id"].to_numpy()[row], "dim": dim, "tree": tree,
-                                    "node": (int(node) << forest.levels) + leaf + 1})
+                                    "node": sign * ((int(node) << forest.levels) + leaf + 1)})
     return rows.mapInPandas(run, "id long, dim int, tree int, node long")
 
 
-def _grow(vectors: DataFrame, forest: Forest) -> DataFrame:
+def _grow(vectors: DataFrame, forest: Forest, least: float) -> DataFrame:
     """``(id, dim, tree, node)``: the leaves of every vector of ``(id, dim, embedding)``."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
     sizes = materialize(vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("count")), "dims")
@@ -119,23 +170,37 @@ def _grow(vectors: DataFrame, forest: Forest) -> DataFrame:
     few = sizes.count() <= 100  # the bound of both broadcasts: about 20 MB of split points
     rooted = vectors.join(F.broadcast(sizes) if few else sizes, "dim")
     rooted = rooted.select("*", trees).withColumn("node", F.lit(0).cast("long"))
-    fits = materialize(_fits(rooted.where(draw), forest), "splits")
+    fits = materialize(_fits(rooted.where(draw), forest, least), "splits")
     # One row of split points per tree and dimension: at most 2 * 1023 doubles each.
-    points = fits.select("dim", "tree", "low", "high")
+    points = fits.select("dim", "tree", "low", "high", "settled")
     rooted = rooted.join(F.broadcast(points) if few else points, ["dim", "tree"])
     state = materialize(_down(rooted, forest), "forest")
     for _ in range(forest.passes):
-        sizes = materialize(state.groupBy("dim", "tree", "node").agg(F.count(F.lit(1)).alias("count"))
+        sizes = materialize(state.where("node >= 0").groupBy("dim", "tree", "node").agg(F.count(F.lit(1)).alias("count"))
                             .where(F.col("count") > forest.oversize * forest.leaf), "oversize")
         if sizes.isEmpty():
             break
         large = state.join(sizes, ["dim", "tree", "node"]).join(vectors.select("id", "embedding"), "id")
-        fits = materialize(_fits(large.where(draw), forest), "splits").drop("count")
+        fits = materialize(_fits(large.where(draw), forest, least), "splits").drop("count")
         moved = _down(large.join(fits, ["dim", "tree", "node"]), forest)
         state = materialize(state.join(sizes, ["dim", "tree", "node"], "left_anti").unionByName(moved), "forest")
     return state
 
 
+def _held(leaves: list[np.ndarray], here: int) -> np.ndarray:
+    """Which of the leaves before ``here`` each row lies in; leaves of a single row are left out."""
+    row = np.repeat(np.arange(len(leaves)), [len(v) for v in leaves])
+    leaf = np.concatenate([np.empty(0, np.int64), *leaves])
+    before = leaf < here
+    names, at, counts = np.unique(leaf[before], return_inverse=True, return_counts=True)
+    shared = counts > 1
+    out = np.zeros((len(leaves), int(shared.sum())), np.float32)
+    number = np.cumsum(shared) - 1
+    use = shared[at]
+    out[row[before][use], number[at[use]]] = 1
+    return out
+
+
 def _verify(rows: DataFrame, least: float) -> DataFrame:
     """Links within leaves: ``(id, links, low)``; a pair is counted in the first leaf that holds both."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -144,28 +209,22 @@ def _verify(rows: DataFrame, least: float) -> DataFrame:
         here, (p, q) = part["leaf"].iloc[0], (part["p"].iloc[0], part["q"].iloc[0])
         x = np.stack([np.asarray(r, dtype=np.float64) for r in part["embedding"]])
         norm = np.linalg.norm(x, axis=1)
-        leaves = part["leaves"].to_list()
-        wide = np.full((len(ids), max(map(len, leaves))), np.iinfo(np.int64).min)
-        for i, v in enumerate(leaves):
-            wide[i, :len(v)] = v
+        one, two = ((np.flatnonzero(side == k) for k in (p, q)) if p != q else (np.arange(len(ids)),) * 2)
+        good = np.empty((len(one), len(two)), bool)
+        for at in range(0, len(one), 256):
+            a = one[at:at + 256]
+            good[at:at + 256] = (x[a] @ x[two].T) / (norm[a, None] * norm[None, two]) >= least
+        if p == q:
+            good = np.triu(good, 1)
+        one, two, good = (one[good.any(1)], two[good.any(0)], good[good.any(1)][:, good.any(0)])
+        held = _held([part["leaves"].iloc[k] for k in np.r_[one, two]], here)
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        found_i, found_j = [], []
-        for at in range(0, len(ids), 256):
-            cos = (x[at:at + 256] @ x.T) / (norm[at:at + 256, None] * norm[None, :])
-            good = np.triu(cos >= least, 1 + at)
-            if p != q:
-                good &= side[at:at + 256, None] != side[None, :]
-            i, j = np.nonzero(good)
-            found_i.append(i + at)
-            found_j.append(j)
-        i, j = np.concatenate(found_i), np.concatenate(found_j)
-        for at in range(0, len(i), 20000):
-            a, b = i[at:at + 20000], j[at:at + 20000]
-            common = (wide[a][:, :, None] == wide[b][:, None, :]).any(2)
-            common &= wide[a] != np.iinfo(np.int64).min
-            first = np.take_along_axis(wide[a], common.argmax(1)[:, None], 1)[:, 0] == here
-            np.add.at(links, a[first], weight[b[first]])
-            np.add.at(links, b[first], weight[a[first]])
+        for at in range(0, len(one), 256):
+            first = (good[at:at + 256] & (held[at:len(one)][:256] @ held[len(one):].T == 0)).astype(np.float64)
+            links[one[at:at + 256]] += (first @ weight[two]).astype(np.int64)
+            links[two] += (weight[one[at:at + 256]] @ first).astype(np.int64)
+        i, j = np.nonzero(good)
+        i, j = one[i], two[j]
         while len(i):
             before = label.copy()
             np.minimum.at(label, i, label[j])
@@ -195,7 +254,7 @@ def near_vectors(table: DataFrame, least: float = 0.9, key: str = "vec_id", vect
                 .withColumn("dim", F.size("embedding")))
     # One key with several vectors stands for each of them; the node of a vector is then its hash.
     distinct = materialize(distinct.withColumn("name", F.col("id")).withColumn("id", F.xxhash64("embedding")), "vectors")
-    state = _grow(distinct.select("id", "dim", "embedding"), forest)
+    state = _grow(distinct.select("id", "dim", "embedding"), forest, least)
     state = state.select("id", "dim", F.xxhash64("tree", "dim", "node").alias("leaf")).distinct()
     state = materialize(state, "leaves")
     sizes = state.groupBy("leaf", "dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

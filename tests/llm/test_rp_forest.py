@@ -73,3 +73,15 @@ def test_copies_and_equal_keys(spark):
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_group_of_near_vectors_larger_than_a_leaf(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((7500, 64))
+    x[:5000] = x[0] / np.linalg.norm(x[0]) + 0.3 / 8 * rng.standard_normal((5000, 64))
+    vectors = {i: v.astype(np.float32).tolist() for i, v in enumerate(x)}
+    unit = np.array(list(vectors.values()), float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = np.array([n for _, (n, _) in sorted(run(spark, vectors).items())])
+    assert want[:5000].mean() > 2000 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
