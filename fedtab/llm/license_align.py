@@ -3,7 +3,8 @@
 A text region and a license template are anchored on the words that occur once in
 both; the longest increasing subsequence of the anchors is kept and the gaps between
 them are aligned in the same way. Coverage is the share of the template's words that
-are aligned.
+are aligned. The words that tell licenses apart (names, versions, NC, SA, Lesser, ...)
+must be aligned besides, and none of another license may stand between.
 
 Every text is scanned whole, in Spark tasks and without any shuffle; the templates
 are a fixed table.
@@ -34,6 +35,18 @@ TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-3.0-notice": "Licensed under CC BY 3.0.",
+    "CC-BY-SA-3.0-notice": "Licensed under CC BY-SA 3.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "ISC-notice": "Released under the ISC License.",
     "reserved-notice": "All rights reserved.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
            "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
@@ -56,9 +69,41 @@ TEMPLATES = {
                "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
                "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
                "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "GPL-2.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+               "Public License as published by the Free Software Foundation, either version 2 of the License, or (at your "
+               "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+               "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-2.1": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+               "Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your "
+               "option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY "
+               "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+               "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+               "option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY "
+               "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+               "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+               "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+               "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                    "provided that the following conditions are met: Redistributions of source code must retain the above "
+                    "copyright notice, this list of conditions and the following disclaimer. Redistributions in binary "
+                    "form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+                    "in the documentation and/or other materials provided with the distribution. Neither the name of "
+                    "the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                    "derived from this software without specific prior written permission.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+               "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+           "granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 #: Words too common to mark a region.
 COMMON = frozenset("a an and any are at be by for from in is it of on or that the this to under with you".split())
+#: Words that tell licenses apart, as far as a template has them, besides all numbers; each must be aligned.
+#: (Version 2.1 is the Lesser license's alone, so its number is enough.)
+DECIDING = frozenset("mit apache mozilla gnu general lesser affero isc cc nc sa nd".split())
+#: Words that make another license of a template with the first word, if they stand unaligned between its words.
+FOREIGN = {"cc": frozenset("nc sa nd".split()), "public": frozenset("lesser affero mozilla library".split())}
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -138,6 +183,8 @@ class Template:
     words: tuple[str, ...]
     marks: frozenset[str]
     reach: int
+    deciding: frozenset[str]
+    foreign: frozenset[str]
 
     @staticmethod
     def of(name: str, text: str) -> Template:
@@ -146,7 +193,9 @@ class Template:
         at = [i for i, w in enumerate(words) if w in marks]
         gap = max([b - a for a, b in zip(at, at[1:], strict=False)] + [at[0] + 1, len(words) - at[-1]])
         # as many foreign or missing words as coverage allows may lie between two marks
-        return Template(name, words, marks, gap + 2 + int((1 - LEAST) * len(words)))
+        return Template(name, words, marks, gap + 2 + int((1 - LEAST) * len(words)),
+                        frozenset(w for w in words if w.isdigit() or (w in DECIDING and not (w == "lesser" and "1" in words))),
+                        frozenset().union(*(v for k, v in FOREIGN.items() if k in words)) - frozenset(words))
 
 
 def _regions(words: list[str], t: Template) -> Iterator[tuple[int, int]]:
@@ -170,6 +219,19 @@ def _regions(words: list[str], t: Template) -> Iterator[tuple[int, int]]:
             yield from ((i, min(end, i + wide)) for i in range(start, end, step))
 
 
+def _other(words: list[str], pairs: list[tuple[int, int]], t: Template) -> int | None:
+    """The place from which an alignment belongs to another license than the template's, or None if it is its own."""
+    aligned = {i for i, _ in pairs}
+    first, last = pairs[0][0], pairs[-1][0]
+    for i in range(first, last):
+        if i not in aligned and (
+                (words[i] in t.foreign and (words[i] != "library" or words[i + 1] == "general"))
+                or (words[i].isdigit() and t.deciding and i > 0
+                    and (words[i - 1] in ("version", "v") or (words[i - 1].isdigit() and i - 1 in aligned)))):
+            return i
+    return None if t.deciding <= {words[i] for i in aligned} else first
+
+
 def scan(text: str | None, templates: list[Template], least: float = LEAST) -> list[tuple[str, float, int, int]]:
     """``(license, coverage, start, end)`` of every region that covers enough of a template, in code points.
 
@@ -192,6 +254,10 @@ def scan(text: str | None, templates: list[Template], least: float = LEAST) -> l
             a, b = todo.pop()
             pairs = align(words[a:b], list(t.words)) if b - a >= least * len(t.words) else []
             if pairs and len(pairs) >= least * len(t.words):
+                other = _other(words[a:b], pairs, t)
+                if other is not None:
+                    todo += [(a, a + other), (a + other + 1, b)]  # its own license may stand beside it
+                    continue
                 first, last = a + pairs[0][0], a + pairs[-1][0]
                 found.append((len(pairs), t.name, len(pairs) / len(t.words), spans[first][0], spans[last][1]))
                 todo += [(a, first), (last + 1, b)]  # another copy may stand beside it

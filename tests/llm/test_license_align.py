@@ -81,3 +81,23 @@ def test_query_finds_the_notices(spark):
         assert out[d.doc_id].n_matches >= len(want)
         assert bool(want) == (out[d.doc_id].license is not None)
     assert planted > 10
+
+
+def test_near_misses_are_their_own_license():
+    work = "This work is licensed under the GNU {}General Public License, version {}."
+    header = la.TEMPLATES["GPL-3.0"]
+    want = {
+        work.format("", "2"): ["GPL-2.0-notice"], work.format("", "3"): ["GPL-3.0-notice"],
+        work.format("Lesser ", "3"): ["LGPL-3.0-notice"], work.format("Lesser ", "2.1"): ["LGPL-2.1-notice"],
+        work.format("Affero ", "3"): ["AGPL-3.0-notice"],
+        "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0-notice"], "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0-notice"],
+        "Licensed under CC BY 3.0.": ["CC-BY-3.0-notice"], "Licensed under CC BY 5.0.": [],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0-notice"], "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0-notice"],
+        "Licensed under the Mozilla Public License, Version 2.0.": ["MPL-2.0-notice"],
+        "Licensed under the Apache License, Version 1.1.": [], "Released under the ISC License.": ["ISC-notice"],
+        "Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0.": ["CC-BY-SA-4.0-notice", "CC-BY-4.0-notice"],
+        header.replace("GNU General", "GNU Lesser General"): ["LGPL-3.0"],
+        header.replace("GNU General", "GNU Affero General"): ["AGPL-3.0"], header.replace("version 3", "version 2"): ["GPL-2.0"],
+        la.TEMPLATES["BSD-3-Clause"]: ["BSD-3-Clause"], la.TEMPLATES["BSD-2-Clause"]: ["BSD-2-Clause"],
+    }
+    assert {k: [m[0] for m in la.scan(f"x y. {k} z", KNOWN)] for k in want} == want
