@@ -19,12 +19,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fedtab.llm.common import WORD, uniform, words
 from fedtab.llm.quality_rules import let
+from fedtab.session import materialize
 
 #: Expected number of sampled texts on which the scorer is fitted, the bound of the fit.
 SAMPLE = 4000
@@ -41,6 +42,10 @@ MEMO = 100_000
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = ("the of and to in is that for it with as was on be by this are from at or an der die das und den von zu mit "
                   "sich des auf nicht ein eine dem le la les des et en un une du que qui dans pour par de el los y se las")
+FUNCTION_LANGS = ("en", "de", "fr", "es")
+#: For any other language, so many of its most frequent words take their place if they make up this share of its words
+#: and it has so many.
+LISTED, FITS, LISTED_WORDS = 40, 0.15, 1000
 LABELLERS = ("symbols", "capitals", "variety", "function_words", "lines", "exclamations", "neighbours")
 
 
@@ -48,14 +53,51 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def votes(text: str | Column) -> Column:
-    """One vote per labeller: 1 good, -1 bad, 0 none. A null or empty text gets none."""
+def frequent_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """Most frequent words of every language that ``FUNCTION_WORDS`` does not cover, where they fit its texts."""
+    other = docs.where(F.col(lang).isNotNull() & ~F.col(lang).isin(*FUNCTION_LANGS) & F.col(text).isNotNull())
+    counted = (other.select(F.col(lang).alias("lang"), F.explode(words(F.lower(F.col(text)))).alias("word"))
+               .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    counted = materialize(counted, "frequent-words")
+    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    found: dict[str, dict[str, int]] = {}
+    for r in counted.withColumn("rank", first).where(F.col("rank") <= LISTED).collect():
+        found.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    return {k: sorted(v) for k, v in sorted(found.items())
+            if totals[k] >= LISTED_WORDS and sum(v.values()) >= FITS * totals[k]}
+
+
+def _votes_of(docs: DataFrame, text: str, lang: str) -> Column:
+    """Votes of the rows of ``docs`` by the function words of each row's language, as far as they are known."""
+    if lang not in docs.columns:
+        return votes(text, F.lit(False))
+    known, own = F.coalesce(F.col(lang).isin(*FUNCTION_LANGS), F.lit(False)), None
+    listed = frequent_words(docs, text, lang)
+    if listed:
+        lists = F.create_map(*[x for k, v in listed.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+        own = F.when(F.col(lang).isNotNull(), F.try_element_at(lists, F.col(lang)))
+    return votes(text, known, own)
+
+
+def votes(text: str | Column, known: Column | None = None, own: Column | None = None) -> Column:
+    """One vote per labeller: 1 good, -1 bad, 0 none. A null or empty text gets none.
+
+    ``known``: whether ``FUNCTION_WORDS`` cover the text's language (by default they do). ``own``: the function words
+    of its language if they do not. Where neither is given, few function words say nothing.
+    """
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
     def of(x: Column) -> Column:
         cut = lambda p: F.char_length(x) - F.char_length(F.regexp_replace(x, p, ""))
         lines = F.filter(F.split(x, "\n"), lambda v: v.rlike(WORD))
 
+        def spoken(m: Column, function: Column) -> Column:
+            if known is None:
+                return _vote(function > 0.15, function < 0.06)
+            share = F.when(known, function) if own is None else F.when(known, function).otherwise(m["own"] / m["n"])
+            return F.when((function > 0.15) | (share > 0.15), 1).when(share < 0.06, -1).otherwise(0)
+
         def judge(m: Column) -> Column:
             n, enough = m["n"], m["n"] >= ENOUGH
             symbols, function = m["symbols"] / n, m["function"] / n
@@ -64,7 +106,7 @@ def votes(text: str | Column) -> Column:
                 F.when(n > 0, _vote(symbols < 0.02, symbols > 0.15)).otherwise(0),
                 F.when(enough, _vote(capital < 0.1, capital > 0.4)).otherwise(0),
                 F.when(enough, _vote(m["distinct"] / n > 0.45, m["distinct"] / n < 0.3)).otherwise(0),
-                F.when(enough, _vote(function > 0.15, function < 0.06)).otherwise(0),
+                F.when(enough, spoken(m, function)).otherwise(0),
                 F.when(m["lines"] > 4, _vote(m["again"] == 0, 10 * m["again"] > 6 * m["lines"])).otherwise(0),
                 F.when(enough, _vote(m["bangs"] < 0.02 * n, m["bangs"] > 0.2 * n)).otherwise(0),
                 F.when(enough, _vote(m["same"] < 0.02 * n, m["same"] > 0.15 * n)).otherwise(0))
@@ -74,7 +116,8 @@ def votes(text: str | Column) -> Column:
             (F.size(v) - F.size(F.array_distinct(v))).alias("again"), cut(r"[#*$%&|<>]").alias("symbols"),
             cut(r"\p{Lu}").alias("upper"), cut(r"\p{L}").alias("letters"), cut("!").alias("bangs"),
             F.size(F.filter(w, lambda y, i: y == F.get(w, i - 1))).alias("same"),
-            F.regexp_count(F.lower(x), F.lit(function)).alias("function"))))
+            F.regexp_count(F.lower(x), F.lit(function)).alias("function"),
+            *([] if own is None else [F.size(F.filter(w, lambda y: F.array_contains(own, F.lower(y)))).alias("own")]))))
         return let(counts, judge)
     return let(t, of)
 
@@ -193,18 +236,20 @@ def train(texts: list[str], target: np.ndarray, accuracies: tuple[float, ...] =
     return Scorer(theta[:WORD_BUCKETS], theta[WORD_BUCKETS:wide], bias, tuple(accuracies))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Scorer:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, lang: str = "lang") -> Scorer:
     """Votes of all documents, their accuracies, and a scorer fitted on an expected ``sample`` texts.
 
+    ``lang``: column of the language, for its function words; without it few of them say nothing.
     Texts that are null teach nothing; an empty table gives a scorer that keeps everything.
     """
     known = docs.where(F.col(text).isNotNull())
-    counted = known.groupBy(votes(text).alias("votes")).agg(F.count(F.lit(1)).alias("n")).collect()
+    vote = _votes_of(docs, text, lang)
+    counted = known.groupBy(vote.alias("votes")).agg(F.count(F.lit(1)).alias("n")).collect()
     counts = {tuple(r["votes"]): r["n"] for r in sorted(counted, key=lambda r: r["votes"])}
     post, accuracies = estimate(counts)
     n = sum(counts.values())
     drawn = known.where(uniform(F.col(key), "quality") * max(n, 1) < sample).select(
-        F.col(key).alias("key"), F.col(text).alias("text"), votes(text).alias("votes")).collect()
+        F.col(key).alias("key"), F.col(text).alias("text"), vote.alias("votes")).collect()
     drawn.sort(key=lambda r: (r["key"] is None, r["key"] or 0, r["text"]))
     return train([r["text"] for r in drawn], np.array([post[tuple(r["votes"])] for r in drawn]), tuple(accuracies))
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fedtab.llm import weak_quality as wq
@@ -74,3 +75,22 @@ def test_odd_rows_and_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert wq.judge(docs).collect() == [] and wq.keep_good(docs).collect() == []
+
+
+@pytest.mark.parametrize("share", [0.02, 0.2])
+def test_clean_texts_of_a_fifth_language_stay(spark, share):
+    rng = random.Random(5)
+    function = "il di che e la per un in non una sono con si da come io ma le del ha".split()
+    other = ["".join(rng.choice(["ba", "ce", "ri", "to", "lu", "na", "sso", "gli"]) for _ in range(rng.randint(2, 4))) for _ in range(600)]
+
+    def sentence():
+        return " ".join(rng.choice(function if rng.random() < 0.45 else other) for _ in range(rng.randint(8, 14))).capitalize() + "."
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    n = int(given.count() * share / (1 - share))
+    more = [(10 ** 9 + i, " ".join(sentence() for _ in range(6)), "it") for i in range(n)]
+    docs = given.unionByName(spark.createDataFrame(more, given.schema))
+    kept = {r.doc_id for r in wq.keep_good(docs).collect()}
+    assert sum(r[0] in kept for r in more) >= 0.95 * n
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    good, junk = ([r.doc_id in kept for r in labels if r.quality == k] for k in (1, 0))
+    assert sum(good) >= 0.99 * len(good) and sum(junk) <= 0.1 * len(junk)
