@@ -404,28 +404,30 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str
                              & fits(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")))
                 .select(F.least("name", "pivot.name").alias("a"), F.greatest("name", "pivot.name").alias("b")).distinct())
         star = materialize(star if done is None else star.join(done.select("a", "b"), ["a", "b"], "left_anti"), "star")
-        if star.isEmpty():
+        none = star.isEmpty()
+        if none and turn:
             break
         found = materialize(_compare(star, sets), "compared")
         done = found if done is None else done.union(found)
         first = found if first is None else first
         links = done.where(linked).select("a", "b")
         parts = materialize(connected_components(links), "parts")
+        if none:  # no set fits its list's pivot: the lists themselves are still to be compared
+            break
 
-    if done is not None:
-        members = lists.join(parts, lists["name"] == parts["node"], "left").select(
-            *lists.columns, F.coalesce("component_id", "name").alias("comp"))
-        members = materialize(members, "members")
-        mixed = (members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                 .where("lo <> hi").select("token", "band"))
-        with_pivot = first.select("a", "b", "overlap").union(first.select("b", "a", "overlap"))
-        left = (members.join(mixed, ["token", "band"], "left_semi").join(anchors, ["token", "band"])
-                .join(with_pivot.toDF("pivot", "name", "o"), ["pivot", "name"], "left")
-                .withColumn("overlap", F.when(F.col("pivot") == F.col("name"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))))
-                .join(parts.toDF("pivot", "pivot_comp"), "pivot", "left")
-                .withColumn("near", F.col("comp") == F.coalesce("pivot_comp", "pivot")))
-        left = materialize(left.select(*lists.columns, "comp", "overlap", "near"), "left")
-        links = links.union(_links_left(left, sets, done, percent).where(linked).select("a", "b"))
+    members = lists.join(parts, lists["name"] == parts["node"], "left").select(
+        *lists.columns, F.coalesce("component_id", "name").alias("comp"))
+    members = materialize(members, "members")
+    mixed = (members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .where("lo <> hi").select("token", "band"))
+    with_pivot = first.select("a", "b", "overlap").union(first.select("b", "a", "overlap"))
+    left = (members.join(mixed, ["token", "band"], "left_semi").join(anchors, ["token", "band"])
+            .join(with_pivot.toDF("pivot", "name", "o"), ["pivot", "name"], "left")
+            .withColumn("overlap", F.when(F.col("pivot") == F.col("name"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))))
+            .join(parts.toDF("pivot", "pivot_comp"), "pivot", "left")
+            .withColumn("near", F.col("comp") == F.coalesce("pivot_comp", "pivot")))
+    left = materialize(left.select(*lists.columns, "comp", "overlap", "near"), "left")
+    links = links.union(_links_left(left, sets, done, percent).where(linked).select("a", "b"))
     return _components_of(info, classes, links, key)
 
 
@@ -454,15 +456,13 @@ def _links_left(left: DataFrame, sets: DataFrame, done: DataFrame, percent: int)
     return materialize(_compare(more, sets), "compared")
 
 
-def _components_of(info: DataFrame, classes: DataFrame, links: DataFrame | None, key: str) -> DataFrame:
+def _components_of(info: DataFrame, classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """Every row with the least key of its set's component."""
-    least = classes.select("name", "n", F.col("rep").alias("component_id"))
-    if links is not None:
-        parts = connected_components(links)
-        named = classes.join(parts, classes["name"] == parts["node"], "left").select(
-            "name", "n", "rep", F.coalesce("component_id", "name").alias("part"))
-        named = materialize(named, "named")
-        least = named.join(named.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("name", "n", "component_id")
+    parts = connected_components(links)
+    named = classes.join(parts, classes["name"] == parts["node"], "left").select(
+        "name", "n", "rep", F.coalesce("component_id", "name").alias("part"))
+    named = materialize(named, "named")
+    least = named.join(named.groupBy("part").agg(F.min("rep").alias("component_id")), "part").select("name", "n", "component_id")
     out = info.join(materialize(least, "components"), ["name", "n"], "left")
     return out.select(F.col("key").alias(key), F.col("hash").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"),
                       F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))

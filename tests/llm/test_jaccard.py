@@ -87,6 +87,15 @@ def test_one_large_group_of_near_copies(spark):
     same(spark, rows)
 
 
+@pytest.mark.parametrize("suffix", [2, 5])
+def test_no_set_fits_the_pivot_of_its_list(spark, suffix):
+    """Whichever of four documents is a list's pivot, two that are near copies are linked."""
+    common = " ".join(f"w{i}" for i in range(1, 20))
+    texts = [f"f{suffix} {common} g{suffix} a{suffix}", f"f{suffix} {common} g{suffix} b{suffix}",
+             f"f{suffix} {common} u{suffix} v{suffix}", f"k{suffix} {common} g{suffix} l{suffix}"]
+    same(spark, list(enumerate(texts, 1)))
+
+
 def test_nulls_empty_short_and_clashing_columns(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "A b"), (5, "a B"), (6, "a b c"), (7, "a\x0bb\x0cc"), (9, "É é b"),
             (10, "é é b"), (11, " a b")]
