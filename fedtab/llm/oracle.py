@@ -90,3 +90,66 @@ edges as (
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, cast(p.component_id as bigint) as component_id
 from documents d left join n using (doc_id) left join parts p on p.node = d.doc_id
 """
+
+#: CRC-32 of a list of byte values: eight shifts a byte.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, {bytes}),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+#: Byte values of a text.
+_BYTES = """list_transform(range(octet_length(encode({text}))), lambda p: cast('0x' || substr(hex(encode({text})), 2 * p + 1, 2) as bigint))"""
+
+
+def _crc32(text: str) -> str:
+    return _CRC32.format(bytes=_BYTES.format(text=text))
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value})) || ':' || {value}, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(f) for f in (
+    "cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)")) + " || {text})"
+
+_FOLDED = "sha256(array_to_string(list_transform(r.hs, lambda x, i: case when i = w.pos % 3 + 1 then w.folded else x end), ''))"
+_BESIDE = "w.proof || array_to_string(list_filter(r.hs, lambda x, i: i <> w.pos % 3 + 1), '')"
+
+ORACLE["op11_merkle_manifest"] = f"""
+with recursive d as (
+  select doc_id, source, {_LEAF.format(text=_field("text"))} as leaf,
+         case when {_crc32("cast(doc_id as varchar)")} % 2 = 0 then {_LEAF.format(text=_field("replace(text, chr(10), '')"))} end as tampered
+  from documents
+), placed as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos,
+         dense_rank() over (order by source nulls first) - 1 as tree, count(*) over (partition by source) as n from d
+), up(tree, lvl, pos, n, h) as (
+  select tree, 0, pos, n, leaf from placed
+  union all
+  select tree, lvl + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' order by pos)) from up where n > 1
+  group by tree, lvl, pos // 3
+), subroots as (select tree, h as subroot from up where n = 1),
+top(lvl, pos, n, h) as (
+  select 0, tree, (select count(*) from subroots), subroot from subroots
+  union all
+  select lvl + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' order by pos)) from top where n > 1
+  group by lvl, pos // 3
+), runs as (
+  select tree, lvl, pos // 3 as run, list(h order by pos) as hs from up where n > 1 group by tree, lvl, pos // 3
+  union all
+  select -1, lvl, pos // 3, list(h order by pos) from top where n > 1 group by lvl, pos // 3
+), numbered as (select *, row_number() over () as id from placed),
+way(id, tree, lvl, pos, folded, proof) as (
+  select id, tree, 0, pos, coalesce(tampered, leaf), '' from numbered
+  union all
+  select w.id, w.tree, w.lvl + 1, w.pos // 3, {_FOLDED}, {_BESIDE} from way w join runs r using (tree, lvl)
+  where r.run = w.pos // 3
+), ends as (select id, tree, arg_max(folded, lvl) as folded, arg_max(proof, lvl) as proof from way group by id, tree),
+rise(id, lvl, pos, folded, proof) as (
+  select id, 0, tree, folded, proof from ends
+  union all
+  select w.id, w.lvl + 1, w.pos // 3, {_FOLDED}, {_BESIDE} from rise w join runs r using (lvl)
+  where r.tree = -1 and r.run = w.pos // 3
+), last as (select id, arg_max(folded, lvl) as folded, arg_max(proof, lvl) as proof from rise group by id),
+whole as (select h as root from top where n = 1)
+select l.doc_id, l.leaf, s.subroot, (select root from whole) as root, sha256(w.proof) as proof_sha256,
+       w.folded as folded_root, w.folded = (select root from whole) as verified
+from numbered l join last w using (id) join subroots s using (tree)
+"""

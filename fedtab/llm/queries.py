@@ -82,6 +82,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents; every second one by crc32 loses its line breaks and has to fail the check."""
+    from fedtab.llm.merkle import folded_root, leaf_digest, merkle_manifest
+    text = F.regexp_replace("text", "\n", "")
+    changed = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    leaves = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", leaf_digest(["doc_id", "source", "lang", "n_chars", "text"]).alias("leaf"),
+        F.when(changed, leaf_digest(["doc_id", "source", "lang", "n_chars", text])).alias("tampered"))
+    out = merkle_manifest(leaves)
+    folded = folded_root(F.coalesce("tampered", "leaf"), F.col("proof"), F.col("path"))
+    return out.withColumn("folded_root", folded).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Executors import the package before the query's own functions run there."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
