@@ -153,3 +153,34 @@ select l.doc_id, l.leaf, s.subroot, (select root from whole) as root, sha256(w.p
        w.folded as folded_root, w.folded = (select root from whole) as verified
 from numbered l join last w using (id) join subroots s using (tree)
 """
+
+ORACLE["op12_spelling_variants"] = rf"""
+with recursive runs as (
+  select doc_id, run, count(*) as n from (
+    select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents)
+  where length(run) >= 6 group by doc_id, run
+), hashed as (select run, n, {_crc32("(cast(doc_id as varchar) || ':' || run)")} as h from runs),
+cut as (
+  select case when h % 199 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2)
+              else run end as word, n from hashed
+), v as (select word, cast(sum(n) as bigint) as n from cut where length(word) >= 6 group by word having sum(n) >= 5),
+gaps as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+         from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+pairs as (
+  select a.word, a.n, b.word as other, b.n as other_n from gaps a join gaps b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from gaps a join v b on a.rest = b.word
+  union select b.word, b.n, a.word, a.n from gaps a join v b on a.rest = b.word
+), ranked as (
+  select word, n, other, other_n, count(*) over (partition by word) as n_near,
+         row_number() over (partition by word order by other_n desc, encode(other)) as place from pairs
+), best as (select word, n_near, case when other_n >= 5 * n then other end as form,
+                   case when other_n >= 5 * n then other_n end as form_n from ranked where place = 1),
+way(word, here, steps) as (
+  select word, word, 0 from v
+  union all
+  select w.word, b.form, w.steps + 1 from way w join best b on b.word = w.here where b.form is not null
+), roots as (select word, arg_max(here, steps) as root from way group by word)
+select v.word, b.form, r.root, v.n, cast(coalesce(b.n_near, 0) as bigint) as n_near, b.form_n
+from v left join best b using (word) join roots r using (word)
+"""

@@ -97,6 +97,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants among the words of all documents, with one occurrence in 199 garbled."""
+    from fedtab.llm.spelling import spelling_variants
+    return spelling_variants(table(spark, sf_dir, "documents"), garble_every=199)
+
+
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Executors import the package before the query's own functions run there."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
