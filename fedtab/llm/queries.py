@@ -103,6 +103,16 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), garble_every=199)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; texts and labels of two thirds teach."""
+    from fedtab.llm.toxicity import fit, predicted, score
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    classifier = fit(docs.where(~held_out), labels.where(~held_out))
+    return score(docs, classifier).select("doc_id", held_out.alias("held_out"), "score", predicted(F.col("score")).alias("predicted"))
+
+
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Executors import the package before the query's own functions run there."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

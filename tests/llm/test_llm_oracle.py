@@ -18,5 +18,5 @@ def test_query_matches_sql(spark, name):
 
 def test_every_numbered_operator_is_registered():
     names = E.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and set(ORACLE) <= set(E.oracle_sql()) <= set(names)
