@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,17 +73,18 @@ def _scored(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def _stepped(rows: DataFrame, heads: DataFrame, mu: float, rate: float) -> DataFrame:
-    """One full-batch step of every client: mean gradient plus the pull to the start (#44), which is 0."""
+    """One full-batch step of every client: mean gradient plus the pull to the start (#44), which is 0.
+
+    A row's gradient is one vector; the JVM adds them place by place, combined before the shuffle.
+    """
     off = F.transform("p", lambda v, c: v - F.when(c == F.col("y"), 1.0).otherwise(0.0))
-    cells = (_scored(rows, heads).select("client_id", "x", F.posexplode(off).alias("class", "r"))
-             .select("client_id", "class", "r", F.posexplode("x").alias("j", "xj"))
-             .groupBy("client_id", "class", "j").agg(F.sum(F.col("r") * F.col("xj")).alias("g")))
-    n = rows.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
-    grads = (cells.groupBy("client_id", "class").agg(F.array_sort(F.collect_list(F.struct("j", "g"))).alias("g"))
-             .groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("class", "g"))).alias("g")))
-    step = lambda w, g, n: F.zip_with(w, g, lambda h, gc: F.zip_with(
-        h, gc["g"], lambda v, d: v - F.lit(rate) * (d["g"] / n + F.lit(mu) * v)))
-    return heads.join(grads, "client_id").join(n, "client_id").select("client_id", step(F.col("w"), F.col("g"), F.col("n")).alias("w"))
+    flat = F.flatten(F.transform(off, lambda r: F.transform("x", lambda v: r * v)))
+    grads = (_scored(rows, heads).select("client_id", array_to_vector(flat).alias("v")).groupBy("client_id")
+             .agg(Summarizer.metrics("mean").summary(F.col("v")).alias("g"))
+             .select("client_id", vector_to_array(F.col("g.mean")).alias("g")))
+    step = F.transform("w", lambda h, c: F.transform(h, lambda v, j: v - F.lit(rate) * (
+        F.get("g", (c * F.size(h) + j).cast("int")) + F.lit(mu) * v)))
+    return heads.join(grads, "client_id").select("client_id", step.alias("w"))
 
 
 def local_fit(features: DataFrame, num_classes: int, dim: int, steps: int = STEPS, mu: float = 0.01,
@@ -108,14 +111,18 @@ def local_fit_summary(features: DataFrame, num_classes: int, dim: int, steps: in
             .withColumn("first_loss", F.log(F.lit(float(num_classes)))))
 
 
-def score_with_heads(rows: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Logits of every row under each head: ``heads`` has ``(keys..., w)``, a bounded number of models.
+def score_with_heads(rows: DataFrame, heads: DataFrame, keys: Sequence[str], models_per_chunk: int = 64) -> DataFrame:
+    """Logits of every row under each head: ``heads`` has ``(keys..., w)``, any number of models.
 
-    The models ride along as one array. It joins on a salt, so the plan holds for any number of rows and models:
-    AQE broadcasts the array if it is small, or else deals the rows out by salt.
+    Models are dealt by a hash of their keys into chunks of about ``models_per_chunk``, each chunk an array; every row
+    meets every chunk once. Chunks join on (salt, chunk), so that neither a task nor the driver holds all models:
+    AQE broadcasts the table if it is small, or else deals rows and chunks out by salt.
     """
-    packed = heads.agg(F.collect_list(F.struct(*keys, "w")).alias("_models")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = (rows.withColumn("_salt", F.pmod(F.hash("example_id"), F.lit(SALTS))).join(packed, "_salt")
-           .withColumn("_m", F.explode("_models")).drop("_models", "_salt"))
+    n_chunks = heads.agg((F.floor(F.count(F.lit(1)) / models_per_chunk) + 1).cast("int").alias("n")).scalar()
+    packed = (heads.withColumn("_chunk", F.pmod(F.xxhash64(*keys), n_chunks).cast("int"))
+              .groupBy("_chunk").agg(F.collect_list(F.struct(*keys, "w")).alias("_models"))
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    met = (rows.withColumn("_salt", F.pmod(F.hash("example_id"), F.lit(SALTS)))
+           .withColumn("_chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))))
+    out = met.join(packed, ["_salt", "_chunk"]).withColumn("_m", F.explode("_models")).drop("_models", "_salt", "_chunk")
     return out.select("*", *[F.col(f"_m.{k}").alias(k) for k in keys], _logits(F.col("x"), F.col("_m.w")).alias("logits")).drop("_m")

@@ -47,6 +47,21 @@ def range_positions(df: DataFrame, group_cols: Sequence[str], order: Sequence[Co
     return out.withColumn(pos_col, (F.col("_off") + F.col("_rn")).cast("long")).drop("_piece", "_rn", "_off")
 
 
+def running_max(df: DataFrame, order: str, value: str, out_col: str) -> DataFrame:
+    """Add the largest ``value`` among the rows before each one by ``order`` (null for the first).
+
+    The table is dealt out by ranges of ``order``; each piece has its own running maximum, and a table of one row
+    per piece carries the maximum of the pieces before it. ``order`` must be unique and not null.
+    """
+    dealt = materialize(df.repartitionByRange(order).withColumn("_piece", F.spark_partition_id()), "dealt")
+    most = dealt.groupBy("_piece").agg(F.max(value).alias("_most"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = most.select("_piece", F.max("_most").over(before).alias("_carry"))
+    within = Window.partitionBy("_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumn("_own", F.max(value).over(within))
+    return own.join(carry, "_piece").withColumn(out_col, F.greatest("_own", "_carry")).drop("_piece", "_own", "_carry")
+
+
 def group_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                     bucket: Column, pos_col: str = "pos") -> DataFrame:
     """Add ``pos`` = 0-based rank of each row within its group by ``order_cols``.

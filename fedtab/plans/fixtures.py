@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fedtab.functions.params import METHODS
+from fedtab.functions.params import METHODS, transmits
 from fedtab.operators.positions import group_positions, int_bucket
 from fedtab.session import table
 
@@ -34,6 +34,7 @@ NUM_CLIENTS = 5
 HEAD_ROWS = 4
 ROUNDS = 5
 SEED = 42
+FIRST_DAY = 1704067200  # 2024-01-01 in seconds
 
 
 def client_rank(client_id: str = "client_id") -> F.Column:
@@ -108,6 +109,47 @@ def v_cells_rounds(spark: SparkSession, sf: str) -> DataFrame:
                     (F.col("v") * scale).alias("v"))
 
 
+def v_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells of ``v_cells`` as whole vectors ``(client_id, param, k, x)``: row k of A or of a head, column k of B."""
+    emb = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    ranked = group_positions(emb, ["label"], ["vec_id"], bucket=int_bucket("vec_id"), pos_col="rn")
+    r, s = F.col("rank"), F.col("s")
+    v = ranked.withColumn("rank", client_rank("label")).withColumn("s", F.col("rn") % (r * 2 + HEAD_ROWS))
+    suffix = (F.when(s < r, F.lit(".q_proj.lora_A.default.weight"))
+              .when(s < r * 2, F.lit(".q_proj.lora_B.default.weight")).otherwise(F.lit(".score.weight")))
+    return v.select(
+        F.col("label").alias("client_id"),
+        F.concat(F.lit("layers."), F.expr("rn div (rank * 2 + 4)").cast("string"), suffix).alias("param"),
+        F.when(s < r, s).when(s < r * 2, s - r).otherwise(s - r * 2).cast("int").alias("k"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+
+
+def v_blocks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The states as blocked tensors ``(client_id, param_id, k, t, v)`` and their names; both written once."""
+    from fedtab.operators import blocks
+    from fedtab.session import materialize
+    vectors = v_vectors(spark, sf)
+    names = materialize(blocks.name_dimension(vectors), "names")
+    return materialize(blocks.blocks_of_vectors(vectors, ["client_id"], names), "blocks"), names
+
+
+def sent_blocks(blocks: DataFrame, names: DataFrame) -> DataFrame:
+    """What each method sends of the blocks in each round, scaled as in ``v_cells_rounds``."""
+    c = each_round(blocks.join(names.select("param_id", "param"), "param_id")).where(transmits("param", "method", "round"))
+    return scaled(c.drop("param"))
+
+
+def each_round(blocks: DataFrame) -> DataFrame:
+    """Each block once per (method, round)."""
+    c = blocks.withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
+    return c.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS))))
+
+
+def scaled(blocks: DataFrame) -> DataFrame:
+    by = F.lit(1) + (F.col("round") * (F.col("client_id") + 1)).cast("double") / 100
+    return blocks.withColumn("v", F.transform("v", lambda x: x * by))
+
+
 def v_client_meta(spark: SparkSession, sf: str) -> DataFrame:
     return (table(spark, sf, "embeddings").groupBy(F.col("label").alias("client_id"))
             .agg(F.count(F.lit(1)).alias("n_samples"))
@@ -154,12 +196,14 @@ def v_held_out(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_checkpoint(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The parts of a full round state of the runs at alpha 10."""
-    rounds = v_round_metrics(spark, sf).filter(F.col("alpha") == 10.0)
+    """The parts of a full round state of all runs; the parameter state as blocked tensors under their names."""
+    rounds = v_round_metrics(spark, sf)
     g = ["method", "alpha", "round"]
-    cells = v_cells_rounds(spark, sf).withColumn("alpha", F.lit(10.0))
-    return {"cells": cells, "metrics": rounds.select(*g, "acc", "f1", "loss"), "communication": rounds.select(*g, "comm_mb"),
-            "bias": rounds.select(*g, "bias"),
+    blocks, names = v_blocks(spark, sf)
+    state = scaled(each_round(blocks.join(names.select("param_id", "param"), "param_id").drop("param_id")))
+    state = state.withColumn("alpha", F.explode(F.array(F.lit(10.0), F.lit(0.5), F.lit(0.1))))
+    return {"cells": state, "metrics": rounds.select(*g, "acc", "f1", "loss"),
+            "communication": rounds.select(*g, "comm_mb"), "bias": rounds.select(*g, "bias"),
             "config": rounds.select(*g, F.concat(F.lit("clients="), F.lit(NUM_CLIENTS), F.lit(";method="), "method").alias("config"),
                                     F.lit(SEED).alias("seed"))}
 
@@ -169,6 +213,11 @@ def _method_of(user: F.Column) -> F.Column:
             .otherwise(F.lit("rolora")))
 
 
+def _alpha_of(user: F.Column) -> F.Column:
+    blk = F.floor(user / 3).cast("int") % 3
+    return F.when(blk == 0, F.lit(10.0)).when(blk == 1, F.lit(0.5)).otherwise(F.lit(0.1)).cast("double")
+
+
 def _flag(cond: F.Column) -> F.Column:
     return F.when(cond, F.lit(1)).otherwise(F.lit(0)).cast("double")
 
@@ -176,10 +225,8 @@ def _flag(cond: F.Column) -> F.Column:
 def v_round_metrics(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events")
     u = F.col("user_id")
-    blk = F.floor(u / 3).cast("int") % 3
-    alpha = F.when(blk == 0, F.lit(10.0)).when(blk == 1, F.lit(0.5)).otherwise(F.lit(0.1)).cast("double")
     t = F.col("event_type")
-    return (ev.groupBy(_method_of(u).alias("method"), alpha.alias("alpha"),
+    return (ev.groupBy(_method_of(u).alias("method"), _alpha_of(u).alias("alpha"),
                        (F.col("event_id") % 5 + 1).cast("int").alias("round"))
             .agg(F.round(F.avg(_flag(t.isin("click", "view"))), 6).alias("acc"),
                  F.round(F.avg(_flag(t == "purchase")), 6).alias("f1"),
@@ -188,6 +235,15 @@ def v_round_metrics(spark: SparkSession, sf: str) -> DataFrame:
                  F.round(F.avg(_flag(t == "error")), 6).alias("bias")))
 
 
+def v_run_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """Updates that arrived, per run and round: purchases of a run's users; users who only looked dropped out."""
+    ev = table(spark, sf, "events")
+    u = F.col("user_id")
+    return ev.where(F.col("event_type") == "purchase").select(
+        _method_of(u).alias("method"), _alpha_of(u).alias("alpha"), (F.col("event_id") % 5 + 1).cast("int").alias("round"),
+        u.alias("client_id"))
+
+
 def v_final_results(spark: SparkSession, sf: str) -> DataFrame:
     from fedtab.operators.report import run_summary
     return run_summary(v_round_metrics(spark, sf))
@@ -227,3 +283,39 @@ def v_uploads(spark: SparkSession, sf: str) -> DataFrame:
                      .alias("arrival_ts"),
                      F.col("user_id").alias("client_id"), (F.col("user_id") % 3 + 1).cast("int").alias("w"),
                      F.col("value").alias("v"))
+
+
+def v_state_uploads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every client's blocks once a round as timed uploads, some of them late, and their names.
+
+    One more upload without tensors, long after the last round, closes it.
+    """
+    blocks, names = v_blocks(spark, sf)
+    sent = scaled(blocks.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS)))))
+    c, r = F.col("client_id"), F.col("round")
+    ts = F.timestamp_seconds(F.lit(FIRST_DAY) + (r - 1) * 86400 + (c * 7919 + r * 104729) % 86400)
+    delay = ((c * 37 + r * 53) % 40 * 1800).cast("int")
+    timed = (sent.join(v_client_meta(spark, sf).select("client_id", "n_samples"), "client_id")
+             .withColumn("ts", ts).withColumn("arrival_ts", ts + F.make_interval(secs=delay))
+             .select("ts", "arrival_ts", F.col("client_id").cast("long").alias("client_id"), "n_samples", "param_id", "k", "t", "v"))
+    end = F.timestamp_seconds(F.lit(FIRST_DAY + 30 * 86400))
+    closing = spark.range(1).select(end.alias("ts"), end.alias("arrival_ts"), *[
+        F.lit(None).cast(f.dataType).alias(f.name) for f in timed.schema.fields[2:]])
+    return timed.unionByName(closing), names
+
+
+def land_in_order(rows: DataFrame, order: list[str], path: str) -> str:
+    """Append rows to a source as files that have come in this order: one sorted write, then the files' times.
+
+    A file source takes files by their times. Only file names reach the driver.
+    """
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda: {f.getPath().getName(): f.getPath() for f in (fs.listStatus(at) if fs.exists(at) else ())}
+    before = there()
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").parquet(path)
+    new = sorted(n for n in there() if n.startswith("part-") and n not in before)
+    for i, name in enumerate(new):
+        fs.setTimes(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), (FIRST_DAY + len(before) + i) * 1000, -1)
+    return path

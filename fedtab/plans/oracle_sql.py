@@ -87,6 +87,11 @@ select case user_id % 3 when 0 then 'standard_lora' when 1 then 'ffa_lora' else
        round(avg(value), 6) as loss, round(sum(value), 4) as comm_mb,
        round(avg(cast(case when event_type = 'error' then 1 else 0 end as double)), 6) as bias
 from events group by 1, 2, 3""",
+    "v_run_uploads": """
+select case user_id % 3 when 0 then 'standard_lora' when 1 then 'ffa_lora' else 'rolora' end as method,
+       cast(case cast(floor(user_id / 3) as integer) % 3 when 0 then 10.0 when 1 then 0.5 else 0.1 end as double) as alpha,
+       cast(event_id % 5 + 1 as integer) as round, user_id as client_id
+from events where event_type = 'purchase'""",
     "v_final_results": """
 select method, alpha, arg_max(acc, round) as final_acc, arg_max(f1, round) as final_f1,
        arg_max(loss, round) as final_loss, max(acc) as best_acc, max(f1) as best_f1,
@@ -412,6 +417,71 @@ select n.client_id, n.n as n_rows, round(ln(4.0), 6) as first_loss,
 from n"""
 
 
+def _entry_sql(name: str, k: str, j: str) -> str:
+    """An entry of the shared tables of the low-rank fit."""
+    h = f"substr(md5(concat('42:{name}:', cast({k} as varchar), ':', cast({j} as varchar))), 1, 8)"
+    return f"((cast(concat('0x', {h}) as bigint) / 2147483648.0::double - 1.0::double) * 0.1::double)"
+
+
+def _table_sql(name: str, n: str) -> str:
+    return (f"list_transform(range({n}), lambda k: list_transform(range(64), lambda j: "
+            f"{_entry_sql(name, 'k', 'j') if name else '0.0::double'}))")
+
+
+def _low_rank_sql(steps: int = 3, batches: int = 10, accumulate: int = 4, mu: float = 0.01, rate: float = 0.5) -> str:
+    """One epoch of #46 unrolled: tensors as lists of rows, gradients summed place by place."""
+    sums = "list_sum(list_transform(range(1, len({n}) + 1), lambda k: {t}))"
+    sql = f"""
+with o as (select client_id, y, cast(x as double[]) as x, row_number() over (partition by client_id order by {md5_key('example_id')}, example_id) - 1 as pos,
+                  count(*) over (partition by client_id) as n from v_features),
+m as (select *, (pos * least({batches}, n)) // n as mb, least({batches}, n) - 1 as last from o),
+r as (select client_id, y, x, mb // {accumulate} as step, (mb // {accumulate} + 1) * {accumulate} - 1 <= last as whole,
+             row_number() over () as id, 1.0::double / count(*) over (partition by client_id, mb) as share from m),
+w0 as (select method, cast(round as integer) as round, client_id, rank, a, b, h, a as ga, b as gb, h as gh,
+              method = 'standard_lora' or (method = 'rolora' and round % 2 = 0) as ta,
+              method in ('standard_lora', 'ffa_lora') or (method = 'rolora' and round % 2 <> 0) as tb, 0.0::double as ls, 0.0::double as seen
+       from (select client_id, rank, round, unnest(['standard_lora', 'ffa_lora', 'rolora']) as method,
+                    {_table_sql('A', 'rank')} as a, case when round = 2 then {_table_sql('B', 'rank')} else {_table_sql('', 'rank')} end as b,
+                    {_table_sql('H', '4')} as h
+             from (select distinct client_id, case when client_id < 4 then 4 else 8 end as rank, unnest([1, 2]) as round from v_features)))"""
+    for t in range(steps):
+        sql += f""",
+u{t} as (select w.method, w.round, w.client_id, w.a, w.b, w.h, r.id, r.y, r.x, r.share, r.whole,
+                list_transform(w.a, lambda e: list_dot_product(e, r.x)) as u
+         from r join w{t} w on w.client_id = r.client_id where r.step = {t}),
+h{t} as (select *, list_transform(range(1, 65), lambda j: x[j] + {sums.format(n='u', t='u[k] * b[k][j]')}) as hid from u{t}),
+z{t} as (select *, list_transform(h, lambda e: list_dot_product(e, hid)) as z from h{t}),
+e{t} as (select *, list_max(z) + ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z))))) as lse from z{t}),
+p{t} as (select *, list_transform(z, lambda v, c: exp(v - lse) - case when c = y + 1 then 1 else 0 end) as off, lse - z[y + 1] as loss from e{t}),
+q{t} as (select *, list_transform(range(1, 65), lambda j: {sums.format(n='off', t='off[k] * h[k][j]')}) as q from p{t}),
+s{t} as (select *, list_transform(b, lambda e: list_dot_product(e, q)) as s from q{t}),
+f{t} as (select method, round, client_id, share, unnest(flatten([
+           flatten(list_transform(s, lambda e: list_transform(x, lambda v: e * v))),
+           flatten(list_transform(u, lambda e: list_transform(q, lambda v: e * v))),
+           flatten(list_transform(off, lambda e: list_transform(hid, lambda v: e * v)))])) as g,
+           generate_subscripts(flatten([flatten(list_transform(s, lambda e: x)), flatten(list_transform(u, lambda e: q)),
+           flatten(list_transform(off, lambda e: hid))]), 1) as place from s{t}),
+d{t} as (select method, round, client_id, place, sum(g * share) / {accumulate} as g from f{t} group by method, round, client_id, place),
+l{t} as (select method, round, client_id, list(g order by place) as g from d{t} group by method, round, client_id),
+c{t} as (select method, round, client_id, sum(loss * share) as ls, round(sum(share)) as mbs from s{t} group by method, round, client_id),
+j{t} as (select w.*, l.g, c.ls as lnow, coalesce(c.mbs, 0) as mbs,
+           case when ta then list_sum(list_transform(flatten(a), lambda v, i: pow(v - flatten(ga)[i], 2))) else 0 end
+           + case when tb then list_sum(list_transform(flatten(b), lambda v, i: pow(v - flatten(gb)[i], 2))) else 0 end
+           + list_sum(list_transform(flatten(h), lambda v, i: pow(v - flatten(gh)[i], 2))) as far
+         from w{t} w left join l{t} l using (method, round, client_id) left join c{t} c using (method, round, client_id)),
+w{t + 1} as (select method, round, client_id, rank,
+           case when ta and g is not null then list_transform(a, lambda e, k: list_transform(e, lambda v, j: v - {rate} * (g[(k - 1) * 64 + j] + mbs * {mu / accumulate!r}::double * (v - ga[k][j])))) else a end as a,
+           case when tb and g is not null then list_transform(b, lambda e, k: list_transform(e, lambda v, j: v - {rate} * (g[(rank + k - 1) * 64 + j] + mbs * {mu / accumulate!r}::double * (v - gb[k][j])))) else b end as b,
+           case when g is not null then list_transform(h, lambda e, k: list_transform(e, lambda v, j: v - {rate} * (g[(2 * rank + k - 1) * 64 + j] + mbs * {mu / accumulate!r}::double * (v - gh[k][j])))) else h end as h,
+           ga, gb, gh, ta, tb, ls + coalesce(lnow, 0) + mbs * {mu / 2!r}::double * far as ls, seen + mbs as seen from j{t})"""
+    norm = lambda c: f"round(list_sum(list_transform(flatten(w.{c}), lambda v: v * v)), 6) as norm2_{c}"
+    return sql + f""",
+cl as (select client_id, count(*) as n_rows, cast(max(step) + 1 as integer) as n_steps from r group by client_id)
+select w.method, w.round, w.client_id, cl.n_rows, cl.n_steps, round(w.ls / w.seen, 6) as mean_loss, cast(0 as bigint) as n_nan,
+       {norm('a')}, {norm('b')}, {norm('h')}
+from w{steps} w join cl using (client_id)"""
+
+
 ROUND_REPORT_SQL = f"""
 with sent as (select * from v_cells_rounds where {TRANSMIT}),
 up as (select method, round, count(distinct client_id) as n_clients, count(*) as n_sent from sent group by method, round),
@@ -420,10 +490,11 @@ wt as (select method, round, client_id, cast(n_samples as double) / sum(n_sample
 av as (select method, round, param, i, j, sum(weight * v) as v from sent join wt using (method, round, client_id)
        group by method, round, param, i, j),
 down as (select method, round, count(*) as n_avg from av group by method, round),
+hd as (select method, round, i, j, sum(v) as v from av where HEAD group by method, round, i, j),
 ho as (select vec_id, cast(label % 4 as integer) as label, unnest(range(len(embedding))) as j, cast(unnest(embedding) as double) as xj
        from embeddings where substr({md5_key('vec_id')}, 1, 8) < '33333333'),
 z as (select av.method, av.round, ho.vec_id, ho.label, av.i, sum(av.v * ho.xj) as z from ho
-      join av on av.j = ho.j and av.param = 'layers.0.score.weight' group by av.method, av.round, ho.vec_id, ho.label, av.i),
+      join hd av on av.j = ho.j group by av.method, av.round, ho.vec_id, ho.label, av.i),
 sc as (select method, round, vec_id, label, arg_max(i, z) as pred, max(z) as m from z group by method, round, vec_id, label),
 ls as (select z.method, z.round, z.vec_id, sc.label, sc.pred, any_value(sc.m) + ln(sum(exp(z.z - sc.m)))
               - sum(case when z.i = z.label then z.z else 0 end) as loss
@@ -443,13 +514,41 @@ select up.method, up.round, up.n_clients, round(up.n_sent * 4 / 1048576.0, 6) as
        rb.bias, rb.n_layers_measured, ac.n as n_held_out, round(ac.accuracy, 6) as accuracy, round(ev.macro_f1, 6) as macro_f1,
        round(ac.mean_loss, 6) as mean_loss
 from up join down using (method, round) join rb using (method, round) left join ac using (method, round) left join ev using (method, round)
-""".replace("BIAS", ROUND_BIAS_SQL.strip())
+""".replace("BIAS", ROUND_BIAS_SQL.strip()).replace("HEAD", HEAD)
 
 CHECKPOINT_SQL = """
-with c as (select method, 10.0::double as alpha, round, count(*) as n_cells, sum(v) as sum_v from v_cells_rounds group by method, round)
+with c as (select method, round, count(*) as n_cells, sum(v) as sum_v from v_cells_rounds group by method, round)
 select m.method, m.alpha, m.round, c.n_cells, round(c.sum_v, 6) as sum_v, m.acc, m.f1, m.loss, m.comm_mb, m.bias,
        concat('clients=5;method=', m.method) as config, cast(42 as integer) as seed
-from v_round_metrics m join c using (method, alpha, round)"""
+from v_round_metrics m join c using (method, round)"""
+
+
+DROPPED_SQL = r"""
+with marks as (
+  select run_id, line_no, try_cast(nullif(regexp_extract(line, '^Round (\d+) - ', 1), '') as integer) as round,
+         try_cast(nullif(regexp_extract(line, '\[DROPOUT\] Client (\d+) failed to upload updates', 1), '') as integer) as client_id
+  from v_run_log
+), parts as (
+  select *, count(round) over (partition by run_id order by line_no rows between unbounded preceding and current row)
+              - case when round is not null then 1 else 0 end as segment
+  from marks where round is not null or client_id is not null)
+select run_id, max(case when round is not null then line_no end) as line_no, max(round) as round,
+       count(distinct client_id) as n_dropped, coalesce(string_agg(distinct cast(client_id as varchar), ',' order by cast(client_id as varchar)), '') as dropped
+from parts group by run_id, segment having max(round) is not null"""
+
+STATE_STREAM_SQL = """
+with up as (
+  select to_timestamp(1704067200 + (round - 1) * 86400 + (client_id * 7919 + round * 104729) % 86400) at time zone 'UTC' as ts,
+         (client_id * 37 + round * 53) % 40 * 1800 as delay, round, c.client_id, param, i, j,
+         v * (1 + cast(round * (client_id + 1) as double) / 100) as v
+  from (select unnest(range(1, 6)) as round, * from v_cells) c),
+ok as (select up.*, date_trunc('day', ts) as day, n_samples from up join v_client_meta using (client_id)
+       where ts + to_seconds(delay) <= date_trunc('day', ts) + interval 1 day + interval 1 hour),
+tot as (select day, count(*) as n_clients, sum(n) as n from (select day, client_id, max(n_samples) as n from ok group by day, client_id)
+        group by day)
+select strftime(day, '%Y-%m-%d %H:%M:%S') as round_start, any_value(tot.n_clients) as n_clients, param, i, j,
+       round(sum(n_samples * v) / any_value(tot.n), 6) as v
+from ok join tot using (day) group by day, param, i, j"""
 
 
 QUERIES: dict[str, str] = {
@@ -469,6 +568,7 @@ where starts_with(line, 'Round ') and not ({is_round}) group by run_id""".replac
     "dirichlet_proportions": DIRICHLET_SQL,
     "hash_split": HASH_SPLIT_SQL,
     "local_fit": _fit_sql(),
+    "low_rank_fit": _low_rank_sql(),
     "round_report": ROUND_REPORT_SQL,
     "state_roundtrip": """
 select client_id, param, i, j, round(v, 6) as v from v_cells_rounds where method = 'rolora' and round = 3""",
@@ -655,11 +755,15 @@ with pm as (
   select method, arg_max(final_acc, alpha) as acc_high_alpha, arg_min(final_acc, alpha) as acc_low_alpha,
          min(alpha) as low_alpha
   from v_final_results group by method),
+up as (select method, alpha, round, count(distinct client_id) as n from v_run_uploads group by method, alpha, round),
 low as (
-  select r.method, stddev_samp(r.acc) as acc_std_low_alpha, count(*) as n_rounds_low_alpha
-  from v_round_metrics r join pm on r.method = pm.method and r.alpha = pm.low_alpha group by r.method)
+  select r.method, stddev_samp(r.acc) as acc_std_low_alpha, count(*) as n_rounds_low_alpha,
+         cast(sum(coalesce(up.n, 0)) as bigint) as n_uploads, cast(min(coalesce(up.n, 0)) as bigint) as min_uploads,
+         cast(count(*) filter (where up.n is null) as bigint) as n_rounds_without
+  from v_round_metrics r join pm on r.method = pm.method and r.alpha = pm.low_alpha left join up on up.method = r.method and up.alpha = r.alpha and up.round = r.round
+  group by r.method)
 select pm.method, round(100.0 * (acc_low_alpha - acc_high_alpha), 6) as degradation_pts,
-       round(acc_std_low_alpha, 6) as acc_std_low_alpha, n_rounds_low_alpha
+       round(acc_std_low_alpha, 6) as acc_std_low_alpha, n_rounds_low_alpha, n_uploads, min_uploads, n_rounds_without
 from pm join low using (method)""",
     "run_comparison": """
 select a.method, a.final_acc as final_acc_a, b.final_acc as final_acc_b, round(b.final_acc - a.final_acc, 6) as diff
@@ -683,6 +787,9 @@ from rc join n on n.client_id = rc.client_id
 group by rc.client_id, rc.class, rc.j""",
     "stream_log_rounds": _stream_log_sql(),
     "stream_log_with_context": _parse_log_sql(),
+    "dropped_clients": DROPPED_SQL,
+    "stream_dropped_clients": DROPPED_SQL,
+    "stream_state_average": STATE_STREAM_SQL,
     "stream_round_average": """
 select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d %H:%M:%S') as round_start, count(*) as n,
        cast(sum(w) as bigint) as sum_w, round(sum(w * v), 6) as sum_wv, round(sum(w * v) / sum(w), 6) as avg_v
@@ -692,6 +799,13 @@ group by 1""",
 }
 
 
+# The same results from another form of the state.
+for _same, _of in (("blocked_average", "weighted_padded_average"), ("blocked_overlay", "state_overlay"),
+                   ("blocked_presence", "key_presence_filter"), ("blocked_max_shape", "param_max_shape"),
+                   ("aggregation_bias_gram", "aggregation_bias")):
+    QUERIES[_same] = QUERIES[_of]
+
+
 def _deps(sql: str) -> list[str]:
     return [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fedtab.functions.params import METHODS, component, element_bytes, layer_key, transmits
-from fedtab.operators import cost, evaluate, linalg, report, split, state
+from fedtab.operators import blocks, cost, evaluate, linalg, report, split, state
 from fedtab.plans import fixtures as fx
 from fedtab.session import materialize, shared_dir, table
 from fedtab.sources import results_io, runlog, text
@@ -80,15 +80,17 @@ def q_parse_run_log_text(spark, sf):
 
 
 def q_checkpoint_roundtrip(spark, sf):
-    """#5/#6: the whole round state written, one run's round rewritten, all of it read back and summarised."""
+    """#5/#6: the state of all runs committed, one round committed again, all of it read back and summarised."""
     path = shared_dir(spark, "checkpoint")
-    parts = fx.v_checkpoint(spark, sf)
+    parts = {k: materialize(v, f"checkpoint-{k}") for k, v in fx.v_checkpoint(spark, sf).items()}
     results_io.write_checkpoint(parts, path)
     again = {k: v.filter((F.col("method") == "rolora") & (F.col("round") == 3)) for k, v in parts.items()}
     results_io.write_checkpoint(again, path)
     back = results_io.read_checkpoint(spark, path)
     g = ["method", "alpha", "round"]
-    cells = back["cells"].groupBy(*g).agg(F.count(F.lit(1)).alias("n_cells"), F.sum("v").alias("sum_v"))
+    there = F.filter("v", lambda x: x.isNotNull())
+    cells = back["cells"].groupBy(*g).agg(F.sum(F.size(there)).alias("n_cells"),
+                                          F.sum(F.aggregate(there, F.lit(0.0), lambda a, x: a + x)).alias("sum_v"))
     return (cells.join(back["metrics"], g).join(back["communication"], g).join(back["bias"], g).join(back["config"], g)
             .select("method", F.col("alpha").cast("double").alias("alpha"), F.col("round").cast("int").alias("round"), "n_cells",
                     _r("sum_v"), "acc", "f1", "loss", "comm_mb", "bias", "config", "seed"))
@@ -250,6 +252,42 @@ def q_key_presence_filter(spark, sf):
             .select("client_id", "param", "n_cells", _r("sum_v")))
 
 
+# ---------------------------------------------------------------- the same on blocked tensors
+
+def q_blocked_average(spark, sf):
+    """#24 on blocked tensors: the same cells as ``weighted_padded_average``."""
+    parts, names = fx.v_blocks(spark, sf)
+    avg = blocks.average_blocks(parts, _weights(spark, sf))
+    return blocks.to_cells(avg, names).select("param", "i", "j", _r("v"))
+
+
+def q_blocked_overlay(spark, sf):
+    """#19 on blocked tensors: the same cells as ``state_overlay``."""
+    parts, names = fx.v_blocks(spark, sf)
+    first = fx.sent_blocks(parts, names).where("method = 'rolora' and round = 1").drop("method", "round")
+    out = blocks.overlay_blocks(parts, blocks.average_blocks(first, _weights(spark, sf)))
+    return blocks.to_cells(out, names).select("client_id", "param", "i", "j", _r("v"))
+
+
+def q_blocked_presence(spark, sf):
+    """#20 on blocked tensors: the same tensors as ``key_presence_filter``."""
+    parts, names = fx.v_blocks(spark, sf)
+    sent = fx.sent_blocks(parts, names)
+    kept = blocks.present_blocks(sent.where("method = 'standard_lora' and round = 2"), sent.where("method = 'rolora' and round = 1"))
+    kept = kept.join(names.select("param_id", "param"), "param_id")
+    there = F.filter("v", lambda x: x.isNotNull())
+    return (kept.groupBy("client_id", "param")
+            .agg(F.sum(F.size(there)).cast("long").alias("n_cells"),
+                 F.sum(F.aggregate(there, F.lit(0.0), lambda a, x: a + x)).alias("sum_v"))
+            .select("client_id", "param", "n_cells", _r("sum_v")))
+
+
+def q_blocked_max_shape(spark, sf):
+    """#25 on blocked tensors: the same shapes as ``param_max_shape``."""
+    parts, names = fx.v_blocks(spark, sf)
+    return blocks.max_shapes(parts, names).select("param", "n_rows", "n_cols", "n_clients")
+
+
 # ---------------------------------------------------------------- products and bias
 
 def _cells(spark, sf):
@@ -281,16 +319,19 @@ def q_aggregation_bias_weighted(spark, sf):
     return q_aggregation_bias(spark, sf, weighted=True)
 
 
+def q_aggregation_bias_gram(spark, sf):
+    """#27 by Gram matrices of blocked factors: the same ratios as ``aggregation_bias``."""
+    parts, names = fx.v_blocks(spark, sf)
+    return blocks.gram_bias_layers(parts, names, _weights(spark, sf)).select("layer", _r("bias"))
+
+
 def q_round_bias(spark, sf):
-    """Flagship: per (method, round), transmitted cells -> weighted average -> bias."""
-    cells = materialize(fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round")), "round_cells")
-    meta = fx.v_client_meta(spark, sf)
-    rounds = cells.select("method", "round").distinct()
-    weights = state.group_weight(
-        meta.withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS])))
-            .withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(fx.ROUNDS)))),
-        partition_cols=["method", "round"])
-    out = linalg.aggregation_bias(cells, weights, rounds, ["method", "round"])
+    """Flagship: per (method, round), transmitted factors -> weighted average -> bias, on blocked tensors."""
+    parts, names = fx.v_blocks(spark, sf)
+    sent = materialize(fx.sent_blocks(parts, names), "sent-blocks")
+    g = ["method", "round"]
+    per_layer = blocks.gram_bias_layers(sent, names, _round_weights(spark, sf), g)
+    out = linalg.summarise_bias(per_layer, sent.select(*g).distinct(), g)
     return out.select("method", "round", _r("bias"), "n_layers_measured")
 
 
@@ -397,8 +438,9 @@ def q_comm_saving(spark, sf):
 
 
 def q_degradation_report(spark, sf):
-    d = report.degradation_report(fx.v_round_metrics(spark, sf))
-    return d.select("method", _r("degradation_pts"), _r("acc_std_low_alpha"), "n_rounds_low_alpha")
+    d = report.degradation_report(fx.v_round_metrics(spark, sf), fx.v_run_uploads(spark, sf))
+    return d.select("method", _r("degradation_pts"), _r("acc_std_low_alpha"), "n_rounds_low_alpha", "n_uploads", "min_uploads",
+                    "n_rounds_without")
 
 
 def q_run_comparison(spark, sf):
@@ -428,6 +470,29 @@ def q_local_fit(spark, sf):
     return s.select("client_id", "n_rows", _r("first_loss"), _r("last_loss"), _r("norm2"))
 
 
+def q_low_rank_fit(spark, sf):
+    """#46: one epoch of every client under each method in the first two rounds, from one given global state.
+
+    In the second round B starts from a table, too, so that the factor A, which that round trains, has a slope.
+    """
+    from fedtab.operators import lowrank
+    rows = split.shuffle_within_group(fx.v_features(spark, sf), "client_id", "example_id", SEED)
+    rows = materialize(lowrank.in_batches(rows.select("client_id", "y", "x", "pos")), "fit-rows")
+    ranked = rows.select("client_id").distinct().withColumn("rank", fx.client_rank())
+    start = lowrank.first_state(ranked, 4, 64, SEED)
+    later = start.withColumn("b", F.transform("b", lambda r, k: F.transform(r, lambda _, j: lowrank.table_value(
+        SEED, "B", k, j, 0.1)))).withColumn("round", F.lit(2))
+    start = (start.withColumn("round", F.lit(1)).unionByName(later)
+             .withColumn("method", F.explode(F.array(*[F.lit(m) for m in METHODS]))))
+    keys = ["method", "round", "client_id"]
+    fitted = lowrank.fit_factors(rows, start, steps=-(-lowrank.BATCHES // lowrank.ACCUMULATE), keys=keys)
+
+    def norm(c: str) -> F.Column:
+        return F.aggregate(F.flatten(c), F.lit(0.0), lambda s, v: s + v * v)
+    return fitted.select(*keys, "n_rows", "n_steps", F.round("mean_loss", R6).alias("mean_loss"), "n_nan",
+                         *[F.round(norm(n), R6).alias(f"norm2_{n}") for n in lowrank.PARAMS])
+
+
 def q_round_report(spark, sf):
     """#47: what the clients sent, averaged, measured and evaluated on the held-out vectors."""
     from fedtab.plans.round_report import round_report
@@ -445,18 +510,48 @@ def q_stream_log_rounds(spark, sf):
     return out.select("run_id", "line_no", "round", "acc", "f1", "loss", "comm_mb", "bias")
 
 
+def _log_source(spark, sf, base: str) -> str:
+    return fx.land_in_order(fx.v_run_log(spark, sf), ["line_no", "run_id"], f"{base}/source")
+
+
 def q_stream_log_with_context(spark, sf):
     from fedtab.streaming.log_context_stream import stream_log_with_context
-    out = stream_log_with_context(spark, fx.v_run_log(spark, sf), rows_per_slice=2000)
+    base = shared_dir(spark, "log_context_stream")
+    out = stream_log_with_context(spark, _log_source(spark, sf, base), base)
     return out.select("run_id", "alpha_block", "alpha_txt", "alpha", "method", "line_no", *runlog.ROUND_FIELDS)
 
 
+def q_dropped_clients(spark, sf):
+    """#48 on ``[DROPOUT]`` lines: who dropped out of every round of every log."""
+    return runlog.dropped_clients(fx.v_run_log(spark, sf))
+
+
+def q_stream_dropped_clients(spark, sf):
+    """The same from a growing log; a round is written when its line arrives."""
+    from fedtab.streaming.log_context_stream import stream_dropped_clients
+    base = shared_dir(spark, "dropout_stream")
+    return stream_dropped_clients(spark, _log_source(spark, sf, base), base)
+
+
 def q_stream_round_average(spark, sf):
     from fedtab.streaming.round_stream import stream_round_average
-    out = stream_round_average(spark, fx.v_uploads(spark, sf))
+    base = shared_dir(spark, "round_stream")
+    src = fx.land_in_order(fx.v_uploads(spark, sf), ["arrival_ts", "event_id"], f"{base}/source")
+    out = stream_round_average(spark, src, base)
     return out.select("round_start", "n", "sum_w", _r("sum_wv"), _r("avg_v"))
 
 
+def q_stream_state_average(spark, sf):
+    """#49 on parameter states: per round the padded average of what arrived before the deadline."""
+    from fedtab.streaming.round_stream import read_state_average, run_state_average
+    base = shared_dir(spark, "state_stream")
+    uploads, names = fx.v_state_uploads(spark, sf)
+    src = fx.land_in_order(uploads, ["arrival_ts", "client_id", "param_id", "k", "t"], f"{base}/source")
+    run_state_average(spark, src, base)
+    avg = blocks.to_cells(read_state_average(spark, base), names)
+    return avg.select(F.date_format("round_start", "yyyy-MM-dd HH:mm:ss").alias("round_start"), "n_clients", "param", "i", "j", _r("v"))
+
+
 QUERIES: dict[str, Query] = {
     "scan_examples": q_scan_examples,
     "csv_roundtrip": q_csv_roundtrip,
@@ -487,6 +582,11 @@ QUERIES: dict[str, Query] = {
     "param_max_shape": q_param_max_shape,
     "state_overlay": q_state_overlay,
     "key_presence_filter": q_key_presence_filter,
+    "blocked_average": q_blocked_average,
+    "blocked_overlay": q_blocked_overlay,
+    "blocked_presence": q_blocked_presence,
+    "blocked_max_shape": q_blocked_max_shape,
+    "aggregation_bias_gram": q_aggregation_bias_gram,
     "matrix_product": q_matrix_product,
     "mean_product": q_mean_product,
     "aggregation_bias": q_aggregation_bias,
@@ -512,8 +612,12 @@ QUERIES: dict[str, Query] = {
     "proximal_penalty": q_proximal_penalty,
     "local_gradient": q_local_gradient,
     "local_fit": q_local_fit,
+    "low_rank_fit": q_low_rank_fit,
     "round_report": q_round_report,
     "stream_log_rounds": q_stream_log_rounds,
     "stream_log_with_context": q_stream_log_with_context,
+    "dropped_clients": q_dropped_clients,
+    "stream_dropped_clients": q_stream_dropped_clients,
     "stream_round_average": q_stream_round_average,
+    "stream_state_average": q_stream_state_average,
 }

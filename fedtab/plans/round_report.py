@@ -17,12 +17,13 @@ from fedtab.session import materialize
 
 
 def round_report(cells: DataFrame, meta: DataFrame, held_out: DataFrame, group_cols: Sequence[str] = ("method", "round"),
-                 head_param: str = "layers.0.score.weight", value_bytes: int = 4) -> DataFrame:
+                 value_bytes: int = 4) -> DataFrame:
     """One row per group: clients, upload and download MB, bias, and accuracy, macro-F1 and loss on ``held_out``.
 
     ``cells`` = (group..., client_id, param, i, j, v); ``meta`` = (client_id, n_samples);
-    ``held_out`` = (example_id, label, x). The averaged cells of ``head_param`` score
-    the held-out rows. A group without cells has no row; an empty table gives an
+    ``held_out`` = (example_id, label, x). All averaged heads score the held-out rows: a
+    row's logits are the sum of those of every layer's head, the logits of the heads' sum.
+    A group without any head has no scores. A group without cells has no row; an empty table gives an
     empty one of the same columns.
     """
     g = list(group_cols)
@@ -34,7 +35,7 @@ def round_report(cells: DataFrame, meta: DataFrame, held_out: DataFrame, group_c
     up = sizes.groupBy(*g).agg(F.count(F.lit(1)).alias("n_clients"), F.sum("n_cells").alias("_sent"))
     down = avg.groupBy(*g).agg(F.count(F.lit(1)).alias("_average"))
     bias = linalg.aggregation_bias(cells, weights, up, g)
-    head = avg.filter(is_head("param") & (F.col("param") == head_param))
+    head = avg.filter(is_head("param")).groupBy(*g, "i", "j").agg(F.sum("v").alias("v"))
     models = (head.groupBy(*g, "i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("r"))
               .groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("w"))
               .select(*g, F.transform("w", lambda h: F.transform(h["r"], lambda c: c["v"])).alias("w")))

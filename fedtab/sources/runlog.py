@@ -20,6 +20,8 @@ METHOD_MARK = "--- Method: "
 ROUND_PREFIX = "Round "
 ROUND_PATTERN = (r"Round (\d+) - Acc: ([\d.]+), F1: ([\d.]+), Loss: ([\d.]+), "
                  r"Comm: ([\d.]+)MB, Bias: ([\d.]+)")
+CLOSE_PATTERN = r"^Round (\d+) - "
+DROPOUT_PATTERN = r"\[DROPOUT\] Client (\d+) failed to upload updates"
 ROUND_FIELDS = ("round", "acc", "f1", "loss", "comm_mb", "bias")
 
 
@@ -110,6 +112,37 @@ def parse_run_log(lines: DataFrame, strip_method_tail: bool = True, width: int =
                          F.col("method_ctx").alias("method"), "line_no", *ROUND_FIELDS)
 
 
+def dropout_marks(lines: DataFrame) -> DataFrame:
+    """Of ``(run_id, line_no, line)`` the lines that close a round or drop a client: ``(run_id, line_no, round, client_id)``.
+
+    One of ``round`` and ``client_id`` is null. A round line closes its round even where its numbers are no record.
+    """
+    line = F.col("line")
+    number = lambda p: F.nullif(F.regexp_extract(line, p, 1), F.lit("")).try_cast("int")
+    closes = number(CLOSE_PATTERN)
+    return (lines.select("run_id", "line_no", closes.alias("round"), F.when(closes.isNull(), number(DROPOUT_PATTERN)).alias("client_id"))
+            .where("round is not null or client_id is not null"))
+
+
+def dropped_clients(lines: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Clients that dropped out of every round: ``(run_id, line_no, round, n_dropped, dropped)``.
+
+    A dropout line stands before the line that closes its round, so it belongs to the next round line of its log: the
+    one that ends its segment. Segments are numbered by a running count of round lines, taken in pieces of ``width``
+    lines with a carry from the pieces before; then one aggregation brings a segment's lines together. A round that
+    nobody dropped out of has 0; dropouts after a log's last round line belong to no round and are left out. A client
+    counts once a round. ``line_no`` is the round line's, as in ``parse_run_log``.
+    """
+    marks = carry_forward(dropout_marks(lines), ["run_id"], "line_no", values={},
+                          counters={"closed": F.col("round").isNotNull()}, width=width)
+    segment = F.col("closed") - F.when(F.col("round").isNotNull(), 1).otherwise(0)
+    found = marks.groupBy("run_id", segment.alias("_segment")).agg(
+        F.max(F.when(F.col("round").isNotNull(), F.col("line_no"))).alias("line_no"), F.max("round").alias("round"),
+        F.array_sort(F.collect_set("client_id")).alias("_who"))
+    return found.where("round is not null").select("run_id", "line_no", "round", F.size("_who").cast("long").alias("n_dropped"),
+                                                   F.array_join("_who", ",").alias("dropped"))
+
+
 def unmatched_round_lines(lines: DataFrame) -> DataFrame:
     """Count of ``Round `` lines that give no record, per log (T16): the pattern or a number fails."""
     line = F.col("line")

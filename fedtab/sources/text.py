@@ -46,30 +46,53 @@ def build_vocabulary(examples: DataFrame, text_col: str = "text") -> DataFrame:
     return ranked.select("tok", (F.col("pos") + FIRST_WORD_ID).alias("id"))
 
 
+def dictionary(toks: F.Column) -> F.Column:
+    """The distinct words of an array with their positions: ``array<struct<tok, at: array<int>>>``.
+
+    One sort of (word, position); runs of one word are cut out by where they start, so the work is that of the
+    sort however long the text is.
+    """
+    def bound(x: F.Column, body) -> F.Column:
+        return F.get(F.transform(F.array(x), body), F.lit(0))
+
+    placed = F.array_sort(F.transform(toks, lambda w, i: F.struct(w.alias("tok"), i.alias("at"))))
+
+    def cut(s: F.Column) -> F.Column:
+        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["tok"] != x["tok"]), i)), lambda i: i.isNotNull())
+        at = F.transform(s, lambda x: x["at"])
+        return bound(F.struct(first.alias("first"), at.alias("at")), lambda r: F.transform(r["first"], lambda f, q: F.struct(
+            F.get(s, f)["tok"].alias("tok"),
+            F.slice(r["at"], f + 1, F.coalesce(F.get(r["first"], q + 1), F.size(s)) - f).alias("at"))))
+    return bound(placed, cut)
+
+
 def tokenize_pad(examples: DataFrame, vocab: DataFrame, max_len: int = MAX_SEQ_LENGTH,
                  id_col: str = "example_id", text_col: str = "text", label_col: str = "label") -> DataFrame:
     """#7: ``(example_id, labels, n_words, chunk_no, input_ids, attention_mask)``.
 
     Every text becomes consecutive chunks of ``max_len`` ids, the last one padded
     right with PAD_ID; a text without words is one chunk of padding. Words that the
-    vocabulary lacks get UNK_ID. The vocabulary joins by shuffle or broadcast as AQE
-    finds by its bytes, and a frequent word is split like any hot join key; then one
-    shuffle gathers the ids of each chunk.
+    vocabulary lacks get UNK_ID. A text's distinct words are looked up once each and
+    carry their positions, so what is moved are distinct words, not occurrences; the
+    vocabulary joins by shuffle or broadcast as AQE finds by its bytes, and a frequent
+    word is split like any hot join key. One shuffle brings the ids back to their text,
+    where the positions put them in order. ``id_col`` must be unique.
     """
-    base = examples.select(F.col(id_col).alias("example_id"), F.col(label_col).alias("labels"),
-                           words(text_col).alias("_toks"))
-    # one row per word; posexplode_outer keeps texts without words as one null row
-    exploded = base.select("example_id", "labels", F.size("_toks").cast("long").alias("n_words"),
-                           F.posexplode_outer("_toks").alias("pos", "tok"))
-    ided = exploded.join(vocab, "tok", "left").withColumn(
-        "id", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(UNK_ID).cast("long"))))
-    chunk = F.coalesce(F.expr(f"pos div {max_len}"), F.lit(0)).cast("long")
-    seqs = ided.groupBy("example_id", "labels", "n_words", chunk.alias("chunk_no")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("_s"))
-    out = seqs.withColumn("_ids", F.transform("_s", lambda s: s["id"]))
-    ids = F.col("_ids")
-    n = F.size(ids)
+    base = examples.select(F.col(id_col).alias("example_id"), F.col(label_col).alias("labels"))
+    listed = (examples.select(F.col(id_col).alias("example_id"), F.explode(dictionary(words(text_col))).alias("_w"))
+              .select("example_id", "_w.tok", "_w.at"))
+    ided = listed.join(vocab, "tok", "left").select("example_id", F.coalesce("id", F.lit(UNK_ID).cast("long")).alias("id"), "at")
+    found = ided.groupBy("example_id").agg(F.collect_list(F.struct("id", "at")).alias("_w"))
+    spread = F.flatten(F.transform("_w", lambda w: F.transform(w["at"], lambda p: F.struct(p.alias("at"), w["id"].alias("id")))))
+    ids = F.transform(F.array_sort(spread), lambda s: s["id"])
+    whole = (base.join(found.select("example_id", ids.alias("_all")), "example_id", "left")
+             .withColumn("_all", F.coalesce("_all", F.array().cast("array<bigint>")))
+             .withColumn("n_words", F.size("_all").cast("long")))
+    last = F.greatest(F.lit(0), F.expr(f"(size(_all) - 1) div {max_len}").cast("int"))
+    out = whole.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last))).withColumn(
+        "_ids", F.slice("_all", F.col("chunk_no") * max_len + 1, max_len))
+    ids, n = F.col("_ids"), F.size("_ids")
     return out.select(
-        "example_id", "labels", "n_words", "chunk_no",
+        "example_id", "labels", "n_words", F.col("chunk_no").cast("long").alias("chunk_no"),
         F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("long"), F.lit(max_len) - n)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n)).alias("attention_mask"))

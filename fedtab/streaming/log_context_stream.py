@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fedtab.session import shared_dir
-from fedtab.sources.runlog import ROUND_FIELDS, marked
+from fedtab.sources.runlog import ROUND_FIELDS, dropout_marks, marked
 
 CONTEXT_SCHEMA = "run_id int, alpha_block long, alpha_txt string, method string, line_no long, " + ", ".join(
     f"{c} {'int' if c == 'round' else 'double'}" for c in ROUND_FIELDS)
@@ -46,31 +45,53 @@ def parse_log_stream(lines: DataFrame) -> DataFrame:
     return rounds.withColumn("alpha", F.col("alpha_txt").try_cast("double"))
 
 
-def land_in_line_order(lines: DataFrame, path: str, rows_per_slice: int = 1 << 20) -> None:
-    """Test harness: land the log lines in line order, one commit per slice, as growing logs would.
-
-    One partitioned write sorts the lines into slices of line numbers; each slice is then
-    appended with its natural partitioning, a run's lines of it in one file. Only the
-    largest line number reaches the driver.
-    """
-    stage = f"{path}-staged"
-    (lines.withColumn("_slice", F.expr(f"line_no div {rows_per_slice}")).repartition("_slice", "run_id")
-     .write.partitionBy("_slice").parquet(stage))
-    spark = lines.sparkSession
-    staged = spark.read.parquet(stage)
-    for r in staged.select("_slice").distinct().orderBy("_slice").toLocalIterator():
-        staged.filter(F.col("_slice") == r["_slice"]).drop("_slice").repartition("run_id").write.mode("append").parquet(path)
-
-
-def stream_log_with_context(spark: SparkSession, lines: DataFrame, files_per_trigger: int = 16,
-                            rows_per_slice: int = 1 << 20) -> DataFrame:
-    base = shared_dir(spark, "log_context_stream")
-    src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    land_in_line_order(lines, src, rows_per_slice)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
-    parsed = parse_log_stream(stream)
-    q = (parsed.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start(sink))
+def run_log_stream(stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
+    """Process every line now in the source (``availableNow``), resuming from ``checkpoint``; the sink as a table."""
+    q = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start(sink))
     q.awaitTermination()
-    return spark.read.schema(parsed.schema).parquet(sink)
+    return stream.sparkSession.read.schema(stream.schema).parquet(sink)
+
+
+def stream_log_with_context(spark: SparkSession, src: str, base: str, files_per_trigger: int = 16) -> DataFrame:
+    """Records of the logs under ``src``, whose files hold a run's lines in order of their times; sink and state under ``base``."""
+    return run_log_stream(parse_log_stream(_lines(spark, src, files_per_trigger)), f"{base}/sink", f"{base}/checkpoint")
+
+
+def _lines(spark: SparkSession, src: str, files_per_trigger: int) -> DataFrame:
+    return (spark.readStream.schema("run_id int, line_no long, line string").option("maxFilesPerTrigger", files_per_trigger)
+            .parquet(src))
+
+
+DROPPED_SCHEMA = "run_id int, line_no long, round int, n_dropped long, dropped string"
+
+
+def _gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keep a run's dropouts until the round line that they belong to arrives."""
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values("line_no", kind="stable")
+    closes = pdf["round"].notna()
+    segment = closes.cumsum().shift(fill_value=0)  # a round line is the last of its segment
+    open_ = list(state.get[0]) if state.exists else []
+    out = []
+    for at, part in pdf.groupby(segment, sort=True):
+        who = set(part["client_id"].dropna().astype(int)) | (set(open_) if at == 0 else set())
+        last = part.iloc[-1]
+        if pd.isna(last["round"]):
+            open_ = sorted(who)
+        else:
+            open_ = []
+            out.append((int(key[0]), int(last["line_no"]), int(last["round"]), len(who), ",".join(map(str, sorted(who)))))
+    state.update((open_,))
+    yield pd.DataFrame(out, columns=["run_id", "line_no", "round", "n_dropped", "dropped"]).astype(
+        {"run_id": "int32", "line_no": "int64", "round": "int32", "n_dropped": "int64"})
+
+
+def dropped_clients_stream(lines: DataFrame) -> DataFrame:
+    """``runlog.dropped_clients`` on a stream; the state holds a run's dropouts of the round that is still open."""
+    return dropout_marks(lines).groupBy("run_id").applyInPandasWithState(
+        _gather, DROPPED_SCHEMA, "waiting array<int>", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_dropped_clients(spark: SparkSession, src: str, base: str, files_per_trigger: int = 16) -> DataFrame:
+    """Dropouts per round of the logs under ``src`` (see ``stream_log_with_context``)."""
+    return run_log_stream(dropped_clients_stream(_lines(spark, src, files_per_trigger)), f"{base}/sink", f"{base}/checkpoint")

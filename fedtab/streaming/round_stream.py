@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fedtab.session import shared_dir
+from fedtab.operators.blocks import KEYS, WIDTH
 
 ROUND_LENGTH = "1 day"
 GRACE = "1 hour"
@@ -30,24 +30,6 @@ def windowed_uploads(uploads: DataFrame) -> DataFrame:
                  F.sum(F.col("w") * F.col("v")).alias("sum_wv")))
 
 
-def stage_by_arrival(uploads: DataFrame, path: str, slice_seconds: int = 5 * 86400) -> list[int]:
-    """Write the uploads once, one folder per arrival slice, and return the slices in order (only ids reach the driver)."""
-    sl = F.floor(F.unix_timestamp("arrival_ts") / F.lit(slice_seconds)).cast("long")
-    uploads.withColumn("_slice", sl).write.mode("overwrite").partitionBy("_slice").parquet(path)
-    ids = uploads.sparkSession.read.parquet(path).select("_slice").distinct().orderBy("_slice")
-    return [r["_slice"] for r in ids.toLocalIterator()]
-
-
-def land_in_arrival_order(spark: SparkSession, staged: str, path: str, slice_ids: list[int]) -> None:
-    """Test harness: append staged slices to the source in arrival order, one commit per slice, as a live source would.
-
-    A slice is read by its folder alone and keeps its natural partitioning.
-    """
-    rows = spark.read.parquet(staged)
-    for k in slice_ids:
-        rows.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(path)
-
-
 def run_round_average(spark: SparkSession, src: str, sink: str, ckpt: str, schema, files_per_trigger: int = 1) -> None:
     """Process every file now in ``src`` (``availableNow``), resuming from ``ckpt``.
     Each micro-batch's updated windows go to ``sink/batch_id=N`` (overwrite: a
@@ -72,10 +54,55 @@ def read_round_average(spark: SparkSession, sink: str) -> DataFrame:
                         "sum_wv", (F.col("sum_wv") / F.col("sum_w")).alias("avg_v"))
 
 
-def stream_round_average(spark: SparkSession, uploads: DataFrame, files_per_trigger: int = 16) -> DataFrame:
-    base = shared_dir(spark, "round_stream")
-    src, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    ids = stage_by_arrival(uploads, f"{base}/staged")
-    land_in_arrival_order(spark, f"{base}/staged", src, ids)
+def stream_round_average(spark: SparkSession, src: str, base: str, files_per_trigger: int = 16) -> DataFrame:
+    """Averages of the uploads under ``src``, whose files are in arrival order; sink and state under ``base``."""
+    sink, ckpt = f"{base}/sink", f"{base}/checkpoint"
     run_round_average(spark, src, sink, ckpt, spark.read.parquet(src).schema, files_per_trigger)
     return read_round_average(spark, sink)
+
+
+# ------------------------------------------------------------------ whole parameter states
+
+def _on_time(uploads: DataFrame) -> DataFrame:
+    """Uploads before their round's deadline, with their round ``win``; the watermark bounds the state."""
+    timed = uploads.withWatermark("ts", WATERMARK_DELAY).select("*", F.window("ts", ROUND_LENGTH).alias("win"))
+    return timed.filter(F.col("arrival_ts") <= F.col("win.end") + F.expr(f"interval {GRACE}"))
+
+
+def window_weights(uploads: DataFrame) -> DataFrame:
+    """Clients and samples of every round: each client counts once a round, however many tensors it sends.
+
+    Two aggregations one after the other: per (round, client), then per round.
+    """
+    clients = _on_time(uploads).groupBy("win", "client_id").agg(F.max("n_samples").alias("n"))
+    per_round = F.window(F.window_time("win"), ROUND_LENGTH).alias("win")
+    return (clients.groupBy(per_round).agg(F.count("client_id").alias("n_clients"), F.sum("n").alias("n_samples"))
+            .select(F.col("win.start").alias("round_start"), "n_clients", "n_samples"))
+
+
+def window_blocks(uploads: DataFrame) -> DataFrame:
+    """Sums of samples times value of every round and tile, place by place."""
+    sums = [F.sum(F.col("n_samples") * F.get("v", F.lit(o))).alias(f"_v{o}") for o in range(WIDTH)]
+    return (_on_time(uploads).groupBy("win", *KEYS).agg(*sums)
+            .select(F.col("win.start").alias("round_start"), *KEYS, F.array(*[f"_v{o}" for o in range(WIDTH)]).alias("v")))
+
+
+def run_state_average(spark: SparkSession, src: str, base: str, files_per_trigger: int = 16) -> None:
+    """Process every upload now in ``src`` (``availableNow``), resuming from the checkpoints under ``base``.
+
+    ``src``: parquet files in arrival order of ``(ts, arrival_ts, client_id, n_samples, param_id, k, t, v)``. A round is
+    written once, when the watermark has passed it: any later upload, also one without tensors, closes it.
+    """
+    stream = (spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src))
+    running = [made(stream).writeStream.format("parquet").outputMode("append")
+               .option("checkpointLocation", f"{base}/{name}-checkpoint").trigger(availableNow=True).start(f"{base}/{name}")
+               for name, made in (("weights", window_weights), ("blocks", window_blocks))]
+    for q in running:
+        q.awaitTermination()
+
+
+def read_state_average(spark: SparkSession, base: str) -> DataFrame:
+    """The closed rounds' averaged states ``(round_start, n_clients, param_id, k, t, v)``: #24 with late uploads left out."""
+    weights = spark.read.parquet(f"{base}/weights")
+    out = spark.read.parquet(f"{base}/blocks").where("param_id is not null").join(weights, "round_start")
+    return out.select("round_start", "n_clients", *KEYS, F.transform("v", lambda x: x / F.col("n_samples")).alias("v"))

@@ -275,10 +275,13 @@ def test_local_fit_matches_numpy_brute_force(spark):
 def test_round_average_stream_independent_of_batch_size(spark):
     """#49: the result must not depend on how the uploads are cut into micro-batches."""
     from fedtab.plans import fixtures as fx
+    from fedtab.session import shared_dir
     from fedtab.streaming.round_stream import stream_round_average
     up = fx.v_uploads(spark, "/root/testdata/sf0.001")
-    a = sorted(tuple(r) for r in stream_round_average(spark, up, files_per_trigger=1).collect())
-    b = sorted(tuple(r) for r in stream_round_average(spark, up, files_per_trigger=4).collect())
+    base = shared_dir(spark, "batch-size-test")
+    src = fx.land_in_order(up, ["arrival_ts", "event_id"], f"{base}/source")
+    a = sorted(tuple(r) for r in stream_round_average(spark, src, f"{base}/1", files_per_trigger=1).collect())
+    b = sorted(tuple(r) for r in stream_round_average(spark, src, f"{base}/4", files_per_trigger=4).collect())
     assert len(a) > 0
     assert [x[:3] for x in a] == [x[:3] for x in b]
     assert all(abs(x[3] - y[3]) < 1e-9 for x, y in zip(a, b))
@@ -297,6 +300,7 @@ def test_round_report_on_empty_input(spark):
 def test_bad_log_lines_are_counted_not_fatal(spark, tmp_path):
     """Numbers that are none and a text alpha: no error, counted, and alike in batch, text files and stream."""
     from fedtab.sources.runlog import read_log_text, unmatched_round_lines, write_log_text
+    from fedtab.plans import fixtures as fx
     from fedtab.streaming.log_context_stream import stream_log_with_context
     from fedtab.streaming.log_stream import stream_text_rounds
     r = "Round {} - Acc: {}, F1: 0.1, Loss: {}, Comm: 1.0MB, Bias: 0.1"
@@ -314,8 +318,9 @@ def test_bad_log_lines_are_counted_not_fatal(spark, tmp_path):
     assert sorted((x["run_id"], x["line_no"], x["line"]) for x in read.collect()) == [
         (run, k + 1, s) for run in (0, 1) for k, s in enumerate(lines)]
     assert key(parse_run_log(read, width=3)) == batch
-    for rows in (2, 3, 100):
-        assert key(stream_log_with_context(spark, df, files_per_trigger=4, rows_per_slice=rows)) == batch
+    for files, base in ((1, str(tmp_path / "one")), (4, str(tmp_path / "four"))):
+        src = fx.land_in_order(df, ["line_no", "run_id"], f"{base}/source")
+        assert key(stream_log_with_context(spark, src, base, files_per_trigger=files)) == batch
     stream_text_rounds(spark, path, str(tmp_path / "sink"), str(tmp_path / "ckpt"))
     got = spark.read.parquet(str(tmp_path / "sink")).collect()
     assert sorted((x["run_id"], x["acc"]) for x in got) == [(0, 0.5), (0, 0.6), (1, 0.5), (1, 0.6)]
@@ -391,6 +396,106 @@ def test_rewriting_one_round_leaves_the_others(spark):
         assert sorted((r["method"], r["round"], r["v"]) for r in part.collect()) == [
             ("a", 1, 1.0), ("a", 2, 9.0), ("b", 1, 1.0), ("b", 2, 2.0)]
     assert io.read_checkpoint(spark, path, method="b", round=1)["config"].count() == 1
+    assert len(io.checkpoint_versions(spark, path)) == 2
+
+
+def test_a_writer_that_fails_between_two_parts_changes_nothing(spark):
+    """#5: readers see committed versions only, all parts of one version together."""
+    from fedtab.session import shared_dir
+    from fedtab.sources import results_io as io
+    base = spark.createDataFrame([(m, 10.0, r, float(r)) for m in ("a", "b") for r in (1, 2)],
+                                 "method string, alpha double, round int, v double")
+    path = shared_dir(spark, "failing-writer-test")
+    with pytest.raises(FileNotFoundError):
+        io.read_checkpoint(spark, path)
+    io.write_checkpoint({k: base for k in io.STATE_PARTS}, path)
+    new = base.filter("method = 'a'").withColumn("v", F.lit(9.0))
+    broken = new.withColumn("v", F.raise_error(F.lit("the writer is lost")).cast("double"))
+    with pytest.raises(Exception, match="the writer is lost"):
+        io.write_checkpoint({k: broken if k == "bias" else new for k in io.STATE_PARTS}, path)
+    for part in io.read_checkpoint(spark, path).values():
+        assert sorted(r["v"] for r in part.collect()) == [1.0, 1.0, 2.0, 2.0]
+    io.write_checkpoint({k: new.where("round = 2") for k in io.STATE_PARTS}, path)  # the next writer is not in its way
+    for part in io.read_checkpoint(spark, path).values():
+        assert sorted((r["method"], r["round"], r["v"]) for r in part.collect()) == [
+            ("a", 1, 1.0), ("a", 2, 9.0), ("b", 1, 1.0), ("b", 2, 2.0)]
+
+
+def test_two_writers_of_one_commit_cannot_both_succeed(spark, monkeypatch):
+    from fedtab.session import shared_dir
+    from fedtab.sources import results_io as io
+    base = spark.createDataFrame([("a", 10.0, 1, 1.0)], "method string, alpha double, round int, v double")
+    path = shared_dir(spark, "two-writers-test")
+    real = io._commit
+
+    def other_first(*args):
+        monkeypatch.setattr(io, "_commit", real)
+        io.write_checkpoint({"cells": base.withColumn("v", F.lit(2.0))}, path)
+        real(*args)
+    monkeypatch.setattr(io, "_commit", other_first)
+    with pytest.raises(RuntimeError, match="another writer"):
+        io.write_checkpoint({"cells": base}, path)
+    assert [r["v"] for r in io.read_checkpoint(spark, path)["cells"].collect()] == [2.0]
+
+
+def test_running_max_equals_a_window(spark):
+    from pyspark.sql import Window
+
+    from fedtab.operators.positions import running_max
+    df = spark.range(0, 2000).select((F.col("id") * 7919 % 2003).alias("k"), (F.col("id") * 104729 % 997).cast("double").alias("v"))
+    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("m", F.max("v").over(w))
+    assert running_max(df, "k", "v", "m").exceptAll(want).count() == 0
+    one = spark.createDataFrame([(1, 5.0)], "k int, v double")
+    assert running_max(one, "k", "v", "m").first()["m"] is None and running_max(one.limit(0), "k", "v", "m").collect() == []
+
+
+def test_scoring_under_many_models(spark):
+    """#47: every row meets every model once, however the models are dealt into chunks."""
+    from fedtab.operators.fit import score_with_heads
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(7)], "example_id long, x array<double>")
+    heads = spark.createDataFrame([("m", k, [[float(k), 0.0], [0.0, float(k)]]) for k in range(30)],
+                                  "method string, round int, w array<array<double>>")
+    for size in (1, 4, 64):
+        out = score_with_heads(rows, heads, ["method", "round"], models_per_chunk=size).collect()
+        assert sorted((r["example_id"], r["round"], *r["logits"]) for r in out) == [
+            (i, k, float(i * k), float(k)) for i in range(7) for k in range(30)]
+    assert score_with_heads(rows, heads.limit(0), ["method", "round"]).collect() == []
+
+
+def test_all_heads_take_part_in_the_report(spark):
+    """#47: the logits are the sum of those of every layer's head."""
+    from fedtab.plans.round_report import round_report
+    cells = [("m", 1, 0, f"layers.{la}.score.weight", i, 0, v) for la, h in enumerate(([0.0, 1.0], [5.0, 0.0])) for i, v in enumerate(h)]
+    cells = spark.createDataFrame(cells, "method string, round int, client_id int, param string, i int, j int, v double")
+    meta = spark.createDataFrame([(0, 5)], "client_id int, n_samples long")
+    held = spark.createDataFrame([(1, 0, [1.0]), (2, 1, [1.0])], "example_id long, label int, x array<double>")
+    out = round_report(cells, meta, held).first()
+    assert out["accuracy"] == 0.5 and out["mean_loss"] == pytest.approx(math.log(math.exp(5) + math.exp(1)) - 3.0)
+
+
+def test_words_are_looked_up_once_a_text(spark):
+    """#7: the dictionary of a text holds its distinct words and where they stand."""
+    from fedtab.sources.text import dictionary
+    rows = [(["b", "a", "b", "é", "a", "b"],), ([],), (["x"],), ((["w%d" % (i % 700) for i in range(40_000)]),)]
+    out = spark.createDataFrame(rows, "t array<string>").select("t", dictionary(F.col("t")).alias("d")).collect()
+    for r in out:
+        want = {}
+        for i, w in enumerate(r["t"]):
+            want.setdefault(w, []).append(i)
+        assert {x["tok"]: x["at"] for x in r["d"]} == want and len(r["d"]) == len(want)
+
+
+def test_uploads_of_rounds_without_any_count_zero(spark):
+    """#40: the evaluated rounds are the spine; a client counts once a round."""
+    from fedtab.operators.report import degradation_report
+    rounds = spark.createDataFrame([("m", a, r, acc, 0.1, 0.1, 1.0, 0.0) for a, acc in ((10.0, 0.9), (0.1, 0.4)) for r in (1, 2, 3)],
+                                   "method string, alpha double, round int, acc double, f1 double, loss double, comm_mb double, bias double")
+    uploads = spark.createDataFrame([("m", 0.1, 1, 7), ("m", 0.1, 1, 7), ("m", 0.1, 1, 8), ("m", 0.1, 3, 8), ("m", 10.0, 2, 9),
+                                     ("m", 0.1, 9, 1), ("other", 0.1, 1, 1)], "method string, alpha double, round int, client_id long")
+    r = degradation_report(rounds, uploads).first()
+    assert (r["n_rounds_low_alpha"], r["n_uploads"], r["min_uploads"], r["n_rounds_without"]) == (3, 3, 0, 1)
+    assert r["degradation_pts"] == pytest.approx(-50.0)
 
 
 def test_log_parse_last_block_only(spark):
