@@ -474,18 +474,6 @@ def test_all_heads_take_part_in_the_report(spark):
     assert out["accuracy"] == 0.5 and out["mean_loss"] == pytest.approx(math.log(math.exp(5) + math.exp(1)) - 3.0)
 
 
-def test_words_are_looked_up_once_a_text(spark):
-    """#7: the dictionary of a text holds its distinct words and where they stand."""
-    from fedtab.sources.text import dictionary
-    rows = [(["b", "a", "b", "é", "a", "b"],), ([],), (["x"],), ((["w%d" % (i % 700) for i in range(40_000)]),)]
-    out = spark.createDataFrame(rows, "t array<string>").select("t", dictionary(F.col("t")).alias("d")).collect()
-    for r in out:
-        want = {}
-        for i, w in enumerate(r["t"]):
-            want.setdefault(w, []).append(i)
-        assert {x["tok"]: x["at"] for x in r["d"]} == want and len(r["d"]) == len(want)
-
-
 def test_uploads_of_rounds_without_any_count_zero(spark):
     """#40: the evaluated rounds are the spine; a client counts once a round."""
     from fedtab.operators.report import degradation_report
