@@ -28,8 +28,6 @@ GUARD_WORDS = 30
 #: Largest distances (square root of the divergence in bits) from the nearest language: a limit for long texts
 #: and a part that falls with the square root of the words, as the noise of a histogram does.
 MOST_CLASS, MOST_WORD = (0.14, 1.2), (0.30, 0.9)
-#: Buckets of the lookup of common words; the next larger size without a clash is taken.
-SLOTS = 8192
 #: Character classes, in order; all other characters make the last bin.
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{N}", "space": r"[\x20\x09-\x0D]",
            "symbol": r"[#*$%&|<>]", "point": r"[.,;:!?'()\x22-]"}
@@ -60,8 +58,47 @@ def _count(text: Column, pattern: str) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
 
-def _lookup(docs: DataFrame, lang: str, text: str) -> tuple[list[str], list[str], dict, int]:
-    """Languages, common words, share of each common word by language, slots of the lookup.
+class Lookup:
+    """A slot of its own for each of a few hashes: its bucket says by how much its place is moved.
+
+    Buckets are placed by size, the fullest first, each by the first move that leaves all its hashes a free slot. With
+    twice as many slots as hashes that takes a few tries a bucket, so the work follows their number; should a bucket
+    find no move, other bits of the hashes give the places.
+    """
+
+    def __init__(self, hashes: list[int]) -> None:
+        self.buckets = 1 << max(len(hashes) - 1, 1).bit_length()
+        self.slots = 2 * self.buckets
+        full: dict[int, list[int]] = {}
+        for i, h in enumerate(hashes):
+            full.setdefault(h & (self.buckets - 1), []).append(i)
+        order = sorted(full.items(), key=lambda x: (-len(x[1]), x[0]))
+        if not any(self._placed(hashes, order, shift) for shift in range(24, 44)):
+            raise ValueError("two words have one hash")
+
+    def _placed(self, hashes: list[int], order: list[tuple[int, list[int]]], shift: int) -> bool:
+        self.shift, self.moves, self.taken = shift, [0] * self.buckets, [-1] * self.slots
+        for bucket, members in order:
+            for move in range(self.slots):
+                at = [(((hashes[i] & ((1 << 64) - 1)) >> shift) + move) & (self.slots - 1) for i in members]
+                if len(set(at)) == len(at) and all(self.taken[a] < 0 for a in at):
+                    break
+            else:
+                return False
+            self.moves[bucket] = move
+            for i, a in zip(members, at, strict=True):
+                self.taken[a] = i
+        return True
+
+    def code(self, h: Column) -> Column:
+        """Number of the hash in the slot of ``h``, or -1; it is another one's if ``h`` is not among them."""
+        move = F.get(_numbers(self.moves, "int"), h.bitwiseAND(F.lit(self.buckets - 1)).cast("int"))
+        at = (F.shiftrightunsigned(h, self.shift) + move).bitwiseAND(F.lit(self.slots - 1))
+        return F.get(_numbers(self.taken, "int"), at.cast("int"))
+
+
+def _lookup(docs: DataFrame, lang: str, text: str) -> tuple[list[str], list[str], dict, Lookup]:
+    """Languages, common words, share of each common word by language, and the lookup of the common words.
 
     At most ``COMMON`` words of each language reach the driver.
     """
@@ -73,14 +110,12 @@ def _lookup(docs: DataFrame, lang: str, text: str) -> tuple[list[str], list[str]
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     common = counted.withColumn("rank", first).where(F.col("rank") <= COMMON).select("word").distinct()
     shares: dict[str, dict[str, float]] = {x: {} for x in totals}
-    hashes = {}
+    hashes: dict[str, int] = {}
     for r in counted.join(common, "word").select("lang", "word", "n", F.xxhash64("word").alias("h")).collect():
         shares[r["lang"]][r["word"]] = r["n"] / totals[r["lang"]]
         hashes[r["word"]] = r["h"]
-    size = SLOTS
-    while len({h % size for h in hashes.values()}) < len(hashes):
-        size += 1
-    return sorted(totals), sorted(hashes), {"shares": shares, "hash": hashes}, size
+    vocabulary = sorted(hashes)
+    return sorted(totals), vocabulary, shares, Lookup([hashes[w] for w in vocabulary])
 
 
 def _numbers(values: list, kind: str) -> Column:
@@ -88,12 +123,9 @@ def _numbers(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _profile(docs: DataFrame, key: str, text: str, lang: str, vocabulary: list[str], hashes: dict, size: int) -> DataFrame:
+def _profile(docs: DataFrame, key: str, text: str, lang: str, vocabulary: list[str], lookup: Lookup) -> DataFrame:
     """One compact row per document: base counts, class counts and the counts of the common words in it."""
     t = F.coalesce(F.col(text), F.lit(""))
-    slots = [-1] * size
-    for i, word in enumerate(vocabulary):
-        slots[hashes[word] % size] = i
     rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), t.alias("text"))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(WORD))
 
@@ -101,9 +133,9 @@ def _profile(docs: DataFrame, key: str, text: str, lang: str, vocabulary: list[s
         low = F.transform(w, lambda x: F.lower(x))
         if not vocabulary:
             return F.lit(None).cast("array<struct<code:int,n:int>>")
-        names, slot = F.array(*[F.lit(x) for x in vocabulary]), _numbers(slots, "int")
+        names = F.array(*[F.lit(x) for x in vocabulary])
         found = let(low, lambda v: F.zip_with(
-            v, F.transform(v, lambda x: F.get(slot, F.pmod(F.xxhash64(x), F.lit(size)).cast("int"))),
+            v, F.transform(F.transform(v, lambda x: F.xxhash64(x)), lookup.code),
             lambda x, c: F.when((c >= 0) & (F.get(names, c) == x), c)))
         ordered = F.array_sort(F.filter(found, lambda c: c.isNotNull()))
 
@@ -178,8 +210,8 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     reference but are judged like all others. Equal rows give equal rows; null
     keys are kept; an empty table gives an empty one.
     """
-    languages, vocabulary, found, size = _lookup(docs, lang, text)
-    profile = materialize(_profile(docs, key, text, lang, vocabulary, found["hash"], size)
+    languages, vocabulary, shares, lookup = _lookup(docs, lang, text)
+    profile = materialize(_profile(docs, key, text, lang, vocabulary, lookup)
                           .withColumn("classes", _classes()), "profile")
     bins = range(len(CLASSES) + 1)
     sums = profile.where("lang is not null").groupBy("lang").agg(
@@ -188,8 +220,8 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     guard = F.col("n_words") >= GUARD_WORDS
     nearest = lambda parts: F.least(*parts) if len(parts) > 1 else parts[0] if parts else F.lit(None).cast("double")
     by_class = nearest([_class_distance(classes[x]) for x in languages if x in classes])
-    by_word = nearest([_word_distance([found["shares"][x].get(w, 0.0) for w in vocabulary])
-                       for x in languages if found["shares"][x]])
+    by_word = nearest([_word_distance([shares[x].get(w, 0.0) for w in vocabulary])
+                       for x in languages if shares[x]])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = profile.select(
         F.col("key").alias(key), "n_words", "word_chars",

@@ -109,3 +109,24 @@ def test_no_language_and_empty_table(spark):
 def test_only_native_operators(spark):
     plan = q.quality_rules(spark.createDataFrame([(1, "a b", "en")], COLUMNS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_lookup_of_very_many_common_words(spark):
+    """Two hundred languages of forty words: each word finds itself, nothing else finds one."""
+    words = [f"{a}{i}" for a in "abcdefghij" for i in range(800)]
+    df = spark.createDataFrame([(w,) for w in words] + [(f"no{i}",) for i in range(500)], "w string")
+    rows = df.select("w", F.xxhash64("w").alias("h")).collect()
+    lookup = q.Lookup([r.h for r in rows[:len(words)]])
+    assert lookup.slots <= 4 * len(words)
+    out = df.select("w", lookup.code(F.xxhash64("w")).alias("c")).collect()
+    assert all(words[r.c] == r.w for r in out[:len(words)])
+    assert all(r.c == -1 or words[r.c] != r.w for r in out[len(words):])
+    with pytest.raises(ValueError, match="one hash"):
+        q.Lookup([5, 5])
+
+
+def test_very_many_languages(spark):
+    """Every language has its own reference, however many there are."""
+    rows = [(k, " ".join(f"w{k}x{i % 12}" for i in range(40)), f"l{k}") for k in range(200)]
+    out = q.quality_rules(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert len(out) == 200 and all(r.word_distance < 0.01 for r in out)
