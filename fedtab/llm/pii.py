@@ -12,6 +12,7 @@ row per vote pattern, a number fixed by the kinds and labelers.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +24,11 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 #: One pattern per kind. They match what the plain patterns match, leftmost and without overlap, but look at
 #: each run of characters once: possessive repeats, and no start within a run unless a match has just ended there.
+#: A card's run of fewer than 7 digits has at most 11 characters, too few for any card or vote, and is passed over.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){6,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{16,}+",
 }
@@ -50,6 +52,25 @@ ROUNDS, STEPS, RATE = 40, 300, 0.5
 BELIEF = 5.0
 
 
+def running(values: Column, op: Callable[[Column, Column], Column], start: int) -> Column:
+    """``op`` over each prefix of an array of integers, itself included, starting with ``start``.
+
+    An array of n values falls into blocks of about the square root of n: a prefix is the blocks before and a part of
+    its own block, so the work is n times that root and nothing is copied n times.
+    """
+    def blocked(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+
+        def of(w: Column) -> Column:
+            fold = lambda x: F.aggregate(x, F.lit(start), op)
+            whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda b: fold(F.slice(v, b * w + 1, w)))
+            before = F.aggregate(whole, F.array(F.lit(start)), lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x))))
+            return let(before, lambda p: F.transform(v, lambda x, i: let(F.floor(i / w).cast("int"), lambda b: op(
+                F.get(p, b), fold(F.slice(v, b * w + 1, i - b * w + 1))))))
+        return let(width, of)
+    return let(values, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(F.array().cast("array<int>")))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -113,15 +134,14 @@ def _candidates(kind: str, text: Column) -> Column:
     def spans(m: Column) -> Column:
         def placed(g: Column) -> Column:
             step = F.transform(m, lambda x, i: F.char_length(F.get(g, i)) + F.char_length(x))
-            ends = F.aggregate(step, F.array().cast("array<int>"), lambda a, x: F.concat(
-                a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + x)))
+            ends = running(step, lambda a, x: a + x, 0)
             one = lambda e: F.transform(m, lambda x, i: F.struct(
                 (F.get(e, i) - F.char_length(x)).alias("start"), number.alias("kind"), F.get(e, i).alias("end"),
                 _is_base(kind, x).alias("base"),
                 _votes(kind, x, F.right(F.get(g, i), F.lit(24)), F.left(F.get(g, i + 1), F.lit(1))).alias("votes")))
             return let(ends, one)
         return F.when(F.size(m) > 0, let(F.split(text, pattern, -1), placed)).otherwise(empty)
-    # A card pattern matches any two digits; those too short for any card are not worth a vote.
+    # Runs too short for any card are not worth a vote.
     out = F.when(needed, let(found, spans)).otherwise(empty)
     return F.filter(out, lambda s: s["end"] - s["start"] >= 12) if kind == "card" else out
 
@@ -225,7 +245,7 @@ def _named(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, model: SpanModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, n_email, n_ip, n_card, n_phone, base, spans)`` of every row.
+    """``(key, n_email, n_ip, n_card, n_phone, n_spans, base, spans)`` of every row.
 
     ``base`` and ``spans`` are ``kind:start:end`` joined by commas. A null or
     empty text has no span; spans of different kinds may overlap; equal rows give
@@ -239,7 +259,7 @@ def find_pii(docs: DataFrame, model: SpanModel, key: str = "doc_id", text: str =
     def digest(s: Column) -> Column:
         base = F.filter(s, lambda x: x["base"])
         return let(base, lambda b: F.struct(
-            *[of(b, i).alias(f"n_{k}") for i, k in enumerate(BASE)],
+            *[of(b, i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.size(s).cast("long").alias("n_spans"),
             _named(b).alias("base"), _named(s).alias("spans")))
     return rows.select(F.col("key").alias(key), let(F.col("s"), digest).alias("d")).select(key, "d.*")
 
@@ -253,17 +273,14 @@ def redact(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
 
     def apart(spans: Column) -> Column:
         """Spans merged where they overlap: the first one's kind, the furthest end."""
-        start = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-
-        def add(a: Column, s: Column) -> Column:
-            one = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-            last = F.get(a, F.size(a) - 1)
-            wider = F.struct(last["start"].alias("start"), last["kind"].alias("kind"),
-                             F.greatest(last["end"], s["end"]).alias("end"))
-            return F.when((F.size(a) > 0) & (last["end"] > s["start"]),
-                          F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(wider))).otherwise(
-                F.concat(a, F.array(one)))
-        return F.aggregate(spans, start, add)
+        def merged(reach: Column) -> Column:
+            # A span that starts where all before it have ended is the first of its group.
+            first = F.filter(F.transform(spans, lambda s, i: F.when((i == 0) | (F.get(reach, i - 1) <= s["start"]), i)),
+                             lambda i: i.isNotNull())
+            return let(first, lambda f: F.transform(f, lambda i, g: F.struct(
+                F.get(spans, i)["start"].alias("start"), F.get(spans, i)["kind"].alias("kind"),
+                F.get(reach, F.coalesce(F.get(f, g + 1), F.size(spans)) - 1).alias("end"))))
+        return let(running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x), 0), merged)
 
     def rebuilt(t: Column) -> Column:
         def pieces(s: Column) -> Column:

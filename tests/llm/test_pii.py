@@ -107,3 +107,44 @@ def test_redaction(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(docs, pii.fit(docs)).collect() == [] and pii.redact(docs, pii.fit(docs)).collect() == []
+
+
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(6)
+    rows = [([rng.randint(0, 50) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 5, 16, 17, 300)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    for r in df.select("v", pii.running(F.col("v"), lambda a, x: a + x, 0).alias("s"),
+                       pii.running(F.col("v"), lambda a, x: F.greatest(a, x), 0).alias("m")).collect():
+        assert r.s == [sum(r.v[:i + 1]) for i in range(len(r.v))]
+        assert r.m == [max(r.v[:i + 1]) for i in range(len(r.v))]
+
+
+def test_texts_of_very_many_numbers(spark):
+    """Short numbers are passed over; the work of many spans in one text stays near their number."""
+    short = ", ".join(str(10 + i % 90) for i in range(400_000))
+    spans = " and ".join("1.2.3.%d" % (i % 250) for i in range(20_000)) + "\n" + "; ".join(["4111111111111111"] * 5_000)
+    check(run(spark, [short, spans]), [short, spans])
+    docs = spark.createDataFrame([(1, spans)], "doc_id long, text string")
+    text = pii.redact(docs, pii.fit(docs)).first().text
+    assert text == " and ".join(["<IP>"] * 20_000) + "\n" + "; ".join(["<CARD>"] * 5_000)
+
+
+def test_overlapping_spans_are_replaced_together(spark):
+    """A long span holds several others: the first one's kind stands for all of them."""
+    texts = ["a1b2c3d4e5f6g7h8i9@1.2.3.4 and 5.6.7.8", "+1.2.3.4.5.6.7.8.9.0 1.1.1.1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.SpanModel((1.0,) * (len(pii.KINDS) + 2 * len(pii.LABELERS)), (1.0,) * len(pii.LABELERS))
+    for r, t in zip(pii.redact(docs, model).orderBy("doc_id").collect(), texts, strict=True):
+        spans = sorted((s["start"], s["kind"], s["end"]) for s in docs.where(docs.doc_id == r.doc_id).select(
+            pii.candidates("text").alias("s")).first().s)
+        groups = []
+        for start, kind, end in spans:
+            if groups and groups[-1][2] > start:
+                groups[-1] = (*groups[-1][:2], max(groups[-1][2], end))
+            else:
+                groups.append((start, kind, end))
+        want, at = "", 0
+        for start, kind, end in groups:
+            want += t[at:start] + f"<{pii.KINDS[kind].upper()}>"
+            at = end
+        assert r.text == want + t[at:] and len(spans) > len(groups)
