@@ -2,7 +2,7 @@
 
 Tokens are summed per source, each source's repetition rate is its target over
 its size, and every document is emitted ``floor(rate)`` times plus one more time
-with probability equal to the fraction, drawn from a hash of its key.
+with probability equal to the fraction, drawn from a hash of its key, source and text.
 
 Only DataFrame functions run here. The corpus is read once for the sizes; what
 follows works on ``(key, source, size)`` and on one row per source.
@@ -10,7 +10,7 @@ follows works on ``(key, source, size)`` and on one row per source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fedtab.llm.common import n_words, ranked, uniform
@@ -23,6 +23,12 @@ EPOCHS, MOST = 1.5, 2.0
 SEED = "mix"
 
 
+def _draw(key: str, source: str, text: Column, seed: str) -> Column:
+    """A draw that rows of one key, or none, do not share unless their texts are the same, too."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    return uniform(F.concat_ws(":", part(F.col(key)), part(F.col(source)), text), seed)
+
+
 def source_targets(sized: DataFrame, source: str = "source", size: str = "size",
                    weights: tuple[int, ...] = WEIGHTS, epochs: float = EPOCHS, most: float = MOST) -> DataFrame:
     """``(source, source_size, weight, target)``, one row per source (null is a source, the last).
@@ -56,20 +62,20 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", source: str = "source", te
                 seed: str = SEED, **shares) -> DataFrame:
     """``(key, source, size, source_size, target, rate, copies)`` for every document.
 
-    A null or empty text has size 0. Equal rows and rows with equal keys take
-    the same draw; a null key draws as the word ``null``. Copies of a document
+    A null or empty text has size 0. Rows of equal key, source and text take the
+    same draw; a null key or source draws as the word ``null``. Copies of a document
     are the rate rounded down plus a draw against the fraction, so a source's
     words come near its target and no document is taken more than ``most`` times.
     """
     sized = materialize(docs.select(F.col(key).alias("key"), F.col(source).alias("source"),
-                                    n_words(text).alias("size")), "sized")
+                                    F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_text"), n_words(text).alias("size")), "sized")
     targets = source_targets(sized, **shares).withColumnRenamed("source", "_source")
     out = sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source", "weight")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     out = out.withColumn("rate", rate)
     whole = F.floor("rate")
-    extra = (uniform(F.col("key"), seed) < F.col("rate") - whole).cast("long")
-    return out.withColumn("copies", (whole + extra).cast("long")).withColumnRenamed("key", key)
+    extra = (_draw("key", "source", F.col("_text"), seed) < F.col("rate") - whole).cast("long")
+    return out.withColumn("copies", (whole + extra).cast("long")).drop("_text").withColumnRenamed("key", key)
 
 
 def emit_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
@@ -87,6 +93,7 @@ def emit_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     targets = targets.select(F.col("source").alias("_source"), rate.alias("_rate"))
     drawn = docs.join(targets, docs[source].eqNullSafe(targets["_source"]))
     whole = F.floor("_rate").cast("int")
-    copies = whole + (uniform(F.col(key), seed) < F.col("_rate") - whole).cast("int")
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    copies = whole + (_draw(key, source, digest, seed) < F.col("_rate") - whole).cast("int")
     return (drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
             .drop("_source", "_rate", "_copy"))

@@ -6,7 +6,8 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["op5_mix_sources"] = r"""
 with recursive sized as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size
+  select doc_id, source, md5(coalesce(text, '')) as digest,
+         cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size
   from documents
 ), totals as (
   select source, cast(sum(size) as bigint) as source_size from sized group by source
@@ -34,7 +35,7 @@ targets as (
 ), rated as (
   select d.doc_id, d.source, d.size, t.source_size, t.target,
          case when t.source_size > 0 then t.target / t.source_size else 0.0 end as rate,
-         cast('0x' || substr(md5('mix:' || coalesce(cast(d.doc_id as varchar), 'null')), 1, 13) as bigint)
+         cast('0x' || substr(md5('mix:' || coalesce(cast(d.doc_id as varchar), 'null') || ':' || coalesce(d.source, 'null') || ':' || d.digest), 1, 13) as bigint)
            / 4503599627370496.0::double as u
   from sized d join targets t on d.source is not distinct from t.source
 ), taken as (

@@ -58,3 +58,12 @@ def test_sources_come_near_their_targets_and_reruns_agree(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_sources(docs).collect() == [] and emit_mix(docs).collect() == []
+
+
+def test_one_key_for_a_third_of_the_rows_meets_the_targets(spark):
+    """Rows of one key, or of none, are drawn one by one: their texts tell them apart."""
+    for hot in (7, None):
+        rows = [(hot if i % 3 == 0 else 10_000 + i, f"s{i % 9 // 3}", f"w{i} " * (5 + i % 7)) for i in range(9000)]
+        out = mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+        for r in out.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.expr("size * copies")).alias("n")).collect():
+            assert abs(r.n / r.t - 1) < 0.05
