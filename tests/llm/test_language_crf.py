@@ -28,6 +28,18 @@ def test_marginals_equal_enumeration():
     assert np.allclose(gamma, want) and np.allclose(pairs, joint)
 
 
+@pytest.mark.parametrize("piece", [1, 2, 7, 50])
+def test_pieces_of_a_chain_give_the_marginals_of_the_whole(piece):
+    rng = np.random.default_rng(2)
+    k, sizes = 4, np.array([50, 1, 7, 23, 14, 100])
+    emit, move, start = 3 * rng.standard_normal((sizes.sum(), k)), rng.standard_normal((k, k)), rng.standard_normal(k)
+    want, _ = crf._marginals(emit, sizes, move, start)
+    pieces = np.array([min(piece, n - i) for n in sizes for i in range(0, n, piece)])
+    entry, exit_ = crf._ends(emit, pieces, [-(-n // piece) for n in sizes], move, start)
+    got, _ = crf._marginals(emit, pieces, move, start, entry=entry, exit_=exit_)
+    assert np.allclose(got, want, atol=1e-12)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -52,6 +64,16 @@ def test_switched_text_is_cut_where_it_switches(spark, model):
     assert [x["lang"] for x in row.runs] == ["de", "es"] and abs(row.runs[0]["words"] - 60) <= 2
 
 
+def test_labels_do_not_depend_on_the_length_of_pieces(spark, model, monkeypatch):
+    """A text that switches back and forth for tens of thousands of words."""
+    text = " ".join(["the house of the king " * 40, "das haus von dem und der " * 30] * 60)
+    whole = []
+    for piece in (10 ** 9, 2000, 333):
+        monkeypatch.setattr(crf, "CHAIN", piece)
+        whole.append([(g.round(9).tolist(), runs) for g, runs in crf._label([text, "the of", text], crf._Memo(model))])
+    assert whole[0] == whole[1] == whole[2] and len(whole[0][0][1]) > 50
+
+
 def test_odd_texts(spark, model):
     texts = [None, "", "123 | ²", "the", "a" * 50000, "the of and " * 30000, "der die und " * 100, "der die und " * 100]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "the", "x")],
