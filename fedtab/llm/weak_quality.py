@@ -27,8 +27,8 @@ from fedtab.llm.common import WORD, uniform, words
 from fedtab.llm.quality_rules import let
 from fedtab.session import materialize
 
-#: Expected number of sampled texts on which the scorer is fitted, the bound of the fit.
-SAMPLE = 4000
+#: Expected number of sampled texts on which the scorer is fitted and of their characters, the bounds of the fit.
+SAMPLE, SAMPLE_CHARS = 4000, 24_000_000
 #: Hash buckets of words and of word shapes.
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 14, 1 << 12
 STEPS, RATE, PENALTY, ROUNDS = 150, 0.5, 3e-6, 50
@@ -237,18 +237,19 @@ def train(texts: list[str], target: np.ndarray, accuracies: tuple[float, ...] =
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, lang: str = "lang") -> Scorer:
-    """Votes of all documents, their accuracies, and a scorer fitted on an expected ``sample`` texts.
+    """Votes of all documents, their accuracies, and a scorer fitted on an expected ``sample`` texts, drawn by key and text.
 
     ``lang``: column of the language, for its function words; without it few of them say nothing.
     Texts that are null teach nothing; an empty table gives a scorer that keeps everything.
     """
     known = docs.where(F.col(text).isNotNull())
     vote = _votes_of(docs, text, lang)
-    counted = known.groupBy(vote.alias("votes")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = known.groupBy(vote.alias("votes")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(text)).alias("chars")).collect()
     counts = {tuple(r["votes"]): r["n"] for r in sorted(counted, key=lambda r: r["votes"])}
     post, accuracies = estimate(counts)
-    n = sum(counts.values())
-    drawn = known.where(uniform(F.col(key), "quality") * max(n, 1) < sample).select(
+    rate = min(sample / max(sum(counts.values()), 1), SAMPLE_CHARS / max(sum(r["chars"] for r in counted), 1))
+    draw = uniform(F.concat_ws(":", F.col(key).cast("string"), F.xxhash64(text).cast("string")), "quality")
+    drawn = known.where(draw < rate).select(
         F.col(key).alias("key"), F.col(text).alias("text"), vote.alias("votes")).collect()
     drawn.sort(key=lambda r: (r["key"] is None, r["key"] or 0, r["text"]))
     return train([r["text"] for r in drawn], np.array([post[tuple(r["votes"])] for r in drawn]), tuple(accuracies))

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from fedtab.llm import weak_quality as wq
-from fedtab.llm.common import uniform
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,24 +42,76 @@ def test_query_keeps_good_and_rejects_junk(spark):
     assert sum(good) >= 0.99 * len(good) and sum(junk) <= 0.1 * len(junk)
 
 
+def plain_votes(text):
+    """The labellers by plain Python."""
+    import re
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n = len(w)
+    cut = lambda p: len(t) - len(re.sub(p, "", t))
+    upper, letters = sum(c.isupper() for c in t), sum(c.isalpha() for c in t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    again = len(lines) - len(set(lines))
+    function = sum(x.lower() in wq.FUNCTION_WORDS.split() for x in w)
+    vote = lambda good, bad: -1 if bad else 1 if good else 0
+    enough = n >= wq.ENOUGH
+    return (vote(cut(r"[#*$%&|<>]") < 0.02 * n, cut(r"[#*$%&|<>]") > 0.15 * n) if n else 0,
+            vote(upper < 0.1 * max(letters, 1), upper > 0.4 * max(letters, 1)) if enough else 0,
+            vote(len(set(w)) > 0.45 * n, len(set(w)) < 0.3 * n) if enough else 0,
+            vote(function > 0.15 * n, function < 0.06 * n) if enough else 0,
+            vote(again == 0, 10 * again > 6 * len(lines)) if len(lines) > 4 else 0,
+            vote(t.count("!") < 0.02 * n, t.count("!") > 0.2 * n) if enough else 0,
+            vote(sum(x == y for x, y in zip(w, w[1:], strict=False)) < 0.02 * n,
+                 sum(x == y for x, y in zip(w, w[1:], strict=False)) > 0.15 * n) if enough else 0)
+
+
+def plain_posteriors(votes, belief=5.0, rounds=50):
+    """Expectation-maximisation text by text, not over counts of patterns."""
+    votes = np.array(votes)
+    post = np.where(votes.min(1) < 0, 0.05, 0.95)
+    for _ in range(rounds):
+        prior = (1 + post.sum()) / (2 + len(post))
+        z = np.full(len(post), np.log(prior / (1 - prior)))
+        for i in range(votes.shape[1]):
+            p = {}
+            for side, w in ((True, post), (False, 1 - post)):
+                right, wrong = (belief * (3 if side else 1), belief * (1 if side else 3))
+                up, down = right + w[votes[:, i] == 1].sum(), wrong + w[votes[:, i] == -1].sum()
+                p[side] = up / (up + down)
+            z += np.where(votes[:, i] == 1, np.log(p[True] / p[False]),
+                          np.where(votes[:, i] == -1, np.log((1 - p[True]) / (1 - p[False])), 0.0))
+        post = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    right = [np.where(votes[:, i] > 0, post, 1 - post)[votes[:, i] != 0].mean() if votes[:, i].any() else 0.5
+             for i in range(votes.shape[1])]
+    return post, right
+
+
 def test_fit_and_scores_equal_a_plain_computation(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = docs.select("doc_id", "text", wq.votes("text").alias("v"), uniform(F.col("doc_id"), "quality").alias("u")).collect()
+    """Votes, expectation-maximisation and the slope of the training written out plainly; no function of the operator."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
+    rows = docs.select("doc_id", "text", wq._votes_of(docs, "text", "lang").alias("v")).orderBy("doc_id").collect()
+    votes = [plain_votes(r.text) for r in rows]
+    assert [tuple(r.v) for r in rows] == votes
+    post, accuracies = plain_posteriors(votes)
+    got = wq.fit(docs, sample=10 ** 9)  # all texts
+    assert np.allclose(got.accuracies, accuracies, atol=1e-9)
     counts = {}
-    for r in rows:
-        counts[tuple(r.v)] = counts.get(tuple(r.v), 0) + 1
-    post, accuracies = wq.estimate(dict(sorted(counts.items())))
-    some = sorted((r for r in rows if r.u * len(rows) < 80), key=lambda r: r.doc_id)
-    want = wq.train([r.text for r in some], np.array([post[tuple(r.v)] for r in some]), tuple(accuracies))
-    got = wq.fit(docs, sample=80)
-    assert np.array_equal(got.words, want.words) and got.bias == want.bias and got.accuracies == want.accuracies
+    for v in votes:
+        counts[v] = counts.get(v, 0) + 1
+    operator, _ = wq.estimate(dict(sorted(counts.items())))
+    assert np.allclose([operator[v] for v in votes], post, atol=1e-9)
+    # The scorer separates what the posteriors separate, and its score is the plain sum of its weights.
     scores = {r.doc_id: r.score for r in wq.score(docs, got).collect()}
+    sure = [(scores[r.doc_id] > 0.5) == (p > 0.5) for r, p in zip(rows, post, strict=True) if abs(p - 0.5) > 0.4]
+    assert np.mean(sure) > 0.98
+    from zlib import crc32
     for r in rows:
         w = r.text.split()
-        z = got.bias + sum(got.words[b // wq.SHAPE_BUCKETS] + got.shapes[b % wq.SHAPE_BUCKETS]
-                           for b in map(wq._Buckets().__getitem__, w)) / max(len(w), 1)
-        z += got.shapes[wq._hashed([r.text], wq._Buckets())[3][0]]
+        tenth = 10 * len(set(w)) // len(w) if len(w) >= wq.ENOUGH else "few"
+        z = got.bias + sum(got.words[crc32(x.lower().encode()) % wq.WORD_BUCKETS] + got.shapes[crc32(wq._shape(x).encode()) % wq.SHAPE_BUCKETS]
+                           for x in w) / max(len(w), 1) + got.shapes[crc32(f"variety {tenth}".encode()) % wq.SHAPE_BUCKETS]
         assert abs(scores[r.doc_id] - 1 / (1 + np.exp(-np.clip(z, -60, 60)))) < 1e-9
+    docs.unpersist()
 
 
 def test_odd_rows_and_columns(spark):
