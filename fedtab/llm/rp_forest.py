@@ -167,13 +167,12 @@ def _grow(vectors: DataFrame, forest: Forest, least: float) -> DataFrame:
     trees = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
     sizes = materialize(vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("count")), "dims")
     draw = uniform(F.concat_ws(":", "id", "tree"), "forest") * F.col("count") < forest.sample
-    few = sizes.count() <= 100  # the bound of both broadcasts: about 20 MB of split points
-    rooted = vectors.join(F.broadcast(sizes) if few else sizes, "dim")
+    rooted = vectors.join(sizes, "dim")
     rooted = rooted.select("*", trees).withColumn("node", F.lit(0).cast("long"))
     fits = materialize(_fits(rooted.where(draw), forest, least), "splits")
-    # One row of split points per tree and dimension: at most 2 * 1023 doubles each.
+    # One row of split points per tree and dimension, at most 2 * 1023 doubles each: Spark sends them by their bytes.
     points = fits.select("dim", "tree", "low", "high", "settled")
-    rooted = rooted.join(F.broadcast(points) if few else points, ["dim", "tree"])
+    rooted = rooted.join(points, ["dim", "tree"])
     state = materialize(_down(rooted, forest), "forest")
     for _ in range(forest.passes):
         sizes = materialize(state.where("node >= 0").groupBy("dim", "tree", "node").agg(F.count(F.lit(1)).alias("count"))
@@ -187,6 +186,38 @@ def _grow(vectors: DataFrame, forest: Forest, least: float) -> DataFrame:
     return state
 
 
+def _fresh(one: np.ndarray, two: np.ndarray, inside: np.ndarray, deep: int = 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows to compare with rows, leaving out what some earlier leaf holds whole.
+
+    ``inside``: which rows lie in which of a few earlier leaves. All pairs within one of them have been compared, so only
+    the rows outside are left, against all, and those inside against the ones outside; the same again for these parts.
+    """
+    if not len(one) or not len(two):
+        return
+    both = inside[one].sum(0, dtype=np.int64) * inside[two].sum(0, dtype=np.int64) if inside.shape[1] else np.zeros(1, np.int64)
+    best = int(both.argmax())
+    if not deep or both[best] < 0.05 * len(one) * len(two):
+        yield one, two
+        return
+    a, b = inside[one, best], inside[two, best]
+    yield from _fresh(one[~a], two, inside, deep - 1)
+    yield from _fresh(one[a], two[~b], inside, deep - 1)
+
+
+def _earlier(leaves: list[np.ndarray], here: int, most: int = 48) -> np.ndarray:
+    """Which rows lie in which of the leaves before ``here`` that hold most of them."""
+    row = np.repeat(np.arange(len(leaves)), [len(v) for v in leaves])
+    leaf = np.concatenate([np.empty(0, np.int64), *leaves])
+    names, at, counts = np.unique(leaf[leaf < here], return_inverse=True, return_counts=True)
+    top = np.argsort(-counts, kind="stable")[:most]
+    number = np.full(len(names), -1)
+    number[top] = np.arange(len(top))
+    out = np.zeros((len(leaves), len(top)), bool)
+    use = number[at] >= 0
+    out[row[leaf < here][use], number[at[use]]] = True
+    return out
+
+
 def _held(leaves: list[np.ndarray], here: int) -> np.ndarray:
     """Which of the leaves before ``here`` each row lies in; leaves of a single row are left out."""
     row = np.repeat(np.arange(len(leaves)), [len(v) for v in leaves])
@@ -202,7 +233,10 @@ def _held(leaves: list[np.ndarray], here: int) -> np.ndarray:
 
 
 def _verify(rows: DataFrame, least: float) -> DataFrame:
-    """Links within leaves: ``(id, links, low)``; a pair is counted in the first leaf that holds both."""
+    """Links within leaves: ``(id, links, low)``; a pair is counted in the first leaf that holds both.
+
+    A large group of near vectors is one leaf's in many trees; its pairs are compared in the first and left out after it.
+    """
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         ids, weight, side = part["id"].to_numpy(), part["copies"].to_numpy(), part["side"].to_numpy()
@@ -210,10 +244,13 @@ def _verify(rows: DataFrame, least: float) -> DataFrame:
         x = np.stack([np.asarray(r, dtype=np.float64) for r in part["embedding"]])
         norm = np.linalg.norm(x, axis=1)
         one, two = ((np.flatnonzero(side == k) for k in (p, q)) if p != q else (np.arange(len(ids)),) * 2)
-        good = np.empty((len(one), len(two)), bool)
-        for at in range(0, len(one), 256):
-            a = one[at:at + 256]
-            good[at:at + 256] = (x[a] @ x[two].T) / (norm[a, None] * norm[None, two]) >= least
+        good = np.zeros((len(one), len(two)), bool)
+        place_one, place_two = np.empty(len(ids), int), np.empty(len(ids), int)
+        place_one[one], place_two[two] = np.arange(len(one)), np.arange(len(two))
+        for rows, columns in _fresh(one, two, _earlier(part["leaves"].tolist(), here)):
+            for at in range(0, len(rows), 256):
+                a = rows[at:at + 256]
+                good[np.ix_(place_one[a], place_two[columns])] = (x[a] @ x[columns].T) / (norm[a, None] * norm[None, columns]) >= least
         if p == q:
             good = np.triu(good, 1)
         one, two, good = (one[good.any(1)], two[good.any(0)], good[good.any(1)][:, good.any(0)])

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from fedtab.llm import rp_forest as rp
 from fedtab.llm.rp_forest import Forest, near_vectors
 
 
@@ -85,3 +86,23 @@ def test_group_of_near_vectors_larger_than_a_leaf(spark):
     want = (unit @ unit.T >= 0.9).sum(1) - 1
     got = np.array([n for _, (n, _) in sorted(run(spark, vectors).items())])
     assert want[:5000].mean() > 2000 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+def test_pairs_of_an_earlier_leaf_are_left_out():
+    """What is compared is all that no earlier leaf holds whole, and little more; a dense group is compared once."""
+    rng = np.random.default_rng(1)
+    n = 300
+    inside = rng.random((n, 6)) < np.array([0.97, 0.97, 0.9, 0.5, 0.2, 0.02])
+    rows = np.arange(n)
+    for one, two in ((rows, rows), (rows[:120], rows[120:])):
+        compared = np.zeros((n, n), int)
+        for a, b in rp._fresh(one, two, inside):
+            compared[np.ix_(a, b)] += 1
+        assert compared.max() <= 1
+        held = (inside[:, None, :] & inside[None, :, :]).any(2)
+        need = np.zeros((n, n), bool)
+        need[np.ix_(one, two)] = True
+        assert (compared[need & ~held] == 1).all()
+        assert compared.sum() < 0.2 * need.sum()
+    leaves = [np.array([3, 9, 12]), np.array([9, 20]), np.array([3, 9, 30]), np.array([40])]
+    assert rp._earlier(leaves, 12).tolist() == [[True, True], [True, False], [True, True], [False, False]]
