@@ -191,7 +191,8 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         pieces, memo = regex.compile(pattern).findall, _memo(path, version)
         for batch in batches:
             ids = []
-            for t in batch.column(1).to_pylist():
+            for value in batch.column(1):  # one text at a time as a Python object
+                t = value.as_py()
                 if len(memo) > MEMO:
                     memo.clear()
                 ids.append(b"".join(map(memo.__getitem__, pieces(t))) if t else b"")
@@ -213,8 +214,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _memo(path, version).vocabulary.token
         for batch in batches:
-            raw = [None if x is None else b"".join(map(token.__getitem__, array("I", x)))
-                   for x in batch.column(len(names)).to_pylist()]
+            raw = [None if not x.is_valid else b"".join(map(token.__getitem__, array("I", x.as_py())))
+                   for x in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw, pa.binary())], [*names, out])
 
     rows = encoded.select(*names, ids)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedtab.llm.common import connected_components
+from fedtab.llm.common import WORD, connected_components
 from fedtab.session import materialize
 
 #: Buckets of the count sketch, a fixed size whatever the corpus (16 MB), and of one of its blocks.
@@ -471,16 +471,23 @@ def _components_of(info: DataFrame, classes: DataFrame, links: DataFrame, key: s
 def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component is kept, with their own columns.
 
-    The one with the least key stays; of equal rows, one. Rows whose key is null
-    link with nothing and all stay.
+    The one with the least key stays; of rows of equal key and text, one. A row whose key is null takes part under a
+    number that its text gives it, above all keys below 2^62, so a copy with a key stays rather than one without.
+    Texts without words link with nothing; such rows whose key is null, too, all stay.
     """
-    parts = jaccard_components(docs, n, percent, key, text)
-    kept = (parts.where(F.col(key) == F.col("component_id")).groupBy(key, "text_hash", "component_id").agg(F.count(F.lit(1)).alias("_n"))
-            .select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), "_n"))
+    mark = "_one"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    own, digest, rows_of, turn = (f"{mark}_{x}" for x in ("key", "text", "rows", "turn"))
+    stand_in = F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = docs.withColumn(own, F.coalesce(F.col(key).cast("long"), F.when(F.col(text).rlike(WORD), stand_in)))
+    parts = jaccard_components(rows.select(own, F.col(text).alias("text")), n, percent, own, "text")
+    kept = (parts.where(F.col(own) == F.col("component_id")).groupBy(F.col(own).alias(f"{mark}_k"), F.col("text_hash").alias(f"{mark}_h"))
+            .agg(F.count(F.lit(1)).alias(rows_of)))
     kept = materialize(kept, "kept")
-    rows = docs.withColumn("_text_hash", F.xxhash64(text))
-    found = rows.join(kept, (F.col(key) == F.col("_key")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    rows = rows.withColumn(digest, F.xxhash64(text))
+    found = rows.join(kept, (F.col(own) == F.col(f"{mark}_k")) & (F.col(digest) == F.col(f"{mark}_h")), "left")
     # The join leaves equal rows together, so numbering them moves nothing.
-    turn = F.row_number().over(Window.partitionBy(key, "_text_hash").orderBy("_n"))
-    return (found.where(F.col(key).isNull() | F.col("_n").isNotNull()).withColumn("_turn", turn)
-            .where(F.col(key).isNull() | (F.col("_turn") == 1)).drop("_key", "_hash", "_n", "_text_hash", "_turn"))
+    first = F.row_number().over(Window.partitionBy(own, digest).orderBy(rows_of)) == 1
+    return (found.where(F.col(own).isNull() | F.col(rows_of).isNotNull()).withColumn(turn, first)
+            .where(F.col(own).isNull() | F.col(turn)).select(*docs.columns))

@@ -75,10 +75,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
-def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_token_counts(spark: SparkSession, sf_dir: str, cache: str | None = None) -> DataFrame:
+    """``cache``: the folder of stored counts that earlier runs have filled; a new one without it."""
     import public_tokenizers as public
     from fedtab.llm.token_counts import count_tokens
-    counts = count_tokens(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"))
+    counts = count_tokens(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), cache)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
@@ -115,9 +116,9 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Executors import the package before the query's own functions run there."""
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
         ship_package(spark)
-        return fn(spark, sf_dir)
+        return fn(spark, sf_dir, **more)
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     return run
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fedtab.llm import jaccard
 from fedtab.llm.common import connected_components
@@ -120,9 +121,19 @@ def test_components_of_chains_and_hubs(spark):
 
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d", "x"), (2, "a b c d", "y"), (3, "q r s t", "x"), (3, "q r s t", "x"), (3, "a b c d", "z"),
-            (None, "a b c d", "n"), (None, "a b c d", "n"), (5, None, "x"), (6, "", "x"), (5, None, "x")]
-    docs = spark.createDataFrame(rows, COLUMNS + ", n string")
+            (None, "a b c d", "n"), (None, "u v w x y", "n"), (None, "u v w x y", "n"), (5, None, "x"), (6, "", "x"), (5, None, "x"),
+            (None, None, "m"), (None, "", "m"), (None, " ", "m")]
+    docs = spark.createDataFrame(rows, COLUMNS + ", n string").withColumn("_one_key", F.lit(1)).withColumn("k", F.lit(2))
     out = jaccard.one_of_each(docs)
     assert out.columns == docs.columns
-    assert sorted(map(tuple, out.collect()), key=str) == sorted(
-        [(1, "a b c d", "x"), (3, "q r s t", "x"), (None, "a b c d", "n"), (None, "a b c d", "n"), (5, None, "x"), (6, "", "x")], key=str)
+    assert sorted((tuple(r)[:3] for r in out.collect()), key=str) == sorted(
+        [(1, "a b c d", "x"), (3, "q r s t", "x"), (None, "u v w x y", "n"), (5, None, "x"), (6, "", "x"),
+         (None, None, "m"), (None, "", "m"), (None, " ", "m")], key=str)
+
+
+def test_near_copies_without_keys(spark):
+    """One row of each group stays among rows without keys, too, and a row with a key before them."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"{base} x{i}") for i in range(5)] + [(None, f"z {base} v"), (9, f"{base} y"), (None, "other words here")]
+    out = jaccard.one_of_each(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.doc_id) == [(9, f"{base} y")] and len(out) == 2

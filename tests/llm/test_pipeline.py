@@ -86,17 +86,47 @@ def test_tokens_stage_and_run(spark, stages):
     assert rows(corpus_pipeline.run(spark, SF)) == rows(stages[5])
 
 
-def test_empty_table_and_odd_rows(spark, tmp_path):
-    empty = stages_of(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), tmp_path)
-    assert empty == []
-    odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "x" * 50000, None, None, 1)]
-    out = stages_of(spark, spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"), tmp_path)
-    assert all(r.n_tokens >= 0 for r in out)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_table(spark, tmp_path):
+    assert stages_of(spark, spark.createDataFrame([], SCHEMA), tmp_path)[-1] == []
+
+
+def test_which_odd_rows_survive_each_stage(spark, tmp_path):
+    """Nulls, empty texts, equal rows and texts without a key, among clean documents of one source."""
+    clean = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and n_chars between 400 and 3000").select(
+        "doc_id", "text", "lang", "source", "n_chars").orderBy("doc_id").limit(30).collect()
+    texts = [r.text + f" closing{i} words{i} of{i} number{i}" for i, r in enumerate(clean)]
+    base = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    odd = [(None, None, None, None, None), (900, "", "en", "s", 0), (900, "", "en", "s", 0), (901, None, "en", "s", 7),
+           (None, texts[0], "en", "s", 1), (None, "only " + texts[1][:300], "en", "s", 1), (None, "only " + texts[1][:300], "en", "s", 1),
+           (902, texts[2], "en", "s", 5), (3, texts[3], "en", "s", len(texts[3]))]
+    out = stages_of(spark, spark.createDataFrame(base + odd, SCHEMA), tmp_path)
+    kept = [(r.doc_id, r.text) for r in out[0]]
+    stay = {t for _, t in kept}
+    assert sorted(kept, key=str) == sorted(((r[0], r[1]) for r in base + odd if r[1] in stay), key=str)  # equal texts alike
+    copies = [(r.doc_id, r.text) for r in out[1]]
+    one = lambda rows: {(k, t) for k, t in rows if t}
+    assert len(one(copies)) == len([x for x in copies if x[1]])  # no row twice
+    assert not any(x in copies for x in [(None, texts[0]), (902, texts[2])])
+    assert all((i, t) in copies for i, t in enumerate(texts) if t in stay)
+    if "only " + texts[1][:300] in stay:
+        assert copies.count((None, "only " + texts[1][:300])) == 1
+    for wordless in [(None, None), (900, ""), (901, None)]:
+        assert (wordless in copies) == (wordless in kept)
+    assert len(out[2]) == len(out[1]) and [r.text for r in out[2] if r.doc_id == 901] in ([], [None])
+    assert all(r.n_chars == 7 for r in out[2] if r.doc_id == 901)
+    assert {(r.doc_id, r.text) for r in out[3]} <= {(r.doc_id, r.text) for r in out[2]}
+    assert len(out[4]) == len(out[3]) and all((r.n_tokens == 0) == (len(r.ids) == 0) for r in out[4])
 
 
 def stages_of(spark, docs, folder):
+    """The rows that every stage returns."""
+    out = []
     for name, stage in corpus_pipeline.STAGES:
         path = str(folder / f"{id(docs)}-{name}")
         stage(spark, docs, SF).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs.collect()
+        out.append(docs.collect())
+    return out

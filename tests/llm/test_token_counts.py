@@ -38,3 +38,21 @@ def test_sentencepiece_model(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     out = {r.doc_id: r.n_tokens for r in tc.count_tokens(docs, path).collect()}
     assert out == {1: len(lib.encode("hello there")), 2: 0}
+
+
+def test_query_run_twice_with_one_cache(spark, monkeypatch):
+    """The second run encodes nothing and returns the same; every count and limit is the library's."""
+    from fedtab.llm.queries import llm_queries
+    sf, cache = "/root/testdata/sf0.001", shared_dir(spark, "t-query-cache")
+    lib = Tokenizer.from_file(PATH)
+    run = llm_queries()["op10_token_counts"]
+    first = sorted(map(tuple, run(spark, sf, cache=cache).collect()))
+    sent = []
+    real = tc.encode_counts
+    monkeypatch.setattr(tc, "encode_counts", lambda t, p, v: sent.append(t.count()) or real(t, p, v))
+    assert sorted(map(tuple, run(spark, sf, cache=cache).collect())) == first and sent == [0]
+    want = []
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n = len(lib.encode(d.text or "", add_special_tokens=False).ids)
+        want.append((d.doc_id, len((d.text or "").encode()), n, n > 1024))
+    assert first == sorted(want) and {r[3] for r in first} == {True, False}
