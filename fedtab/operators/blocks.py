@@ -106,37 +106,20 @@ def max_shapes(blocks: DataFrame, dimension: DataFrame, client_col: str = "clien
         F.when(flip, F.col("_k")).otherwise(F.col("_l")).alias("n_cols"), "n_clients")
 
 
-def _stacked(blocks: DataFrame, dimension: DataFrame, weights: DataFrame, g: list[str], weighted: bool, client_col: str) -> DataFrame:
-    """All vectors of the measured layers: the clients' with their coefficients, the averaged pair's as those of no client.
+def _factors(blocks: DataFrame, dimension: DataFrame) -> DataFrame:
+    """The blocks of factors with their layer and which factor they belong to."""
+    return blocks.join(dimension.where(F.col("component").isin("lora_A", "lora_B")).select("param_id", "layer", "component"), "param_id")
 
-    ``ideal`` and ``diff`` are a vector's coefficients in the ideal and in its difference from the average.
-    """
-    factors = blocks.join(dimension.where(F.col("component").isin("lora_A", "lora_B"))
-                          .select("param_id", "layer", "component"), "param_id")
-    both = (factors.select(*g, "layer", "component").distinct().groupBy(*g, "layer").agg(F.count(F.lit(1)).alias("_n"))
-            .where("_n = 2").select(*g, "layer"))
-    factors = factors.join(both, [*g, "layer"], "left_semi")
-    coef = client_coefficients(weights, g, weighted, client_col)
-    own = factors.join(coef, [*g, client_col]).select(
-        *g, "layer", "component", F.struct(F.lit(False).alias("avg"), F.col(client_col).cast("long").alias("of"), "k").alias("p"), "t", "v",
-        F.col("c").alias("ideal"), F.col("c").alias("diff"))
-    average = average_blocks(factors.drop("layer", "component"), weights, g, client_col).join(
-        dimension.select("param_id", "layer", "component"), "param_id")
-    return own.unionByName(average.select(
-        *g, "layer", "component", F.struct(F.lit(True).alias("avg"), F.lit(0).cast("long").alias("of"), "k").alias("p"), "t", "v",
-        F.lit(0.0).alias("ideal"), F.lit(-1.0).alias("diff")))
 
+def _vectors(blocks: DataFrame, g: list[str], kind: int, of: Column, ideal: Column, diff: Column) -> DataFrame:
+    """Vectors of a stack, named by (kind, owner, k), with their coefficients in the ideal and in its difference from the average."""
+    return blocks.select(*g, "layer", "component", F.struct(F.lit(kind).alias("kind"), of.cast("long").alias("of"), "k").alias("p"), "t", "v",
+                         ideal.cast("double").alias("ideal"), diff.cast("double").alias("diff"))
 
-def gram_bias_layers(blocks: DataFrame, dimension: DataFrame, weights: DataFrame, group_cols: Sequence[str] = (),
-                     weighted: bool = False, client_col: str = "client_id") -> DataFrame:
-    """#27 per layer by Gram matrices: the same ratio as ``linalg.aggregation_bias_layers``, with no d x d cell.
 
-    Work grows with the square of the stacked rank (all clients' ranks and the averaged pair's) times d, where the
-    direct form's grows with that rank times d squared: use it where d is larger than the ranks together. Squared
-    norms are sums of terms of both signs, so a ratio below about 1e-7 cannot be told from 0 here; the direct form can.
-    """
-    g = list(group_cols)
-    stacked = materialize(_stacked(blocks, dimension, weights, g, weighted, client_col), "stacked-factors")
+def _ratios(stacked: DataFrame, g: list[str]) -> DataFrame:
+    """The bias per layer from all pairs of a stack's vectors: dot products tile by tile, their sums, and the two norms."""
+    stacked = materialize(stacked, "stacked-factors")
     keys = [*g, "layer", "component", "t"]
     one = stacked.select(*keys, "p", "ideal", "diff", "v")
     two = stacked.select(*keys, F.col("p").alias("q"), F.col("ideal").alias("ideal_q"), F.col("diff").alias("diff_q"), F.col("v").alias("u"))
@@ -150,3 +133,59 @@ def gram_bias_layers(blocks: DataFrame, dimension: DataFrame, weights: DataFrame
                                           F.sum(F.col("diff") * F.col("a") * F.col("b")).alias("diff"))
     root = lambda c: F.sqrt(F.greatest(F.col(c), F.lit(0.0)))
     return norms.select(*g, "layer", (root("diff") / (root("ideal") + F.lit(EPS))).alias("bias"))
+
+
+def gram_bias_layers(blocks: DataFrame, dimension: DataFrame, weights: DataFrame, group_cols: Sequence[str] = (),
+                     weighted: bool = False, client_col: str = "client_id") -> DataFrame:
+    """#27 per layer by Gram matrices: the same ratio as ``linalg.aggregation_bias_layers``, with no d x d cell.
+
+    Work grows with the square of the stacked rank (all clients' ranks and the averaged pair's) times d, where the
+    direct form's grows with that rank times d squared: use it where d is larger than the ranks together. Squared
+    norms are sums of terms of both signs, so a ratio below about 1e-7 cannot be told from 0 here; the direct form can.
+    """
+    g = list(group_cols)
+    factors = _factors(blocks, dimension)
+    both = (factors.select(*g, "layer", "component").distinct().groupBy(*g, "layer").agg(F.count(F.lit(1)).alias("_n"))
+            .where("_n = 2").select(*g, "layer"))
+    factors = factors.join(both, [*g, "layer"], "left_semi")
+    coef = client_coefficients(weights, g, weighted, client_col)
+    own = _vectors(factors.join(coef, [*g, client_col]), g, 0, F.col(client_col), F.col("c"), F.col("c"))
+    average = _factors(average_blocks(factors.drop("layer", "component"), weights, g, client_col), dimension)
+    return _ratios(own.unionByName(_vectors(average, g, 1, F.lit(0), F.lit(0.0), F.lit(-1.0))), g)
+
+
+def frozen_gram_bias_layers(sent: DataFrame, frozen: DataFrame, dimension: DataFrame, weights: DataFrame, group_cols: Sequence[str] = (),
+                            weighted: bool = False, client_col: str = "client_id") -> DataFrame:
+    """#27 with ``carry_frozen`` by Gram matrices: the same ratios as ``linalg.frozen_factor_bias_layers``.
+
+    ``sent`` = this round's client blocks; ``frozen`` = (groups…, param_id, k, t, v), the global state. A factor that
+    nobody sent is the frozen one, un-averaged. In a layer with one frozen factor the clients' coefficients add up
+    before the product, so the stack holds two pairs: (sum of c_k B_k, G) of the ideal and (average, G) of the average.
+    """
+    g = list(group_cols)
+    frozen = frozen.join(sent.select(*g, "param_id").distinct(), [*g, "param_id"], "left_anti")
+    names = (_factors(sent.select(*g, "param_id").distinct().withColumn("_sent", F.lit(1)).unionByName(
+        frozen.select(*g, "param_id").distinct().withColumn("_sent", F.lit(0))), dimension))
+    layers = (names.groupBy(*g, "layer").agg(F.countDistinct("component").alias("_n"), F.sum("_sent").alias("_sent"))
+              .where("_n = 2 and _sent >= 1").select(*g, "layer", "_sent"))
+    layers = materialize(layers, "measured-layers")
+    coef = client_coefficients(weights, g, weighted, client_col)
+    sent, frozen = _factors(sent, dimension).join(layers, [*g, "layer"]), _factors(frozen, dimension).join(layers, [*g, "layer"])
+    own = _vectors(sent.where("_sent = 2").join(coef, [*g, client_col]), g, 0, F.col(client_col), F.col("c"), F.col("c"))
+    still = frozen.where("_sent = 1").select(*g, "layer", "component", "k", "t", "v")
+    plain = lambda df, w: _factors(average_blocks(df.select(*g, client_col, *KEYS, "v"), w, g, client_col), dimension).select(
+        *g, "layer", "component", "k", "t", "v")
+    shared = plain(sent.where("_sent = 1"), coef.withColumnRenamed("c", "weight")).unionByName(still)
+    average = plain(sent, weights).unionByName(still)
+    return _ratios(own.unionByName(_vectors(shared, g, 1, F.lit(0), F.lit(1.0), F.lit(1.0)))
+                   .unionByName(_vectors(average, g, 2, F.lit(0), F.lit(0.0), F.lit(-1.0))), g)
+
+
+def blocks_as_of(sent: DataFrame, weights: DataFrame, run_cols: Sequence[str], last_round: int, client_col: str = "client_id") -> DataFrame:
+    """``state.global_as_of`` on blocks: the global state after every round, each tensor from the latest round that sent it."""
+    g = list(run_cols)
+    avg = average_blocks(sent, weights, [*g, "round"], client_col)
+    names = sent.select(*g, "round", "param_id").distinct()
+    offered = names.withColumn("_as_of", F.explode(F.sequence(F.col("round"), F.lit(last_round))))
+    latest = offered.groupBy(*g, "_as_of", "param_id").agg(F.max("round").alias("round"))
+    return avg.join(latest, [*g, "round", "param_id"]).select(*g, F.col("_as_of").alias("round"), *KEYS, "v")

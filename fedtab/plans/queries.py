@@ -346,12 +346,13 @@ def _round_weights(spark, sf):
 
 def q_round_bias_carry_frozen(spark, sf):
     """#27 with carry_frozen: a factor not sent in a round is the shared global one from
-    the latest round that sent it (un-averaged, cropped per client); then measured."""
+    the latest round that sent it (un-averaged, cropped per client); measured on blocked tensors."""
     g = ["method", "round"]
-    sent = materialize(fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round")), "sent_cells")
+    parts, names = fx.v_blocks(spark, sf)
+    sent = materialize(fx.sent_blocks(parts, names), "sent-blocks")
     weights = _round_weights(spark, sf)
-    frozen = materialize(state.global_as_of(sent, weights, ["method"], fx.ROUNDS), "global_as_of")
-    per_layer = linalg.frozen_factor_bias_layers(sent, frozen, weights, g)
+    frozen = materialize(blocks.blocks_as_of(sent, weights, ["method"], fx.ROUNDS), "global_as_of")
+    per_layer = blocks.frozen_gram_bias_layers(sent, frozen, names, weights, g)
     out = linalg.summarise_bias(per_layer, sent.select(*g).distinct(), g)
     return out.select("method", "round", _r("bias"), "n_layers_measured")
 

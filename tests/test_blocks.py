@@ -91,3 +91,27 @@ def test_empty_state(spark):
     parts = blocks.to_blocks(df, names)
     assert names.collect() == parts.collect() == blocks.average_blocks(parts, weights_of(spark)).collect() == []
     assert blocks.gram_bias_layers(parts, names, weights_of(spark)).collect() == []
+
+
+def test_frozen_factors_equal_the_direct_form(spark):
+    """Rounds that send both factors, one of them, or a layer that lacks one."""
+    rows = []
+    for c, param, i, j, v in random_state(3):
+        for rnd, skip in ((1, None), (2, "lora_A"), (3, "lora_B")):
+            if skip not in param if skip else True:
+                rows.append(("m", rnd, c, param, i, j, v * (1 + rnd * (c + 1) / 10)))
+    sent = spark.createDataFrame(rows, "method string, round int, " + CELLS)
+    clients = spark.createDataFrame([("m", r, c, 10 * (c + 1)) for r in (1, 2, 3) for c in range(4)],
+                                    "method string, round int, client_id int, n_samples long")
+    g = ["method", "round"]
+    w = state.group_weight(clients, partition_cols=g)
+    frozen = state.global_as_of(sent, w, ["method"], 3)
+    names = blocks.name_dimension(sent)
+    parts = blocks.to_blocks(sent, names, [*g, "client_id"])
+    as_of = blocks.blocks_as_of(parts, w, ["method"], 3)
+    assert table(blocks.to_cells(as_of, names).select(*g, "param", "i", "j", "v")) == table(frozen.select(*g, "param", "i", "j", "v"))
+    for weighted in (False, True):
+        direct = {(r["round"], r["layer"]): r["bias"] for r in linalg.frozen_factor_bias_layers(sent, frozen, w, g, weighted=weighted).collect()}
+        gram = {(r["round"], r["layer"]): r["bias"] for r in blocks.frozen_gram_bias_layers(parts, as_of, names, w, g, weighted).collect()}
+        assert gram.keys() == direct.keys() and len(gram) == 6
+        assert all(gram[k] == pytest.approx(direct[k], abs=1e-6) for k in gram)
