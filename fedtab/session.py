@@ -93,7 +93,18 @@ def materialize(df, name: str):
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     _remove_at_exit(spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(df) -> None:
+    """Remove a table that ``materialize`` has written, once its successor is written; any other one stays."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:

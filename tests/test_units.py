@@ -538,3 +538,17 @@ def test_checkpoint_root_never_local_on_a_cluster():
     with pytest.raises(RuntimeError):
         checkpoint_root(fake("yarn", {}))
     assert checkpoint_root(fake("yarn", {"spark.checkpoint.dir": "hdfs://nn/shared/ckpt/"})) == "hdfs://nn/shared/ckpt"
+
+
+def test_released_tables_are_gone_and_others_stay(spark, tmp_path):
+    import os
+
+    from fedtab.session import materialize, release
+    given = str(tmp_path / "given")
+    spark.range(3).write.parquet(given)
+    one = materialize(spark.read.parquet(given), "release-test")
+    path = one._written_at.removeprefix("file:")
+    assert one.count() == 3 and os.path.isdir(path)
+    release(one)
+    release(spark.read.parquet(given))
+    assert not os.path.exists(path) and os.path.isdir(given)
