@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedtab.llm import bpe, jaccard, mixing, pii, weak_quality
-from fedtab.session import materialize, ship_package, table
+from fedtab.session import materialize, release, ship_package, table
 
 #: Near copies: word 5-grams, at least 80 of 100 in common.
 SHINGLE, PERCENT = 5, 80
@@ -81,9 +81,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each written as Parquet to the shared folder and read again."""
+    """The stages one after another, each written as Parquet to the shared folder and read again.
+
+    A stage's table goes when the next one is written.
+    """
     ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        done = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        release(docs)
+        docs = done
     return docs
