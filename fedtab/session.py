@@ -98,13 +98,13 @@ def materialize(df, name: str):
     return out
 
 
-def release(df) -> None:
-    """Remove a table that ``materialize`` has written, once its successor is written; any other one stays."""
-    path = getattr(df, "_written_at", None)
-    if path:
-        spark = df.sparkSession
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def release(*tables) -> None:
+    """Remove tables that ``materialize`` has written, once their successors are written; any other one stays."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
