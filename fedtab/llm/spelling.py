@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fedtab.session import materialize
+from fedtab.session import materialize, release
 
 #: Letters of a word: at most 90 after lower-casing, so there are at most 8,100 bigrams.
 LETTER = r"[A-Za-zÀ-ÿ]"
@@ -108,16 +108,18 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
             for word, n in zip(batch["word"], batch["n"], strict=True):
                 pivots, prefix, last = signature(word, rank, weight)
                 for i in prefix:
-                    for side, affix in (("before", word[:i + GRAM]), ("after", word[i:])):
-                        rows.append((side, affix, last, word, n, i in pivots))
-            yield pd.DataFrame(rows, columns=["side", "affix", "last", "word", "n", "pivot"])
+                    for side, affix, cut in (("before", word[:i + GRAM], (len(word) + i + GRAM) // 2), ("after", word[i:], i // 2)):
+                        halves = (word[:cut], word[cut:]) if i in pivots else (None, None)
+                        rows.append((side, affix, last, len(word), word, n, *halves))
+            yield pd.DataFrame(rows, columns=["side", "affix", "last", "size", "word", "n", "head", "tail"])
     signed = vocabulary.select("word", "n").mapInPandas(
-        sign, "side string, affix string, last int, word string, n long, pivot boolean")
+        sign, "side string, affix string, last int, size int, word string, n long, head string, tail string")
     signed = materialize(signed, "signatures")
-    a, b = signed.where("pivot").alias("a"), signed.alias("b")
+    a, b = signed.where("head is not null").alias("a"), signed.drop("head", "tail").alias("b")
+    # The edit is on the other side of the bigram; of the two halves of what is there it leaves one as it is.
     fits = ((F.col("a.side") == F.col("b.side")) & (F.col("a.affix") == F.col("b.affix")) & (F.col("a.last") <= F.col("b.last"))
-            & (F.col("a.word") != F.col("b.word"))
-            & (F.abs(F.char_length("a.word") - F.char_length("b.word")) <= EDITS)
+            & (F.abs(F.col("a.size") - F.col("b.size")) <= EDITS) & (F.col("a.word") != F.col("b.word"))
+            & (F.startswith(F.col("b.word"), F.col("a.head")) | F.endswith(F.col("b.word"), F.col("a.tail")))
             & (F.levenshtein("a.word", "b.word", EDITS) == EDITS))
     found = a.join(b, fits).select(F.col("a.word").alias("word"), F.col("a.n").alias("n"),
                                    F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
@@ -131,9 +133,11 @@ def _roots(forms: DataFrame) -> DataFrame:
     """
     state = materialize(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
+        before = state
         ahead = state.select(F.col("word").alias("root"), F.col("root").alias("next"))
         state = materialize(state.join(ahead, "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        release(before)
         if state.where("moved").isEmpty():
             return state.select("word", "root")
 
