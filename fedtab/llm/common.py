@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedtab.session import materialize
+from fedtab.session import materialize, release
 
 #: A word: a run of anything but ASCII white space (same text in Java and RE2).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,10 +67,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
                  .select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u != v").distinct())
         large = materialize(large, "large")
+        release(links, low)
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         links = materialize(small, "links")
+        release(large, low)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fedtab.llm.common import WORD, connected_components
-from fedtab.session import materialize
+from fedtab.session import materialize, release
 
 #: Buckets of the count sketch, a fixed size whatever the corpus (16 MB), and of one of its blocks.
 SKETCH, BLOCK = 1 << 22, 1 << 14
@@ -364,10 +364,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     alive = materialize(_may_link(classes, _tokens_of_texts(keyed, n, 0.0, share), percent), "alive")
     wanted = alive.select(F.col("rep").alias("key")).distinct()
     # The texts of the few that are left are moved the same way whatever their number.
-    sets = materialize(_sets(keyed.join(wanted.hint("merge"), "key", "left_semi"), n), "sets")
-    own = sets.select("name", "n").distinct()
-    alive = _may_link(own, _tokens_of_sets(sets, 1.0 - share, 1.0), percent)
-    sets = materialize(sets.join(alive.select("name").hint("merge"), "name", "left_semi"), "sets-alive")
+    whole = materialize(_sets(keyed.join(wanted.hint("merge"), "key", "left_semi"), n), "sets")
+    own = whole.select("name", "n").distinct()
+    still = _may_link(own, _tokens_of_sets(whole, 1.0 - share, 1.0), percent)
+    sets = materialize(whole.join(still.select("name").hint("merge"), "name", "left_semi"), "sets-alive")
+    release(alive, whole)
     sketch = spark.sparkContext.broadcast(_sketch(sets))
 
     postings = materialize(_prefixes(sets, percent, sketch).distinct(), "postings")
@@ -378,6 +379,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     lists = (postings.join(shared, "token", "left_semi").withColumn("b", F.explode(both))
              .select("token", "b.band", "name", "n", "pos", "b.own"))
     lists = materialize(lists, "lists")
+    release(postings)
 
     def fits(nx, px, ny, py):
         return ((F.least(nx - px, ny - py) >= _least_overlap(nx, ny, percent))
