@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens a worker remembers before it starts afresh (memory only, never results).
-MEMO = 600_000
+MEMO = 250_000
 _MASK = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
 
