@@ -130,3 +130,17 @@ def test_very_many_languages(spark):
     rows = [(k, " ".join(f"w{k}x{i % 12}" for i in range(40)), f"l{k}") for k in range(200)]
     out = q.quality_rules(spark.createDataFrame(rows, COLUMNS)).collect()
     assert len(out) == 200 and all(r.word_distance < 0.01 for r in out)
+
+
+def test_query_on_the_documents(spark):
+    from fedtab.llm.queries import llm_queries
+    sf = "/root/testdata/sf0.001"
+    out = {r.doc_id: r for r in llm_queries()["op1_quality_rules"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(out) == len(docs)
+    for d in docs:
+        r, want = out[d.doc_id], brute(d.text)
+        assert base(r) == want and r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r.base_failed and r.kept)
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert all(out[k].kept or out[k].base_failed for k, q in quality.items() if q == 1)
