@@ -627,7 +627,8 @@ f as (select cls.client_id, cls.c,
       from cls),
 t as (select client_id, count(*) as n, avg(case when label = pred then 1.0 else 0.0 end)::double as acc
       from q group by client_id)
-select t.client_id, t.n, round(t.acc, 6) as accuracy,
+select t.client_id, t.n, (select count(*) from v_assignment a left join labels l on l.doc_id = a.example_id
+                          where a.client_id = t.client_id and l.quality is null) as n_unlabelled, round(t.acc, 6) as accuracy,
        round(avg(case when nt + np > 0 then 2.0 * tp / (nt + np) else 0.0 end)::double, 6) as macro_f1,
        count(*) as n_classes
 from t join f on f.client_id = t.client_id group by t.client_id, t.n, t.acc""",

@@ -192,12 +192,6 @@ def q_label_distribution(spark, sf):
     return _label_dist(spark, sf)
 
 
-def _quality(spark, sf):
-    """Documents with a ``labels`` row: quality is the second (two-class) label."""
-    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("example_id"), "quality", "toxic")
-    return fx.v_assignment(spark, sf).join(lab, "example_id")
-
-
 def q_label_distribution_quality(spark, sf):
     """#22 on the two-class label: clients x quality, zero-filled, every client present."""
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("example_id"), "quality")
@@ -207,11 +201,13 @@ def q_label_distribution_quality(spark, sf):
 
 
 def q_quality_metrics(spark, sf):
-    """#33 on the two-class label per client: truth = quality, prediction = not toxic."""
-    q = _quality(spark, sf).select("client_id", F.col("quality").alias("label"),
-                                   (F.lit(1) - F.col("toxic")).alias("pred"))
-    m = evaluate.classification_metrics(q, ["client_id"], loss_col=None)
-    return m.select("client_id", "n", _r("accuracy"), _r("macro_f1"), "n_classes")
+    """#33 on the two-class label per client: truth = quality, prediction = not toxic; rows without a label are counted."""
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("example_id"), "quality", "toxic")
+    q = fx.v_assignment(spark, sf).join(lab, "example_id", "left").select(
+        "client_id", F.col("quality").alias("label"), (F.lit(1) - F.col("toxic")).alias("pred"))
+    m = evaluate.classification_metrics(q.where("label is not null"), ["client_id"], loss_col=None)
+    rest = q.groupBy("client_id").agg(F.sum(F.col("label").isNull().cast("long")).alias("n_unlabelled"))
+    return m.join(rest, "client_id").select("client_id", "n", "n_unlabelled", _r("accuracy"), _r("macro_f1"), "n_classes")
 
 
 # ---------------------------------------------------------------- state and averaging
