@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fedtab.llm.common import pieces
+
 #: Pre-tokens a worker remembers before it starts afresh (memory only, never results).
 MEMO = 250_000
 _MASK = (1 << 64) - 1
@@ -188,14 +190,14 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
-        pieces, memo = regex.compile(pattern).findall, _memo(path, version)
-        for batch in batches:
+        split, memo = regex.compile(pattern).findall, _memo(path, version)
+        for batch in pieces(batches):
             ids = []
             for value in batch.column(1):  # one text at a time as a Python object
                 t = value.as_py()
                 if len(memo) > MEMO:
                     memo.clear()
-                ids.append(b"".join(map(memo.__getitem__, pieces(t))) if t else b"")
+                ids.append(b"".join(map(memo.__getitem__, split(t))) if t else b"")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["key", "n_tokens", "ids"])
@@ -213,7 +215,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _memo(path, version).vocabulary.token
-        for batch in batches:
+        for batch in pieces(batches):
             raw = [None if not x.is_valid else b"".join(map(token.__getitem__, array("I", x.as_py())))
                    for x in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw, pa.binary())], [*names, out])

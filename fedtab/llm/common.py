@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,13 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into pieces of so many rows, so that what is made of one is small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def ranked(df: DataFrame, order_col: str, rank_col: str) -> DataFrame:
     """Add the 0-based rank by ``order_col`` (unique values, null last) without one sorting task.
 

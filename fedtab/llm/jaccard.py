@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fedtab.llm.common import WORD, connected_components
+from fedtab.llm.common import WORD, connected_components, pieces
 from fedtab.session import materialize, release
 
 #: Buckets of the count sketch, a fixed size whatever the corpus (16 MB), and of one of its blocks.
@@ -121,13 +121,13 @@ def _slice(sets: Iterator[Iterator[np.ndarray]], low: float, high: float) -> Ite
 
 def _tokens_of_texts(rows: DataFrame, n: int, low: float, high: float) -> DataFrame:
     return rows.select("text").mapInArrow(
-        lambda batches: _slice(((shingle_set(t, n) for t in _rows(b.column(0))) for b in batches), low, high),
+        lambda batches: _slice(((shingle_set(t, n) for t in _rows(b.column(0))) for b in pieces(batches)), low, high),
         "token long, name long")
 
 
 def _tokens_of_sets(sets: DataFrame, low: float, high: float) -> DataFrame:
     return sets.select("set").mapInArrow(
-        lambda batches: _slice(((np.frombuffer(x, np.uint64) for x in _rows(b.column(0))) for b in batches), low, high),
+        lambda batches: _slice(((np.frombuffer(x, np.uint64) for x in _rows(b.column(0))) for b in pieces(batches)), low, high),
         "token long, name long")
 
 
@@ -143,7 +143,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     """``(name, n, set)`` of texts; equal sets of a task come once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             sets = {_name(s): s for s in (shingle_set(t, n) for t in _rows(batch.column(0))) if len(s)}
             new = [k for k in sets if k not in seen]
             seen.update(new)
@@ -212,7 +212,7 @@ def _prefixes(sets: DataFrame, percent: int, sketch) -> DataFrame:
     """``(token, name, n, pos)`` of every set's prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        for batch in batches:
+        for batch in pieces(batches):
             tokens, names, size, pos = [], [], [], []
             for name, x in zip(_rows(batch.column(0)), _rows(batch.column(1)), strict=True):
                 s = np.frombuffer(x, np.uint64)
