@@ -19,8 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fedtab.functions.params import component, layer_key
 from fedtab.operators.linalg import EPS, client_coefficients
@@ -82,6 +85,11 @@ def average_blocks(blocks: DataFrame, weights: DataFrame, group_cols: Sequence[s
     return _packed(joined.groupBy(*g, *KEYS), [F.sum(F.col("weight") * F.get("v", F.lit(o))) for o in range(WIDTH)])
 
 
+def summed_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The blocks of each key added place by place; a place that none has stays null."""
+    return _packed(blocks.groupBy(*keys), [F.sum(F.get("v", F.lit(o))) for o in range(WIDTH)])
+
+
 def overlay_blocks(local: DataFrame, global_: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """#19 on blocks: global values where both have a cell; the local side fixes the shape."""
     g = list(group_cols)
@@ -117,22 +125,46 @@ def _vectors(blocks: DataFrame, g: list[str], kind: int, of: Column, ideal: Colu
                          ideal.cast("double").alias("ideal"), diff.cast("double").alias("diff"))
 
 
+def _stack(table: pa.Table, owners: np.ndarray, n: int, component: str) -> np.ndarray:
+    """One factor of a stack as a matrix, a vector to a row; 0 where a tile or a cell is missing."""
+    mine = table.column("component").to_numpy() == component
+    there = mine & table.column("v").is_valid().to_numpy()
+    t = table.column("t").to_numpy()
+    out = np.zeros((n, int(t[mine].max()) + 1 if mine.any() else 1, WIDTH))
+    values = table.column("v").filter(pa.array(there)).combine_chunks().flatten().fill_null(0.0)
+    np.add.at(out, (owners[there], t[there]), values.to_numpy(zero_copy_only=False).reshape(-1, WIDTH))
+    return out.reshape(n, -1)
+
+
+def _norms(table: pa.Table) -> tuple[float, float]:
+    """Norms of the ideal and of its difference from the average, of one layer's stack."""
+    p = table.column("p").combine_chunks()
+    _, first, owners = np.unique(np.stack([p.field(c).to_numpy(zero_copy_only=False) for c in ("kind", "of", "k")]), axis=1,
+                                 return_index=True, return_inverse=True)
+    owners = owners.reshape(-1)
+    a, b = (_stack(table, owners, len(first), c) for c in ("lora_A", "lora_B"))
+    coefs = [table.column(c).to_numpy()[first] for c in ("ideal", "diff")]
+    if a.shape[1] * b.shape[1] <= len(a) * (a.shape[1] + b.shape[1]):  # fewer cells in the product than pairs to multiply
+        return tuple(float(np.linalg.norm((b * c[:, None]).T @ a)) for c in coefs)
+    gram = (a @ a.T) * (b @ b.T)
+    return tuple(float(np.sqrt(np.maximum(c @ gram @ c, 0.0))) for c in coefs)
+
+
 def _ratios(stacked: DataFrame, g: list[str]) -> DataFrame:
-    """The bias per layer from all pairs of a stack's vectors: dot products tile by tile, their sums, and the two norms."""
-    stacked = materialize(stacked, "stacked-factors")
-    keys = [*g, "layer", "component", "t"]
-    one = stacked.select(*keys, "p", "ideal", "diff", "v")
-    two = stacked.select(*keys, F.col("p").alias("q"), F.col("ideal").alias("ideal_q"), F.col("diff").alias("diff_q"), F.col("v").alias("u"))
-    pairs = one.join(two, keys).where(F.col("p") <= F.col("q"))
-    dot = sum((F.coalesce(F.get("v", F.lit(o)) * F.get("u", F.lit(o)), F.lit(0.0)) for o in range(WIDTH)), F.lit(0.0))
-    twice = F.when(F.col("p") == F.col("q"), 1.0).otherwise(2.0)
-    gram = pairs.groupBy(*g, "layer", "p", "q").agg(
-        F.sum(F.when(F.col("component") == "lora_A", dot)).alias("a"), F.sum(F.when(F.col("component") == "lora_B", dot)).alias("b"),
-        F.first(twice * F.col("ideal") * F.col("ideal_q")).alias("ideal"), F.first(twice * F.col("diff") * F.col("diff_q")).alias("diff"))
-    norms = gram.groupBy(*g, "layer").agg(F.sum(F.col("ideal") * F.col("a") * F.col("b")).alias("ideal"),
-                                          F.sum(F.col("diff") * F.col("a") * F.col("b")).alias("diff"))
-    root = lambda c: F.sqrt(F.greatest(F.col(c), F.lit(0.0)))
-    return norms.select(*g, "layer", (root("diff") / (root("ideal") + F.lit(EPS))).alias("bias"))
+    """The bias per layer from its stack: products of the two stacked factors, and the two norms.
+
+    A layer's stack is one group, as large as its two factors over all clients: the smaller of the matrix of dot
+    products of its vectors and the product itself is formed at once there, so no pair and no cell becomes a row.
+    """
+    keys = [*g, "layer"]
+
+    def ratio(key: tuple, table: pa.Table) -> pa.Table:
+        ideal, diff = _norms(table)
+        bias = pa.array([diff / (ideal + EPS)], pa.float64())
+        return pa.Table.from_arrays([*(pa.array([k.as_py()], k.type) for k in key), bias], names=[*keys, "bias"])
+
+    schema = T.StructType([*(stacked.schema[k] for k in keys), T.StructField("bias", T.DoubleType())])
+    return stacked.where(F.col("layer").isNotNull()).groupBy(*keys).applyInArrow(ratio, schema)
 
 
 def gram_bias_layers(blocks: DataFrame, dimension: DataFrame, weights: DataFrame, group_cols: Sequence[str] = (),
