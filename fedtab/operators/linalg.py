@@ -1,8 +1,8 @@
 """Products of low-rank factors and the aggregation-bias metric (#21, #26-#28).
 
-W = B @ A is an equi-join of B's column index with A's row index inside
-(client, layer), followed by a sum per output cell. Sums over clients are folded
-into that same aggregation, so the per-client d x d products are never
+W = B @ A joins the rows of B with the columns of A inside (client, layer), each
+row and column one array along the inner index. Sums over clients are folded into
+the same dot products or aggregation, so the per-client d x d products are never
 materialised as a table of their own.
 """
 
@@ -19,6 +19,10 @@ from fedtab.operators.state import CELL_KEYS as CELL_KEYS_
 from fedtab.operators.state import weighted_padded_average, with_total
 
 EPS = 1e-8  # fixed value: ratio epsilon of the bias metric
+#: Owners whose factors are stacked in one piece of a product.
+OWNERS = 64
+#: Inner indices of a dot product that is written out.
+SHORT = 8
 
 
 def _factors(cells: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -38,17 +42,47 @@ def matrix_product(cells: DataFrame, group_cols: Sequence[str] = ("client_id",),
 
     With ``coef`` (keys + ``c``), returns sum over the coefficient keys of c * B @ A,
     e.g. the mean over clients when c = 1/K: the client sum happens in the same
-    aggregation as the inner product.
+    dot product as the inner sum.
+
+    Only factors are shuffled: a layer's rows of B and columns of A are dealt to one task, each with its values along
+    the inner index in one array, and an output cell is the dot product of two arrays, made where it is written out.
+    With ``coef`` the inner index runs over a layer's owners too, in pieces of about ``OWNERS`` owners, whose
+    products are then added.
     """
     g = list(group_cols)
-    keys = g + [k for k in coef_keys if k not in g]
+    owner = [k for k in coef_keys if k not in g]
+    keys = g + owner
     a, b = _factors(cells, keys)
-    prod = b.join(a, on=[*keys, "layer", "k"], how="inner")
-    term = F.col("b") * F.col("a")
+    by = [*g, "layer"]
     if coef is not None:
-        prod = prod.join(coef.select(*keys, "c"), on=keys, how="inner")
-        term = term * F.col("c")
-    return prod.groupBy(*g, "layer", "i", "j").agg(F.sum(term).alias("w"))
+        b = b.join(coef.select(*keys, "c"), on=keys, how="inner").withColumn("b", F.col("b") * F.col("c"))
+    if owner:
+        n_pieces = coef.agg((F.floor(F.count(F.lit(1)) / OWNERS) + 1).alias("n")).scalar()
+        a, b = (x.dropna(subset=owner).withColumn("_piece", F.pmod(F.xxhash64(*owner), n_pieces)) for x in (a, b))
+        by.append("_piece")
+    inner = F.struct(*owner, "k") if owner else F.col("k")
+    rows, cols = _along(b, by, inner, owner, "i", "b"), _along(a, by, inner, owner, "j", "a")
+    same = F.col("b_at") == F.col("a_at")
+    aligned = F.when(same, F.zip_with("b", "a", lambda x, y: x * y)).otherwise(
+        F.zip_with("b_at", "b", lambda p, x: x * F.get("a", (F.array_position("a_at", p) - 1).cast("int"))))
+    dot = F.aggregate(aligned, F.lit(None).cast("double"),
+                      lambda s, v: F.when(v.isNull(), s).otherwise(F.coalesce(s, F.lit(0.0)) + v))
+    # short inner indices, the usual ones, are written out and compiled
+    terms = [F.get("b", F.lit(o)) * F.get("a", F.lit(o)) for o in range(SHORT)]
+    short = F.when(F.coalesce(*terms).isNotNull(), sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0)))
+    total = F.when(same & (F.size("b") <= SHORT), short).otherwise(dot)
+    prod = (rows.join(cols, by).where(same | F.arrays_overlap("b_at", "a_at"))
+            .select(*g, "layer", "i", "j", total.alias("w")))
+    return prod.groupBy(*g, "layer", "i", "j").agg(F.sum("w").alias("w")) if owner else prod
+
+
+def _along(factor: DataFrame, by: Sequence[str], inner: Column, owner: Sequence[str], outer: str, value: str) -> DataFrame:
+    """One row per (by..., outer): the sorted inner indices (``<value>_at``) and their values; equal cells are added."""
+    there = factor.where(F.col("k").isNotNull()).repartition(*by)
+    cell = there.groupBy(*by, *owner, "k", outer).agg(F.sum(value).alias(value))
+    row = cell.groupBy(*by, outer).agg(F.sort_array(F.collect_list(F.struct(inner.alias("p"), value))).alias("_row"))
+    return row.select(*by, outer, F.transform("_row", lambda x: x["p"]).alias(f"{value}_at"),
+                      F.transform("_row", lambda x: x[value]).alias(value))
 
 
 def client_coefficients(weights: DataFrame, group_cols: Sequence[str], weighted: bool,
