@@ -491,10 +491,10 @@ def q_low_rank_fit(spark, sf):
 
 
 def q_round_report(spark, sf):
-    """#47: what the clients sent, averaged, measured and evaluated on the held-out vectors."""
-    from fedtab.plans.round_report import round_report
-    sent = fx.v_cells_rounds(spark, sf).filter(transmits("param", "method", "round"))
-    report_ = round_report(sent, fx.v_client_meta(spark, sf), fx.v_held_out(spark, sf))
+    """#47: what the clients sent, averaged, measured and evaluated on the held-out vectors; on blocked tensors."""
+    from fedtab.plans.round_report import round_report_blocks
+    parts, names = fx.v_blocks(spark, sf)
+    report_ = round_report_blocks(fx.sent_blocks(parts, names), names, fx.v_client_meta(spark, sf), fx.v_held_out(spark, sf))
     return report_.select("method", "round", "n_clients", _r("upload_mb"), _r("download_mb"), _r("round_mb"), _r("bias"),
                           "n_layers_measured", "n_held_out", _r("accuracy"), _r("macro_f1"), _r("mean_loss"))
 
