@@ -6,8 +6,8 @@ likelihood that a pattern is good text; those likelihoods train a linear scorer
 on hashed words and word shapes, and the scorer judges every document.
 
 Votes and pattern counts are DataFrame functions over all documents; one row per
-vote pattern reaches the driver. The scorer is fitted on a bounded sample and
-applied in Spark tasks, batch by batch.
+vote pattern reaches the driver. The scorer is fitted on a bounded sample, whose
+texts tasks turn into buckets, and applied in Spark tasks, batch by batch.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from fedtab.llm.common import WORD, uniform, words
+from fedtab.llm.common import WORD, pieces, uniform, words
 from fedtab.llm.quality_rules import let
-from fedtab.session import materialize
+from fedtab.session import materialize, release
 
 #: Expected number of sampled texts on which the scorer is fitted and of their characters, the bounds of the fit.
 SAMPLE, SAMPLE_CHARS = 4000, 24_000_000
@@ -39,6 +39,8 @@ LEAST = 0.5
 #: Words below which the labellers of shares do not vote.
 ENOUGH = 20
 MEMO = 100_000
+#: Buckets of texts that a step of the fit takes at a time.
+PIECE = 1 << 17
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = ("the of and to in is that for it with as was on be by this are from at or an der die das und den von zu mit "
                   "sich des auf nicht ein eine dem le la les des et en un une du que qui dans pour par de el los y se las")
@@ -209,26 +211,57 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(texts: list[str], target: np.ndarray, accuracies: tuple[float, ...] = ()) -> Scorer:
-    """Logistic regression of soft labels on the shares of buckets in a text, by Adam steps; classes weigh the same."""
-    scorer = Scorer(np.zeros(WORD_BUCKETS), np.zeros(SHAPE_BUCKETS), 0.0, tuple(accuracies))
-    if not texts:
-        return scorer
-    w, s, sizes, variety = _hashed(texts, _Buckets())
+def _cells(texts: list[str | None], memo: _Buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many buckets each text has, which ones (shapes after words) and their shares in its words; the variety's is 1."""
+    w, s, sizes, variety = _hashed(texts, memo)
     doc = np.repeat(np.arange(len(texts)), sizes)
     share = 1 / np.maximum(sizes, 1)[doc]
     wide = WORD_BUCKETS + SHAPE_BUCKETS
     whole = np.arange(len(texts)) * wide + WORD_BUCKETS + variety
     cells, inverse = np.unique(np.r_[doc * wide + w, doc * wide + WORD_BUCKETS + s, whole], return_inverse=True)
     value = np.bincount(inverse, np.r_[share, share, np.ones(len(texts))], len(cells))
-    doc, at = cells // wide, cells % wide
+    return np.bincount(cells // wide, minlength=len(texts)), (cells % wide).astype(np.uint16), value
+
+
+def _bucketed(drawn: DataFrame) -> DataFrame:
+    """``(votes, at, value)`` of each row of ``(text, votes)``: its text's buckets and their shares, as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Buckets()
+        for batch in pieces(batches, 128):
+            if len(memo) > MEMO:
+                memo.clear()
+            n, at, value = _cells(batch.column(0).to_pylist(), memo)
+            ends = np.cumsum(n)
+            cut = lambda x: pa.array([x[e - k:e].tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column(1), cut(at), cut(value)], ["votes", "at", "value"])
+    rows = drawn.select("text", "votes")
+    return rows.mapInArrow(run, StructType([rows.schema["votes"], StructField("at", BinaryType()), StructField("value", BinaryType())]))
+
+
+def train(n: np.ndarray, at: np.ndarray, value: np.ndarray, target: np.ndarray, accuracies: tuple[float, ...] = ()) -> Scorer:
+    """Logistic regression of soft labels on the shares of buckets in a text, by Adam steps; classes weigh the same.
+
+    Text i has the next ``n[i]`` of the buckets ``at`` with their shares ``value``. Each step goes over them in pieces of
+    whole texts, so that what it makes beside them is small.
+    """
+    if not len(n):
+        return Scorer(np.zeros(WORD_BUCKETS), np.zeros(SHAPE_BUCKETS), 0.0, tuple(accuracies))
+    wide = WORD_BUCKETS + SHAPE_BUCKETS
+    ends = np.cumsum(n)
+    texts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(PIECE, ends[-1], PIECE)), len(n)])
+    cells = np.r_[0, ends][texts]
     good = target.sum()
     weight = target / max(good, 1.0) + (1 - target) / max(len(target) - good, 1.0)
-    theta, bias, m, v = np.zeros(wide + 1), 0.0, np.zeros(wide + 1), np.zeros(wide + 1)
+    theta, m, v = np.zeros(wide + 1), np.zeros(wide + 1), np.zeros(wide + 1)
     for t in range(1, STEPS + 1):
-        z = np.bincount(doc, value * theta[at], len(texts)) + theta[-1]
-        off = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target)
-        g = np.r_[np.bincount(at, value * off[doc], wide), off.sum()] + PENALTY * theta
+        g, off = np.zeros(wide + 1), np.empty(len(n))
+        for first, last, lo, hi in zip(texts[:-1], texts[1:], cells[:-1], cells[1:], strict=True):
+            doc, own, some = np.repeat(np.arange(last - first), n[first:last]), at[lo:hi].astype(np.int64), value[lo:hi]
+            z = np.bincount(doc, some * theta[own], last - first) + theta[-1]
+            off[first:last] = weight[first:last] * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target[first:last])
+            np.add.at(g, own, some * off[first:last][doc])
+        g[-1] = off.sum()
+        g += PENALTY * theta
         m += 0.1 * (g - m)
         v += 0.02 * (g * g - v)
         theta -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.98 ** t)) + 1e-9)
@@ -249,10 +282,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     post, accuracies = estimate(counts)
     rate = min(sample / max(sum(counts.values()), 1), SAMPLE_CHARS / max(sum(r["chars"] for r in counted), 1))
     draw = uniform(F.concat_ws(":", F.col(key).cast("string"), F.xxhash64(text).cast("string")), "quality")
-    drawn = known.where(draw < rate).select(
-        F.col(key).alias("key"), F.col(text).alias("text"), vote.alias("votes")).collect()
-    drawn.sort(key=lambda r: (r["key"] is None, r["key"] or 0, r["text"]))
-    return train([r["text"] for r in drawn], np.array([post[tuple(r["votes"])] for r in drawn]), tuple(accuracies))
+    drawn = materialize(known.where(draw < rate).select(
+        F.col(key).alias("key"), F.col(text).alias("text"), vote.alias("votes")), "quality-sample")
+    rows = _bucketed(drawn.orderBy(F.col("key").asc_nulls_last(), "text")).collect()
+    release(drawn)
+    target = np.array([post[tuple(r["votes"])] for r in rows])
+    n = np.array([len(r["at"]) // 2 for r in rows], np.int64)
+    at, value = (np.frombuffer(b"".join([r[c] for r in rows]), kind) for c, kind in (("at", np.uint16), ("value", np.float64)))
+    del rows
+    return train(n, at, value, target, tuple(accuracies))
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score") -> DataFrame:

@@ -145,3 +145,26 @@ def test_clean_texts_of_a_fifth_language_stay(spark, share):
     labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
     good, junk = ([r.doc_id in kept for r in labels if r.quality == k] for k in (1, 0))
     assert sum(good) >= 0.99 * len(good) and sum(junk) <= 0.1 * len(junk)
+
+
+def test_fit_leaves_the_words_of_its_texts_to_the_tasks(spark):
+    """The driver gets a text's buckets; what it makes of them in a step does not grow with the sample."""
+    import tracemalloc
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.array_join(F.transform(
+        F.sequence(F.lit(1), F.lit(400)), lambda x: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", x), F.lit(5000)).cast("string"))), " ").alias("text"))
+    tracemalloc.start()
+    try:
+        scorer = wq.fit(docs, sample=10 ** 9)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.abs(scorer.words).max() > 0 and most < 60e6
+
+
+def test_pieces_of_the_fit_do_not_change_it(spark, monkeypatch):
+    texts = [None, "", *(f"{'a b ' * i}x{i} Y{i}! z" for i in range(60))]
+    given = *wq._cells(texts, wq._Buckets()), np.linspace(0, 1, len(texts))
+    whole = wq.train(*given)
+    monkeypatch.setattr(wq, "PIECE", 7)
+    cut = wq.train(*given)
+    assert np.array_equal(whole.words, cut.words) and np.array_equal(whole.shapes, cut.shapes) and whole.bias == cut.bias
