@@ -43,8 +43,10 @@ _SHIFT = np.uint64(64 - 22)
 LIST_ROWS, SKIP_ROWS = 2000, 64
 #: Parts of the histogram of a set's hashes; the sum of two sets' smaller counts bounds their intersection.
 PARTS = 512
-#: Rounds of pivots before the pairs that are left are listed.
-PIVOTS = 2
+#: Pivots of a list in each round, before the pairs that are left are listed.
+PIVOTS = (1, 8)
+#: Bits of the map of keys that says which rows need not be moved to a join, a fixed size whatever the corpus (4 MB).
+BITS, MAP_ROW = 1 << 25, 1 << 15
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -131,6 +133,26 @@ def _tokens_of_sets(sets: DataFrame, low: float, high: float) -> DataFrame:
         "token long, name long")
 
 
+def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose integer ``column`` is in the only column of ``wanted``; few of the others are moved to the join.
+
+    A map of hash bits leaves out most of the rows that are not wanted, a join the rest.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    wanted = materialize(wanted.distinct().toDF("_wanted"), "wanted")
+    at = wanted.select((place("_wanted") / MAP_ROW).cast("int").alias("row"), (place("_wanted") % MAP_ROW).alias("bit"))
+    found = np.zeros(BITS // 8, np.uint8)
+    for r in at.repartition("row").groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # BITS / MAP_ROW rows at most
+        found[r["row"] * MAP_ROW // 8:(r["row"] + 1) * MAP_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
+    bits = rows.sparkSession.sparkContext.broadcast(found)
+
+    @F.pandas_udf("boolean")
+    def known(x: pd.Series) -> pd.Series:
+        k = x.to_numpy(np.int64)
+        return pd.Series((bits.value[k >> 3] >> (k & 7)) & 1 == 1)
+    return rows.where(known(place(column))).join(wanted.hint("merge"), rows[column] == wanted["_wanted"], "left_semi")
+
+
 def _may_link(classes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """``classes`` without the sets that have too many n-grams of their own to link with any other."""
     alone = (tokens.groupBy("token").agg(F.min("name").alias("name"), F.max("name").alias("other")).where("name = other")
@@ -231,8 +253,7 @@ def _prefixes(sets: DataFrame, percent: int, sketch) -> DataFrame:
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(a, b, overlap, na, nb)`` of pairs ``(a, b)``; only the sets of the pairs are moved."""
-    ends = pairs.select("a").union(pairs.select("b")).distinct()
-    sets = sets.join(ends.hint("merge"), sets["name"] == ends["a"], "left_semi")
+    sets = _among(sets, "name", pairs.select("a").union(pairs.select("b")))
     both = (pairs.join(sets.select(F.col("name").alias("b"), F.col("set").alias("sb")), "b")
             .join(sets.select(F.col("name").alias("a"), F.col("set").alias("sa")), "a")
             .select("a", "b", "sa", "sb"))
@@ -362,12 +383,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     keyed = rows.where("key is not null")
     share = min(1.0, 1.6 * (100 - percent) / 100)  # enough of a slice to tell, with room for chance
     alive = materialize(_may_link(classes, _tokens_of_texts(keyed, n, 0.0, share), percent), "alive")
-    wanted = alive.select(F.col("rep").alias("key")).distinct()
-    # The texts of the few that are left are moved the same way whatever their number.
-    whole = materialize(_sets(keyed.join(wanted.hint("merge"), "key", "left_semi"), n), "sets")
+    whole = materialize(_sets(_among(keyed, "key", alive.select("rep")), n), "sets")
     own = whole.select("name", "n").distinct()
     still = _may_link(own, _tokens_of_sets(whole, 1.0 - share, 1.0), percent)
-    sets = materialize(whole.join(still.select("name").hint("merge"), "name", "left_semi"), "sets-alive")
+    sets = materialize(_among(whole, "name", still.select("name")), "sets-alive")
     release(alive, whole)
     sketch = spark.sparkContext.broadcast(_sketch(sets))
 
@@ -378,7 +397,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     both = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))
     lists = (postings.join(shared, "token", "left_semi").withColumn("b", F.explode(both))
              .select("token", "b.band", "name", "n", "pos", "b.own"))
-    lists = materialize(lists, "lists")
+    written = lists = materialize(lists, "lists")
     release(postings)
 
     def fits(nx, px, ny, py):
@@ -387,24 +406,26 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str
 
     linked = (100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
     done = first = links = parts = None
-    for turn in range(PIVOTS):
-        # Lists that hold two components still, and a pivot for each: in the first round the least name, then by hash.
+    for turn, many in enumerate(PIVOTS):
+        # Lists that hold two components still, and pivots for each: in the first round the least name, then by hashes.
         members = lists.withColumn("comp", F.col("name")) if parts is None else (
             lists.join(parts, lists["name"] == parts["node"], "left")
             .select(*lists.columns, F.coalesce("component_id", "name").alias("comp")))
         members = materialize(members, "members")
-        by = F.col("name") if turn == 0 else F.xxhash64("name", F.lit(turn))
-        pivot = F.min(F.when(F.col("own"), F.struct(by.alias("by"), "name", "n", "pos", "comp"))).alias("pivot")
-        pivots = (members.groupBy("token", "band").agg(pivot, F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                  .where("lo <> hi and pivot is not null").select("token", "band", "pivot"))
+        by = [F.xxhash64("name", F.lit(i)) if turn else F.col("name") for i in range(many)]
+        chosen = F.array(*(F.min(F.when(F.col("own"), F.struct(x.alias("by"), "name", "n", "pos", "comp"))) for x in by)).alias("pivots")
+        pivots = (members.groupBy("token", "band").agg(chosen, F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                  .where("lo <> hi and pivots[0] is not null").select("token", "band", "pivots"))
         pivots = materialize(pivots, "pivots")
         if turn == 0:
-            anchors = pivots.select("token", "band", F.col("pivot.name").alias("pivot"))
-        listed = materialize(members.join(pivots, ["token", "band"]), "listed")
-        lists = listed.select(*lists.columns)  # the other lists are done
-        star = (listed.where((F.col("comp") != F.col("pivot.comp"))
-                             & fits(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")))
-                .select(F.least("name", "pivot.name").alias("a"), F.greatest("name", "pivot.name").alias("b")).distinct())
+            anchors = pivots.select("token", "band", F.col("pivots")[0]["name"].alias("pivot"))
+        near = F.filter("pivots", lambda p: (F.col("comp") != p["comp"]) & fits(F.col("n"), F.col("pos"), p["n"], p["pos"]))
+        listed = materialize(members.join(pivots, ["token", "band"])
+                             .select(*lists.columns, near["name"].alias("with")), "listed")
+        release(written, members, *([pivots] if turn else []))
+        written, lists = listed, listed.select(*lists.columns)  # the other lists are done
+        star = (listed.select("name", F.explode("with").alias("other"))
+                .select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct())
         star = materialize(star if done is None else star.join(done.select("a", "b"), ["a", "b"], "left_anti"), "star")
         none = star.isEmpty()
         if none and turn:
@@ -420,6 +441,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     members = lists.join(parts, lists["name"] == parts["node"], "left").select(
         *lists.columns, F.coalesce("component_id", "name").alias("comp"))
     members = materialize(members, "members")
+    release(written)
     mixed = (members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where("lo <> hi").select("token", "band"))
     with_pivot = first.select("a", "b", "overlap").union(first.select("b", "a", "overlap"))
@@ -429,6 +451,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, key: str
             .join(parts.toDF("pivot", "pivot_comp"), "pivot", "left")
             .withColumn("near", F.col("comp") == F.coalesce("pivot_comp", "pivot")))
     left = materialize(left.select(*lists.columns, "comp", "overlap", "near"), "left")
+    release(members)
     links = links.union(_links_left(left, sets, done, percent).where(linked).select("a", "b"))
     return _components_of(info, classes, links, key)
 
@@ -438,11 +461,13 @@ def _links_left(left: DataFrame, sets: DataFrame, done: DataFrame, percent: int)
     # A set near the pivot can only link with one that has nearly as much in common with the pivot.
     far = (left.where("not near").groupBy("token", "band")
            .agg(F.max(F.when(F.col("overlap") >= 0, F.col("overlap")).otherwise(F.col("n"))).alias("most")))
-    left = (left.join(far, ["token", "band"])
+    bounded = (left.join(far, ["token", "band"])
             .where((~F.col("near")) | (F.col("overlap") < 0)
                    | (100 * F.col("most") >= 100 * F.col("overlap") - (100 - percent) * F.col("n")))
             .drop("most"))
-    left = materialize(left, "left-bounded")
+    bounded = materialize(bounded, "left-bounded")
+    release(left)
+    left = bounded
     sizes = left.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     blocks = (F.col("c") / F.lit(LIST_ROWS)).cast("int") + 1
     mine = F.pmod(F.xxhash64("name"), F.col("k")).cast("int")
@@ -450,8 +475,8 @@ def _links_left(left: DataFrame, sets: DataFrame, done: DataFrame, percent: int)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
              .withColumn("p", F.least("side", "other")).withColumn("q", F.greatest("side", "other")))
     dealt = materialize(dealt, "dealt")
-    long = dealt.where(F.col("c") > SKIP_ROWS).select("name").distinct()
-    hists = materialize(_histograms(sets.join(long, "name", "left_semi")), "histograms")
+    release(left)
+    hists = materialize(_histograms(_among(sets, "name", dealt.where(F.col("c") > SKIP_ROWS).select("name"))), "histograms")
     dealt = (dealt.withColumn("long_name", F.when(F.col("c") > SKIP_ROWS, F.col("name")))
              .join(hists.withColumnRenamed("name", "long_name"), "long_name", "left"))
     more = materialize(_pairs_left(dealt, percent).join(done.select("a", "b"), ["a", "b"], "left_anti"), "more")
