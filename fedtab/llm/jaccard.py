@@ -142,7 +142,7 @@ def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     wanted = materialize(wanted.distinct().toDF("_wanted"), "wanted")
     at = wanted.select((place("_wanted") / MAP_ROW).cast("int").alias("row"), (place("_wanted") % MAP_ROW).alias("bit"))
     found = np.zeros(BITS // 8, np.uint8)
-    for r in at.repartition("row").groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # BITS / MAP_ROW rows at most
+    for r in at.repartition("row").groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # BITS / MAP_ROW rows at most
         found[r["row"] * MAP_ROW // 8:(r["row"] + 1) * MAP_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
     bits = rows.sparkSession.sparkContext.broadcast(found)
 

@@ -137,3 +137,33 @@ def test_near_copies_without_keys(spark):
     rows = [(None, f"{base} x{i}") for i in range(5)] + [(None, f"z {base} v"), (9, f"{base} y"), (None, "other words here")]
     out = jaccard.one_of_each(spark.createDataFrame(rows, COLUMNS)).collect()
     assert sorted((r.doc_id, r.text) for r in out if r.doc_id) == [(9, f"{base} y")] and len(out) == 2
+
+
+def test_near_copies_are_not_listed_in_all_pairs(spark, monkeypatch):
+    """A quarter of a group links with all of it, the others with that quarter only: few pairs are left after the pivots."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(182)]
+    rows = []
+    for i in range(200):
+        t = list(base)
+        for k, at in enumerate(rng.sample(range(5, 175, 6), 1 if i % 4 == 0 else 2)):
+            t[at] = f"x{i}y{k}"
+        rows.append((i, " ".join(t)))
+    left, found = [], jaccard._pairs_left
+
+    def counted(*given):
+        out = found(*given)
+        left.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "_pairs_left", counted)
+    same(spark, rows)
+    assert sum(left) <= 5 * len(rows)
+
+
+def test_map_of_keys_leaves_the_join_exact(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BITS", 1 << 15)
+    monkeypatch.setattr(jaccard, "MAP_ROW", 1 << 15)
+    rows = spark.range(-30000, 30000).select(F.col("id").alias("key"), F.lit("t").alias("text"))
+    wanted = rows.where("key % 7 = 0").select("key")
+    assert sorted(r.key for r in jaccard._among(rows, "key", wanted.union(wanted)).collect()) == [k for k in range(-30000, 30000) if k % 7 == 0]
+    assert jaccard._among(rows, "key", wanted.limit(0)).collect() == []
