@@ -17,8 +17,8 @@ pairs of a posting list:
   little overlap is skipped whole.
 * Answer level. In each list the sets are first compared with a pivot, which
   costs as many pairs as the list has sets; a set that links to the pivot takes over
-  its component. Some rounds with other pivots follow where a list still holds
-  several components. A pair that is left is compared only if the overlaps with the
+  its component. A round with several other pivots follows where a list still
+  holds several components. A pair that is left is compared only if the overlaps with the
   first pivot do not rule it out, ``|x & y| <= min(ox, oy) + min(nx - ox, ny - oy)``,
   nor, in a long list, the histograms of the two sets' hashes.
 """
